@@ -57,9 +57,18 @@ def mask_literals(text: Column, compat: bool = False) -> Column:
     return F.regexp_replace(text, _SKIP_TO_LITERAL, f"$1{LITERAL}")
 
 
+# Every kind of Unicode white space.
+WHITESPACE = r"[\s\x0B\x1C-\x1F\x85\p{Z}]"
+
+
 def squash_ws(text: Column) -> Column:
     """Runs of whitespace become one space; ends trimmed."""
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    return F.trim(F.regexp_replace(text, WHITESPACE + "+", " "))
+
+
+def strip(text: Column) -> Column:
+    """Trim every kind of whitespace."""
+    return F.regexp_replace(text, f"^{WHITESPACE}+|{WHITESPACE}+$", "")
 
 
 def normalize_sql(text: Column, compat: bool = False) -> Column:
@@ -88,7 +97,7 @@ def strip_templates(text: Column) -> Column:
 
 def view_body(ddl: Column) -> Column:
     """The query of ``CREATE VIEW .. AS ..`` text without its last ``;``; NULL when there is none."""
-    text = F.trim(F.regexp_replace(ddl, r"^\s+|\s+$", ""))
+    text = strip(ddl)
     after_as = F.regexp_extract(text, r"(?is)\bAS\b(.*)", 1)
     from_select = F.regexp_extract(text, r"(?is)\bSELECT\b.*", 0)
     body = F.when(text.rlike(r"(?i)\bAS\b"), after_as).when(text.rlike(r"(?i)\bSELECT\b"), from_select)
@@ -100,8 +109,8 @@ def view_body(ddl: Column) -> Column:
 
 def norm_name(name: Column) -> Column:
     """Lower case; runs of ``_``, ``-``, ``.`` and blanks become one space."""
-    lowered = F.regexp_replace(F.lower(name), r"^\s+|\s+$", "")
-    return F.regexp_replace(F.regexp_replace(lowered, r"[_\-.]+", " "), r"\s+", " ")
+    spaced = F.regexp_replace(strip(F.lower(name)), r"[_\-.]+", " ")
+    return F.regexp_replace(spaced, WHITESPACE + "+", " ")
 
 
 def slug(name: Column, length: int = 255) -> Column:
@@ -135,8 +144,7 @@ def clean_text(text: Column, length: int = 10_000, keep_newlines: bool = False)
     """Drop control characters and trim; NULL when the text is longer than ``length``."""
     control = r"[\x00-\x08\x0B-\x0C\x0E-\x1F\x7F]" if keep_newlines else r"[\x00-\x1F\x7F]"
     cleaned = F.regexp_replace(text, control, "")
-    trimmed = F.regexp_replace(cleaned, r"^\s+|\s+$", "")
-    return F.when(F.length(text) <= length, trimmed)
+    return F.when(F.length(text) <= length, strip(cleaned))
 
 
 def fk_candidates(column: Column) -> Column:

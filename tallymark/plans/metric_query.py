@@ -102,7 +102,7 @@ def _measure_input(body: Measure) -> Column:
     else:
         value = F.expr(body.expr)
     if body.scale is not None and body.agg in ("sum", "avg"):
-        value = F.round(value * F.lit(float(10**body.scale))).cast("bigint")
+        value = F.floor(value * F.lit(float(10**body.scale)) + F.lit(0.5))
     if body.where:
         value = F.when(free_predicate(body.where), value)
     return value
