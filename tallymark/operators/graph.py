@@ -146,7 +146,7 @@ def lineage(edges: DataFrame, node: str, direction: str = "upstream") -> DataFra
 def metric_refs(df: DataFrame, name: str = "name", expression: str = "expression") -> DataFrame:
     """(src, dst) rows: each metric and the metrics its expression names in braces, once each."""
     found = F.regexp_extract_all(F.col(expression), F.lit(r"\{([^{}]+)\}"), F.lit(1))
-    names = F.array_distinct(F.transform(found, F.trim))
+    names = F.array_distinct(F.transform(found, lambda v: F.trim(v)))
     return df.select(F.col(name).alias("src"), F.explode(names).alias("dst"))
 
 

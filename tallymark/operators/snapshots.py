@@ -21,7 +21,7 @@ DIFF_FIELDS = (
 
 def _clean_list(items: Column, sort: bool) -> Column:
     """Trimmed, non-empty entries."""
-    trimmed = F.filter(F.transform(items, F.trim), lambda v: v.isNotNull() & (v != ""))
+    trimmed = F.filter(F.transform(items, lambda v: F.trim(v)), lambda v: v.isNotNull() & (v != ""))
     out = F.coalesce(trimmed, F.array().cast("array<string>"))
     return F.array_sort(out) if sort else out
 

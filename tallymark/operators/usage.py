@@ -82,7 +82,7 @@ def overwrite_touched_days(spark: SparkSession, table: str, new: DataFrame, path
     days = new.select("usage_date").distinct()
     old = spark.read.parquet(path).join(days, "usage_date", "left_semi")
     merge_usage(old.select(*new.columns), new).write.mode("overwrite").parquet(table)
-    staged = spark.read.parquet(table)
+    staged = spark.read.parquet(table).repartition("usage_date")
     staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("usage_date").parquet(path)
 
 
