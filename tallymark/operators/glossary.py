@@ -5,6 +5,7 @@ from __future__ import annotations
 import difflib
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ BUSINESS_SIGNALS = (
 )
 BANNED_IN_DEFINITIONS = ("select", "from", "join", ".", "_id")
 MATCH_SCORE, POSSIBLE_SCORE = 0.9, 0.5
-TERM_BLOCK, NAME_BLOCK = 2_000, 50_000
+TERM_BLOCK, NAME_BLOCK = 2_000, 5_000
 
 
 def _holds_any(text: Column, tokens) -> Column:
@@ -196,23 +197,38 @@ def explain(subjects: DataFrame, terms: DataFrame, links: DataFrame) -> DataFram
 # ---- fuzzy alignment ---------------------------------------------------------
 
 
-def _best_of(names: pd.Series, terms: pd.DataFrame) -> pd.DataFrame:
-    """Best (score, term, via) for each name; first term in order wins ties.
+def _letter_counts(texts: list[str], alphabet: dict[str, int]) -> np.ndarray:
+    counts = np.zeros((len(texts), len(alphabet)), dtype=np.int32)
+    for row, text in enumerate(texts):
+        for letter in text:
+            counts[row, alphabet[letter]] += 1
+    return counts
 
-    The matcher keeps statistics about its second text, so each label is
-    prepared once and tried against all names; cheap upper bounds skip the rest.
+
+def _best_of(names: list[str], labels: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Position and score of the best label for each name; the first label wins ties.
+
+    Shared letters bound the matcher's ratio from above, so labels are tried
+    from the highest bound down and the rest is skipped once it cannot win.
     """
-    best = [(0.0, None, None)] * len(names)
-    for term, via, label in zip(terms["term"], terms["via"], terms["label"], strict=True):
-        matcher = difflib.SequenceMatcher(None, "", label)
-        for i, name in enumerate(names):
-            floor = best[i][0]
-            matcher.set_seq1(name)
-            if matcher.real_quick_ratio() > floor and matcher.quick_ratio() > floor:
-                score = matcher.ratio()
-                if score > floor:
-                    best[i] = (score, term, via)
-    return pd.DataFrame(best, columns=["score", "term", "via"])
+    alphabet = {letter: i for i, letter in enumerate(sorted(set("".join(names) + "".join(labels))))}
+    a, b = _letter_counts(names, alphabet), _letter_counts(labels, alphabet)
+    sizes = a.sum(axis=1)
+    bounds = np.empty((len(names), len(labels)))
+    for j in range(len(labels)):
+        total = sizes + b[j].sum()
+        bounds[:, j] = np.where(total > 0, 2.0 * np.minimum(a, b[j]).sum(axis=1) / np.maximum(total, 1), 1.0)
+    matchers = [difflib.SequenceMatcher(None, "", label) for label in labels]
+    position, score = np.full(len(names), -1), np.zeros(len(names))
+    for i, name in enumerate(names):
+        for j in np.argsort(-bounds[i], kind="stable"):
+            if bounds[i, j] < score[i]:
+                break
+            matchers[j].set_seq1(name)
+            ratio = matchers[j].ratio()
+            if ratio > score[i] or (ratio == score[i] and 0 <= j < position[i]):
+                position[i], score[i] = j, ratio
+    return position, score
 
 
 def align(names: DataFrame, terms: DataFrame, taken: DataFrame | None = None, block_terms: int = TERM_BLOCK) -> DataFrame:
@@ -233,20 +249,30 @@ def align(names: DataFrame, terms: DataFrame, taken: DataFrame | None = None, bl
         return max(1, -(-df.count() // size))
 
     n_labels, n_names = blocks(labels, block_terms), blocks(distinct, NAME_BLOCK)
-    n_names = max(n_names, min(64, labels.sparkSession.sparkContext.defaultParallelism))
+    n_names = max(n_names, 4 * labels.sparkSession.sparkContext.defaultParallelism // n_labels)
     numbers = lambda n: F.explode(F.array(*[F.lit(i) for i in range(n)])) if n <= 64 else F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = distinct.select("spelling", F.pmod(F.xxhash64("spelling"), F.lit(n_names)).cast("int").alias("nb"), numbers(n_labels).alias("lb"))
     right = labels.select("term", "p", "via", "label", F.pmod(F.xxhash64("label"), F.lit(n_labels)).cast("int").alias("lb"), numbers(n_names).alias("nb"))
 
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        ordered = b.sort_values(["term", "p"], kind="stable")
-        return pd.concat([a[["spelling"]].reset_index(drop=True), _best_of(a["spelling"], ordered)], axis=1)
-
+        if a.empty or b.empty:
+            return pd.DataFrame({"spelling": [], "score": [], "term": [], "p": [], "via": []})
+        ordered = b.sort_values(["term", "p"]).reset_index(drop=True)
+        position, score = _best_of(list(a["spelling"]), list(ordered["label"]))
+        kept = position >= 0
+        best = ordered[["term", "p", "via"]].iloc[position[kept]].reset_index(drop=True)
+        best.insert(0, "score", score[kept])
+        best.insert(0, "spelling", a["spelling"].to_numpy()[kept])
+        return best
+
+    # A fixed number of partitions: the pairs are few and heavy, so they must not be merged into one task.
+    tasks = n_labels * n_names
+    left, right = left.repartition(tasks, "nb", "lb"), right.repartition(tasks, "nb", "lb")
     hits = left.groupBy("nb", "lb").cogroup(right.groupBy("nb", "lb")).applyInPandas(
-        meet, "spelling string, score double, term string, via string"
+        meet, "spelling string, score double, term string, p int, via string"
     )
-    # Highest score, then first term: order by (-score, term).
-    best = hits.groupBy("spelling").agg(F.min(F.struct((-F.col("score")).alias("s"), "term", "via")).alias("b"))
+    # Highest score, then first term, then the term before its synonyms.
+    best = hits.groupBy("spelling").agg(F.min(F.struct((-F.col("score")).alias("s"), "term", "p", "via")).alias("b"))
     scored = spelled.join(best, "spelling", "left").select(
         "name", "spelling", F.coalesce(-F.col("b.s"), F.lit(0.0)).alias("score"), "b.term", "b.via"
     )

@@ -7,6 +7,8 @@ neither grows its plan nor loses work with an executor.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,14 +51,20 @@ def neighbors(edges: DataFrame, seed: DataFrame, depth: int = 1) -> DataFrame:
     Each hop is a semi join and a distinct: a node with very many edges only
     adds the nodes it leads to, never pairs.
     """
-    both = edges.select(F.col("src").alias("node"), F.col("dst").alias("other")).unionByName(
-        edges.select(F.col("dst").alias("node"), F.col("src").alias("other"))
-    )
+    depth = max(1, min(depth, 3))
+    # One walk reads the edges once per hop; more than one is worth keeping them.
+    ends = edges.select("src", "dst")
+    both = F.array(F.struct(F.col("src").alias("node"), F.col("dst").alias("other")), F.struct(F.col("dst").alias("node"), F.col("src").alias("other")))
+    links = ends.select(F.inline(both))
+    if depth > 1:
+        links = cut_lineage(links)
     frontier = seed.select("node").distinct()
     seen = frontier.withColumn("distance", F.lit(0))
-    for hop in range(1, max(1, min(depth, 3)) + 1):
-        step = both.join(frontier, "node", "left_semi").select(F.col("other").alias("node")).distinct()
+    for hop in range(1, depth + 1):
+        step = links.join(frontier, "node", "left_semi").select(F.col("other").alias("node")).distinct()
         frontier = missing(step, seen, ["node"])
+        if hop < depth:
+            frontier = cut_lineage(frontier)
         seen = seen.unionByName(frontier.withColumn("distance", F.lit(hop)))
     return seen
 
@@ -116,13 +124,14 @@ def reachable(edges: DataFrame, starts: DataFrame, max_hops: int = 32) -> DataFr
     return seen
 
 
-def shortest_path(edges: DataFrame, start: str, target: str, max_hops: int = 32) -> DataFrame:
-    """The shortest join path between two nodes, its keys, and whether it is the only one."""
+def shortest_path(edges: DataFrame, start: str, target: str | Sequence[str], max_hops: int = 32) -> DataFrame:
+    """The shortest join path to a node (or to each of several), its keys, and whether it is the only one."""
     spark = edges.sparkSession
     starts = spark.range(1).select(F.lit(start).alias("start"))
+    targets = [target] if isinstance(target, str) else list(target)
     return (
         reachable(edges, starts, max_hops)
-        .filter(F.col("node") == target)
+        .filter(F.col("node").isin(targets))
         .select("start", "node", "hops", "path", "join_keys", "path_count", (F.col("path_count") == 1).alias("is_unique"))
     )
 

@@ -86,11 +86,16 @@ def publish_view(
 
 
 def export(df: DataFrame, path: str, fmt: str = "csv") -> None:
-    """Write a result as CSV (header, quotes doubled) or as JSON rows; one file per task."""
+    """Write a result as CSV (header, quotes doubled) or as JSON rows; one file per task. Times keep their microseconds."""
+    writer = (
+        df.write.mode("overwrite")
+        .option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+        .option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
+    )
     if fmt == "csv":
-        df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+        writer.option("header", True).option("escape", '"').csv(path)
     elif fmt == "json":
-        df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+        writer.option("ignoreNullFields", False).json(path)
     else:
         raise ValueError("fmt is 'csv' or 'json'")
 
