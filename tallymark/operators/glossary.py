@@ -255,15 +255,11 @@ def align(names: DataFrame, terms: DataFrame, taken: DataFrame | None = None, bl
     right = labels.select("term", "p", "via", "label", F.pmod(F.xxhash64("label"), F.lit(n_labels)).cast("int").alias("lb"), numbers(n_names).alias("nb"))
 
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({"spelling": [], "score": [], "term": [], "p": [], "via": []})
-        ordered = b.sort_values(["term", "p"]).reset_index(drop=True)
-        position, score = _best_of(list(a["spelling"]), list(ordered["label"]))
-        kept = position >= 0
-        best = ordered[["term", "p", "via"]].iloc[position[kept]].reset_index(drop=True)
-        best.insert(0, "score", score[kept])
-        best.insert(0, "spelling", a["spelling"].to_numpy()[kept])
-        return best
+        ordered = sorted(zip(b["term"], b["p"], b["via"], b["label"], strict=True), key=lambda r: r[:2])
+        spellings = list(a["spelling"]) if ordered else []
+        position, score = _best_of(spellings, [r[3] for r in ordered])
+        rows = [(s, float(x), *ordered[j][:3]) for s, j, x in zip(spellings, position, score, strict=True) if j >= 0]
+        return pd.DataFrame(rows, columns=["spelling", "score", "term", "p", "via"], dtype=object)
 
     # A fixed number of partitions: the pairs are few and heavy, so they must not be merged into one task.
     tasks = n_labels * n_names
