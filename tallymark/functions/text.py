@@ -5,6 +5,8 @@ All are built-in Spark expressions, so they run inside code generation.
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,16 +15,30 @@ from pyspark.sql import functions as F
 _STRING = r"'[^']*+(?:''[^']*+)*+'?"
 _QUOTED = r'"(?:[^"\\]|\\.)*+"?'
 _COMMENT = r"--[^\n]*+|/\*(?:[^*]|\*(?!/))*+(?:\*/)?"
-_WORD = r"\p{L}[\p{L}\p{N}_]*+"
 _CONSTANT = r"(?i:NULL|TRUE|FALSE)(?![\p{L}\p{N}_])"
 _NUMBER = r"(?:\p{Nd}++(?:\.\p{Nd}*+)?|\.\p{Nd}++)(?:[eE][+-]?\p{Nd}++)?"
 
+
+def _one_of(characters: str) -> str:
+    """A class listing its characters one by one: a table look-up in Java, where ranges are tested in turn."""
+    return "[" + "".join(f"\\x{ord(c):02X}" for c in characters) + "]"
+
+
+# ASCII is told apart by table look-ups; other letters and signs take the last two branches.
+_ASCII_WORD = _one_of(string.ascii_letters + string.digits + "_")
+_ASCII_PLAIN = _one_of("".join(chr(i) for i in range(128) if chr(i) not in string.ascii_letters + string.digits + "'\"."))
+_FIRST = _one_of("".join(c for c in string.ascii_letters if c not in "nNtTfF"))
+_KEPT = (
+    rf"(?:{_FIRST}|(?!{_CONSTANT})[nNtTfF]){_ASCII_WORD}*+[\p{{L}}\p{{N}}_]*+{_ASCII_PLAIN}*+|{_ASCII_PLAIN}++"
+    rf"|(?![\x00-\x7F])(?:\p{{L}}[\p{{L}}\p{{N}}_]*+|[^\p{{L}}\p{{Nd}}])"
+)
+
 # Each match starts where the one before ended, swallows what is kept (group 1)
 # and ends with the part to replace. Possessive loops: no backtracking and no
 # recursion, so megabyte texts are fine.
-_SKIP_TO_COMMENT = rf"\G((?:{_STRING}|{_QUOTED}|-(?!-)|/(?!\*)|[^'\"/\-]++)*+)(?:{_COMMENT})"
+_SKIP_TO_COMMENT = rf"\G((?:[^'\"/\-]++|{_STRING}|{_QUOTED}|-(?!-)|/(?!\*))*+)(?:{_COMMENT})"
 _SKIP_TO_LITERAL = (
-    rf"\G((?:{_QUOTED}|(?!{_CONSTANT}){_WORD}|\.(?!\p{{Nd}})|[^'\"\p{{Nd}}\p{{L}}.]++)*+)"
+    rf"\G((?:{_KEPT}|\.(?!\p{{Nd}})|{_QUOTED})*+)"
     rf"(?:{_STRING}|{_NUMBER}|{_CONSTANT})"
 )
 LITERAL = ":literal"
@@ -31,7 +47,7 @@ _OLD_COMMENT = r"(?s)--[^\n]*|/\*.*?(?:\*/|\z)"
 _OLD_NUMBER = r"(?:\p{Nd}|\.(?=\p{Nd}))[\p{Nd}.eE+\-]*+"
 _OLD_QUOTED = r'"(?:[^"\\]|\\.)*+'
 _OLD_SKIP = (
-    rf"\G((?:\"\"|(?!{_CONSTANT}){_WORD}|\.(?!\p{{Nd}})|[^'\"\p{{Nd}}\p{{L}}.]++)*+)"
+    rf"\G((?:{_KEPT}|\.(?!\p{{Nd}})|\"\")*+)"
     rf"(?:{_STRING}|{_OLD_NUMBER}|{_CONSTANT})"
 )
 
@@ -58,12 +74,13 @@ def mask_literals(text: Column, compat: bool = False) -> Column:
 
 
 # Every kind of Unicode white space.
-WHITESPACE = r"[\s\x0B\x1C-\x1F\x85\p{Z}]"
+WHITESPACE = "[" + _one_of(string.whitespace + "\x1c\x1d\x1e\x1f\x85") + r"\p{Z}]"
+_BLANKS = WHITESPACE + "++"
 
 
 def squash_ws(text: Column) -> Column:
     """Runs of whitespace become one space; ends trimmed."""
-    return F.trim(F.regexp_replace(text, WHITESPACE + "+", " "))
+    return F.trim(F.regexp_replace(text, _BLANKS, " "))
 
 
 def strip(text: Column) -> Column:
@@ -110,7 +127,7 @@ def view_body(ddl: Column) -> Column:
 def norm_name(name: Column) -> Column:
     """Lower case; runs of ``_``, ``-``, ``.`` and blanks become one space."""
     spaced = F.regexp_replace(strip(F.lower(name)), r"[_\-.]+", " ")
-    return F.regexp_replace(spaced, WHITESPACE + "+", " ")
+    return F.regexp_replace(spaced, _BLANKS, " ")
 
 
 def slug(name: Column, length: int = 255) -> Column:

@@ -28,8 +28,7 @@ def common_members(df: DataFrame, member: str, owner: str, owners: Sequence[str]
     pairs = rows.select(member, owner).filter(F.col(owner).isNotNull()).distinct()
     counts = pairs.groupBy(member).agg(F.count(F.lit(1)).alias("owner_count"))
     if owners is not None:
-        needed = df.sparkSession.range(1).select(F.lit(len(set(owners))).cast("bigint").alias("needed"))
-    else:
-        needed = pairs.agg(F.count_distinct(owner).alias("needed"))
-    # ``needed`` is a single row; the equality join broadcasts it.
+        return counts.filter(F.col("owner_count") == len(set(owners))).select(member)
+    # The number of owners is a single row, joined by equality.
+    needed = pairs.agg(F.count_distinct(owner).alias("needed"))
     return counts.join(needed, F.col("owner_count") == F.col("needed"), "left_semi").select(member)

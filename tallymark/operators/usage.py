@@ -15,7 +15,8 @@ HOURS_SAVED_PER_QUERY = 0.1
 def fingerprint(log: DataFrame, compat: bool = False) -> DataFrame:
     """The log with the fingerprint of each query's text; blank texts are skipped."""
     text = F.col("query_text")
-    return log.filter(F.trim(text) != "").withColumn("fingerprint", sql_fingerprint(text, compat))
+    # Never null, and said so: otherwise a join on it adds a null check that hashes every text a second time.
+    return log.filter(F.trim(text) != "").withColumn("fingerprint", F.coalesce(sql_fingerprint(text, compat), F.lit("")))
 
 
 def register(fingerprints: DataFrame) -> DataFrame:

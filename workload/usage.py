@@ -26,15 +26,20 @@ SELECT metric_name, metric_version, CAST(start_time AS DATE) AS usage_date, COUN
 FROM (SELECT {fingerprint_sql('query_text')} AS fingerprint, start_time FROM ({LOG_SQL})) l JOIN ({REGISTRY_SQL}) r ON l.fingerprint = r.fingerprint GROUP BY ALL"""
 
 
-def registry(t):
-    rows = query_log(t).filter("event_type <> 'error'").select(
+def _entries(rows):
+    return rows.select(
         sql_fingerprint(F.col("query_text")).alias("fingerprint"),
         F.concat(F.lit("events_"), "event_type").alias("metric_name"),
         F.when(F.col("event_type") == "view", "2.0").otherwise("1.0").alias("metric_version"),
         (F.col("event_type") == "signup").alias("deprecated"),
         F.col("start_time").alias("first_seen"),
     )
-    return U.register(rows)
+
+
+def registry(t):
+    """Queries of one event type differ by literals and comments only, so its newest text stands for all of them."""
+    newest = t.events.filter("event_type <> 'error'").groupBy("event_type").agg(F.max_by("event_id", "ts").alias("query_id"))
+    return U.register(_entries(query_log(t).join(newest.select("query_id"), "query_id", "left_semi")))
 
 
 def daily(t):
@@ -48,7 +53,7 @@ ORDER BY start_time DESC, query_id LIMIT 10000""")(
         query_log(t).select(F.col("query_id"), F.col("query_text").alias("QUERY_TEXT"), F.col("start_time").alias("START_TIME")), F.lit(NOW), days=30))
 book.add("l1_fingerprints", f"SELECT query_id, {fingerprint_sql('query_text')} AS fingerprint FROM ({LOG_SQL})")(
     lambda t: U.fingerprint(query_log(t)).select("query_id", "fingerprint"))
-book.add("l2_register", REGISTRY_SQL)(registry)
+book.add("l2_register", REGISTRY_SQL)(lambda t: U.register(_entries(query_log(t).filter("event_type <> 'error'"))))
 book.add("l3_match_usage", f"""
 SELECT metric_name, metric_version, CAST(start_time AS DATE) AS usage_date, r.fingerprint, deprecated
 FROM (SELECT {fingerprint_sql('query_text')} AS fingerprint, start_time FROM ({LOG_SQL})) l JOIN ({REGISTRY_SQL}) r ON l.fingerprint = r.fingerprint""")(
@@ -67,7 +72,8 @@ def l5_merge_into_table(t):
     path = scratch_path(t.spark, "usage")
     rows = daily(t)
     rows.repartition("usage_date").write.partitionBy("usage_date").parquet(path)
-    U.overwrite_touched_days(t.spark, path + "-staged", rows.filter("usage_date >= DATE '2024-01-15'"), path)
+    rows.filter("usage_date >= DATE '2024-01-15'").write.parquet(path + "-batch")
+    U.overwrite_touched_days(t.spark, path + "-staged", t.spark.read.parquet(path + "-batch"), path)
     return t.spark.read.parquet(path).select(*rows.columns)
 
 
