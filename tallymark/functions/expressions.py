@@ -9,10 +9,14 @@ GRANULARITIES = ("day", "week", "month", "quarter", "year")
 
 
 def truncate_time(column: Column, granularity: str) -> Column:
-    """Start of the day / week / month / quarter / year, as a zone-less timestamp."""
+    """Start of the day / week / month / quarter / year, as a zone-less timestamp.
+
+    Worked on dates, so zone-less times never pass through the session's time zone.
+    """
     if granularity not in GRANULARITIES:
         raise ValueError(f"granularity must be one of {GRANULARITIES}")
-    return F.date_trunc(granularity, column).cast("timestamp_ntz")
+    day = column.cast("date")
+    return (day if granularity == "day" else F.trunc(day, granularity)).cast("timestamp_ntz")
 
 
 def safe_div(numerator: Column, denominator: Column, on_zero: float | None = None, factor: float = 1.0) -> Column:

@@ -32,7 +32,7 @@ def add_window(df: DataFrame, measures: Sequence[str], keys: Sequence[str], time
         day = F.unix_date(F.col(time).cast("date")).cast("bigint")
         spec = Window.partitionBy(*keys).orderBy(day).rangeBetween(-(int(rolling.group(1)) - 1), 0)
     elif window in _TO_DATE:
-        start = F.date_trunc(_TO_DATE[window], F.col(time))
+        start = F.trunc(F.col(time).cast("date"), _TO_DATE[window])
         spec = Window.partitionBy(*keys, start).orderBy(time).rowsBetween(Window.unboundedPreceding, 0)
     else:
         raise ValueError(f"unknown window {window!r}")

@@ -208,3 +208,42 @@ def test_warning_free_active_metric(small):
     with warnings.catch_warnings():
         warnings.simplefilter("error")
         metric_query(small, "amount", [])
+
+
+def test_one_key_holds_a_third_of_all_rows(spark):
+    """The hot key is folded before the join, and no row is lost."""
+    facts = spark.range(30_000).select(
+        F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 5000).alias("k"), (F.col("id") % 10).cast("double").alias("v"))
+    parents = spark.range(5000).select(F.col("id").alias("k"), F.concat(F.lit("g"), F.col("id") % 4).alias("grp"))
+    r = Registry().add_entity("facts", facts).add_entity("parents", parents, ("k",)).add_edge("facts", "parents", "k", "k")
+    r.add_metric(Metric("total", "facts", Measure("total", "v", scale=1)), Metric("n", "facts", Measure("n", "*", "count")))
+    expected = {}
+    for i in range(30_000):
+        group = f"g{(7 if i % 3 == 0 else i % 5000) % 4}"
+        total, n = expected.get(group, (0.0, 0))
+        expected[group] = (total + i % 10, n + 1)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = metric_query(r, ["total", "n"], ["grp"])
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        got = {g: (t, n) for g, t, n in df.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10485760")
+    assert got == expected
+    assert plan.count("partial_sum") >= 2
+
+
+@pytest.mark.parametrize("zone", ["America/New_York", "Asia/Kolkata", "America/Sao_Paulo"])
+def test_time_does_not_depend_on_the_session_zone(spark, zone):
+    """Sao Paulo used to change its clocks at midnight, so 2017-10-15 00:00 does not exist there."""
+    from tallymark.functions.expressions import GRANULARITIES, truncate_time
+
+    df = spark.sql("SELECT TIMESTAMP_NTZ '2017-10-15 00:30:00' AS t UNION ALL SELECT TIMESTAMP_NTZ '2024-03-10 02:30:00'")
+    expected = [tuple(r) for r in df.select(*[truncate_time(F.col("t"), g) for g in GRANULARITIES]).collect()]
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        got = [tuple(r) for r in df.select(*[truncate_time(F.col("t"), g) for g in GRANULARITIES]).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert got == expected
+    assert str(got[0][0]) == "2017-10-15 00:00:00"
