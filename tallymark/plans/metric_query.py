@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 import warnings
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -413,6 +413,11 @@ def metric_query(
     names = [metrics] if isinstance(metrics, str) else list(dict.fromkeys(metrics))
     ordered = _dependency_order(registry, names)
     leaves = [m for m in ordered if _is_leaf(m)]
+    if joins:
+        # A metric kept on a mart outside the given path starts from the path's first table.
+        on_path = {s.child for s in joins} | {s.parent for s in joins}
+        moved = {m.name for m in leaves if m.entity not in on_path and registry.entity(m.entity).kind == "mart"}
+        leaves = [replace(m, entity=joins[0].child) if m.name in moved else m for m in leaves]
     base = leaves[0].entity
     joined = [s.parent for s in joins or ()]
 

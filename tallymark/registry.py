@@ -22,6 +22,7 @@ class Entity:
     key: tuple[str, ...] = ()
     grain: tuple[str, ...] = ()
     default_dimensions: tuple[str, ...] = ()
+    kind: str = "model"
 
     def has(self, column: str) -> bool:
         return column in self.frame.columns

@@ -247,3 +247,10 @@ def test_time_does_not_depend_on_the_session_zone(spark, zone):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     assert got == expected
     assert str(got[0][0]) == "2017-10-15 00:00:00"
+
+
+def test_mart_metric_starts_from_the_first_table_of_the_path(spark, small):
+    small.add_entity("revenue_mart", spark.createDataFrame([("north", 1.0)], "region string, revenue double"), kind="mart")
+    small.add_metric(Metric("mart_amount", "revenue_mart", Measure("mart_amount", "amount")))
+    joins = [JoinStep("orders", "customers", ("customer_id",), ("id",), "inner")]
+    assert rows(metric_query(small, "mart_amount", ["customers.region"], joins=joins)) == [("north", 12.0), ("south", 1.5)]
