@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallymark import And, Custom, Filter, JoinStep, Measure, Metric, Or, TimeDim, metric_query
+from tallymark import And, Custom, Filter, JoinStep, Metric, Or, TimeDim, metric_query
 from tallymark.functions.expressions import GRANULARITIES, case, safe_div, truncate_time
 from tallymark.operators import aggregates, joins, ordering, windows
 from tallymark.plans.metric_query import distinct_at, join_path
