@@ -23,6 +23,9 @@ import regex
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .ship import ship
 
 # Fixed value: how the byte-level pre-tokenizer splits a text into pieces.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -176,9 +179,9 @@ def encode_texts(docs: DataFrame, tokenizer: str, text_col: str = "text", block:
 
     ``tokenizer`` is a path that every executor can open. Columns with those names are replaced.
     """
+    ship(docs.sparkSession)
     kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("n_tokens", "ids", "decoded")])
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    result = "struct<n_tokens: long, ids: binary, decoded: string>"
     out_schema = pa.schema([("n_tokens", pa.int64()), ("ids", pa.binary()), ("decoded", pa.string())])
 
     def here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,12 +248,8 @@ def encode_texts(docs: DataFrame, tokenizer: str, text_col: str = "text", block:
             "ids": pa.array([_packed(ids)], pa.binary()), "decoded": pa.array([own.text_bytes(ids).decode("utf-8", "replace")], pa.string()),
         })
 
-    from pyspark.sql.types import _parse_datatype_string
-
-    added = _parse_datatype_string(result).fields
-    plain_schema = kept.schema
-    for field in added:
-        plain_schema = plain_schema.add(field)
+    added = [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())]
+    plain_schema = T.StructType(kept.schema.fields + added)
     short = kept.where(F.length(text) <= block).withColumn("__text", text).mapInArrow(here, plain_schema)
 
     long = kept.where(F.length(text) > block).withColumn("__row", F.monotonically_increasing_id())

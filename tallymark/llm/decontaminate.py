@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textbytes as tb
+from .ship import ship
 
 #: Bits of the first, inexact lookup.
 _BITS = 20
@@ -156,6 +157,7 @@ def find_contamination(
     window: int = 10, shingle: int = 4, block_windows: int = 200_000,
 ) -> DataFrame:
     """``docs`` (all columns) with ``hit_spans`` (word from, word to, ... from 0, merged), ``items`` (sorted), ``n_words``, ``n_hit``."""
+    ship(docs.sparkSession)
     spark = docs.sparkSession
     names = ("hit_spans", "items", "n_words", "n_hit")
     kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in names])
@@ -190,7 +192,8 @@ def find_contamination(
             index[q] = {"hashes": tokens, "begin": begin, "window": owner[chosen], "offset": offset[chosen], "most": int(np.diff(begin).max(initial=0))}
         shared = spark.sparkContext.broadcast({"tables": index, "windows": windows, "sizes": sizes, "owners": list(owners.values())})
         last = block == n_blocks - 1
-        schema = T.StructType(kept.schema.fields + ([] if last else [T.StructField("__text", T.StringType())]))
-        schema = schema.add("hit_spans", "array<long>").add("items", "array<string>")
-        state = state.mapInArrow(partial(_match, shared=shared, last=last), schema.add("n_words", "long").add("n_hit", "long") if last else schema)
+        fields = kept.schema.fields + ([] if last else [T.StructField("__text", T.StringType())])
+        fields += [T.StructField("hit_spans", T.ArrayType(T.LongType())), T.StructField("items", T.ArrayType(T.StringType()))]
+        fields += [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType())] if last else []
+        state = state.mapInArrow(partial(_match, shared=shared, last=last), T.StructType(fields))
     return state

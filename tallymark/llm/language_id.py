@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ship import ship
+
 #: Characters handled at once.
 _CHUNK = 1 << 19
 _FACTORS = tuple(np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D))
@@ -59,6 +61,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", bucke
     """Fit on all rows with a language. More than ``max_languages`` names raise, because the table is broadcast."""
     if buckets & (buckets - 1):
         raise ValueError("buckets must be a power of two")
+    ship(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
@@ -101,6 +104,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", bucke
 
 def predict(docs: DataFrame, model: dict, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
     """``docs`` with a language and its posterior; columns of these names are replaced."""
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("struct<lang string, score double>")

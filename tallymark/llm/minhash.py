@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 from . import textbytes as tb
 from .components import connected_components
+from .ship import ship
 
 _SEEDS = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _EMPTY = 0
@@ -43,7 +44,7 @@ def shingle_sets(data: np.ndarray, bounds: np.ndarray, n: int) -> Iterator[np.nd
             if b - a >= n:
                 yield np.unique(every[a : b - n + 1])
             elif b > a:
-                yield tb.mix(np.array([tb.sequence_hash(hashes[a:b]) + np.uint64(b - a)], np.uint64))
+                yield tb.mix(np.array([tb.sequence_hash(hashes[a:b])], np.uint64) + np.uint64(b - a))
             else:
                 yield np.zeros(0, np.uint64)
 
@@ -57,8 +58,9 @@ def set_name(tokens: np.ndarray) -> int:
     if not len(tokens):
         return _EMPTY
     spread = tb.mix(tokens)
-    name = np.uint64(np.sum(spread, dtype=np.uint64) ^ (np.bitwise_xor.reduce(tb.mix(spread)) * np.uint64(0x9E3779B97F4A7C15)))
-    return int(_signed(tb.mix(np.array([name + np.uint64(len(tokens))], np.uint64)))[0]) or 1
+    total = np.array([np.sum(spread, dtype=np.uint64)], np.uint64)
+    folded = np.array([np.bitwise_xor.reduce(tb.mix(spread))], np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return int(_signed(tb.mix((total ^ folded) + np.uint64(len(tokens))))[0]) or 1
 
 
 def minwise(tokens: np.ndarray, size: int) -> np.ndarray:
@@ -219,6 +221,7 @@ def near_duplicates(
     trees: int = 12, size: int = 64, small: int = 64, depth: int = 8,
 ) -> DataFrame:
     """One row per document: ``doc``, ``n`` (shingles), ``component`` (smallest doc of the component; the own one if alone)."""
+    ship(docs.sparkSession)
     texts = docs.select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{text_col}`").cast("string").alias("text"))
     marked = cut_lineage(texts.mapInArrow(partial(_signatures, n=words, size=size), f"doc {docs.schema[id_col].dataType.simpleString()}, name long, n long, marks binary"))
     classes = marked.where(F.col("n") > 0).groupBy("name").agg(F.first("n").alias("n"), F.first("marks").alias("marks"), F.min("doc").alias("doc"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language_id, minhash
+from . import bpe, decontaminate, language_id, minhash, url_filter, warc
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -52,13 +52,37 @@ def language(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", (bucket(5) == 0).alias("held_out"), "lang_pred", "score")
 
 
+def url_rules() -> list[url_filter.Rule]:
+    # The rules of the query.
+    placed = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
+    return [url_filter.place_rule(*r) for r in placed] + list(url_filter.DEFAULT_RULES)
+
+
+def url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages").select("page_id", "url")
+    found = url_filter.judge_urls(pages, url_filter.rule_table(spark, url_rules()))
+    return found.select("page_id", "host", "path", F.when(F.col("level") == 1, F.col("rule")).alias("rule"), "verdict")
+
+
+def warc_archive(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages").select("page_id", "url", "html")
+    kind = pages.schema["page_id"].dataType
+    found = warc.archive_pages(pages)
+    return found.select(F.col("page").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
+
+
 QUERIES = {
     "op1_bpe_encode_decode": bpe_encode,
     "op4_benchmark_decontamination": decontamination,
+    "op7_url_filters": url_filters,
+    "op8_warc": warc_archive,
     "op9_minhash_near_dedup": minhash_near_dedup,
     "op10_language_id": language,
 }
 
+_SITE_TEST = " OR ".join(
+    "regexp_matches(host || path, '{}')".format(url_filter.word_rule(*w).pattern) for w in url_filter.SITE_WORDS
+)
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 SQL = {
@@ -75,5 +99,24 @@ its AS (SELECT r, count(*) AS n, string_agg(item, ',' ORDER BY item) AS s FROM (
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n, 0) AS BIGINT) AS n_items,
        sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit USING (r) LEFT JOIN its USING (r)
+""",
+    "op7_url_filters": rf"""
+WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+           regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
+r AS (SELECT *, CASE WHEN (host = 'example.net' OR host LIKE '%.example.net') AND path LIKE '/en/%' THEN 'example.net/en/'
+                     WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/de/%' THEN 'example.com/de/'
+                     WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/fr/%' THEN 'org/fr/'
+                     WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/%' THEN 'net/' END AS rule FROM p)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+       WHEN {_SITE_TEST} THEN 'block' ELSE 'allow' END AS verdict FROM r
+""",
+    "op8_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha1(html) AS h FROM p),
+e AS (SELECT page_id, payload_bytes, h, min(page_id) OVER (PARTITION BY h) AS low FROM d),
+v AS (SELECT *, list_transform(range(8), lambda k: CAST('0x' || substr(h, CAST(1 + 5 * k AS INTEGER), 5) AS BIGINT)) AS g FROM e)
+SELECT page_id, payload_bytes, array_to_string(list_transform(g, lambda x: array_to_string(list_transform([15, 10, 5, 0],
+       lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((x >> s) & 31) AS INTEGER), 1)), '')), '') AS payload_digest,
+       CASE WHEN page_id = low THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> low THEN low END AS refers_to FROM v
 """,
 }
