@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language_id, minhash, url_filter, warc
+from . import bpe, decontaminate, language_id, line_dedup, minhash, suffix_array, url_filter, warc
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -28,6 +28,16 @@ def bpe_encode(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def line_dedup_query(spark: SparkSession, folder: str) -> DataFrame:
+    found = line_dedup.dedup_lines(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept_text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+def suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = suffix_array.remove_repeats(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def decontamination(spark: SparkSession, folder: str) -> DataFrame:
     docs, items = table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark")
     found = decontaminate.find_contamination(docs, items)
@@ -73,6 +83,8 @@ def warc_archive(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_bpe_encode_decode": bpe_encode,
+    "op2_line_dedup": line_dedup_query,
+    "op3_suffix_array_dedup": suffix_array_dedup,
     "op4_benchmark_decontamination": decontamination,
     "op7_url_filters": url_filters,
     "op8_warc": warc_archive,
@@ -86,6 +98,22 @@ _SITE_TEST = " OR ".join(
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 SQL = {
+    "op2_line_dedup": """
+WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS pos, unnest(string_split(text, chr(10))) AS line FROM documents),
+o AS (SELECT doc_id, pos, line, row_number() OVER (PARTITION BY line ORDER BY doc_id, pos) AS k FROM l WHERE trim(line, ' ') <> ''),
+f AS (SELECT doc_id, pos, line, length(line) AS n FROM o WHERE k = 1),
+h AS (SELECT *, unnest([n, n - 1]) AS m FROM f WHERE n >= 20),
+e AS (SELECT doc_id, pos, line, n, m, 'p' AS side, left(line, m // 2) AS half FROM h UNION ALL SELECT doc_id, pos, line, n, m, 's', right(line, m - m // 2) FROM h),
+c AS (SELECT DISTINCT a.doc_id, a.pos, a.line, b.line AS other FROM e a JOIN e b ON a.m = b.m AND a.side = b.side AND a.half = b.half AND (b.doc_id, b.pos) < (a.doc_id, a.pos)),
+s AS (SELECT *, CASE WHEN length(line) >= length(other) THEN line ELSE other END AS x, CASE WHEN length(line) >= length(other) THEN other ELSE line END AS y FROM c),
+g AS (SELECT DISTINCT doc_id, pos FROM s WHERE len(list_filter(range(1, length(x) + 1), lambda i: left(x, i - 1) = left(y, i - 1)
+      AND substr(x, i + 1) = substr(y, CASE WHEN length(x) = length(y) THEN i + 1 ELSE i END))) > 0),
+k AS (SELECT doc_id, pos FROM f EXCEPT SELECT doc_id, pos FROM g),
+r AS (SELECT l.doc_id, l.pos, l.line, trim(l.line, ' ') <> '' AS full_line, k.pos IS NOT NULL AS stays FROM l LEFT JOIN k ON l.doc_id = k.doc_id AND l.pos = k.pos)
+SELECT doc_id, CAST(count(*) FILTER (full_line) AS BIGINT) AS n_lines, CAST(count(*) FILTER (full_line AND NOT stays) AS BIGINT) AS n_removed,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (stays OR NOT full_line), '')) AS kept_sha256
+FROM r GROUP BY doc_id
+""",
     "op4_benchmark_decontamination": rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
