@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 from ..session import cut_lineage
 from . import textbytes as tb
 from .ship import ship
+from .staging import small_side, stored
 
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
@@ -107,11 +108,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     place = F.struct(F.col("__doc").alias("doc"), F.col("__pos").alias("pos"), F.col("__sig").alias("sig"))
     hashed = lines.select(F.xxhash64("__line").alias("h1"), F.xxhash64(F.lit(7), "__line").alias("h2"), place.alias("at"), halves.alias("halves"))
     firsts = hashed.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.first("halves").alias("halves")).select("at", "halves")
+    firsts = stored(firsts, "lines").withColumn("number", F.monotonically_increasing_id())
 
-    spread = firsts.where("halves is not null").select("at", F.explode("halves").alias("half"))
-    common = spread.groupBy("half").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("half")
-    near = spread.join(common, "half", "left_semi").select("at.*").distinct()
-    wanted = near.groupBy("doc", "sig").agg(F.collect_list("pos").alias("places"))
+    spread = firsts.where("halves is not null").select("number", F.explode("halves").alias("half"))
+    common = stored(spread.groupBy("half").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("half"), "halves")
+    near = stored(spread.join(small_side(common), "half", "left_semi").select("number").distinct(), "near")
+    near = firsts.join(small_side(near), "number", "left_semi").select("at.*")
+    wanted = small_side(stored(near.groupBy("doc", "sig").agg(F.collect_list("pos").alias("places")), "wanted"))
     same = lambda left: (left["__doc"].eqNullSafe(F.col("doc"))) & (left["__sig"] == F.col("sig"))
     found = texts.join(wanted, same(texts)).select("doc", "sig", F.split("__text", "\n").alias("all"), F.explode("places").alias("pos"))
     # Few lines are left here; their numbers stand for them below.

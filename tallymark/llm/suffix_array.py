@@ -24,9 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import cut_lineage, scratch_path
+from ..session import cut_lineage
 from . import textbytes as tb
 from .ship import ship
+from .staging import small_side, stored
 
 _PLACE_BITS = 20
 _MASK = np.uint64((1 << _PLACE_BITS) - 1)
@@ -227,13 +228,6 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _stored(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written to the shared folder and read again."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def remove_repeats(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 100, gram: int = 20, block_stretches: int = 512,
 ) -> DataFrame:
@@ -247,7 +241,7 @@ def remove_repeats(
     kind = docs.schema[id_col].dataType.simpleString()
     places = marked.select("__doc", "__sig", "__text").mapInArrow(partial(_emit, size=size, gram=gram), f"anchor long, stretch long, doc {kind}, place long")
     often = places.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
-    shared = _stored(places.join(often, "anchor", "left_semi"), "anchors")
+    shared = stored(places.join(often, "anchor", "left_semi"), "anchors")
 
     at = F.struct("doc", "place")
     firsts = shared.groupBy("anchor", "stretch").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n"))
@@ -264,6 +258,7 @@ def remove_repeats(
     shares = max(1, total.where("not hot").count() // 256)
     total = total.withColumn("block", F.when(F.col("hot"), F.col("block")).otherwise(F.pmod("block", F.lit(shares))))
     wanted = total.groupBy("doc", F.expr("place & 65535").alias("sig")).agg(F.collect_list(F.struct("place", "block", "hot")).alias("wanted"))
+    wanted = small_side(stored(wanted, "wanted"))
     match = F.col("__doc").eqNullSafe(F.col("doc")) & ((F.col("__sig").bitwiseAND(0xFFFF)) == F.col("sig"))
     texts = marked.select("__doc", "__sig", "__text")
     bodies = texts.join(wanted, match).select("__doc", "__text", "wanted")
@@ -272,7 +267,7 @@ def remove_repeats(
     def compare(block: pa.Table) -> pa.Table:
         return _compare(block, size)
 
-    judged = _stored(bodies.groupBy("hot", "block").applyInArrow(compare, f"doc {kind}, place long, start long, gone boolean, name long"), "strings")
+    judged = stored(bodies.groupBy("hot", "block").applyInArrow(compare, f"doc {kind}, place long, start long, gone boolean, name long"), "strings")
     # Strings of hot anchors: the first over all blocks stays.
     heads = judged.where("name is not null").select("name", F.struct("doc", "start", "place").alias("at"))
     least = heads.groupBy("name").agg(F.min("at").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("name", "least")
