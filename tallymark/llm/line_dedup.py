@@ -2,8 +2,9 @@
 
 Equal lines meet by two 64-bit hashes; texts of lines are not shuffled. Lines of at least ``min_chars`` characters are then
 compared within one edit by a deletion-neighbourhood join. Two such lines share a half (of the shorter one's length), so
-halves that no other line has drop nearly all lines first. The rest emit hashed keys: every one-deletion variant together
-with the place of the deletion (equal keys: one substitution apart), every variant alone and the line itself (equal keys of
+halves that no other line has drop nearly all lines first; likewise lines without one of ``BLOCKS`` blocks, which also
+tells where an edit can be. The rest emit hashed keys: every one-deletion variant within those blocks together with the
+place of the deletion (equal keys: one substitution apart), every variant alone and the line itself (equal keys of
 one and the other: one deletion apart). Groups of equal keys hold distinct lines, so they are bounded by the alphabet; each
 member is paired with the earliest only. Pairs are verified by edit distance; the earliest line stays.
 
@@ -23,41 +24,60 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import cut_lineage
 from . import textbytes as tb
 from .ship import ship
 from .staging import small_side, stored
 
+#: Parts of a line; an edit lies in one of them.
+BLOCKS = 8
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
-def _variants(codes: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Two hashes of the line without each character in turn, and of the line itself."""
-    n = len(codes)
-    cut, whole = [], []
-    for k, base in enumerate(_BASES):
-        value = tb.mix(codes.astype(np.uint64) + np.uint64(k << 32 | 1))
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(value * tb._power(base, n), dtype=np.uint64)))
-        rest = (sums[-1] - sums[1:]) * np.uint64(pow(base, -1, 2**64))
-        cut.append(tb.mix(sums[:-1] + rest))
-        whole.append(sums[-1])
-    return cut, tb.mix(np.array(whole, np.uint64))
+def _sums(codes: np.ndarray, k: int) -> np.ndarray:
+    """Hash of each prefix of a line, under the k-th function."""
+    value = tb.mix(codes.astype(np.uint64) + np.uint64(k << 32 | 1))
+    return np.concatenate((np.zeros(1, np.uint64), np.cumsum(value * tb._power(_BASES[k], len(codes)), dtype=np.uint64)))
 
 
-_SCHEMA = "v1 long, v2 long, role int, line long"
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32)
 
 
-def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keys of each line: role 0 the line, 1 a variant, 2 a variant with its place."""
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each line without one of ``BLOCKS`` blocks in turn, for its own length and one less: (key, line, block from, to)."""
     for batch in batches:
+        rows = []
         for line, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-            (one, two), whole = _variants(codes)
-            place = tb.mix(np.arange(1, len(codes) + 1, dtype=np.uint64))
+            codes = _codes(text)
+            n, sums = len(codes), _sums(codes, 0)
+            for m in (n, n - 1):
+                front = np.arange(0, m, -(-m // BLOCKS))
+                back = np.maximum(0, m - front - -(-m // BLOCKS))
+                rest = (sums[-1] - sums[n - back]) * tb._power(pow(_BASES[0], -1, 2**64), n + 1)[n - back]
+                keys = tb.mix(tb.mix(sums[front] + np.uint64(m)) + tb.mix(rest + front.astype(np.uint64)))
+                rows += zip(keys.view(np.int64).tolist(), [line] * len(keys), front.tolist(), (n - back).tolist(), strict=True)
+        columns = list(zip(*rows, strict=True)) or [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["key", "line", "low", "high"])
+
+
+def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keys of (line, text, blocks): role 0 the line, 1 a variant, 2 a variant with its place; of places within the blocks."""
+    for batch in batches:
+        for line, text, blocks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            codes = _codes(text)
+            inside = np.zeros(len(codes), bool)
+            for block in blocks:
+                inside[block["low"] : block["high"]] = True
+            place = np.flatnonzero(inside)
+            one, two = (
+                tb.mix(s[place] + (s[-1] - s[place + 1]) * np.uint64(pow(base, -1, 2**64))) for s, base in ((_sums(codes, k), b) for k, b in enumerate(_BASES))
+            )
+            whole = tb.mix(np.array([_sums(codes, k)[-1] for k in range(2)], np.uint64))
             alone = np.unique(one, return_index=True)[1]
-            v1 = np.concatenate((whole[:1], one[alone], tb.mix(one + place)))
-            v2 = np.concatenate((whole[1:], two[alone], tb.mix(two ^ place)))
-            role = np.concatenate((np.zeros(1, np.int32), np.ones(len(alone), np.int32), np.full(len(codes), 2, np.int32)))
+            spot = tb.mix(place.astype(np.uint64) + np.uint64(1))
+            v1 = np.concatenate((whole[:1], one[alone], tb.mix(one + spot)))
+            v2 = np.concatenate((whole[1:], two[alone], tb.mix(two ^ spot)))
+            role = np.concatenate((np.zeros(1, np.int32), np.ones(len(alone), np.int32), np.full(len(place), 2, np.int32)))
             for at in range(0, len(v1), 1 << 17):
                 part = slice(at, at + (1 << 17))
                 yield pa.RecordBatch.from_arrays(
@@ -117,18 +137,20 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     wanted = small_side(stored(near.groupBy("doc", "sig").agg(F.collect_list("pos").alias("places")), "wanted"))
     same = lambda left: (left["__doc"].eqNullSafe(F.col("doc"))) & (left["__sig"] == F.col("sig"))
     found = texts.join(wanted, same(texts)).select("doc", "sig", F.split("__text", "\n").alias("all"), F.explode("places").alias("pos"))
-    # Few lines are left here; their numbers stand for them below.
-    near = cut_lineage(found.select("doc", "pos", "sig", F.expr("all[pos]").alias("text")).dropDuplicates(["doc", "pos", "sig"]).withColumn("line", F.monotonically_increasing_id()))
-    order = F.struct("doc", "pos", "sig", "line")
-    keys = near.select("line", "text").mapInArrow(_emit, _SCHEMA)
-    member = keys.join(near.select("line", order.alias("at")), "line")
-    least = lambda role: F.min(F.when(F.col("role") == role, F.col("at"))).alias(f"m{role}")
-    groups = member.groupBy("v1", "v2").agg(F.count(F.lit(1)).alias("n"), least(0), least(1), least(2)).where("n > 1")
-    pairs = member.join(groups, ["v1", "v2"]).withColumn("other", F.expr("case role when 2 then m2 when 1 then m0 else m1 end"))
-    pairs = pairs.where("other < at").select("line", F.col("other.line").alias("other")).distinct()
-    left, right = near.select("line", "doc", "pos", "sig", "text"), near.select(F.col("line").alias("other"), F.col("text").alias("other_text"))
-    gone = pairs.join(left, "line").join(right, "other").where(F.levenshtein("text", "other_text", 1) >= 0)
-    gone = gone.select(F.col("doc").alias("g_doc"), F.col("pos").alias("g_pos"), F.col("sig").alias("g_sig")).distinct()
+    # Few lines are left here. They are numbered in the order of their places.
+    near = found.select("doc", "pos", "sig", F.expr("all[pos]").alias("text")).dropDuplicates(["doc", "pos", "sig"])
+    near = stored(near.repartitionByRange("doc", "pos", "sig").sortWithinPartitions("doc", "pos", "sig").withColumn("line", F.monotonically_increasing_id()), "near")
+    blocks = near.select("line", "text").mapInArrow(_blocks, "key long, line long, low long, high long")
+    common = blocks.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    touched = blocks.join(common, "key", "left_semi").groupBy("line").agg(F.collect_set(F.struct("low", "high")).alias("blocks"))
+    keys = near.select("line", "text").join(touched, "line").select("line", "text", "blocks").mapInArrow(_emit, "v1 long, v2 long, role int, line long")
+    least = lambda role: F.min(F.when(F.col("role") == role, F.col("line"))).alias(f"m{role}")
+    groups = keys.groupBy("v1", "v2").agg(F.count(F.lit(1)).alias("n"), least(0), least(1), least(2)).where("n > 1")
+    pairs = keys.join(groups, ["v1", "v2"]).withColumn("other", F.expr("case role when 2 then m2 when 1 then m0 else m1 end"))
+    pairs = pairs.where("other < line").select("line", "other").distinct()
+    right = near.select(F.col("line").alias("other"), F.col("text").alias("other_text"))
+    gone = pairs.join(near, "line").join(right, "other").where(F.levenshtein("text", "other_text", 1) >= 0)
+    gone = small_side(stored(gone.select(F.col("doc").alias("g_doc"), F.col("pos").alias("g_pos"), F.col("sig").alias("g_sig")).distinct(), "gone"))
 
     stays = firsts.select("at.*").join(gone, F.col("doc").eqNullSafe(F.col("g_doc")) & (F.col("pos") == F.col("g_pos")) & (F.col("sig") == F.col("g_sig")), "left_anti")
     stays = stays.groupBy("doc", "sig").agg(F.collect_list("pos").alias("stays"))
