@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language_id, line_dedup, minhash, suffix_array, url_filter, warc
+from . import bpe, decontaminate, language_id, line_dedup, minhash, projection_forest, suffix_array, toxicity, url_filter, warc
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -62,6 +62,18 @@ def language(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", (bucket(5) == 0).alias("held_out"), "lang_pred", "score")
 
 
+def toxic_documents(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    labels = table(spark, folder, "labels").select("doc_id", "toxic").where(bucket(4) != 2)
+    found = toxicity.score(docs, toxicity.train(docs, labels))
+    return found.select("doc_id", (bucket(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = projection_forest.near_vectors(table(spark, folder, "embeddings").select("vec_id", "embedding"))
+    return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))
+
+
 def url_rules() -> list[url_filter.Rule]:
     # The rules of the query.
     placed = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
@@ -86,6 +98,8 @@ QUERIES = {
     "op2_line_dedup": line_dedup_query,
     "op3_suffix_array_dedup": suffix_array_dedup,
     "op4_benchmark_decontamination": decontamination,
+    "op5_toxicity": toxic_documents,
+    "op6_embedding_near_dedup": embedding_near_dedup,
     "op7_url_filters": url_filters,
     "op8_warc": warc_archive,
     "op9_minhash_near_dedup": minhash_near_dedup,
