@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .ship import ship
 
 #: Characters handled at once.
-_CHUNK = 1 << 19
+_CHUNK = 1 << 17
 _FACTORS = tuple(np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D))
 
 

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes worked on at once; temporary arrays take about sixty times as much.
-PIECE = 1 << 19
+PIECE = 1 << 17
 
 _rng = np.random.default_rng(20240607)
 _VALUE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)

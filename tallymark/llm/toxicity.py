@@ -30,7 +30,7 @@ from .ship import ship
 _WORD = re.compile(r"\w+")
 _PREFIXES = (4, 5, 6)
 _SPAN = 40
-_CACHE = 1 << 19
+_CACHE = 1 << 18
 
 
 def features(word: str) -> list[str]:
