@@ -137,7 +137,7 @@ def _candidates(classes: DataFrame, threshold: float, trees: int, size: int, sma
     schema = "name long, n long, tree int, path long"
     branch = partial(_branch, threshold=threshold, trees=trees, size=size)
     spread = (threshold * (1 - threshold) * size) ** 0.5
-    least, sure = threshold * size - 3.5 * spread, (threshold + (1 - threshold) * 0.6) * size
+    least, sure = threshold * size - 4 * spread, (threshold + (1 - threshold) * 0.6) * size
 
     def compared(pairs: DataFrame) -> DataFrame:
         left, right = (classes.select(F.col("name").alias(c), F.col("marks").alias(f"marks_{c}")) for c in "ab")
@@ -218,7 +218,7 @@ def _confirm(batches: Iterator[pa.RecordBatch], n: int, threshold: float) -> Ite
 
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: float = 0.75,
-    trees: int = 12, size: int = 64, small: int = 64, depth: int = 8,
+    trees: int = 20, size: int = 64, small: int = 64, depth: int = 8,
 ) -> DataFrame:
     """One row per document: ``doc``, ``n`` (shingles), ``component`` (smallest doc of the component; the own one if alone)."""
     ship(docs.sparkSession)
