@@ -4,11 +4,12 @@ Documents become sets of word shingles (hashed in 64 bits); equal sets form one
 a vector of minwise tokens. Independent trees branch it recursively: in a node, each coordinate is chosen with probability
 1 / (threshold * coordinates), decided by a hash of the node's path, and a child gathers the classes that agree on it.
 Two sets at the threshold keep together in one path on average at every level. Nodes of at most ``small`` classes compare
-all their members; larger ones branch on, as deep as ``depth``. What is still larger then holds near copies of each other: it
-is dealt into blocks of ``small``, all compared within, and every block's first member is compared with the node's first.
-Links are confirmed on full shingle sets, then united.
+all their members, on their minwise tokens first. Larger ones mostly hold near copies of each other: members are compared
+with the node's first, and what is linked so counts as one part, within which nothing is left to find. Larger nodes that
+still hold several parts branch on, as deep as ``depth``; what is larger even then is dealt into blocks, each compared
+within, and every member is compared with the node's first. Links are confirmed on full shingle sets, then united.
 
-The recall of a pair at the threshold is about 1 - 0.53 ** trees at depth two, more above it.
+The recall of a pair at the threshold is about 1 - 0.63 ** trees at three levels, more above it.
 
 Defined results: null or wordless texts have no shingles and link with nothing; a text of fewer words than a shingle is
 one shingle; equal sets always link; repeated doc_ids give one row each; a component is named by its smallest doc_id.
@@ -24,13 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
 from . import textbytes as tb
 from .components import connected_components
 from .ship import ship
+from .staging import small_side, stored
 
 _SEEDS = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _EMPTY = 0
+#: Levels that every class branches down before nodes are looked at.
+LEVELS = 3
 
 
 def shingle_sets(data: np.ndarray, bounds: np.ndarray, n: int) -> Iterator[np.ndarray]:
@@ -116,63 +119,91 @@ def _agreement(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((left == right).sum(1), pa.int64())], ["a", "b", "same"])
 
 
-def _pairs(nodes: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of different groups in nodes of bounded size, as far as the sizes of their sets allow."""
-    found = nodes.groupBy("path").agg(F.sort_array(F.collect_set(F.struct("n", "name", "part"))).alias("m"))
-    later = f"filter(slice(m, i + 2, size(m)), y -> x.n >= {threshold} * y.n and x.part <> y.part)"
-    pairs = f"flatten(transform(m, (x, i) -> transform({later}, y -> struct(least(x.name, y.name) as a, greatest(x.name, y.name) as b))))"
-    return found.select(F.explode(F.expr(pairs)).alias("p")).select("p.*")
+def _compare_node(table: pa.Table, size: int, least: float, threshold: float) -> pa.Table:
+    """All pairs of a small node's classes, but for those of one part, that may reach the threshold."""
+    name, part, n = (table.column(c).to_numpy() for c in ("name", "part", "n"))
+    marks = np.frombuffer(b"".join(table.column("marks").to_pylist()), np.uint32).reshape(-1, size)
+    i, j = np.triu_indices(len(name), 1)
+    fits = (part[i] != part[j]) & (np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j]))
+    i, j = i[fits], j[fits]
+    close = (marks[i] == marks[j]).sum(1) >= least
+    i, j = i[close], j[close]
+    return pa.table([pa.array(np.minimum(name[i], name[j])), pa.array(np.maximum(name[i], name[j]))], ["a", "b"])
 
 
 def _shared(nodes: DataFrame, parts: DataFrame | None) -> DataFrame:
-    """Nodes that hold more than one group, with their number of classes ``k``."""
-    if parts is not None:
-        nodes = nodes.drop("part").join(parts, "name", "left").withColumn("part", F.coalesce("part", "name"))
+    """Nodes (name, n, tree, path) that hold more than one part, with ``part`` and their number of classes ``k``."""
+    nodes = nodes.withColumn("part", F.col("name")) if parts is None else nodes.join(small_side(parts), "name", "left").withColumn("part", F.coalesce("part", "name"))
     sums = nodes.groupBy("path").agg(F.count(F.lit(1)).alias("k"), F.min("part").alias("low"), F.max("part").alias("high"))
-    return nodes.join(sums.where("low <> high").select("path", "k"), "path")
+    return stored(nodes.join(sums.where("low <> high").select("path", "k"), "path"), "nodes")
 
 
-def _candidates(classes: DataFrame, threshold: float, trees: int, size: int, small: int, depth: int) -> DataFrame:
-    """Pairs (a, b) of classes that share a node and whose minwise tokens do not speak against the threshold."""
+def _links(texts: DataFrame, classes: DataFrame, words: int, threshold: float, trees: int, size: int, small: int, depth: int) -> DataFrame:
+    """Confirmed links (a, b) of classes."""
     schema = "name long, n long, tree int, path long"
     branch = partial(_branch, threshold=threshold, trees=trees, size=size)
-    spread = (threshold * (1 - threshold) * size) ** 0.5
-    least, sure = threshold * size - 4 * spread, (threshold + (1 - threshold) * 0.6) * size
+    least = threshold * size - 4 * (threshold * (1 - threshold) * size) ** 0.5
+    marks = classes.select("name", "marks")
 
-    def compared(pairs: DataFrame) -> DataFrame:
-        left, right = (classes.select(F.col("name").alias(c), F.col("marks").alias(f"marks_{c}")) for c in "ab")
-        both = pairs.distinct().join(left, "a").join(right, "b").select("a", "b", "marks_a", "marks_b")
-        return both.mapInArrow(partial(_agreement, size=size), "a long, b long, same long").where(F.col("same") >= least)
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        return stored(_confirmed(texts, classes, stored(pairs.distinct(), "pairs"), words, threshold), "links")
+
+    def starred(nodes: DataFrame) -> DataFrame:
+        """Every member with its node's first, as far as sizes and minwise tokens allow."""
+        heads = nodes.groupBy("path").agg(F.min(F.struct("name", "n", "part")).alias("h"))
+        stars = nodes.join(heads, "path").where(f"part <> h.part and least(n, h.n) >= {threshold} * greatest(n, h.n)")
+        stars = stars.select(F.col("h.name").alias("a"), F.col("name").alias("b")).distinct()
+        both = stars.join(marks.toDF("a", "marks_a"), "a").join(marks.toDF("b", "marks_b"), "b").select("a", "b", "marks_a", "marks_b")
+        return both.mapInArrow(partial(_agreement, size=size), "a long, b long, same long").where(F.col("same") >= least).select("a", "b")
+
+    def compared(nodes: DataFrame) -> DataFrame:
+        def compare(table: pa.Table) -> pa.Table:
+            return _compare_node(table, size, least, threshold)
+
+        return nodes.join(marks, "name").select("path", "name", "part", "n", "marks").groupBy("path").applyInArrow(compare, "a long, b long")
 
     start = classes.select("name", "n", "marks", F.lit(None).cast("int").alias("tree"), F.lit(None).cast("long").alias("path"))
-    nodes = cut_lineage(_shared(start.mapInArrow(partial(branch, levels=2), schema).withColumn("part", F.col("name")), None))
-    found, parts, level = [], None, 2
-    # Large nodes: what surely belongs to the node's first class need not be compared within. Four trees are enough for that.
-    large = nodes.where((F.col("k") > small) & (F.col("tree") < 4))
-    if not large.isEmpty():
-        heads = large.groupBy("path").agg(F.min(F.struct("name", "n")).alias("h"))
-        stars = large.join(heads, "path").where(f"name <> h.name and least(n, h.n) >= {threshold} * greatest(n, h.n)")
-        stars = cut_lineage(compared(stars.select(F.col("h.name").alias("a"), F.col("name").alias("b"))))
-        found.append(stars.select("a", "b"))
-        parts = cut_lineage(connected_components(stars.where(F.col("same") >= sure)).select(F.col("id").alias("name"), F.col("root").alias("part")))
-        nodes = cut_lineage(_shared(nodes.drop("k"), parts))
+    nodes = _shared(start.mapInArrow(partial(branch, levels=LEVELS), schema), None)
+    links, parts, found = [], None, []
+    # Large nodes: what is linked with a node's first class is one part already, and is not compared within. A third of the trees first: they unite most.
+    for use in (trees // 3 + 1, trees):
+        large = nodes.where((F.col("k") > small) & (F.col("tree") < use))
+        if large.isEmpty():
+            continue
+        reps = large.groupBy("path", "part").agg(F.min(F.struct("name", "n")).alias("r")).select("path", "part", "r.*")
+        links.append(confirmed(starred(reps)))
+        parts = connected_components(reduce(DataFrame.union, links)).select(F.col("id").alias("name"), F.col("root").alias("part"))
+        parts = stored(parts, "parts")
+        nodes = _shared(nodes.drop("part", "k"), parts)
+    level = LEVELS
     while True:
-        found.append(compared(_pairs(nodes.where(F.col("k") <= small), threshold)).select("a", "b"))
+        found.append(compared(nodes.where(F.col("k") <= small)))
         nodes = nodes.where(F.col("k") > small)
         if level >= depth or nodes.isEmpty():
             break
         more = nodes.select("name", "tree", "path").join(classes, "name").select("name", "n", "marks", "tree", "path")
-        deeper = more.mapInArrow(partial(branch, levels=1), schema).distinct().withColumn("part", F.col("name"))
-        nodes = cut_lineage(_shared(deeper, parts))
+        nodes = _shared(more.mapInArrow(partial(branch, levels=1), schema).distinct(), parts)
         level += 1
-    # Still large: near copies. Blocks of about half the bound, and every member with the node's first.
+    # Still large: blocks of about half the bound, and every member with the node's first.
     dealt = nodes.withColumn("block", F.pmod(F.xxhash64("name", "path"), F.ceil(F.col("k") / (small / 2)).cast("long")))
-    head = dealt.groupBy("path").agg(F.min(F.struct("name", "n", "part")).alias("h"))
-    stars = dealt.join(head, "path").where(f"part <> h.part and least(n, h.n) >= {threshold} * greatest(n, h.n)")
-    stars = stars.select(F.least("name", "h.name").alias("a"), F.greatest("name", "h.name").alias("b"))
-    blocks = _pairs(dealt.select("n", "name", "part", F.xxhash64("path", "block").alias("path")), threshold)
-    found.append(compared(blocks.union(stars)).select("a", "b"))
-    return reduce(DataFrame.union, found).distinct()
+    found.append(compared(dealt.withColumn("path", F.xxhash64("path", "block"))))
+    found.append(starred(nodes))
+    links.append(confirmed(reduce(DataFrame.union, found)))
+    return reduce(DataFrame.union, links)
+
+
+def _confirmed(texts: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, threshold: float) -> DataFrame:
+    """The pairs whose full sets reach the threshold. The set of a pair's first class travels to the second."""
+    place = classes.select("name", "doc")
+    ends = pairs.select(F.col("a").alias("name")).union(pairs.select("b")).distinct()
+    needed = small_side(stored(place.join(ends, "name").select("doc").distinct(), "needed"))
+    texts = texts.join(needed, "doc", "left_semi")
+    order = F.row_number().over(Window.partitionBy("a").orderBy("b"))
+    lead = pairs.withColumn("share", F.floor(order / 256)).groupBy("a", "share").agg(F.collect_list("b").alias("partners")).withColumnRenamed("a", "name")
+    known = texts.join(lead.join(place, "name"), "doc").select("name", "partners", "text")
+    sent = known.mapInArrow(partial(_sets, n=words), "name long, other long, tokens binary")
+    checked = texts.join(sent.join(place, "name"), "doc").select("name", "other", "tokens", "text")
+    return checked.mapInArrow(partial(_confirm, n=words, threshold=threshold), "a long, b long").distinct()
 
 
 def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
@@ -223,17 +254,9 @@ def near_duplicates(
     """One row per document: ``doc``, ``n`` (shingles), ``component`` (smallest doc of the component; the own one if alone)."""
     ship(docs.sparkSession)
     texts = docs.select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    marked = cut_lineage(texts.mapInArrow(partial(_signatures, n=words, size=size), f"doc {docs.schema[id_col].dataType.simpleString()}, name long, n long, marks binary"))
+    marked = stored(texts.mapInArrow(partial(_signatures, n=words, size=size), f"doc {docs.schema[id_col].dataType.simpleString()}, name long, n long, marks binary"), "marks")
     classes = marked.where(F.col("n") > 0).groupBy("name").agg(F.first("n").alias("n"), F.first("marks").alias("marks"), F.min("doc").alias("doc"))
-    pairs = cut_lineage(_candidates(classes.select("name", "n", "marks"), threshold, trees, size, small, depth))
-    # The set of a pair's first class travels to the second; texts are shuffled once, by document.
-    order = F.row_number().over(Window.partitionBy("a").orderBy("b"))
-    lead = pairs.withColumn("share", F.floor(order / 256)).groupBy("a", "share").agg(F.collect_list("b").alias("partners")).withColumnRenamed("a", "name")
-    place = classes.select("name", "doc")
-    known = texts.join(lead.join(place, "name"), "doc").select("name", "partners", "text")
-    sent = known.mapInArrow(partial(_sets, n=words), "name long, other long, tokens binary")
-    checked = texts.join(sent.dropDuplicates(["name", "other"]).join(place, "name"), "doc").select("name", "other", "tokens", "text")
-    links = checked.mapInArrow(partial(_confirm, n=words, threshold=threshold), "a long, b long")
+    links = _links(texts, stored(classes, "classes"), words, threshold, trees, size, small, depth)
     roots = connected_components(links)
     named = marked.where(F.col("n") > 0).select("name", "doc").groupBy("name").agg(F.min("doc").alias("doc"))
     named = named.join(roots.withColumnRenamed("id", "name"), "name", "left").select("name", "doc", F.coalesce("root", "name").alias("root"))
