@@ -119,16 +119,31 @@ def _agreement(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((left == right).sum(1), pa.int64())], ["a", "b", "same"])
 
 
-def _compare_node(table: pa.Table, size: int, least: float, threshold: float) -> pa.Table:
+def _compare_node(table: pa.Table, size: int, least: float, sure: float, threshold: float) -> pa.Table:
     """All pairs of a small node's classes, but for those of one part, that may reach the threshold."""
     name, part, n = (table.column(c).to_numpy() for c in ("name", "part", "n"))
     marks = np.frombuffer(b"".join(table.column("marks").to_pylist()), np.uint32).reshape(-1, size)
     i, j = np.triu_indices(len(name), 1)
     fits = (part[i] != part[j]) & (np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j]))
     i, j = i[fits], j[fits]
-    close = (marks[i] == marks[j]).sum(1) >= least
+    same = (marks[i] == marks[j]).sum(1)
+    # Two classes that are surely linked with the most central one need no pair of their own.
+    central = np.zeros(len(name))
+    np.add.at(central, i, same)
+    np.add.at(central, j, same)
+    top = int(central.argmax())
+    surely = np.zeros(len(name), bool)
+    surely[np.concatenate((i[(j == top) & (same >= sure)], j[(i == top) & (same >= sure)]))] = True
+    close = (same >= least) & ~(surely[i] & surely[j])
     i, j = i[close], j[close]
-    return pa.table([pa.array(np.minimum(name[i], name[j])), pa.array(np.maximum(name[i], name[j]))], ["a", "b"])
+    return pa.table([pa.array(np.minimum(name[i], name[j])), pa.array(np.maximum(name[i], name[j])), pa.array(same[close], pa.int64())], ["a", "b", "same"])
+
+
+def _across(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """The pairs whose ends are in different parts."""
+    for end in ("a", "b"):
+        pairs = pairs.join(parts.select(F.col("name").alias(end), F.col("part").alias(f"part_{end}")), end, "left").withColumn(f"part_{end}", F.coalesce(f"part_{end}", end))
+    return pairs.where("part_a <> part_b").select("a", "b", "same")
 
 
 def _shared(nodes: DataFrame, parts: DataFrame | None) -> DataFrame:
@@ -142,11 +157,12 @@ def _links(texts: DataFrame, classes: DataFrame, words: int, threshold: float, t
     """Confirmed links (a, b) of classes."""
     schema = "name long, n long, tree int, path long"
     branch = partial(_branch, threshold=threshold, trees=trees, size=size)
-    least = threshold * size - 4 * (threshold * (1 - threshold) * size) ** 0.5
+    spread = (threshold * (1 - threshold) * size) ** 0.5
+    least, sure = threshold * size - 3.5 * spread, threshold * size + 2 * spread
     marks = classes.select("name", "marks")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        return stored(_confirmed(texts, classes, stored(pairs.distinct(), "pairs"), words, threshold), "links")
+        return stored(_confirmed(texts, classes, stored(pairs.select("a", "b").distinct(), "pairs"), words, threshold), "links")
 
     def starred(nodes: DataFrame) -> DataFrame:
         """Every member with its node's first, as far as sizes and minwise tokens allow."""
@@ -154,17 +170,22 @@ def _links(texts: DataFrame, classes: DataFrame, words: int, threshold: float, t
         stars = nodes.join(heads, "path").where(f"part <> h.part and least(n, h.n) >= {threshold} * greatest(n, h.n)")
         stars = stars.select(F.col("h.name").alias("a"), F.col("name").alias("b")).distinct()
         both = stars.join(marks.toDF("a", "marks_a"), "a").join(marks.toDF("b", "marks_b"), "b").select("a", "b", "marks_a", "marks_b")
-        return both.mapInArrow(partial(_agreement, size=size), "a long, b long, same long").where(F.col("same") >= least).select("a", "b")
+        return both.mapInArrow(partial(_agreement, size=size), "a long, b long, same long").where(F.col("same") >= least).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "same")
 
     def compared(nodes: DataFrame) -> DataFrame:
         def compare(table: pa.Table) -> pa.Table:
-            return _compare_node(table, size, least, threshold)
+            return _compare_node(table, size, least, sure, threshold)
 
-        return nodes.join(marks, "name").select("path", "name", "part", "n", "marks").groupBy("path").applyInArrow(compare, "a long, b long")
+        return nodes.join(marks, "name").select("path", "name", "part", "n", "marks").groupBy("path").applyInArrow(compare, "a long, b long, same long")
 
     start = classes.select("name", "n", "marks", F.lit(None).cast("int").alias("tree"), F.lit(None).cast("long").alias("path"))
     nodes = _shared(start.mapInArrow(partial(branch, levels=LEVELS), schema), None)
     links, parts, found = [], None, []
+
+    def united() -> DataFrame:
+        roots = connected_components(reduce(DataFrame.union, links))
+        return stored(roots.select(F.col("id").alias("name"), F.col("root").alias("part")), "parts")
+
     # Large nodes: what is linked with a node's first class is one part already, and is not compared within. A third of the trees first: they unite most.
     for use in (trees // 3 + 1, trees):
         large = nodes.where((F.col("k") > small) & (F.col("tree") < use))
@@ -172,8 +193,7 @@ def _links(texts: DataFrame, classes: DataFrame, words: int, threshold: float, t
             continue
         reps = large.groupBy("path", "part").agg(F.min(F.struct("name", "n")).alias("r")).select("path", "part", "r.*")
         links.append(confirmed(starred(reps)))
-        parts = connected_components(reduce(DataFrame.union, links)).select(F.col("id").alias("name"), F.col("root").alias("part"))
-        parts = stored(parts, "parts")
+        parts = united()
         nodes = _shared(nodes.drop("part", "k"), parts)
     level = LEVELS
     while True:
@@ -188,7 +208,15 @@ def _links(texts: DataFrame, classes: DataFrame, words: int, threshold: float, t
     dealt = nodes.withColumn("block", F.pmod(F.xxhash64("name", "path"), F.ceil(F.col("k") / (small / 2)).cast("long")))
     found.append(compared(dealt.withColumn("path", F.xxhash64("path", "block"))))
     found.append(starred(nodes))
-    links.append(confirmed(reduce(DataFrame.union, found)))
+    # Likely pairs first: each class with the partner that agrees most. What these unite needs no further pair.
+    pairs = stored(reduce(DataFrame.union, found).distinct(), "pairs")
+    for _ in range(2):
+        ends = pairs.union(pairs.select("b", "a", "same"))
+        best = ends.groupBy("a").agg(F.max(F.struct("same", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
+        best = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        links.append(confirmed(best))
+        pairs = stored(_across(pairs.join(best, ["a", "b"], "left_anti"), united()), "pairs")
+    links.append(confirmed(pairs))
     return reduce(DataFrame.union, links)
 
 
@@ -249,7 +277,7 @@ def _confirm(batches: Iterator[pa.RecordBatch], n: int, threshold: float) -> Ite
 
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: float = 0.75,
-    trees: int = 20, size: int = 64, small: int = 64, depth: int = 8,
+    trees: int = 20, size: int = 128, small: int = 64, depth: int = 8,
 ) -> DataFrame:
     """One row per document: ``doc``, ``n`` (shingles), ``component`` (smallest doc of the component; the own one if alone)."""
     ship(docs.sparkSession)
