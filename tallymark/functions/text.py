@@ -131,7 +131,10 @@ def norm_name(name: Column) -> Column:
 
 
 def slug(name: Column, length: int = 255) -> Column:
-    return F.substring(F.lower(F.regexp_replace(name, r"[^a-zA-Z0-9_]", "_")), 1, length)
+    """Lower-case name of letters, digits and ``_``; a name over ``length`` ends in a hash of the whole, so that names stay apart."""
+    full = F.lower(F.regexp_replace(name, r"[^a-zA-Z0-9_]", "_"))
+    short = F.concat(F.substring(full, 1, length - 17), F.lit("_"), F.substring(F.sha2(name.cast("binary"), 256), 1, 16))
+    return F.when(F.length(full) <= length, full).otherwise(short)
 
 
 # Text that marks an attempt to smuggle in a statement.
@@ -157,11 +160,11 @@ def is_identifier(name: Column, length: int = 255) -> Column:
     return (F.length(trimmed) <= length) & trimmed.rlike(r"^[a-zA-Z0-9_.]+$") & ~has_injection(trimmed)
 
 
-def clean_text(text: Column, length: int = 10_000, keep_newlines: bool = False) -> Column:
-    """Drop control characters and trim; NULL when the text is longer than ``length``."""
+def clean_text(text: Column, length: int | None = None, keep_newlines: bool = False) -> Column:
+    """Drop control characters and trim; with ``length``, NULL when the text is longer."""
     control = r"[\x00-\x08\x0B-\x0C\x0E-\x1F\x7F]" if keep_newlines else r"[\x00-\x1F\x7F]"
     cleaned = F.regexp_replace(text, control, "")
-    return F.when(F.length(text) <= length, strip(cleaned))
+    return strip(cleaned) if length is None else F.when(F.length(text) <= length, strip(cleaned))
 
 
 def fk_candidates(column: Column) -> Column:

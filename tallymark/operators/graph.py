@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..errors import INVALID_FILTER_VALUE, MetricError
 from ..session import cut_lineage
 from .joins import missing
 
@@ -51,7 +52,8 @@ def neighbors(edges: DataFrame, seed: DataFrame, depth: int = 1) -> DataFrame:
     Each hop is a semi join and a distinct: a node with very many edges only
     adds the nodes it leads to, never pairs.
     """
-    depth = max(1, min(depth, 3))
+    if not 1 <= depth <= 3:
+        raise MetricError(INVALID_FILTER_VALUE, f"depth {depth} is not in 1..3")
     # One walk reads the edges once per hop; more than one is worth keeping them.
     ends = edges.select("src", "dst")
     both = F.array(F.struct(F.col("src").alias("node"), F.col("dst").alias("other")), F.struct(F.col("dst").alias("node"), F.col("src").alias("other")))
@@ -76,13 +78,15 @@ def subgraph_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return inside.join(ends.withColumnRenamed("node", "dst"), "dst", "left_semi").select(*edges.columns)
 
 
-def reachable(edges: DataFrame, starts: DataFrame, max_hops: int = 32) -> DataFrame:
+def reachable(edges: DataFrame, starts: DataFrame, max_hops: int | None = None) -> DataFrame:
     """Everything each start reaches over child -> parent edges.
 
     ``edges``: child, parent and optionally provenance, fk, pk. ``starts``: column start.
     Gives start, node, hops, path (the smallest text among the shortest),
     path_count, all_explicit, join_keys. Only shortest paths are followed and one
-    row is kept per (start, node), so cycles end and rows stay linear.
+    row is kept per (start, node), so cycles end and rows stay linear. The walk ends when
+    nothing new is found; with ``max_hops`` it ends there, and raises if more would follow.
+    ``path_count`` stays at the largest bigint instead of overflowing.
     """
     has = set(edges.columns)
     provenance = F.col("provenance") if "provenance" in has else F.lit("explicit")
@@ -104,7 +108,9 @@ def reachable(edges: DataFrame, starts: DataFrame, max_hops: int = 32) -> DataFr
     )
     seen = frontier = cut_lineage(frontier)
     columns = seen.columns
-    for hop in range(1, max_hops + 1):
+    hop = 0
+    while True:
+        hop += 1
         step = frontier.join(links, frontier["node"] == links["child"])
         # One struct per (start, node): the smallest path brings its own flags along.
         candidate = F.struct(
@@ -114,17 +120,21 @@ def reachable(edges: DataFrame, starts: DataFrame, max_hops: int = 32) -> DataFr
         )
         found = (
             step.groupBy("start", F.col("parent").alias("node"))
-            .agg(F.min(candidate).alias("best"), F.sum("path_count").alias("path_count"))
+            .agg(F.min(candidate).alias("best"), F.coalesce(F.try_sum("path_count"), F.lit(2**63 - 1)).alias("path_count"))
             .select("start", "node", F.lit(hop).alias("hops"), "best.path", "path_count", "best.all_explicit", "best.join_keys")
         )
         frontier = cut_lineage(missing(found, seen, ["start", "node"]).select(*columns))
         if frontier.isEmpty():
             break
+        if max_hops is not None and hop > max_hops:
+            raise MetricError(INVALID_FILTER_VALUE, f"the walk goes on after {max_hops} hops")
         seen = seen.unionByName(frontier)
+        if hop % 16 == 0:
+            seen = cut_lineage(seen)
     return seen
 
 
-def shortest_path(edges: DataFrame, start: str, target: str | Sequence[str], max_hops: int = 32) -> DataFrame:
+def shortest_path(edges: DataFrame, start: str, target: str | Sequence[str], max_hops: int | None = None) -> DataFrame:
     """The shortest join path to a node (or to each of several), its keys, and whether it is the only one."""
     spark = edges.sparkSession
     starts = spark.range(1).select(F.lit(start).alias("start"))
@@ -136,7 +146,7 @@ def shortest_path(edges: DataFrame, start: str, target: str | Sequence[str], max
     )
 
 
-def joinable(edges: DataFrame, base: str, max_hops: int = 32) -> DataFrame:
+def joinable(edges: DataFrame, base: str, max_hops: int | None = None) -> DataFrame:
     """Tables that can be joined from ``base`` many-to-one, with the keys of every hop; edges without keys are dropped."""
     keyed = edges.filter("fk IS NOT NULL AND fk <> '' AND pk IS NOT NULL AND pk <> ''")
     starts = edges.sparkSession.range(1).select(F.lit(base).alias("start"))

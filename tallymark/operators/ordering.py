@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..errors import INVALID_FILTER_VALUE, MetricError
+
 # Result limits of the query surface.
 DEFAULT_LIMIT = 500
 SAMPLE_LIMIT = (20, 1, 1000)
@@ -16,8 +18,11 @@ PAGE_SIZE = (50, 1, 200)
 VALUE_SAMPLE = 50
 
 
-def clamp(value: int, low: int, high: int) -> int:
-    return max(low, min(value, high))
+def within(value: int, low: int, high: int) -> int:
+    """``value``, if it is in range; never another one than asked for."""
+    if not low <= value <= high:
+        raise MetricError(INVALID_FILTER_VALUE, f"{value} is not in {low}..{high}")
+    return value
 
 
 def sort(df: DataFrame, column: str, direction: str = "asc", tie: Sequence[str] = ()) -> DataFrame:
@@ -31,13 +36,13 @@ def top_n(df: DataFrame, by: str, n: int, tie: Sequence[str] = ()) -> DataFrame:
 
 def page(df: DataFrame, number: int, size: int, order: Sequence[str]) -> DataFrame:
     """Page ``number`` (from 1). Deep pages read everything before them: prefer ``page_after`` there."""
-    size = clamp(size, *PAGE_SIZE[1:])
+    size = within(size, *PAGE_SIZE[1:])
     return df.orderBy(*order).offset((max(number, 1) - 1) * size).limit(size)
 
 
 def page_after(df: DataFrame, last: Sequence, size: int, order: Sequence[str]) -> DataFrame:
     """The page after the row whose ``order`` columns equal ``last``; the cut reaches the scan."""
-    size = clamp(size, *PAGE_SIZE[1:])
+    size = within(size, *PAGE_SIZE[1:])
     beyond = []
     for i, column in enumerate(order):
         same = [F.col(c) == F.lit(v) for c, v in zip(order[:i], last[:i], strict=True)]

@@ -27,13 +27,17 @@ def register(fingerprints: DataFrame) -> DataFrame:
     return latest(fingerprints, ["fingerprint"], ["first_seen", "metric_name", "metric_version"])
 
 
-def match_usage(log: DataFrame, registry: DataFrame, now: Column | None = None, compat: bool = False) -> DataFrame:
-    """Log rows whose fingerprint is registered, with metric and usage date."""
+def _usage_day(log: DataFrame, now: Column | None) -> Column:
+    """Day of a log row. Without a time it is that of ``now``; without that either, null for times and today for texts."""
     when = F.col("start_time")
     if dict(log.dtypes)["start_time"] == "string":
-        day = usage_date(when, now if now is not None else F.current_date())
-    else:
-        day = F.coalesce(when.cast("date"), now.cast("date")) if now is not None else when.cast("date")
+        return usage_date(when, now if now is not None else F.current_date())
+    return F.coalesce(when.cast("date"), now.cast("date")) if now is not None else when.cast("date")
+
+
+def match_usage(log: DataFrame, registry: DataFrame, now: Column | None = None, compat: bool = False) -> DataFrame:
+    """Log rows whose fingerprint is registered, with metric and usage date."""
+    day = _usage_day(log, now)
     keyed = fingerprint(log, compat).select("fingerprint", day.alias("usage_date"))
     known = registry.select("fingerprint", "metric_name", "metric_version", "deprecated")
     return keyed.join(known, "fingerprint")
@@ -47,9 +51,7 @@ def daily_usage(log: DataFrame, registry: DataFrame, now: Column | None = None,
     """
     if fits_broadcast(registry):
         return usage_daily(match_usage(log, registry, now, compat))
-    when = F.col("start_time")
-    fallback = now if now is not None else F.current_date()
-    day = usage_date(when, fallback) if dict(log.dtypes)["start_time"] == "string" else F.coalesce(when.cast("date"), fallback.cast("date"))
+    day = _usage_day(log, now)
     counts = fingerprint(log, compat).groupBy("fingerprint", day.alias("usage_date")).agg(F.count(F.lit(1)).alias("n"))
     known = registry.select("fingerprint", "metric_name", "metric_version", "deprecated")
     return counts.join(known, "fingerprint").groupBy("metric_name", "metric_version", "usage_date").agg(

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -46,6 +47,13 @@ def _carry_between_chunks(df: DataFrame, keys: Sequence[str], chunk: str, carrie
     return per_chunk.select(*keys, chunk, F.last("__own", ignorenulls=True).over(before).alias("__carry"))
 
 
+def _join_null_safe(rows: DataFrame, carry: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Equi-join in which null keys and chunks meet each other."""
+    renamed = carry.select(*[F.col(c).alias(f"__carry_{i}") for i, c in enumerate(columns)], "__carry")
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__carry_{i}")) for i, c in enumerate(columns)])
+    return rows.join(renamed, same).drop(*[f"__carry_{i}" for i in range(len(columns))])
+
+
 def last_value(
     df: DataFrame, column: str, keys: Sequence[str], order: Sequence[str], chunk: Column, output: str
 ) -> DataFrame:
@@ -59,7 +67,7 @@ def last_value(
     inside = Window.partitionBy(*keys, "__chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = work.withColumn("__local", F.last(column, ignorenulls=True).over(inside))
     return (
-        local.join(carry, [*keys, "__chunk"])
+        _join_null_safe(local, carry, [*keys, "__chunk"])
         .withColumn(output, F.coalesce("__local", "__carry"))
         .drop("__chunk", "__local", "__carry")
     )
@@ -74,7 +82,7 @@ def with_previous_row(
     inside = Window.partitionBy(*keys, "__chunk").orderBy(*order)
     local = work.withColumn("__local", F.lag("__row").over(inside))
     return (
-        local.join(carry, [*keys, "__chunk"])
+        _join_null_safe(local, carry, [*keys, "__chunk"])
         .withColumn(output, F.coalesce("__local", "__carry"))
         .drop("__chunk", "__row", "__local", "__carry")
     )

@@ -102,7 +102,8 @@ def _measure_input(body: Measure) -> Column:
     else:
         value = F.expr(body.expr)
     if body.scale is not None and body.agg in ("sum", "avg"):
-        value = F.floor(value * F.lit(float(10**body.scale)) + F.lit(0.5))
+        # Whole numbers, summed as decimal(38,0): exact in any order, and out of reach of overflow.
+        value = F.round(value * F.lit(float(10**body.scale))).cast("decimal(28,0)")
     if body.where:
         value = F.when(free_predicate(body.where), value)
     return value
@@ -140,7 +141,7 @@ def _finish(metric: Metric) -> Column:
     if isinstance(body, Measure) and body.agg in ("sum", "avg"):
         total = F.col(f"{slot}_s")
         if body.scale is not None:
-            total = total / F.lit(float(10**body.scale))
+            total = total.cast("double") / F.lit(float(10**body.scale))
         if body.agg == "avg":
             total = F.try_divide(total, F.col(f"{slot}_n"))
         return total
@@ -202,7 +203,7 @@ def join_path(df: DataFrame, registry: Registry, steps: Sequence[Edge]) -> DataF
     return df
 
 
-def _aggregate_entity(req: _Request, name: str, leaves: Sequence[Metric], keep_all_groups: bool) -> DataFrame:
+def _aggregate_entity(req: _Request, name: str, leaves: Sequence[Metric], groups_of: str) -> DataFrame:
     registry = req.registry
     base = registry.entity(name)
     joined = [s.parent for s in req.joins or ()]
@@ -290,8 +291,9 @@ def _aggregate_entity(req: _Request, name: str, leaves: Sequence[Metric], keep_a
         if not same_filters and leaf.filters:
             column = F.when(F.col(f"{_slot(leaf.name)}_rows") > 0, column)
         results.append(column.alias(_slot(leaf.name)))
-    if not same_filters and not keep_all_groups:
-        df = df.filter(F.col(f"{_slot(leaves[0].name)}_rows") > 0)
+    if not same_filters and groups_of != "all":
+        shown = leaves if groups_of == "any" else leaves[:1]
+        df = df.filter(reduce(lambda a, b: a | b, [F.col(f"{_slot(leaf.name)}_rows") > 0 for leaf in shown]))
     return df.select(*labels, *results)
 
 
@@ -450,7 +452,11 @@ def metric_query(
         alone = leaf.filters if isinstance(leaf.body, Custom) else None
         by_entity.setdefault((leaf.entity, alone), []).append(leaf)
     plain = _is_leaf(registry.metric(names[0]))
-    frames = [_aggregate_entity(request, e, group, keep_all_groups=not plain) for (e, _), group in by_entity.items()]
+    # Only the pass of the first requested metric lets that metric decide which groups show.
+    frames = [
+        _aggregate_entity(request, e, group, "all" if not plain else "first" if group[0].name == names[0] else "any")
+        for (e, _), group in by_entity.items()
+    ]
     out = drill_across(frames, labels, null_safe)
 
     for metric in ordered:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.filters import Filter
-from ..operators.ordering import DEFAULT_LIMIT, SAMPLE_LIMIT, SAVED_LIMIT, clamp
+from ..operators.ordering import SAMPLE_LIMIT, SAVED_LIMIT, within
 from ..registry import Registry
 from .metric_query import TimeDim, metric_query
 
@@ -21,7 +22,12 @@ def _slug(text: str) -> str:
 
 
 def table_name(metric: str, dimensions: Sequence[str], prefix: str = "metric") -> str:
-    return f"{prefix}__{_slug(metric)}__{'_'.join(_slug(d) for d in sorted(dimensions))}"[:NAME_LENGTH]
+    """Name of a metric's table; a name that is too long ends in a hash of the whole, so that names stay apart."""
+    name = f"{prefix}__{_slug(metric)}__{'_'.join(_slug(d) for d in sorted(dimensions))}"
+    if len(name) <= NAME_LENGTH:
+        return name
+    full = "\0".join([prefix, metric, *sorted(dimensions)])
+    return f"{name[: NAME_LENGTH - 17]}_{hashlib.sha256(full.encode()).hexdigest()[:16]}"
 
 
 def view_name(metric: str, schema: str | None = None, version: str | None = None) -> str:
@@ -100,8 +106,8 @@ def export(df: DataFrame, path: str, fmt: str = "csv") -> None:
         raise ValueError("fmt is 'csv' or 'json'")
 
 
-def run_sql(spark: SparkSession, sql: str, limit: int | None = DEFAULT_LIMIT, args: Mapping | None = None) -> DataFrame:
-    """Run SQL text, with named parameters, and a row limit on the result."""
+def run_sql(spark: SparkSession, sql: str, limit: int | None = None, args: Mapping | None = None) -> DataFrame:
+    """Run SQL text, with named parameters; ``limit`` bounds the result, else the text alone decides."""
     df = spark.sql(sql.strip().rstrip(";"), args=dict(args or {}))
     return df if limit is None else df.limit(limit)
 
@@ -131,7 +137,7 @@ def run_saved(registry: Registry, saved: SavedQuery, filters: Sequence = (), lim
     """A saved query with more filters and, if given, another limit (1..10000)."""
     wanted = limit if limit is not None else saved.limit
     if wanted is not None:
-        wanted = clamp(wanted, *SAVED_LIMIT[1:])
+        wanted = within(wanted, *SAVED_LIMIT[1:])
     return metric_query(
         registry, list(saved.metrics), list(saved.dimensions), [*saved.filters, *filters],
         time=saved.time, limit=wanted, **saved.options,
@@ -140,4 +146,4 @@ def run_saved(registry: Registry, saved: SavedQuery, filters: Sequence = (), lim
 
 def sample_metric(registry: Registry, metric: str, limit: int = SAMPLE_LIMIT[0]) -> DataFrame:
     """A few rows of a metric at its default dimensions."""
-    return metric_query(registry, metric, None, limit=clamp(limit, *SAMPLE_LIMIT[1:]))
+    return metric_query(registry, metric, None, limit=within(limit, *SAMPLE_LIMIT[1:]))

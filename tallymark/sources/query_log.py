@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..errors import INVALID_FILTER_VALUE, MetricError
+
 MAX_DAYS = 7
 DEFAULT_LIMIT = 10_000
 
@@ -27,9 +29,10 @@ def normalize_log(df: DataFrame) -> DataFrame:
     return df.select(*[_any_spelling(df, n) for n in names])
 
 
-def read_query_log(df: DataFrame, now: Column, days: int = 7, limit: int | None = DEFAULT_LIMIT) -> DataFrame:
-    """The newest rows of the last ``days`` (1..7) with text. ``limit=None`` reads all of them."""
-    days = min(max(1, days), MAX_DAYS)
+def read_query_log(df: DataFrame, now: Column, days: int = 7, limit: int | None = None) -> DataFrame:
+    """Rows of the last ``days`` (1..7) with text; with ``limit``, the newest of them."""
+    if not 1 <= days <= MAX_DAYS:
+        raise MetricError(INVALID_FILTER_VALUE, f"days {days} is not in 1..{MAX_DAYS}")
     log = normalize_log(df)
     kind = log.schema["start_time"].dataType
     upto = now.cast(kind)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from ..operators.windows import latest
 
@@ -27,10 +26,10 @@ def state_rows(df: DataFrame, kind: str, project: str = "default", version: str
 
 def read_state(spark: SparkSession, path: str) -> DataFrame | None:
     """The store at ``path``, or None before its first write."""
-    try:
-        return spark.read.parquet(path).select(*STATE_COLUMNS)
-    except AnalysisException:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
         return None
+    return spark.read.parquet(path).select(*STATE_COLUMNS)
 
 
 def append_state(df: DataFrame, path: str, kind: str, project: str = "default") -> None:

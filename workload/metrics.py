@@ -173,6 +173,13 @@ WITH a AS (SELECT c_mktsegment, COUNT(*) AS n_orders FROM orders LEFT JOIN custo
 SELECT a.c_mktsegment, n_orders, n_events FROM a LEFT JOIN b ON a.c_mktsegment IS NOT DISTINCT FROM b.c_mktsegment""")(
     lambda t: ask(t, ["n_orders", "n_events"], ["c_mktsegment"], null_safe=True))
 
+_FILTERED_LEAF = """
+WITH a AS (SELECT c_custkey, COUNT(*) AS accounts FROM customer GROUP BY ALL),
+     b AS (SELECT c_custkey, COUNT(*) AS n_orders, nullif(COUNT(*) FILTER (o_orderstatus = 'F'), 0) AS finished_orders FROM orders LEFT JOIN customer ON o_custkey = c_custkey GROUP BY ALL)
+SELECT a.c_custkey, accounts, finished_orders, n_orders FROM a LEFT JOIN b ON a.c_custkey = b.c_custkey"""
+book.add("j4_filtered_leaf_first", _FILTERED_LEAF)(lambda t: ask(t, ["accounts", "finished_orders", "n_orders"], ["c_custkey"]))
+book.add("j4_filtered_leaf_last", _FILTERED_LEAF)(lambda t: ask(t, ["accounts", "n_orders", "finished_orders"], ["c_custkey"]))
+
 book.add("j4_no_dimensions", f"""
 SELECT (SELECT COUNT(*) FROM orders) AS n_orders, (SELECT {REVENUE} FROM lineitem) AS revenue, (SELECT COUNT(*) FROM events) AS n_events""")(
     lambda t: ask(t, ["n_orders", "revenue", "n_events"], []))

@@ -158,7 +158,7 @@ def s12_export_json(t):
 @book.add("s13_run_sql", "SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY ALL ORDER BY n DESC, o_custkey LIMIT 500")
 def s13_run_sql(t):
     t.orders.createOrReplaceTempView("orders_for_sql")
-    return P.run_sql(t.spark, "SELECT o_custkey, count(*) AS n FROM orders_for_sql GROUP BY o_custkey ORDER BY n DESC, o_custkey;")
+    return P.run_sql(t.spark, "SELECT o_custkey, count(*) AS n FROM orders_for_sql GROUP BY o_custkey ORDER BY n DESC, o_custkey;", limit=500)
 
 
 # ---- versioned state ---------------------------------------------------------------------------

@@ -120,7 +120,7 @@ SELECT p_partkey, length(trim({_IDENT})) <= 255 AND regexp_matches(trim({_IDENT}
   regexp_matches({_IDENT}, '{_INJECTION}') AS has_injection FROM part""")(
     lambda t: t.part.select("p_partkey", X.is_identifier(F.expr(_IDENT)).alias("is_identifier"), X.has_injection(F.expr(_IDENT)).alias("has_injection")))
 book.add("x14_clean_text", f"""
-SELECT doc_id, CASE WHEN length(text) <= 10000 THEN {sql_strip("regexp_replace(text, '[\\x00-\\x1F\\x7F]', '', 'g')")} END AS body FROM documents""")(
+SELECT doc_id, {sql_strip("regexp_replace(text, '[\\x00-\\x1F\\x7F]', '', 'g')")} AS body FROM documents""")(
     lambda t: t.documents.select("doc_id", X.clean_text(F.col("text")).alias("body")))
 book.add("x15_slug", "SELECT p_partkey, substring(lower(regexp_replace(p_brand || ' ' || p_name, '[^a-zA-Z0-9_]', '_', 'g')), 1, 255) AS slug FROM part")(
     lambda t: t.part.select("p_partkey", X.slug(F.concat("p_brand", F.lit(" "), "p_name")).alias("slug")))

@@ -50,7 +50,7 @@ book.add("s9_read_query_log", f"""
 SELECT query_id, query_text, start_time FROM ({LOG_SQL}) WHERE start_time >= TIMESTAMP '{NOW}' - INTERVAL 7 DAY AND start_time <= TIMESTAMP '{NOW}' AND trim(query_text) <> ''
 ORDER BY start_time DESC, query_id LIMIT 10000""")(
     lambda t: read_query_log(
-        query_log(t).select(F.col("query_id"), F.col("query_text").alias("QUERY_TEXT"), F.col("start_time").alias("START_TIME")), F.lit(NOW), days=30))
+        query_log(t).select(F.col("query_id"), F.col("query_text").alias("QUERY_TEXT"), F.col("start_time").alias("START_TIME")), F.lit(NOW), days=7, limit=10_000))
 book.add("l1_fingerprints", f"SELECT query_id, {fingerprint_sql('query_text')} AS fingerprint FROM ({LOG_SQL})")(
     lambda t: U.fingerprint(query_log(t)).select("query_id", "fingerprint"))
 book.add("l2_register", REGISTRY_SQL)(lambda t: U.register(_entries(query_log(t).filter("event_type <> 'error'"))))
