@@ -155,38 +155,60 @@ def _cut(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatc
             yield pa.RecordBatch.from_pylist(rows, pa.schema([("block", pa.int64()), ("hot", pa.bool_()), ("doc", batch.schema.field(0).type), ("place", pa.int64()), ("body", pa.binary())]))
 
 
+def _repeated(bodies: list[bytes], size: int) -> list[tuple[int, int, bytes]]:
+    """Parts (stretch, from, bytes) of the stretches whose strings' hashes occur twice in the block; only those can be equal."""
+    joined = np.frombuffer(b"".join(bodies), np.uint8)
+    hashes = tb.windows(joined, size)
+    ends = np.cumsum([len(b) for b in bodies])
+    row = np.searchsorted(ends, np.arange(len(hashes)), side="right")
+    inside = np.arange(len(hashes)) + size <= ends[row]
+    _, which, counts = np.unique(hashes[inside], return_inverse=True, return_counts=True)
+    at = np.flatnonzero(inside)[counts[which] > 1]
+    if not len(at):
+        return []
+    first = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1] + 1) | (row[at[1:]] != row[at[:-1]]))))
+    last = np.append(first[1:], len(at)) - 1
+    begin = ends - [len(b) for b in bodies]
+    return [(int(row[p]), int(p - begin[row[p]]), joined[p : q + size].tobytes()) for p, q in zip(at[first].tolist(), at[last].tolist(), strict=True)]
+
+
 def _compare(table: pa.Table, size: int) -> pa.Table:
-    """Equal strings of one block: later ones as (doc, place, start), and of hot anchors every distinct string's first with its hash."""
-    order = table.sort_by([("doc", "ascending"), ("place", "ascending")])
-    docs, places, hot, bodies = (order.column(c).to_pylist() for c in ("doc", "place", "hot", "body"))
+    """Equal strings of one block: runs of later ones as (doc, place, start, last), and of hot anchors every distinct string's first with its hash."""
+    docs, places, bodies = (table.column(c).to_pylist() for c in ("doc", "place", "body"))
+    hot = table.column("hot")[0].as_py()
+    parts = [(k, 0, body) for k, body in enumerate(bodies)] if hot else _repeated(bodies, size)
     text: list[int] = []
     owner: list[int] = []
     begin = []
-    for k, body in enumerate(bodies):
+    for k, (_, _, body) in enumerate(parts):
         begin.append(len(text))
         text += [c + 2 for c in body]
         text.append(1)
         owner += [k] * (len(body) + 1)
-    joined = b"\0".join(bodies) + b"\0"
-    # Within the block the order of stretches is the order of places, but null ids stand last there; they come first.
-    rank = {k: (docs[k] is not None, docs[k], places[k] >> 24) for k in range(len(docs))}
+    joined = b"\0".join(x[2] for x in parts) + b"\0"
     found: list[tuple] = []
+    later: dict[int, list[int]] = {}
     run: list[int] = []
 
     def close() -> None:
-        if len(run) < 2 and not (run and hot[owner[run[0]]]):
+        if len(run) < (1 if hot else 2):
             return
-        stand = sorted((rank[owner[p]][:2], rank[owner[p]][2] + p - begin[owner[p]], p) for p in run)
+        stand = []
+        for p in run:
+            k, at, _ = parts[owner[p]]
+            stand.append(((docs[k] is not None, docs[k]), (places[k] >> 24) + at + p - begin[owner[p]], k))
+        stand.sort()
         least = stand[0][:2]
-        name = tb.windows(np.frombuffer(joined[run[0] : run[0] + size], np.uint8), size).view(np.int64)[0] if any(hot[owner[p]] for p in run) else None
+        name = tb.windows(np.frombuffer(joined[run[0] : run[0] + size], np.uint8), size).view(np.int64)[0] if hot else None
         for where in stand:
-            k = owner[where[2]]
-            if where[:2] != least or hot[k]:
-                found.append((docs[k], places[k], where[1], where[:2] != least, name if where[:2] == least and hot[k] else None))
+            if where[:2] != least:
+                later.setdefault(where[2], []).append(where[1])
+            elif hot:
+                found.append((docs[where[2]], places[where[2]], where[1], where[1], name))
 
     before = b""
-    for p in suffix_array(text):
-        if p - begin[owner[p]] + size > len(bodies[owner[p]]):
+    for p in suffix_array(text) if text else ():
+        if p - begin[owner[p]] + size > len(parts[owner[p]][2]):
             continue
         now = joined[p : p + size]
         if now != before:
@@ -194,9 +216,18 @@ def _compare(table: pa.Table, size: int) -> pa.Table:
             run, before = [], now
         run.append(p)
     close()
+    for k, starts in later.items():
+        starts.sort()
+        low = high = starts[0]
+        for start in [*starts[1:], None]:
+            if start is not None and start <= high + 1:
+                high = start
+                continue
+            found.append((docs[k], places[k], low, high, None))
+            low = high = start
     columns = list(zip(*found, strict=True)) or [()] * 5
-    kinds = (table.schema.field("doc").type, pa.int64(), pa.int64(), pa.bool_(), pa.int64())
-    return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc", "place", "start", "gone", "name"])
+    kinds = (table.schema.field("doc").type, pa.int64(), pa.int64(), pa.int64(), pa.int64())
+    return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc", "place", "start", "last", "name"])
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,13 +298,13 @@ def remove_repeats(
     def compare(block: pa.Table) -> pa.Table:
         return _compare(block, size)
 
-    judged = stored(bodies.groupBy("hot", "block").applyInArrow(compare, f"doc {kind}, place long, start long, gone boolean, name long"), "strings")
+    judged = stored(bodies.groupBy("hot", "block").applyInArrow(compare, f"doc {kind}, place long, start long, last long, name long"), "strings")
     # Strings of hot anchors: the first over all blocks stays.
     heads = judged.where("name is not null").select("name", F.struct("doc", "start", "place").alias("at"))
     least = heads.groupBy("name").agg(F.min("at").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("name", "least")
-    late = heads.join(least, "name").where("at.doc is distinct from least.doc or at.start <> least.start").select("at.doc", "at.place", "at.start")
-    gone = judged.where("gone").select("doc", "place", "start").union(late)
-    spans = spans.union(gone.select("doc", F.expr("place & 65535").alias("sig"), F.col("start").alias("a"), (F.col("start") + size).alias("b")))
+    late = heads.join(least, "name").where("at.doc is distinct from least.doc or at.start <> least.start").select("at.doc", "at.place", "at.start", "at.start")
+    gone = judged.where("name is null").select("doc", "place", "start", "last").union(late)
+    spans = spans.union(gone.select("doc", F.expr("place & 65535").alias("sig"), F.col("start").alias("a"), (F.col("last") + size).alias("b")))
 
     by_doc = spans.groupBy("doc", "sig").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     joined = marked.join(by_doc, match, "left").select(*[F.col(f"`{c}`") for c in rest.columns], F.coalesce("__text", F.lit("")).alias("__text"), by_doc["spans"].alias("__spans"))
