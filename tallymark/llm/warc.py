@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage, scratch_path
 from .ship import ship
+from .staging import small_side, stored
 
 # Fixed values of the format.
 MAGIC = "WARC/1.1\r\n"
@@ -51,7 +52,7 @@ def write_archive(
         F.coalesce(F.col(f"`{payload_col}`").cast("string"), F.lit("")).alias("payload"),
     )
     bodies = rows.withColumn("digest", base32_sha1(F.col("payload").cast("binary"))).withColumn("size", F.octet_length("payload"))
-    again = revisits(bodies.select("page", "digest", "size"), min_bytes).alias("r")
+    again = small_side(stored(revisits(bodies.select("page", "digest", "size"), min_bytes), "revisits")).alias("r")
     same = F.col("b.page").eqNullSafe(F.col("r.page")) & (F.col("b.digest") == F.col("r.digest"))
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
 
