@@ -155,28 +155,48 @@ def _cut(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatc
             yield pa.RecordBatch.from_pylist(rows, pa.schema([("block", pa.int64()), ("hot", pa.bool_()), ("doc", batch.schema.field(0).type), ("place", pa.int64()), ("body", pa.binary())]))
 
 
-def _repeated(bodies: list[bytes], size: int) -> list[tuple[int, int, bytes]]:
-    """Parts (stretch, from, bytes) of the stretches whose strings' hashes occur twice in the block; only those can be equal."""
+def _repeated(bodies: list[bytes], size: int) -> tuple[list[tuple[int, int, bytes]], np.ndarray, np.ndarray, np.ndarray]:
+    """Parts (stretch, from, bytes) of the stretches whose strings' hashes occur twice in the block; only those can be equal.
+
+    Also the strings that occur once: stretch, start and hash.
+    """
     joined = np.frombuffer(b"".join(bodies), np.uint8)
     hashes = tb.windows(joined, size)
     ends = np.cumsum([len(b) for b in bodies])
     row = np.searchsorted(ends, np.arange(len(hashes)), side="right")
     inside = np.arange(len(hashes)) + size <= ends[row]
     _, which, counts = np.unique(hashes[inside], return_inverse=True, return_counts=True)
-    at = np.flatnonzero(inside)[counts[which] > 1]
+    every, begin = np.flatnonzero(inside), ends - [len(b) for b in bodies]
+    at, alone = every[counts[which] > 1], every[counts[which] == 1]
+    single = row[alone], alone - begin[row[alone]], hashes[alone].view(np.int64)
     if not len(at):
-        return []
+        return [], *single
     first = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1] + 1) | (row[at[1:]] != row[at[:-1]]))))
     last = np.append(first[1:], len(at)) - 1
-    begin = ends - [len(b) for b in bodies]
-    return [(int(row[p]), int(p - begin[row[p]]), joined[p : q + size].tobytes()) for p, q in zip(at[first].tolist(), at[last].tolist(), strict=True)]
+    return [(int(row[p]), int(p - begin[row[p]]), joined[p : q + size].tobytes()) for p, q in zip(at[first].tolist(), at[last].tolist(), strict=True)], *single
 
 
 def _compare(table: pa.Table, size: int) -> pa.Table:
     """Equal strings of one block: runs of later ones as (doc, place, start, last), and of hot anchors every distinct string's first with its hash."""
     docs, places, bodies = (table.column(c).to_pylist() for c in ("doc", "place", "body"))
     hot = table.column("hot")[0].as_py()
-    parts = [(k, 0, body) for k, body in enumerate(bodies)] if hot else _repeated(bodies, size)
+    repeated, *single = _repeated(bodies, size)
+    found: list[tuple] = []
+    if hot:
+        for k, at, name in zip(*(x.tolist() for x in single), strict=True):
+            found.append((docs[k], places[k], (places[k] >> 24) + at, (places[k] >> 24) + at, name))
+    # Parts that equal an earlier one go whole, as stretches do; each distinct part is sorted once.
+    same: dict[bytes, list[tuple]] = {}
+    for k, at, body in repeated:
+        same.setdefault(body, []).append(((docs[k] is not None, docs[k]), (places[k] >> 24) + at, k, at))
+    parts = []
+    for body, stand in same.items():
+        stand.sort()
+        for where in stand:
+            if where[:2] == stand[0][:2]:
+                parts.append((where[2], where[3], body))
+            else:
+                found.append((docs[where[2]], places[where[2]], where[1], where[1] + len(body) - size, None))
     text: list[int] = []
     owner: list[int] = []
     begin = []
@@ -186,7 +206,6 @@ def _compare(table: pa.Table, size: int) -> pa.Table:
         text.append(1)
         owner += [k] * (len(body) + 1)
     joined = b"\0".join(x[2] for x in parts) + b"\0"
-    found: list[tuple] = []
     later: dict[int, list[int]] = {}
     run: list[int] = []
 
