@@ -187,3 +187,65 @@ def test_empty_tables(spark, n):
     assert line_dedup.dedup_lines(docs).count() == n
     assert suffix_array.remove_repeats(docs).count() == n
     assert bpe.encode_texts(docs, tokenizer_path()).count() == n
+
+
+def plain_pipeline(docs, items):
+    """All five stages, row by row: (doc_id, ids) of what stays."""
+    live = [(k, t) for k, t in docs if t is not None and any(c.isalpha() for c in t)]
+    seen, fresh = [], []
+    for k, text in live:
+        lines, kept = text.split("\n"), []
+        for line in lines:
+            full = bool(line.strip(" "))
+            if not (full and any(line == old or (min(len(line), len(old)) >= 20 and distance_one(line, old)) for old in seen)):
+                kept.append(line)
+            if full:
+                seen.append(line)
+        if any(x.strip(" ") for x in kept):
+            fresh.append((k, "\n".join(kept)))
+    sets, root = {}, {}
+    for k, text in fresh:
+        words = re.findall(r"[^\x20\x09-\x0D]+", text.translate(LOWER))
+        sets[k], root[k] = {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}, k
+    for a in sets:
+        for b in sets:
+            if a < b and root[a] != root[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                low, high = sorted((root[a], root[b]))
+                root = {k: low if r == high else r for k, r in root.items()}
+    cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.translate(LOWER))
+    bad = set()
+    for text in items:
+        words = cut(text or "")
+        n = min(10, len(words))
+        bad |= {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} if n else set()
+    clean = []
+    for k, text in fresh:
+        words = cut(text)
+        if root[k] == k and not any(tuple(words[i : i + n]) in bad for n in {len(b) for b in bad} for i in range(len(words) - n + 1)):
+            clean.append((k, text))
+    own = Tokenizer.from_file(tokenizer_path())
+    return [(k, own.encode(text, add_special_tokens=False).ids) for k, text in clean]
+
+
+def test_pipeline_against_plain_stages(spark):
+    import corpus_pipeline
+
+    rng = random.Random(6)
+    base = sentences(21, 16, 60)
+    texts = [None, "", "123 ...", *base]
+    for text in base[:6]:
+        words = text.split(" ")
+        words[rng.randrange(60)] = "replaced"
+        texts.append(" ".join(words))
+    texts += [base[6], base[7] + "\n" + base[8][:-1] + "\nown line " + base[9][:90], base[10][:-1] + "Z", "short\n\nshort"]
+    passage = base[11] + " tail"
+    items = [passage, None, "...", "Tiny item", " ".join(sentences(22, 1, 14))]
+    texts += ["before it a TINY, item and more words after", items[4] + " x" * 3, " ".join(items[4].split(" ")[:9]) + " y z"]
+    folder = scratch_path(spark, "pipeline")
+    rows = [(k, t, "l1" if k % 2 else "l2", "s", len(t or ""), k) for k, t in enumerate(texts)]
+    kinds = "doc_id long, text string, lang string, source string, n_chars long, n_words long"
+    spark.createDataFrame(rows, kinds).repartition(3).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    got = [(r["doc_id"], np.frombuffer(r["ids"], "<u4").tolist()) for r in corpus_pipeline.run(spark, folder).orderBy("doc_id").collect()]
+    want = plain_pipeline(list(enumerate(texts)), items)
+    assert 15 < len(want) < len(texts) - 8 and got == want
