@@ -40,54 +40,87 @@ def check_fk(child: DataFrame, fk: Sequence[str], parent: DataFrame, pk: Sequenc
     return missing(keys, parent, fk, pk)
 
 
-def _chained_names(columns: Sequence[str]) -> tuple[str, ...]:
-    return tuple(dict.fromkeys(columns))
-
-
-def grain_candidates(registry: Registry, name: str, declared: Sequence[str] = ()) -> list[tuple[tuple[str, ...], str]]:
-    """Column sets that may be the grain of an entity, each with the reason, first reason kept."""
-    entity = registry.entity(name)
-    found: list[tuple[tuple[str, ...], str]] = []
-    if declared or entity.grain:
-        found.append((tuple(declared or entity.grain), "declared grain"))
-    if entity.key:
-        found.append((entity.key, "entity primary key"))
-    for edge in registry.edges:
-        if edge.parent == name:
-            child_key = registry.entity(edge.child).key
-            if entity.key and child_key:
-                found.append((_chained_names((*entity.key, *child_key)), f"one-to-many to {edge.child}"))
-            elif entity.key and edge.fk:
-                found.append((_chained_names((*entity.key, *edge.fk)), f"child join via {','.join(edge.fk)}"))
-        elif edge.child == name and not entity.key and edge.fk:
-            found.append((edge.fk, f"foreign key to {edge.parent}"))
-    unique: dict[tuple[str, ...], str] = {}
-    for columns, reason in found:
-        unique.setdefault(columns, reason)
-    return list(unique.items())
+_KEYS = "entity string, role string, columns array<string>"
+_LINKS = "child string, parent string, fk array<string>, pk array<string>"
+
+
+def grain_candidates(keys: DataFrame, links: DataFrame) -> DataFrame:
+    """Column sets that may tell an entity's rows apart: (entity, columns, reason, link).
+
+    ``keys``: entity, role (``declared`` or ``key``), columns. ``links``: child, parent, fk, pk. Besides its own column sets,
+    an entity with a key has one per link that reaches it (``link`` is set: they live on the join with the child), and an
+    entity without one has its foreign keys. Of equal column sets the own one stays, then the first by name of the link.
+    """
+    link = F.struct("child", "parent", "fk", "pk")
+    known = keys.where("role = 'key'").groupBy("entity").agg(F.min("columns").alias("key"))
+    spread = (
+        links.join(known.toDF("parent", "own"), "parent").join(known.toDF("child", "theirs"), "child", "left")
+        .select(
+            F.col("parent").alias("entity"), F.array_distinct(F.concat("own", F.coalesce("theirs", "fk"))).alias("columns"),
+            F.concat(F.lit("rows of "), "child").alias("reason"), link.alias("link"), F.lit(2).alias("rank"),
+        )
+    )
+    borrowed = links.join(known.select(F.col("entity").alias("child")), "child", "left_anti").select(
+        F.col("child").alias("entity"), F.col("fk").alias("columns"), F.concat(F.lit("link to "), "parent").alias("reason"),
+        F.lit(None).cast(spread.schema["link"].dataType).alias("link"), F.lit(3).alias("rank"),
+    )
+    own = keys.select(
+        "entity", "columns", F.col("role").alias("reason"), F.lit(None).cast(spread.schema["link"].dataType).alias("link"),
+        F.when(F.col("role") == "declared", 0).otherwise(1).alias("rank"),
+    )
+    best = F.min(F.struct("rank", "reason", "link")).alias("best")
+    every = own.unionByName(spread).unionByName(borrowed).where(F.size("columns") > 0)
+    return every.groupBy("entity", "columns").agg(best).select("entity", "columns", "best.reason", "best.link")
+
+
+def _row_counts(registry: Registry, name: str, columns: Sequence[str], link: Edge | None) -> DataFrame:
+    """Rows per value of ``columns``, as column ``n``; across a link both sides are counted before they meet."""
+    one = F.count(F.lit(1))
+    if link is None:
+        return registry.entity(name).frame.groupBy(*columns).agg(one.alias("n"))
+    above, below = registry.entity(link.parent).frame, registry.entity(link.child).frame
+    mine = [c for c in columns if c in above.columns]
+    theirs = [c for c in columns if c not in mine]
+    up = above.select(*[F.col(c).alias(f"pk_{i}") for i, c in enumerate(link.pk)], *mine)
+    up = up.groupBy(*up.columns).agg(one.alias("n_up"))
+    down = below.select(*[F.col(c).alias(f"pk_{i}") for i, c in enumerate(link.fk)], *theirs)
+    down = down.groupBy(*down.columns).agg(one.alias("n_down"))
+    met = up.join(down, [f"pk_{i}" for i in range(len(link.pk))])
+    return met.groupBy(*columns).agg(F.sum(F.col("n_up") * F.col("n_down")).alias("n"))
 
 
 def measure_grain(registry: Registry, name: str, declared: Sequence[str] = ()) -> DataFrame:
-    """Each grain candidate that lies on the entity itself, with its duplicate groups counted on the data."""
-    entity = registry.entity(name)
+    """Each grain candidate with its duplicate groups counted on the data, those across a link on the joined rows.
+
+    The candidates come to the driver: as many as the entity has links in the registry, independent of the data.
+    A candidate that names a column neither side has is an error.
+    """
+    spark = registry.entity(name).frame.sparkSession
+    entities = {name, *(e.child for e in registry.edges if e.parent == name)}
+    keys = [(n, "key", list(registry.entity(n).key)) for n in sorted(entities)]
+    keys.append((name, "declared", list(declared or registry.entity(name).grain)))
+    near = [(e.child, e.parent, list(e.fk), list(e.pk)) for e in registry.edges if name in (e.child, e.parent)]
+    candidates = grain_candidates(
+        spark.createDataFrame([k for k in keys if k[2]], _KEYS), spark.createDataFrame(near, _LINKS)
+    ).where(F.col("entity") == name)
     rows = []
-    for columns, reason in grain_candidates(registry, name, declared):
-        if not all(entity.has(c) for c in columns):
-            continue
-        counts = entity.frame.groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
+    for found in candidates.orderBy("reason", "columns").collect():
+        link = found["link"] and Edge(found["link"]["child"], name, tuple(found["link"]["fk"]), tuple(found["link"]["pk"]))
         rows.append(
-            counts.agg(
+            _row_counts(registry, name, found["columns"], link).agg(
                 F.coalesce(F.sum("n"), F.lit(0)).alias("row_count"),
                 F.count(F.lit(1)).alias("group_count"),
                 F.count(F.when(F.col("n") > 1, 1)).alias("duplicate_groups"),
             ).select(
                 F.lit(name).alias("entity"),
-                F.lit(",".join(columns)).alias("grain"),
-                F.lit(reason).alias("reason"),
+                F.lit(",".join(found["columns"])).alias("grain"),
+                F.lit(found["reason"]).alias("reason"),
                 "row_count", "group_count", "duplicate_groups",
                 (F.col("duplicate_groups") == 0).alias("is_grain"),
             )
         )
+    if not rows:
+        raise MetricError(errors.INCOMPATIBLE_GRAIN, f"{name} has no key, link or declared grain")
     return reduce(DataFrame.unionByName, rows)
 
 
@@ -202,11 +235,11 @@ def metric_safety(metrics: DataFrame, candidates: DataFrame) -> DataFrame:
         "metric", "model", "candidate_count",
         F.when(declared & F.col("aligned"), "safe").when(declared, "unsafe")
         .when(none, "unsafe").when(many, "unknown").otherwise("safe").alias("safety"),
-        F.when(declared & F.col("aligned"), "declared grain aligns with candidate")
-        .when(declared, "declared grain not aligned with inferred candidates")
-        .when(none, "no grain candidates inferred; aggregation safety unknown")
-        .when(many, "multiple grain candidates; choose explicit grain before aggregating")
-        .otherwise("uses inferred grain from entity primary key").alias("note"),
+        F.when(declared & F.col("aligned"), "declared_aligned")
+        .when(declared, "declared_differs")
+        .when(none, "no_candidate")
+        .when(many, "several_candidates")
+        .otherwise("single_candidate").alias("note"),
     )
 
 

@@ -185,7 +185,7 @@ def explain(subjects: DataFrame, terms: DataFrame, links: DataFrame) -> DataFram
     )
     text = F.when(F.col("own").isNotNull(), F.col("own.definition")).when(
         F.col("linked").isNotNull(),
-        F.concat(F.lit("This is linked to the glossary term '"), "linked.term", F.lit("'. "), "linked.definition"),
+        F.concat(F.lit("See "), "linked.term", F.lit(": "), "linked.definition"),
     )
     return rows.select(
         "subject",

@@ -42,17 +42,18 @@ def q3_all_links(t):
     return out
 
 
-def _measured(table: str, columns: str, reason: str) -> str:
-    return f"""SELECT '{table}' AS entity, '{columns}' AS grain, '{reason}' AS reason, CAST(SUM(n) AS BIGINT) AS row_count, COUNT(*) AS group_count,
+def _measured(table: str, columns: str, reason: str, entity: str | None = None) -> str:
+    return f"""SELECT '{entity or table}' AS entity, '{columns}' AS grain, '{reason}' AS reason, CAST(SUM(n) AS BIGINT) AS row_count, COUNT(*) AS group_count,
   COUNT(*) FILTER (n > 1) AS duplicate_groups, COUNT(*) FILTER (n > 1) = 0 AS is_grain FROM (SELECT {columns}, COUNT(*) AS n FROM {table} GROUP BY {columns})"""
 
 
 book.add("q5_grain_of_lineitem", " UNION ALL ".join([
-    _measured("lineitem", "l_orderkey,l_linenumber", "declared grain"), _measured("lineitem", "l_orderkey", "foreign key to orders"),
-    _measured("lineitem", "l_partkey", "foreign key to part"), _measured("lineitem", "l_suppkey", "foreign key to supplier")]))(
+    _measured("lineitem", "l_orderkey,l_linenumber", "declared"), _measured("lineitem", "l_orderkey", "link to orders"),
+    _measured("lineitem", "l_partkey", "link to part"), _measured("lineitem", "l_suppkey", "link to supplier")]))(
     lambda t: Q.measure_grain(t.registry(), "lineitem", ("l_orderkey", "l_linenumber")))
 book.add("q5_grain_of_orders", " UNION ALL ".join([
-    _measured("orders", "o_custkey,o_orderdate", "declared grain"), _measured("orders", "o_orderkey", "entity primary key")]))(
+    _measured("orders", "o_custkey,o_orderdate", "declared"), _measured("orders", "o_orderkey", "key"),
+    _measured("orders JOIN lineitem ON o_orderkey = l_orderkey", "o_orderkey,l_orderkey", "rows of lineitem", "orders")]))(
     lambda t: Q.measure_grain(t.registry(), "orders", ("o_custkey", "o_orderdate")))
 
 
@@ -100,9 +101,9 @@ WITH m AS ({METRIC_GRAIN_SQL}), c AS ({CANDIDATE_SQL}), j AS (
   FROM m LEFT JOIN c ON m.model = c.model GROUP BY ALL)
 SELECT metric, model, candidate_count,
   CASE WHEN declared > 0 THEN CASE WHEN aligned THEN 'safe' ELSE 'unsafe' END WHEN candidate_count = 0 THEN 'unsafe' WHEN candidate_count > 1 THEN 'unknown' ELSE 'safe' END AS safety,
-  CASE WHEN declared > 0 THEN CASE WHEN aligned THEN 'declared grain aligns with candidate' ELSE 'declared grain not aligned with inferred candidates' END
-    WHEN candidate_count = 0 THEN 'no grain candidates inferred; aggregation safety unknown' WHEN candidate_count > 1 THEN 'multiple grain candidates; choose explicit grain before aggregating'
-    ELSE 'uses inferred grain from entity primary key' END AS note FROM j""")(
+  CASE WHEN declared > 0 THEN CASE WHEN aligned THEN 'declared_aligned' ELSE 'declared_differs' END
+    WHEN candidate_count = 0 THEN 'no_candidate' WHEN candidate_count > 1 THEN 'several_candidates'
+    ELSE 'single_candidate' END AS note FROM j""")(
     lambda t: Q.metric_safety(metric_grains(t), candidates(t)))
 
 _MODELS = """

@@ -113,7 +113,7 @@ FROM (SELECT n_name AS term FROM nation UNION SELECT r_name FROM region) LEFT JO
 book.add("c7_explain", """
 WITH s AS (SELECT c_name AS subject FROM customer UNION ALL SELECT n_name FROM nation), l AS (SELECT c_name AS subject, MIN((lower(n_name), n_name, 'Nation ' || n_regionkey)) AS k FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_nationkey % 2 = 0 GROUP BY ALL)
 SELECT s.subject, CASE WHEN n_name IS NOT NULL THEN 'explained' WHEN l.subject IS NOT NULL THEN 'partial' ELSE 'unexplained' END AS type,
-  CASE WHEN n_name IS NOT NULL THEN 'Nation ' || n_regionkey WHEN l.subject IS NOT NULL THEN 'This is linked to the glossary term ''' || k[2] || '''. ' || k[3] END AS explanation, coalesce(n_name, k[2]) AS source
+  CASE WHEN n_name IS NOT NULL THEN 'Nation ' || n_regionkey WHEN l.subject IS NOT NULL THEN 'See ' || k[2] || ': ' || k[3] END AS explanation, coalesce(n_name, k[2]) AS source
 FROM s LEFT JOIN (SELECT * FROM nation WHERE n_nationkey % 2 = 0) n ON lower(s.subject) = lower(n_name) LEFT JOIN l ON s.subject = l.subject""")(lambda t: C.explain(*_explained(t)))
 
 
