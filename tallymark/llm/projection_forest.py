@@ -1,8 +1,10 @@
 """Embedding near-duplicates by a forest of random-projection trees with spill overlap.
 
 Equal vectors form one class, so copies meet once. Trees are fitted on at most ``sample`` classes (those with the least
-hash): every node splits at the median of a random projection, and both children take the ``spill`` share around it. All
-classes go down all trees; classes in one leaf are compared by exact cosine in double precision. A leaf of more than
+hash): every node splits on a random projection, and both children take what is within ``spill`` of the cut by rank or, by
+distance, as near as linked vectors lie on a projection. Cuts are laid where few vectors are; a node that no cut thins out,
+as a group of near copies, is not split. There are ``trees`` trees or more, until test pairs at the threshold and linked pairs
+of the sample meet. All classes go down all trees; classes in one leaf are compared by exact cosine in double precision. A leaf of more than
 ``leaf_rows`` classes is compared block by block, so its work is spread and nothing is left out. Pairs are united over trees;
 components follow from the links.
 
@@ -25,6 +27,15 @@ from .components import connected_components
 from .ship import ship
 from .staging import stored
 
+#: Random directions tried for a node, and the quantiles at which each is cut.
+DIRECTIONS = 4
+CUTS = np.linspace(0.2, 0.8, 13)
+#: The share of a node's pairs that a split has to spare.
+SPARED = 0.15
+#: Pairs of either kind that measure a forest, and the share of them it may miss.
+PROBES = 2000
+MISSED = 0.001
+
 
 def _unit(column: pa.Array) -> list[np.ndarray]:
     found = []
@@ -35,15 +46,74 @@ def _unit(column: pa.Array) -> list[np.ndarray]:
     return found
 
 
-def _grow(vectors: np.ndarray, depth: int, spill: float, rng: np.random.Generator) -> list:
-    """(direction, low, high, left, right); points up to ``high`` go left, from ``low`` on right. A leaf is None."""
-    if depth == 0 or len(vectors) < 8:
+def _grow(vectors: np.ndarray, least: float, spill: float, margin: float, rng: np.random.Generator) -> list | None:
+    """(direction, low, high, left, right); points up to ``high`` go left, from ``low`` on right. A leaf is None.
+
+    Of some random directions and cuts, the one that leaves the fewest pairs to compare is taken; a node that none of them
+    spares ``SPARED`` of its pairs, as one of near copies, is a leaf.
+    """
+    count = len(vectors)
+    if count < 8 or count <= least:
         return None
-    direction = rng.standard_normal(vectors.shape[1])
-    at = vectors @ direction
-    low, high = np.quantile(at, (0.5 - spill, 0.5 + spill))
-    left, right = (_grow(vectors[m], depth - 1, spill, rng) for m in (at <= high, at >= low))
-    return [direction, float(low), float(high), left, right]
+    best = ((1 - SPARED) * count * count,)
+    for _ in range(DIRECTIONS):
+        direction = rng.standard_normal(vectors.shape[1])
+        direction /= np.sqrt(direction @ direction)
+        at = vectors @ direction
+        line = np.sort(at)
+        middle = np.quantile(line, CUTS)
+        low = np.minimum(np.quantile(line, CUTS - spill), middle - margin / 2)
+        high = np.maximum(np.quantile(line, CUTS + spill), middle + margin / 2)
+        pairs = np.searchsorted(line, high, "right").astype(float) ** 2 + (count - np.searchsorted(line, low)).astype(float) ** 2
+        k = int(pairs.argmin())
+        if pairs[k] < best[0]:
+            best = (pairs[k], direction, float(low[k]), float(high[k]), at)
+    if len(best) == 1:
+        return None
+    _, direction, low, high, at = best
+    left, right = (_grow(vectors[m], least, spill, margin, rng) for m in (at <= high, at >= low))
+    return [direction, low, high, left, right]
+
+
+def _meet(node: list | None, one: np.ndarray, two: np.ndarray, rows: np.ndarray, met: np.ndarray) -> None:
+    """Marks the rows whose two vectors come to a common leaf."""
+    if node is None or not len(rows):
+        met[rows] = True
+        return
+    a, b = one[rows] @ node[0], two[rows] @ node[0]
+    _meet(node[3], one, two, rows[(a <= node[2]) & (b <= node[2])], met)
+    _meet(node[4], one, two, rows[(a >= node[1]) & (b >= node[1])], met)
+
+
+def _probes(vectors: np.ndarray, threshold: float, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs to measure trees by: vectors with a made neighbour at the threshold, and some linked pairs of the sample."""
+    own = vectors[rng.permutation(len(vectors))[:PROBES]]
+    aside = rng.standard_normal(own.shape)
+    aside -= (aside * own).sum(1)[:, None] * own
+    aside /= np.maximum(np.sqrt((aside * aside).sum(1)), 1e-300)[:, None]
+    made = threshold * own + max(0.0, 1 - threshold * threshold) ** 0.5 * aside
+    i, j = np.nonzero(own @ vectors.T >= threshold)
+    some = rng.permutation(len(i))[:PROBES]
+    return np.vstack([own, own[i[some]]]), np.vstack([made, vectors[j[some]]])
+
+
+def _forest(vectors: np.ndarray, least: float, trees: int, spill: float, threshold: float, rng: np.random.Generator) -> list:
+    """At least ``trees`` trees, and more until all but ``MISSED`` of the probes meet in one of them.
+
+    The margin is the spread of a just linked pair along a random direction. Further trees double it: what has no cut then
+    is one leaf, so they end.
+    """
+    margin = (max(0.0, 2 - 2 * threshold) / vectors.shape[1]) ** 0.5
+    one, two = _probes(vectors, threshold, rng)
+    met, grown = np.zeros(len(one), bool), []
+    while len(grown) < trees or (~met).sum() > MISSED * len(met):
+        if grown and len(grown) % trees == 0:
+            margin *= 2
+        grown.append(_grow(vectors, least, spill, margin, rng))
+        if grown[-1] is None:
+            return [None]
+        _meet(grown[-1], one, two, np.flatnonzero(~met), met)
+    return grown
 
 
 def _descend(node: list | None, vectors: np.ndarray, rows: np.ndarray, path: int, out: list) -> None:
@@ -73,9 +143,9 @@ def near_vectors(
     units: dict[int, list[np.ndarray]] = {}
     for u in _unit(fitted):
         units.setdefault(len(u), []).append(u)
-    depth = max(0, int(np.ceil(np.log2(max(1, n) / leaf))))
     rng = np.random.default_rng(seed)
-    forest = {d: [_grow(np.array(x), depth, spill, rng) for _ in range(trees)] for d, x in units.items()}
+    least = leaf * min(1.0, sample / max(1, n))  # the sample's share of a leaf
+    forest = {d: _forest(np.array(x), least, trees, spill, threshold, rng) for d, x in units.items()}
     shared = spark.sparkContext.broadcast(forest)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

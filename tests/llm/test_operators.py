@@ -142,6 +142,20 @@ def test_forest_recall_and_odd_vectors(spark):
     assert all(got[k]["n_links"] == 0 and got[k]["component"] == k for k in range(440, 445))
 
 
+def test_forest_finds_the_links_of_a_dense_group(spark):
+    rng = np.random.default_rng(5)
+    vectors = rng.standard_normal((3000, 64))
+    vectors[:1000] = vectors[0] + 0.2 * rng.standard_normal((1000, 64))
+    vectors[1000:1200] = vectors[1200:1400] + 0.2 * rng.standard_normal((200, 64))
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    rng.shuffle(unit)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(unit)], "vec_id long, embedding array<double>")
+    got = {r["id"]: r["n_links"] for r in projection_forest.near_vectors(df).where("id % 50 = 0").collect()}
+    links = (unit[::50] @ unit.T >= 0.95).sum(1) - 1
+    found = np.array([got[k] for k in range(0, 3000, 50)])
+    assert links.sum() > 10_000 and (found <= links).all() and found.sum() >= 0.999 * links.sum()
+
+
 def test_url_rules(spark):
     rules = url_filter.rule_table(spark, [url_filter.place_rule("net/", "block"), url_filter.place_rule("example.net/en", "allow"), url_filter.word_rule("casino")])
     urls = [None, "no scheme", "http://A.Example.NET/en/1", "http://x.net/a", "http://x.net", "https://casino-x.org/", "https://mycasino.org/", "http://Example.net/english?x", "a://b.com/p://casino"]
