@@ -6,8 +6,8 @@ a vector of minwise tokens. Independent trees branch it recursively: in a node,
 Two sets at the threshold keep together in one path on average at every level. Nodes of at most ``small`` classes compare
 all their members, on their minwise tokens first. Larger ones mostly hold near copies of each other: members are compared
 with the node's first, and what is linked so counts as one part, within which nothing is left to find. Larger nodes that
-still hold several parts branch on, as deep as ``depth``; what is larger even then is dealt into blocks, each compared
-within, and every member is compared with the node's first. Links are confirmed on full shingle sets, then united.
+still hold several parts branch on, as deep as ``depth``; what is larger even then is dealt into blocks, and every block is compared
+with itself and each other. Links are confirmed on full shingle sets, then united.
 
 The recall of a pair at the threshold is about 1 - 0.63 ** trees at three levels, more above it.
 
@@ -34,6 +34,8 @@ _SEEDS = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64) | np.
 _EMPTY = 0
 #: Levels that every class branches down before nodes are looked at.
 LEVELS = 3
+#: Classes of a block, where nodes are compared by pairs of blocks.
+BLOCK = 512
 
 
 def shingle_sets(data: np.ndarray, bounds: np.ndarray, n: int) -> Iterator[np.ndarray]:
@@ -120,23 +122,41 @@ def _agreement(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Reco
 
 
 def _compare_node(table: pa.Table, size: int, least: float, sure: float, threshold: float) -> pa.Table:
-    """All pairs of a small node's classes, but for those of one part, that may reach the threshold."""
-    name, part, n = (table.column(c).to_numpy() for c in ("name", "part", "n"))
+    """All pairs of some classes, but for those of one part, that may reach the threshold; of two blocks, those across.
+
+    Where pairs of classes that agree surely with the most central one are left out, these classes follow with their ``path``.
+    """
+    name, part, n, block = (table.column(c).to_numpy() for c in ("name", "part", "n", "block"))
     marks = np.frombuffer(b"".join(table.column("marks").to_pylist()), np.uint32).reshape(-1, size)
-    i, j = np.triu_indices(len(name), 1)
-    fits = (part[i] != part[j]) & (np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j]))
-    i, j = i[fits], j[fits]
-    same = (marks[i] == marks[j]).sum(1)
-    # Two classes that are surely linked with the most central one need no pair of their own.
+    across = block.min() < block.max()
+    first, second, equal = [], [], []
+    step = max(1, (1 << 22) // (size * len(name)))
+    for at in range(0, len(name), step):
+        i, j = np.triu_indices(min(step, len(name) - at), 1 + at, len(name))
+        i = i + at
+        fits = (part[i] != part[j]) & (np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j]))
+        if across:
+            fits &= block[i] != block[j]
+        i, j = i[fits], j[fits]
+        first.append(i)
+        second.append(j)
+        equal.append((marks[i] == marks[j]).sum(1))
+    i, j, same = (np.concatenate(x) for x in (first, second, equal))
+    # Two classes that are surely linked with the most central one need no pair of their own, if those links hold.
     central = np.zeros(len(name))
     np.add.at(central, i, same)
     np.add.at(central, j, same)
     top = int(central.argmax())
     surely = np.zeros(len(name), bool)
     surely[np.concatenate((i[(j == top) & (same >= sure)], j[(i == top) & (same >= sure)]))] = True
-    close = (same >= least) & ~(surely[i] & surely[j])
-    i, j = i[close], j[close]
-    return pa.table([pa.array(np.minimum(name[i], name[j])), pa.array(np.maximum(name[i], name[j])), pa.array(same[close], pa.int64())], ["a", "b", "same"])
+    spared = (same >= least) & surely[i] & surely[j]
+    later = np.unique(np.concatenate((i[spared], j[spared])))
+    close = (same >= least) & ~spared
+    i, j, none = i[close], j[close], len(later)
+    ends = (np.concatenate((end(name[i], name[j]), name[later])) for end in (np.minimum, np.maximum))
+    same = pa.array([*same[close].tolist(), *[None] * none], pa.int64())
+    path = pa.array([*[None] * len(i), *[table.column("path")[0].as_py()] * none], pa.int64())
+    return pa.table([*(pa.array(x) for x in ends), same, path], ["a", "b", "same", "path"])
 
 
 def _across(pairs: DataFrame, parts: DataFrame) -> DataFrame:
@@ -172,11 +192,12 @@ def _links(texts: DataFrame, classes: DataFrame, words: int, threshold: float, t
         both = stars.join(marks.toDF("a", "marks_a"), "a").join(marks.toDF("b", "marks_b"), "b").select("a", "b", "marks_a", "marks_b")
         return both.mapInArrow(partial(_agreement, size=size), "a long, b long, same long").where(F.col("same") >= least).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "same")
 
-    def compared(nodes: DataFrame) -> DataFrame:
+    def compared(nodes: DataFrame, sure: float = sure) -> DataFrame:
         def compare(table: pa.Table) -> pa.Table:
             return _compare_node(table, size, least, sure, threshold)
 
-        return nodes.join(marks, "name").select("path", "name", "part", "n", "marks").groupBy("path").applyInArrow(compare, "a long, b long, same long")
+        nodes = nodes if "block" in nodes.columns else nodes.withColumn("block", F.lit(0))
+        return nodes.join(marks, "name").select("path", "name", "part", "n", "block", "marks").groupBy("path").applyInArrow(compare, "a long, b long, same long, path long")
 
     start = classes.select("name", "n", "marks", F.lit(None).cast("int").alias("tree"), F.lit(None).cast("long").alias("path"))
     nodes = _shared(start.mapInArrow(partial(branch, levels=LEVELS), schema), None)
@@ -204,12 +225,13 @@ def _links(texts: DataFrame, classes: DataFrame, words: int, threshold: float, t
         more = nodes.select("name", "tree", "path").join(classes, "name").select("name", "n", "marks", "tree", "path")
         nodes = _shared(more.mapInArrow(partial(branch, levels=1), schema).distinct(), parts)
         level += 1
-    # Still large: blocks of about half the bound, and every member with the node's first.
-    dealt = nodes.withColumn("block", F.pmod(F.xxhash64("name", "path"), F.ceil(F.col("k") / (small / 2)).cast("long")))
-    found.append(compared(dealt.withColumn("path", F.xxhash64("path", "block"))))
-    found.append(starred(nodes))
+    # Still large: all pairs of blocks.
+    dealt = nodes.withColumn("blocks", F.ceil(F.col("k") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("name", "path"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    found.append(compared(dealt.withColumn("path", F.xxhash64("path", F.least("block", "other"), F.greatest("block", "other")))))
+    found = stored(reduce(DataFrame.union, found).distinct(), "pairs")
+    tried = pairs = found.where("path is null").select("a", "b", "same")
     # Likely pairs first: each class with the partner that agrees most. What these unite needs no further pair.
-    pairs = stored(reduce(DataFrame.union, found).distinct(), "pairs")
     for _ in range(2):
         ends = pairs.union(pairs.select("b", "a", "same"))
         best = ends.groupBy("a").agg(F.max(F.struct("same", "b")).alias("m")).select("a", F.col("m.b").alias("b"))

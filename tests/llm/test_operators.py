@@ -127,6 +127,17 @@ def test_minhash_components_against_all_pairs(spark):
     assert minhash.near_duplicates(documents(spark, texts).limit(0)).count() == 0
 
 
+def test_minhash_pairs_within_a_template(spark):
+    names = iter(range(10**6))
+    fresh = lambda n: [f"w{next(names)}" for _ in range(n)]
+    common, texts = fresh(364), []
+    for _ in range(100):  # 0.72 with every other, 0.755 with the twin
+        twin = fresh(10)
+        texts += [" ".join(common + twin + fresh(60)) for _ in range(2)]
+    got = minhash.near_duplicates(documents(spark, texts), small=8, depth=3).collect()
+    assert {r["doc"]: r["component"] for r in got} == {k: k // 2 * 2 for k in range(200)}
+
+
 def test_forest_recall_and_odd_vectors(spark):
     rng = np.random.default_rng(3)
     base = rng.standard_normal((300, 16))
