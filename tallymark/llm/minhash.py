@@ -239,6 +239,12 @@ def _links(texts: DataFrame, classes: DataFrame, words: int, threshold: float, t
         links.append(confirmed(best))
         pairs = stored(_across(pairs.join(best, ["a", "b"], "left_anti"), united()), "pairs")
     links.append(confirmed(pairs))
+    # What was left out beside a central class, as far as it is in different parts now.
+    spared = found.where("path is not null").select(F.col("a").alias("name"), "path")
+    if not spared.isEmpty():
+        spared = _shared(spared.join(classes.select("name", "n"), "name"), united())
+        late = compared(spared, sure=size + 1).select("a", "b", "same").distinct()
+        links.append(confirmed(late.join(tried, ["a", "b"], "left_anti")))
     return reduce(DataFrame.union, links)
 
 

@@ -138,6 +138,23 @@ def test_minhash_pairs_within_a_template(spark):
     assert {r["doc"]: r["component"] for r in got} == {k: k // 2 * 2 for k in range(200)}
 
 
+def test_minhash_links_beside_a_central_class(spark):
+    words = [f"w{k}" for k in range(204)]
+    texts = [" ".join(words[:150]), *(" ".join([*words, f"x{k}"]) for k in range(3))]
+    marks = np.tile(np.arange(128, dtype=np.uint32), (4, 1))
+    for k in (1, 2, 3):  # estimates that are sure of the links to the first, which do not hold
+        marks[k, 8 * k : 8 * k + 8] += np.uint32(1000 * k)
+    data = [t.encode() for t in texts]
+    bounds = np.cumsum([0, *map(len, data)])
+    sets = list(minhash.shingle_sets(np.frombuffer(b"".join(data), np.uint8), bounds, 5))
+    rows = [(minhash.set_name(s), len(s), bytearray(m.tobytes()), k) for k, (s, m) in enumerate(zip(sets, marks, strict=True))]
+    classes = spark.createDataFrame([(a, 200, m, k) for a, _, m, k in rows], "name long, n long, marks binary, doc long")
+    pairs = documents(spark, texts).select(F.col("doc_id").alias("doc"), "text")
+    links = {(r["a"], r["b"]) for r in minhash._links(pairs, classes, 5, 0.75, 20, 128, 64, 8).collect()}
+    own = sorted(r[0] for r in rows[1:])
+    assert {x for link in links for x in link} == set(own)
+
+
 def test_forest_recall_and_odd_vectors(spark):
     rng = np.random.default_rng(3)
     base = rng.standard_normal((300, 16))
