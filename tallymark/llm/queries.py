@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language_id, line_dedup, minhash, projection_forest, suffix_array, toxicity, url_filter, warc
+from . import bpe, curriculum, decontaminate, filter_audit, language_id, line_dedup, minhash, projection_forest, source_divergence, suffix_array, toxicity, url_filter, warc
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -93,6 +93,23 @@ def warc_archive(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("page").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
 
 
+def filter_interaction_audit(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    found = filter_audit.audit(docs, table(spark, folder, "labels").select("doc_id", "quality", "toxic"))
+    return found.drop("letter")
+
+
+def source_divergence_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return source_divergence.audit(table(spark, folder, "documents").select("lang", "source", "text"))
+
+
+def mixing_to_weights(spark: SparkSession, folder: str) -> DataFrame:
+    mixed = curriculum.mix(table(spark, folder, "documents").select("doc_id", "text", "source"))
+    first = F.when(F.size("copies") > 0, F.element_at("copies", 1)["position"])
+    found = mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", first.alias("position"))
+    return found.orderBy(F.col("position").asc_nulls_last(), "doc_id")
+
+
 QUERIES = {
     "op1_bpe_encode_decode": bpe_encode,
     "op2_line_dedup": line_dedup_query,
@@ -104,6 +121,9 @@ QUERIES = {
     "op8_warc": warc_archive,
     "op9_minhash_near_dedup": minhash_near_dedup,
     "op10_language_id": language,
+    "op11_filter_interaction_audit": filter_interaction_audit,
+    "op12_source_divergence_audit": source_divergence_audit,
+    "op13_mixing_to_weights": mixing_to_weights,
 }
 
 _SITE_TEST = " OR ".join(
@@ -111,6 +131,23 @@ _SITE_TEST = " OR ".join(
 )
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+
+def _position_sql(schedule: curriculum.Schedule, share: str) -> str:
+    """``curriculum.position`` as SQL text."""
+    pieces = curriculum.segments(schedule)
+    t0, t1, a, b, before = pieces[-1]
+    total, found = float(before + (a + b) / 2 * (t1 - t0)), ""
+    for k, (t0, t1, a, b, before) in reversed(list(enumerate(pieces))):
+        left = f"greatest({share} * {total}::DOUBLE - {float(before)}::DOUBLE, 0::DOUBLE)"
+        root = f"sqrt(greatest({float(a * a)}::DOUBLE + {float(2 * (b - a) / (t1 - t0))}::DOUBLE * {left}, 0::DOUBLE))"
+        here = f"{float(t0)}::DOUBLE + CASE WHEN {left} <= 0 THEN 0 ELSE least(2 * {left} / ({float(a)}::DOUBLE + {root}), {float(t1 - t0)}::DOUBLE) END"
+        found = f"CASE WHEN {share} * {total}::DOUBLE < {float(pieces[k + 1][4])}::DOUBLE THEN {here} ELSE {found} END" if found else here
+    return found
+
+
+_POSITIONS = " ".join(f"WHEN {k} THEN {_position_sql(s, '(CAST(c AS DOUBLE) / take)')}" for k, s in enumerate(curriculum.SCHEDULES))
+
 SQL = {
     "op2_line_dedup": """
 WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS pos, unnest(string_split(text, chr(10))) AS line FROM documents),
@@ -160,5 +197,60 @@ v AS (SELECT *, list_transform(range(8), lambda k: CAST('0x' || substr(h, CAST(1
 SELECT page_id, payload_bytes, array_to_string(list_transform(g, lambda x: array_to_string(list_transform([15, 10, 5, 0],
        lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((x >> s) & 31) AS INTEGER), 1)), '')), '') AS payload_digest,
        CASE WHEN page_id = low THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> low THEN low END AS refers_to FROM v
+""",
+    "op11_filter_interaction_audit": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS part, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS low FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d),
+g AS (SELECT doc_id, max(CAST(coalesce(quality = 1, false) AS INTEGER)) AS good, max(CAST(coalesce(toxic = 1, false) AS INTEGER)) AS bad FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, 0) AS good, coalesce(bad, 0) AS bad, CAST(len(w) < 100 AS INTEGER) + 2 * CAST(100 * len(list_distinct(w)) < 80 * len(w) AS INTEGER)
+      + 4 * CAST(100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 10 * length(t) AS INTEGER) + 8 * CAST(regexp_matches(t, '[#$%&*|]') AS INTEGER)
+      + 16 * CAST(coalesce(low < w.doc_id, false) AS INTEGER) AS bits FROM w LEFT JOIN g ON w.doc_id = g.doc_id),
+c AS (SELECT part, bits, good, bad, count(*) AS n FROM f GROUP BY ALL),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM l a JOIN l b ON b.x <> a.x JOIN l c ON c.x NOT IN (a.x, b.x) JOIN l d ON d.x NOT IN (a.x, b.x, c.x) JOIN l e ON e.x NOT IN (a.x, b.x, c.x, d.x)),
+k AS (SELECT filter_order, unnest(range(1, 6)) AS step FROM o),
+s AS (SELECT filter_order, step, 1 << (ascii(substr(filter_order, CAST(step AS INTEGER), 1)) - 65) AS own,
+      CAST(list_sum(list_transform(range(1, step), lambda i: 1 << (ascii(substr(filter_order, CAST(i AS INTEGER), 1)) - 65))) AS INTEGER) AS before FROM k),
+r AS (SELECT part, filter_order, CAST(step AS INTEGER) AS step, own, sum(n) FILTER (bits & (own | coalesce(before, 0)) = 0) AS kept,
+      sum(n) FILTER (bits & own <> 0 AND bits & coalesce(before, 0) = 0) AS removed, sum(n) FILTER (bits & own <> 0 AND bits & coalesce(before, 0) <> 0) AS redundant,
+      sum(n) FILTER (bits = own) AS unique_fails, sum(n) FILTER (bits & own <> 0 AND bits & coalesce(before, 0) = 0 AND good = 1) AS good_lost,
+      sum(n) FILTER (bits & own <> 0 AND bits & coalesce(before, 0) = 0 AND bad = 1) AS toxic_lost FROM c CROSS JOIN s GROUP BY ALL)
+SELECT part, filter_order, step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(coalesce(redundant, 0) AS BIGINT) AS redundant,
+       CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails, CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+       CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM r
+""",
+    "op12_source_divergence_audit": r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT lang, source, r, unnest(w) AS term FROM d),
+k AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN k USING (lang, term) GROUP BY ALL),
+e AS (SELECT g.lang, g.source, k.term, coalesce(n, 0) AS n FROM g JOIN k ON g.lang = k.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+s AS (SELECT e.*, v, sum(n) OVER (PARTITION BY lang, source) AS total, sum(n) OVER (PARTITION BY lang, term) AS lang_n, sum(n) OVER (PARTITION BY lang) AS lang_total FROM e JOIN v USING (lang)),
+p AS (SELECT lang, source, term, n, 1 + (1000000000::HUGEINT * (n + 5)) // (total + 5 * v) AS p, 1 + (1000000000::HUGEINT * (lang_n + 5)) // (lang_total + 5 * v) AS q FROM s),
+f AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+x AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+      LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+      UNION ALL SELECT lang, source, 'term', term, CAST(p - q AS BIGINT) FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM x
+QUALIFY part = 'pair' OR rank <= 50
+""",
+    "op13_mixing_to_weights": rf"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+           CAST('0x' || substr(md5(concat(coalesce(CAST(doc_id AS VARCHAR), ''), ':', coalesce(text, ''))), 1, 15) AS BIGINT) AS k FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CAST(3 * sum(size) AS HUGEINT) AS most, CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INTEGER) AS kind FROM d GROUP BY source),
+w AS (SELECT *, [5, 2, 1][1 + kind] AS w, sum(source_size) OVER () AS words FROM s),
+o AS (SELECT *, row_number() OVER (ORDER BY most * (10 // w), source) AS ord FROM w),
+p AS (SELECT *, words - coalesce(sum(most) OVER (ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS num,
+             sum(w) OVER () - coalesce(sum(w) OVER (ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS den FROM o),
+l AS (SELECT min(ord) AS ord FROM p WHERE most * den > w * num),
+f AS (SELECT p.source, p.source_size, p.kind, CASE WHEN coalesce(p.ord < l.ord, true) THEN CAST(p.most AS DOUBLE) ELSE CAST(p.w * x.num AS DOUBLE) / CAST(x.den AS DOUBLE) END AS target,
+             CASE WHEN coalesce(p.ord < l.ord, true) THEN p.most ELSE (2 * p.w * x.num + x.den) // (2 * x.den) END AS take FROM p CROSS JOIN l LEFT JOIN p x ON x.ord = l.ord),
+r AS (SELECT d.*, f.* EXCLUDE (source), coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c
+      FROM d JOIN f ON d.source IS NOT DISTINCT FROM f.source)
+SELECT doc_id, size, source_size, target, CAST(greatest(0, least(size, take - c)) + greatest(0, least(size, take - c - source_size)) + greatest(0, least(size, take - c - 2 * source_size)) AS BIGINT) AS taken,
+       CASE WHEN size > 0 AND c < take THEN CASE kind {_POSITIONS} END END AS position FROM r
 """,
 }
