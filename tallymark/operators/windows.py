@@ -11,7 +11,7 @@ import re
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 _TO_DATE = {"ytd": "year", "qtd": "quarter", "mtd": "month"}
@@ -26,18 +26,53 @@ def add_previous(df: DataFrame, measures: Sequence[str], keys: Sequence[str], ti
     return df.select("*", *[F.lag(m).over(window).alias(f"{m}_prev") for m in measures])
 
 
-def add_window(df: DataFrame, measures: Sequence[str], keys: Sequence[str], time: str, window: str) -> DataFrame:
-    """``<measure>_<window>``: ``rolling_<n>d`` or a to-date sum (ytd, qtd, mtd) over aggregated periods."""
+def day_number(time: str) -> Column:
+    return F.unix_date(F.col(time).cast("date")).cast("bigint")
+
+
+def period_window(keys: Sequence[str], time: str, window: str) -> WindowSpec:
+    """Rows that ``window`` covers at each period: ``rolling_<n>d`` (the n days that end with the period's first day) or to-date
+    (ytd, qtd, mtd). A partition holds the periods of one key, so it is bounded by the calendar; equal periods see each other."""
+    days = rolling_days(window)
+    if days:
+        return Window.partitionBy(*keys).orderBy(day_number(time)).rangeBetween(-(days - 1), 0)
+    start = F.trunc(F.col(time).cast("date"), _TO_DATE[window])
+    return Window.partitionBy(*keys, start).orderBy(day_number(time)).rangeBetween(Window.unboundedPreceding, 0)
+
+
+def rolling_days(window: str) -> int | None:
+    """Days of ``rolling_<n>d``, None for a to-date window."""
     rolling = re.fullmatch(r"rolling_(\d+)d", window)
-    if rolling:
-        day = F.unix_date(F.col(time).cast("date")).cast("bigint")
-        spec = Window.partitionBy(*keys).orderBy(day).rangeBetween(-(int(rolling.group(1)) - 1), 0)
-    elif window in _TO_DATE:
-        start = F.trunc(F.col(time).cast("date"), _TO_DATE[window])
-        spec = Window.partitionBy(*keys, start).orderBy(time).rowsBetween(Window.unboundedPreceding, 0)
-    else:
+    if not (rolling and int(rolling.group(1)) > 0) and window not in _TO_DATE:
         raise ValueError(f"unknown window {window!r}")
-    return df.select("*", *[F.sum(m).over(spec).alias(f"{m}_{window}") for m in measures])
+    return int(rolling.group(1)) if rolling else None
+
+
+def distinct_in_window(rows: DataFrame, member: str, keys: Sequence[str], time: str, window: str, at: DataFrame, output: str) -> DataFrame:
+    """Members (non-null ``member``) seen in ``window``, at each (keys, time) row of ``at``.
+
+    A member counts from each period it is seen in until it is seen again or falls out of a rolling window; to date, it counts
+    from its first period on. Each such stretch is +1 on one day and -1 on another; summed per day before the shuffle, they leave
+    one row per (keys, day), whose running sum is the count. No window is ever expanded, and no set of members is kept.
+    """
+    days = rolling_days(window)
+    seen = rows.where(F.col(member).isNotNull()).select(*keys, time, F.col(member).alias("__member"), day_number(time).alias("__day")).distinct()
+    if days:
+        again = F.lead("__day").over(Window.partitionBy(*keys, "__member").orderBy("__day"))
+        stays = seen.withColumn("__end", F.least(again, F.col("__day") + days))
+        steps = F.explode(F.array(F.struct(F.col("__day").alias("day"), F.lit(1).alias("by")), F.struct(F.col("__end").alias("day"), F.lit(-1).alias("by"))))
+        changes = stays.select(*keys, F.lit(None).cast("date").alias("__span"), steps.alias("__s"))
+    else:
+        span = lambda: F.trunc(F.col(time).cast("date"), _TO_DATE[window]).alias("__span")
+        first = seen.select(*keys, span(), "__member", "__day").groupBy(*keys, "__span", "__member").agg(F.min("__day").alias("__day"))
+        changes = first.select(*keys, "__span", F.struct(F.col("__day").alias("day"), F.lit(1).alias("by")).alias("__s"))
+    changes = changes.groupBy(*keys, "__span", F.col("__s.day").alias("__day")).agg(F.sum("__s.by").alias("__by"))
+    changes = changes.withColumn(time, F.lit(None).cast(at.schema[time].dataType)).withColumn("__asked", F.lit(False))
+    span = F.lit(None).cast("date") if days else F.trunc(F.col(time).cast("date"), _TO_DATE[window])
+    asked = at.select(*keys, time, span.alias("__span"), day_number(time).alias("__day"), F.lit(0).cast("bigint").alias("__by"), F.lit(True).alias("__asked"))
+    so_far = Window.partitionBy(*keys, "__span").orderBy("__day").rangeBetween(Window.unboundedPreceding, 0)
+    counted = changes.unionByName(asked).withColumn(output, F.sum("__by").over(so_far))
+    return counted.where("__asked").select(*keys, time, output)
 
 
 def _carry_between_chunks(df: DataFrame, keys: Sequence[str], chunk: str, carried: Column) -> DataFrame:

@@ -20,7 +20,7 @@ from .. import errors
 from ..errors import MetricError
 from ..functions.expressions import safe_div, truncate_time
 from ..operators.filters import fields_of, free_predicate, predicate
-from ..operators.windows import add_previous, add_window
+from ..operators.windows import add_previous, distinct_in_window, period_window, rolling_days
 from ..registry import Custom, Derived, Edge, Measure, Metric, Ratio, Registry, SemiAdditive
 from ..session import fits_broadcast
 
@@ -62,6 +62,10 @@ def _slot(name: str) -> str:
     return f"__{name}"
 
 
+#: Suffix of a slot's value over the requested window.
+_OVER = "__over"
+
+
 def _dependency_order(registry: Registry, names: Sequence[str]) -> list[Metric]:
     """Requested metrics and everything they refer to, referred-to first."""
     ordered: dict[str, Metric] = {}
@@ -109,13 +113,29 @@ def _measure_input(body: Measure) -> Column:
     return value
 
 
-def _pieces(registry: Registry, metric: Metric, value: Column) -> dict[str, tuple[Column, object]]:
-    """Aggregates a leaf needs: suffix -> (aggregate over rows, how to merge partial results)."""
+def _inputs(registry: Registry, metric: Metric) -> dict[str, Column]:
+    """Values a leaf takes from each row of its fact: suffix -> column."""
     body = metric.body
+    if isinstance(body, Measure):
+        return {"x": _measure_input(body)}
+    if isinstance(body, SemiAdditive):
+        value = F.expr(body.column)
+        ties = [F.col(c).alias(f"tie{k}") for k, c in enumerate(body.tie)]
+        return {"x": F.when(value.isNotNull(), F.struct(F.col(body.time).alias("time"), *ties, value.alias("value")))}
+    if body.type in registry.two_phase_types:
+        return {f"{name}_x": row for name, (row, _, _) in registry.two_phase_types[body.type].pieces(metric).items()}
+    return {}
+
+
+def _pieces(registry: Registry, metric: Metric, values: dict[str, Column]) -> dict[str, tuple[Column, object]]:
+    """Aggregates a leaf needs: suffix -> (aggregate over rows, how to merge partial results, None if they cannot be)."""
+    body, value = metric.body, values.get("x")
     if isinstance(body, SemiAdditive):
-        when = F.struct(F.col(body.time), *[F.col(c) for c in body.tie])
-        return {"v": (F.max_by(value, F.when(value.isNotNull(), when)), None)}
+        return {"v": (F.max(value), F.max)}
     if isinstance(body, Custom):
+        if body.type in registry.two_phase_types:
+            parts = registry.two_phase_types[body.type].pieces(metric)
+            return {f"p_{name}": (fold(values[f"{name}_x"]), merge) for name, (_, fold, merge) in parts.items()}
         if body.type not in registry.metric_types:
             raise MetricError(errors.UNSUPPORTED_METRIC, f"metric type {body.type!r} is not registered")
         return {"v": (registry.metric_types[body.type](metric), None)}
@@ -135,19 +155,24 @@ def _pieces(registry: Registry, metric: Metric, value: Column) -> dict[str, tupl
     raise MetricError(errors.UNSUPPORTED_METRIC, f"unknown aggregation {body.agg!r}")
 
 
-def _finish(metric: Metric) -> Column:
-    """A leaf's result from its merged pieces."""
-    body, slot = metric.body, _slot(metric.name)
+def _finish(registry: Registry, metric: Metric, over: str = "") -> Column:
+    """A leaf's result from its merged pieces (those with suffix ``over``)."""
+    body, piece = metric.body, lambda suffix: F.col(f"{_slot(metric.name)}_{suffix}{over}")
     if isinstance(body, Measure) and body.agg in ("sum", "avg"):
-        total = F.col(f"{slot}_s")
+        total = piece("s")
         if body.scale is not None:
             total = total.cast("double") / F.lit(float(10**body.scale))
         if body.agg == "avg":
-            total = F.try_divide(total, F.col(f"{slot}_n"))
+            total = F.try_divide(total, piece("n"))
         return total
     if isinstance(body, Measure) and body.agg == "count":
-        return F.coalesce(F.col(f"{slot}_n"), F.lit(0))
-    return F.col(f"{slot}_v")
+        return F.coalesce(piece("n"), F.lit(0))
+    if isinstance(body, SemiAdditive):
+        return piece("v")["value"]
+    if isinstance(body, Custom) and body.type in registry.two_phase_types:
+        made = registry.two_phase_types[body.type]
+        return made.finish({name: piece(f"p_{name}") for name in made.pieces(metric)})
+    return piece("v")
 
 
 @dataclass(frozen=True)
@@ -203,7 +228,19 @@ def join_path(df: DataFrame, registry: Registry, steps: Sequence[Edge]) -> DataF
     return df
 
 
-def _aggregate_entity(req: _Request, name: str, leaves: Sequence[Metric], groups_of: str) -> DataFrame:
+@dataclass(frozen=True)
+class _Pass:
+    """The leaves of one entity: grouped pieces, and the rows behind them for pieces that cannot be merged."""
+
+    leaves: tuple[Metric, ...]
+    labels: tuple[str, ...]
+    grouped: DataFrame
+    pieces: dict[str, tuple[Column, object]]
+    rows: DataFrame | None
+    same_filters: bool
+
+
+def _aggregate_entity(req: _Request, name: str, leaves: Sequence[Metric]) -> _Pass:
     registry = req.registry
     base = registry.entity(name)
     joined = [s.parent for s in req.joins or ()]
@@ -252,10 +289,7 @@ def _aggregate_entity(req: _Request, name: str, leaves: Sequence[Metric], groups
     for leaf in leaves:
         slot = _slot(leaf.name)
         own = {f"{slot}_rows_x": F.lit(1)} if not same_filters else {}
-        if isinstance(leaf.body, Measure):
-            own[f"{slot}_x"] = _measure_input(leaf.body)
-        elif isinstance(leaf.body, SemiAdditive):
-            own[f"{slot}_x"] = F.expr(leaf.body.column)
+        own |= {f"{slot}_{suffix}": column for suffix, column in _inputs(registry, leaf).items()}
         gated = not same_filters and bool(leaf.filters)
         at_base = all(only_base(node) for node in leaf.filters)
         for label, column in own.items():
@@ -266,7 +300,8 @@ def _aggregate_entity(req: _Request, name: str, leaves: Sequence[Metric], groups
     pieces: dict[str, tuple[Column, object]] = {}
     for leaf in leaves:
         slot = _slot(leaf.name)
-        for suffix, piece in _pieces(registry, leaf, late.get(f"{slot}_x")).items():
+        values = {label.removeprefix(f"{slot}_"): column for label, column in late.items() if label.startswith(f"{slot}_")}
+        for suffix, piece in _pieces(registry, leaf, values).items():
             pieces[f"{slot}_{suffix}"] = piece
         if not same_filters:
             pieces[f"{slot}_rows"] = (F.count(late[f"{slot}_rows_x"]), F.sum)
@@ -275,6 +310,7 @@ def _aggregate_entity(req: _Request, name: str, leaves: Sequence[Metric], groups
     if req.time:
         groups.append(truncate_time(resolve(req.time.field)[0], req.time.granularity).alias(req.time.label))
 
+    rows = None
     if _can_collapse(req, leaves, steps, only_base, pieces):
         own = [*req.filters, *(leaves[0].filters if same_filters else ())]
         df = _aggregate_along_path(req, name, df, steps, own, place, resolve, pieces)
@@ -282,19 +318,54 @@ def _aggregate_entity(req: _Request, name: str, leaves: Sequence[Metric], groups
         df = join_path(df, registry, steps)
         for condition in row_filters:
             df = df.filter(condition)
-        df = df.groupBy(*groups).agg(*[rows.alias(label) for label, (rows, _) in pieces.items()])
-
+        rows = df.select(*groups, *[column.alias(label) for label, column in late.items()])
+        df = df.groupBy(*groups).agg(*[piece.alias(label) for label, (piece, _) in pieces.items()])
     labels = [d.label for d in req.dimensions] + ([req.time.label] if req.time else [])
+    return _Pass(tuple(leaves), tuple(labels), df, pieces, rows, same_filters)
+
+
+def _results(req: _Request, done: _Pass, groups_of: str) -> DataFrame:
+    """Labels and one finished value per leaf; ``groups_of`` says whose groups show: all, any leaf's, or the first leaf's."""
     results = []
-    for leaf in leaves:
-        column = _finish(leaf)
-        if not same_filters and leaf.filters:
+    for leaf in done.leaves:
+        column = _finish(req.registry, leaf)
+        if not done.same_filters and leaf.filters:
             column = F.when(F.col(f"{_slot(leaf.name)}_rows") > 0, column)
         results.append(column.alias(_slot(leaf.name)))
-    if not same_filters and groups_of != "all":
-        shown = leaves if groups_of == "any" else leaves[:1]
+    df = done.grouped
+    if not done.same_filters and groups_of != "all":
+        shown = done.leaves if groups_of == "any" else done.leaves[:1]
         df = df.filter(reduce(lambda a, b: a | b, [F.col(f"{_slot(leaf.name)}_rows") > 0 for leaf in shown]))
-    return df.select(*labels, *results)
+    return df.select(*done.labels, *results)
+
+
+def _over_window(req: _Request, done: _Pass, window: str, at: DataFrame) -> list[DataFrame]:
+    """Values of a pass's leaves over ``window`` at the rows of ``at`` (labels only).
+
+    Windows run over mergeable pieces, not over finished values: an average sums totals and counts, a last value keeps the latest
+    row. Periods that only this pass has are seen by the window although they do not show. Distinct members are counted from
+    their rows.
+    """
+    *keys, time = done.labels
+    merged = {label: merge for label, (_, merge) in done.pieces.items() if merge is not None}
+    asked = at.withColumn("__asked", F.lit(True))
+    facts = done.grouped.select(*done.labels, *merged).withColumn("__asked", F.lit(False))
+    spec = period_window(keys, time, window)
+    both = facts.unionByName(asked, allowMissingColumns=True)
+    both = both.select("*", *[merge(label).over(spec).alias(f"{label}{_OVER}") for label, merge in merged.items()]).where("__asked")
+    frames, values = [], []
+    for leaf in done.leaves:
+        slot = _slot(leaf.name)
+        if isinstance(leaf.body, Measure) and leaf.body.agg == "count_distinct":
+            frames.append(distinct_in_window(done.rows, f"{slot}_x", keys, time, window, at, f"{slot}{_OVER}"))
+            continue
+        if f"{slot}_v" in done.pieces and f"{slot}_v" not in merged:
+            raise MetricError(errors.UNSUPPORTED_METRIC, f"metric {leaf.name!r} cannot be merged over a window")
+        column = _finish(req.registry, leaf, _OVER)
+        if not done.same_filters and leaf.filters:
+            column = F.when(F.col(f"{slot}_rows{_OVER}") > 0, column)
+        values.append(column.alias(f"{slot}{_OVER}"))
+    return ([both.select(*done.labels, *values)] if values else []) + frames
 
 
 def _can_collapse(req: _Request, leaves, steps, only_base, pieces) -> bool:
@@ -408,10 +479,14 @@ def metric_query(
     null_safe: bool = False,
     include_inferred: bool = False,
     pre_aggregate: bool | str = "auto",
-    order: bool = True,
+    order: bool = False,
     limit: int | None = None,
 ) -> DataFrame:
-    """Dimensions in request order (then grain columns with ``at_grain``), time, metrics."""
+    """Dimensions in request order (then grain columns with ``at_grain``), time, metrics, ``<metric>_<window>``.
+
+    ``window`` covers periods by their first day and is computed from mergeable pieces or from members, so distinct counts,
+    averages, ratios and last values are those of all rows in the window. Rows are sorted only with ``order`` or ``limit``.
+    """
     names = [metrics] if isinstance(metrics, str) else list(dict.fromkeys(metrics))
     ordered = _dependency_order(registry, names)
     leaves = [m for m in ordered if _is_leaf(m)]
@@ -449,36 +524,42 @@ def metric_query(
     # One pass per entity; a custom aggregate sees all rows of its pass, so it is kept apart by its filters.
     by_entity: dict[tuple, list[Metric]] = {}
     for leaf in leaves:
-        alone = leaf.filters if isinstance(leaf.body, Custom) else None
+        alone = leaf.filters if isinstance(leaf.body, Custom) and leaf.body.type not in registry.two_phase_types else None
         by_entity.setdefault((leaf.entity, alone), []).append(leaf)
     plain = _is_leaf(registry.metric(names[0]))
     # Only the pass of the first requested metric lets that metric decide which groups show.
+    passes = [_aggregate_entity(request, e, group) for (e, _), group in by_entity.items()]
     frames = [
-        _aggregate_entity(request, e, group, "all" if not plain else "first" if group[0].name == names[0] else "any")
-        for (e, _), group in by_entity.items()
+        _results(request, done, "all" if not plain else "first" if done.leaves[0].name == names[0] else "any") for done in passes
     ]
     out = drill_across(frames, labels, null_safe)
+    suffixes = [""]
+    if window:
+        if not time:
+            raise MetricError(errors.INVALID_FILTER_VALUE, "a window needs a time dimension")
+        rolling_days(window)
+        at = frames[0].select(*labels)
+        out = drill_across([out, *[f for done in passes for f in _over_window(request, done, window, at)]], labels, null_safe=True)
+        suffixes.append(_OVER)
 
     for metric in ordered:
-        slot = _slot(metric.name)
-        if isinstance(metric.body, Ratio):
-            body = metric.body
-            column = safe_div(F.col(_slot(body.numerator)), F.col(_slot(body.denominator)), body.on_zero, body.factor)
-            out = out.withColumn(slot, column)
-        elif isinstance(metric.body, Derived):
-            text = _REFERENCE.sub(lambda m: f"`{_slot(m.group(1).strip())}`", metric.body.expression)
-            out = out.withColumn(slot, F.expr(text))
-    out = out.select(*labels, *[F.col(_slot(n)).alias(n) for n in names])
+        for over in suffixes:
+            if isinstance(metric.body, Ratio):
+                body = metric.body
+                column = safe_div(F.col(_slot(body.numerator) + over), F.col(_slot(body.denominator) + over), body.on_zero, body.factor)
+                out = out.withColumn(_slot(metric.name) + over, column)
+            elif isinstance(metric.body, Derived):
+                text = _REFERENCE.sub(lambda m, over=over: f"`{_slot(m.group(1).strip())}{over}`", metric.body.expression)
+                out = out.withColumn(_slot(metric.name) + over, F.expr(text))
+    shown = [F.col(_slot(n)).alias(n) for n in names]
+    shown += [F.col(_slot(n) + _OVER).alias(f"{n}_{window}") for n in names] if window else []
+    out = out.select(*labels, *shown)
 
     others = [d.label for d in resolved]
     if compare:
         if compare != "previous_period" or not time:
             raise MetricError(errors.INVALID_FILTER_VALUE, "compare='previous_period' needs a time dimension")
         out = add_previous(out, names, others, time.label)
-    if window:
-        if not time:
-            raise MetricError(errors.INVALID_FILTER_VALUE, "a window needs a time dimension")
-        out = add_window(out, names, others, time.label, window)
     if labels and (order or limit is not None):
         out = out.orderBy(*labels)
     return out if limit is None else out.limit(limit)

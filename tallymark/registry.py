@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -77,7 +77,7 @@ class Derived:
 
 @dataclass(frozen=True)
 class SemiAdditive:
-    """Last non-null ``column`` by ``time`` in each group; ``tie`` orders equal times."""
+    """Last non-null ``column`` by ``time`` in each group; ``tie`` orders equal times, then the larger value counts."""
 
     column: str
     time: str
@@ -86,12 +86,24 @@ class SemiAdditive:
 
 @dataclass(frozen=True)
 class Custom:
-    """A metric type registered by name; see ``Registry.register_metric_type``."""
+    """A metric type registered by name; see ``Registry.register_metric_type`` and ``register_two_phase``."""
 
     type: str
     options: dict = field(default_factory=dict)
 
 
+@dataclass(frozen=True)
+class TwoPhase:
+    """A custom aggregate that can be taken in parts.
+
+    ``pieces(metric)`` names its partial results: (value of a row, aggregate over rows, merge of partial results). ``finish`` makes
+    the result from the merged pieces, by name.
+    """
+
+    pieces: Callable[[Metric], Mapping[str, tuple[Column, Callable, Callable]]]
+    finish: Callable[[Mapping[str, Column]], Column]
+
+
 @dataclass(frozen=True)
 class Metric:
     name: str
@@ -116,6 +128,7 @@ class Registry:
         self.edges: list[Edge] = []
         self.metrics: dict[str, Metric] = {}
         self.metric_types: dict[str, Callable[[Metric], Column]] = {}
+        self.two_phase_types: dict[str, TwoPhase] = {}
 
     def add_entity(self, name: str, frame: DataFrame, key: Sequence[str] = (), **extra) -> Registry:
         self.entities[name] = Entity(name, frame, tuple(key), **extra)
@@ -134,6 +147,13 @@ class Registry:
     def register_metric_type(self, name: str, build: Callable[[Metric], Column]) -> Registry:
         """``build`` gets the metric and returns an aggregate ``Column``."""
         self.metric_types[name] = build
+        self.two_phase_types.pop(name, None)
+        return self
+
+    def register_two_phase(self, name: str, pieces, finish) -> Registry:
+        """A metric type whose parts are summed up before joins, merged in windows and rolled up; see ``TwoPhase``."""
+        self.two_phase_types[name] = TwoPhase(pieces, finish)
+        self.metric_types.pop(name, None)
         return self
 
     def entity(self, name: str) -> Entity:

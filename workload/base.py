@@ -65,6 +65,9 @@ METRICS = (
     Metric("line_net", "lineitem", Derived("({revenue} - {quantity}) / nullif({n_lines}, 0)")),
     Metric("n_events", "events", Measure("n_events", "*", "count")),
     Metric("event_value", "events", Measure("event_value", "value", scale=2), time="ts"),
+    Metric("active_users", "events", Measure("active_users", "user_id", "count_distinct")),
+    Metric("mean_value", "events", Measure("mean_value", "value", "avg", scale=2)),
+    Metric("least_value", "events", Measure("least_value", "value", "min")),
     Metric("last_value_seen", "events", SemiAdditive("value", "ts", ("event_id",))),
     Metric("accounts", "customer", Measure("accounts", "*", "count")),
 )

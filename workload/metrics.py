@@ -274,6 +274,19 @@ def e1_custom_metric_type(t):
     return metric_query(registry, "quantity_spread", ["l_returnflag"])
 
 
+@book.add("e1_two_phase_type", """
+SELECT c_mktsegment, ROUND(EXP(SUM(LN(l_quantity)) / COUNT(l_quantity)), 6) AS typical_quantity
+FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey LEFT JOIN customer ON o_custkey = c_custkey GROUP BY ALL""")
+def e1_two_phase_type(t):
+    """A geometric mean: logarithms are summed per join key before each join, and finished once."""
+    registry = t.registry().register_two_phase(
+        "geometric_mean",
+        lambda m: {"log": (F.ln(m.body.options["column"]), F.sum, F.sum), "n": (F.col(m.body.options["column"]), F.count, F.sum)},
+        lambda p: F.round(F.exp(F.try_divide(p["log"], p["n"])), 6))
+    registry.add_metric(Metric("typical_quantity", "lineitem", Custom("geometric_mean", {"column": "l_quantity"})))
+    return metric_query(registry, "typical_quantity", ["c_mktsegment"], pre_aggregate=True)
+
+
 # ---- windows --------------------------------------------------------------------------
 
 book.add("w1_previous_period", """
@@ -293,6 +306,30 @@ book.add("w5_rolling_7d", """
 WITH d AS (SELECT event_type, date_trunc('day', ts) AS day, COUNT(*) AS n_events FROM events GROUP BY ALL)
 SELECT *, CAST(SUM(n_events) OVER (PARTITION BY event_type ORDER BY day RANGE BETWEEN INTERVAL 6 DAYS PRECEDING AND CURRENT ROW) AS BIGINT) AS n_events_rolling_7d FROM d""")(
     lambda t: ask(t, "n_events", ["event_type"], time=TimeDim("ts", "day", "day"), window="rolling_7d"))
+book.add("w5_rolling_distinct", """
+WITH e AS (SELECT DISTINCT event_type, date_trunc('day', ts) AS day, user_id FROM events), d AS (SELECT event_type, day, COUNT(*) AS active_users FROM e GROUP BY ALL)
+SELECT *, (SELECT COUNT(DISTINCT user_id) FROM e WHERE e.event_type = d.event_type AND e.day BETWEEN d.day - INTERVAL 6 DAY AND d.day) AS active_users_rolling_7d FROM d""")(
+    lambda t: ask(t, "active_users", ["event_type"], time=TimeDim("ts", "day", "day"), window="rolling_7d"))
+_CENTS = "CAST(ROUND(value * 100) AS BIGINT)"
+book.add("w5_rolling_avg", f"""
+WITH d AS (SELECT event_type, date_trunc('day', ts) AS day, CAST(SUM({_CENTS}) AS DOUBLE) / 1e2 / COUNT(value) AS mean_value, MIN(value) AS least_value FROM events GROUP BY ALL)
+SELECT d.*, (SELECT CAST(SUM({_CENTS}) AS DOUBLE) / 1e2 / COUNT(value) FROM events e WHERE e.event_type = d.event_type AND e.ts >= d.day - INTERVAL 6 DAY AND e.ts < d.day + INTERVAL 1 DAY) AS mean_value_rolling_7d,
+  (SELECT MIN(value) FROM events e WHERE e.event_type = d.event_type AND e.ts >= d.day - INTERVAL 6 DAY AND e.ts < d.day + INTERVAL 1 DAY) AS least_value_rolling_7d FROM d""")(
+    lambda t: ask(t, ["mean_value", "least_value"], ["event_type"], time=TimeDim("ts", "day", "day"), window="rolling_7d"))
+book.add("w5_rolling_last_value", """
+WITH d AS (SELECT event_type, date_trunc('day', ts) AS day, arg_max(value, (ts, event_id)) FILTER (value IS NOT NULL) AS last_value_seen FROM events GROUP BY ALL)
+SELECT *, (SELECT arg_max(value, (ts, event_id)) FROM events e WHERE value IS NOT NULL AND e.event_type = d.event_type AND e.ts >= d.day - INTERVAL 2 DAY AND e.ts < d.day + INTERVAL 1 DAY) AS last_value_seen_rolling_3d FROM d""")(
+    lambda t: ask(t, "last_value_seen", ["event_type"], time=TimeDim("ts", "day", "day"), window="rolling_3d"))
+book.add("w6_ytd_ratio", f"""
+WITH l AS (SELECT o_orderpriority, date_trunc('month', o_orderdate) AS month, {REVENUE} AS revenue, CAST(SUM(CAST(ROUND((l_extendedprice * (1 - l_discount)) * 10000) AS BIGINT)) AS BIGINT) AS units
+           FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL),
+  o AS (SELECT o_orderpriority, date_trunc('month', o_orderdate) AS month, COUNT(*) AS n, COUNT(DISTINCT o_custkey) AS buyers FROM orders GROUP BY ALL)
+SELECT l.o_orderpriority, l.month, l.revenue / nullif(o.n, 0) AS revenue_per_order, o.buyers,
+  (SELECT CAST(SUM(units) AS DOUBLE) / 1e4 FROM l x WHERE x.o_orderpriority = l.o_orderpriority AND x.month <= l.month AND date_trunc('year', x.month) = date_trunc('year', l.month))
+  / (SELECT SUM(n) FROM o x WHERE x.o_orderpriority = l.o_orderpriority AND x.month <= l.month AND date_trunc('year', x.month) = date_trunc('year', l.month)) AS revenue_per_order_ytd,
+  (SELECT COUNT(DISTINCT o_custkey) FROM orders x WHERE x.o_orderpriority = l.o_orderpriority AND x.o_orderdate < l.month + INTERVAL 1 MONTH AND x.o_orderdate >= date_trunc('year', l.month)) AS buyers_ytd
+FROM l LEFT JOIN o ON l.o_orderpriority = o.o_orderpriority AND l.month = o.month""")(
+    lambda t: ask(t, ["revenue_per_order", "buyers"], ["o_orderpriority"], time=TimeDim("o_orderdate", "month", "month"), window="ytd"))
 for window, unit in (("ytd", "year"), ("qtd", "quarter")):
     book.add(f"w6_{window}", f"""
 WITH d AS (SELECT o_orderstatus, date_trunc('month', o_orderdate) AS month, COUNT(*) AS n_orders FROM orders GROUP BY ALL)
