@@ -7,10 +7,11 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import norm_name
+from ..session import cut_lineage
 from .joins import present
 
 # Words that mark technical and business names, and text a definition may not hold.
@@ -272,6 +273,11 @@ def align(names: DataFrame, terms: DataFrame, taken: DataFrame | None = None, bl
     scored = spelled.join(best, "spelling", "left").select(
         "name", "spelling", F.coalesce(-F.col("b.s"), F.lit(0.0)).alias("score"), "b.term", "b.via"
     )
+    return _judged(scored, taken, F.round("score", 2))
+
+
+def _judged(scored: DataFrame, taken: DataFrame | None, confidence: Column) -> DataFrame:
+    """Results from ``name, spelling, score, term, via`` and the names that exist already."""
     if taken is not None:
         held = taken.select(norm_name(F.col("name")).alias("spelling")).distinct().withColumn("held", F.lit(True))
         scored = scored.join(held, "spelling", "left")
@@ -283,7 +289,83 @@ def align(names: DataFrame, terms: DataFrame, taken: DataFrame | None = None, bl
         .when(F.col("score") >= MATCH_SCORE, "match").otherwise("possible_duplicate")
     )
     return scored.select(
-        "name", result.alias("result"), F.round("score", 2).alias("confidence"),
+        "name", result.alias("result"), confidence.alias("confidence"),
         F.when(F.col("score") >= POSSIBLE_SCORE, F.col("term")).alias("term"),
         F.when(F.col("score") >= POSSIBLE_SCORE, F.col("via")).alias("via"),
     )
+
+
+# ---- closest terms as a similarity join ---------------------------------------------
+
+#: Rounds of (least score, letters per gram): exact spellings, then closer before farther ones. Bigrams prune better, single
+#: letters reach every pair down to a score of a half.
+DISTANCE_ROUNDS = ((1.0, 0), (0.9, 2), (0.75, 2), (POSSIBLE_SCORE, 1))
+
+
+def _grams(texts: DataFrame, q: int) -> DataFrame:
+    """``text, gram, nth``: runs of ``q`` letters, each with how often it came before, so that a text is a set of tokens."""
+    runs = F.transform(F.sequence(F.lit(1), F.length("text") - (q - 1)), lambda i: F.substr(F.col("text"), i, F.lit(q)))
+    rows = texts.where(F.length("text") >= q).select("text", F.posexplode(runs).alias("at", "gram"))
+    return rows.select("text", "gram", (F.row_number().over(Window.partitionBy("text", "gram").orderBy("at")) - 1).alias("nth"))
+
+
+def _needed(length: Column, least: float, q: int) -> Column:
+    """Tokens that two texts share at least, if the longer has ``length`` letters and they score ``least``: an edit spoils ``q``."""
+    edits = F.floor((1 - least) * length + 1e-9)
+    return length - (q - 1) - q * edits
+
+
+def _near_pairs(left: DataFrame, right: DataFrame, least: float, q: int) -> DataFrame:
+    """``text, label`` candidates of a score of at least ``least``: those that share a token among their rarest ones.
+
+    Two texts that share ``k`` of a text's ``n`` tokens share one of its ``n - k + 1`` rarest. The pair's lengths bound the score
+    too, and so do the tokens that are left behind the first shared one on either side.
+    """
+    tokens = {side: _grams(df, q).withColumn("length", F.length("text")) for side, df in (("l", left), ("r", right))}
+    counts = tokens["l"].select("gram", "nth").union(tokens["r"].select("gram", "nth")).groupBy("gram", "nth").agg(F.count("*").alias("n"))
+    kept = {}
+    for side, rows in tokens.items():
+        rarest = Window.partitionBy("text").orderBy("n", "gram", "nth")
+        ranked = rows.join(counts, ["gram", "nth"]).withColumn("rank", F.row_number().over(rarest))
+        size = F.col("length") - (q - 1)
+        # The longer text of a pair has at least this text's length; fewer shared tokens are never needed then.
+        short = size - F.greatest(_needed(F.col("length"), least, q), F.lit(1)) + 1
+        kept[side] = ranked.where(F.col("rank") <= short).select("gram", "nth", *[F.col(c).alias(f"{side}_{c}") for c in ("text", "length", "rank")])
+    pairs = kept["l"].join(kept["r"], ["gram", "nth"])
+    longer, shorter = F.greatest("l_length", "r_length"), F.least("l_length", "r_length")
+    behind = F.least(F.col("l_length") - F.col("l_rank"), F.col("r_length") - F.col("r_rank")) - (q - 1)
+    fits = (shorter >= least * longer - 1e-9) & (behind + 1 >= _needed(longer, least, q))
+    return pairs.where(fits).select(F.col("l_text").alias("text"), F.col("r_text").alias("label")).distinct()
+
+
+def distance_score(a: str, b: str) -> Column:
+    """1 for equal texts, less by the share of letters to edit; 0 when both are empty."""
+    longer = F.greatest(F.length(a), F.length(b))
+    return F.when(longer == 0, 0.0).otherwise(1 - F.levenshtein(a, b) / longer)
+
+
+def align_by_distance(names: DataFrame, terms: DataFrame, taken: DataFrame | None = None, rounds=DISTANCE_ROUNDS) -> DataFrame:
+    """``align`` with the edit distance as measure, as a similarity join; ``confidence`` is the unrounded score.
+
+    Each round finds every pair of its least score through an inverted index of rare tokens and scores only those. A name whose
+    best label was found leaves, so only names without a close label reach the wide rounds. Null names match nothing.
+    """
+    spelled = names.select("name", norm_name(F.col("name")).alias("spelling"))
+    vias = F.posexplode(F.concat(F.array("term"), F.coalesce("synonyms", F.array().cast("array<string>")))).alias("p", "via")
+    labels = cut_lineage(terms.select("term", vias).select("term", "p", "via", norm_name(F.col("via")).alias("label")).where("label <> ''"))
+    known = labels.select(F.col("label").alias("text")).distinct()
+    open_names = cut_lineage(spelled.select(F.col("spelling").alias("text")).where("spelling <> ''").distinct())
+    found = None
+    for least, q in rounds:
+        pairs = open_names.join(known, "text").select("text", F.col("text").alias("label")) if q == 0 else _near_pairs(open_names, known, least, q)
+        scored = pairs.withColumn("score", distance_score("text", "label")).where(F.col("score") >= least)
+        best = scored.groupBy("text").agg(F.max("score").alias("score"))
+        # Labels that tie for the best score; the first term decides, then the term before its synonyms.
+        ties = scored.join(best, ["text", "score"]).join(labels, "label").groupBy("text", "score").agg(F.min(F.struct("term", "p", "via")).alias("b"))
+        ties = cut_lineage(ties)
+        found = ties if found is None else found.unionByName(ties)
+        open_names = cut_lineage(open_names.join(ties, "text", "left_anti"))
+    scored = spelled.join(found.withColumnRenamed("text", "spelling"), "spelling", "left").select(
+        "name", "spelling", F.coalesce("score", F.lit(0.0)).alias("score"), "b.term", "b.via"
+    )
+    return _judged(scored, taken, F.col("score"))

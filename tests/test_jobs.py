@@ -126,6 +126,44 @@ def test_align_matches_brute_force(spark, block):
     assert {(r["name"], r["result"], r["confidence"], r["term"]) for r in got.collect()} == expected
 
 
+def plain_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        above, row = row, [i + 1]
+        for j, y in enumerate(b):
+            row.append(min(above[j] + (x != y), above[j + 1] + 1, row[j] + 1))
+    return row[-1]
+
+
+def plain_align_by_distance(name, terms, taken):
+    clean = lambda s: re.sub(r"\s+", " ", re.sub(r"[_\-.]+", " ", s.lower().strip()))
+    pairs = [(1 - plain_distance(clean(name), clean(via)) / max(len(clean(name)), len(clean(via))), term, p, via)
+             for term, synonyms in terms for p, via in enumerate([term, *synonyms]) if clean(via) and clean(name)]
+    score, term, _, via = min(pairs, key=lambda r: (-r[0], *r[1:]), default=(0.0, None, 0, None))
+    if score < 0.5:
+        return (name, "no_match", 0.0, None, None)
+    clash = clean(name) in {clean(t) for t in taken} and term.lower() != name.lower()
+    return (name, "conflict" if clash else "match" if score >= 0.9 else "possible_duplicate", score, term, via)
+
+
+def test_align_by_distance_matches_all_pairs(spark):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcde ") for _ in range(rng.randint(1, 14))) for _ in range(90)]
+    terms = sorted({(w, tuple(rng.sample(words, rng.randint(0, 2)))) for w in words[:45]} | {("gross margin", ("margin",)), ("日本語 売上", ()), ("aaaa", ("aaab",))})
+    terms = [(t, list(s)) for t, s in {t: s for t, s in terms}.items()]
+    names = []
+    for w in [*words, "gross_margin", "日本語-売", "aa", "aaaaaaaa", "", "zzzz"]:
+        k = rng.randrange(len(w) + 1)
+        names += [w, w[:k] + rng.choice("abxyz") + w[k:], w[:k] + w[k + 1 :], w[: len(w) // 2]]
+    names = sorted(set(names))
+    taken = names[::5]
+    got = C.align_by_distance(
+        spark.createDataFrame([(n,) for n in names] + [(names[3],)], "name string"), spark.createDataFrame(terms, "term string, synonyms array<string>"),
+        spark.createDataFrame([(t,) for t in taken], "name string"))
+    found = [(r["name"], r["result"], r["confidence"], r["term"], r["via"]) for r in got.collect()]
+    assert len(found) == len(names) + 1 and set(found) == {plain_align_by_distance(n, terms, taken) for n in names}
+
+
 def test_align_on_part_names(spark, tables):
     names = tables.part.select(F.concat("p_name", F.lit("_"), F.lower("p_type")).alias("name")).distinct()
     terms = tables.part.filter("p_size > 45").groupBy(F.col("p_name").alias("term")).agg(F.array(F.min("p_brand")).alias("synonyms"))

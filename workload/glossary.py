@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tallymark.operators import glossary as C
 
 from .base import book
+from .text import WS, sql_strip
 
 
 def _like_any(text: str, tokens) -> str:
@@ -124,6 +125,32 @@ def _explained(t):
     return subjects, even.select(F.col("n_name").alias("term"), F.concat(F.lit("Nation "), "n_regionkey").alias("definition")), links
 
 
+def _sql_name(text):
+    return f"regexp_replace(regexp_replace({sql_strip(f'lower({text})')}, '[_\\-.]+', ' ', 'g'), '{WS}+', ' ', 'g')"
+
+
+@book.add("c3_align_names_by_distance", f"""
+WITH n AS (SELECT CASE WHEN p_partkey % 3 = 0 THEN substr(p_name, 2) ELSE p_name END || CASE WHEN p_partkey % 4 = 0 THEN '__' ELSE '-' END || p_brand || CASE WHEN p_partkey % 5 = 0 THEN 'x' ELSE '' END AS name FROM part
+           UNION ALL SELECT c_name FROM customer),
+  t AS (SELECT p_name || ' ' || p_brand AS term, MIN(p_type || ' ' || p_name) AS synonym FROM part WHERE p_size > 30 GROUP BY ALL),
+  l AS (SELECT term, 0 AS p, term AS via FROM t UNION ALL SELECT term, 1, synonym FROM t), k AS (SELECT *, {_sql_name('via')} AS label FROM l),
+  s AS (SELECT name, {_sql_name('name')} AS spelling FROM n), d AS (SELECT DISTINCT spelling FROM s),
+  b AS (SELECT spelling, x.score, x.term, x.via FROM (SELECT spelling, arg_min({{'score': 1 - m.d / m.size, 'term': term, 'via': via}}, {{'s': m.d / m.size - 1, 'term': term, 'p': p}}) AS x
+        FROM (SELECT spelling, term, p, via, {{'d': CAST(levenshtein(spelling, label) AS DOUBLE), 'size': greatest(length(spelling), length(label))}} AS m FROM d JOIN k ON true) GROUP BY spelling)),
+  h AS (SELECT DISTINCT {_sql_name("p_name || ' ' || p_brand")} AS spelling FROM part WHERE p_size > 48),
+  j AS (SELECT name, CASE WHEN score >= 0.5 THEN score ELSE 0.0 END AS score, term, via, h.spelling IS NOT NULL AND lower(term) <> lower(name) AS clash FROM s JOIN b USING (spelling) LEFT JOIN h USING (spelling))
+SELECT name, CASE WHEN score < 0.5 THEN 'no_match' WHEN clash THEN 'conflict' WHEN score >= 0.9 THEN 'match' ELSE 'possible_duplicate' END AS result, score AS confidence,
+  CASE WHEN score >= 0.5 THEN term END AS term, CASE WHEN score >= 0.5 THEN via END AS via FROM j""")
+def c3_align_names_by_distance(t):
+    name = F.concat(
+        F.expr("CASE WHEN p_partkey % 3 = 0 THEN substr(p_name, 2) ELSE p_name END"), F.expr("CASE WHEN p_partkey % 4 = 0 THEN '__' ELSE '-' END"),
+        "p_brand", F.expr("CASE WHEN p_partkey % 5 = 0 THEN 'x' ELSE '' END"))
+    names = t.part.select(name.alias("name")).unionByName(t.customer.select(F.col("c_name").alias("name")))
+    full = F.concat("p_name", F.lit(" "), "p_brand")
+    terms = t.part.filter("p_size > 30").groupBy(full.alias("term")).agg(F.array(F.min(F.concat("p_type", F.lit(" "), "p_name"))).alias("synonyms"))
+    return C.align_by_distance(names, terms, taken=t.part.filter("p_size > 48").select(full.alias("name")))
+
+
 @book.add("c3_align_names")
 def c3_align_names(t):
     """Similarity is a sequence matcher's ratio, which SQL does not have: rows only here, brute force in the tests."""

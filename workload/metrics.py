@@ -339,7 +339,7 @@ SELECT *, CAST(SUM(n_orders) OVER (PARTITION BY o_orderstatus, date_trunc('{unit
 # ---- sort, limit, samples -----------------------------------------------------------------
 
 book.add("t1_ordered_by_first_dimension", "SELECT o_orderpriority, COUNT(*) AS n_orders FROM orders GROUP BY ALL ORDER BY 1")(
-    lambda t: ask(t, "n_orders", ["o_orderpriority"]))
+    lambda t: ask(t, "n_orders", ["o_orderpriority"], order=True))
 book.add("t2_limit", "SELECT o_custkey, COUNT(*) AS n_orders FROM orders GROUP BY ALL ORDER BY o_custkey LIMIT 500")(
     lambda t: ask(t, "n_orders", ["o_custkey"], limit=ordering.DEFAULT_LIMIT))
 book.add("t3_top_users", "SELECT user_id, COUNT(*) AS n_events FROM events GROUP BY ALL ORDER BY n_events DESC, user_id LIMIT 20")(
