@@ -70,11 +70,13 @@ def create_mart(registry: Registry, name: str, metrics: Sequence[str], dimension
 
 
 def _note(spark: SparkSession, folder: str, table: str, metrics: Sequence[str], dimensions: Sequence[str]) -> None:
+    """One row per table: a refresh replaces the row of its own table only."""
     row = spark.range(1).select(
         F.lit(table).alias("table_name"), F.array(*map(F.lit, metrics)).alias("metrics"),
         F.array(*map(F.lit, dimensions)).cast("array<string>").alias("dimensions"), F.lit("full").alias("mode"),
     )
-    row.coalesce(1).write.mode("append").parquet(f"{folder}/_registry")
+    writer = row.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("table_name").parquet(f"{folder}/_registry")
 
 
 def publish_view(

@@ -9,7 +9,7 @@ from tallymark import JoinStep
 from tallymark.operators import checks as Q
 from tallymark.operators import constraints as K
 from tallymark.operators import graph as G
-from tallymark.operators import joins
+from tallymark.operators import inclusion, joins
 from tallymark.operators import sets as U
 from tallymark.operators import snapshots as S
 from tallymark.sources.tables import LINKS
@@ -227,6 +227,52 @@ WITH c AS ({_CATALOG_SQL}), own AS (SELECT lower(table_name) AS target, MAX(tabl
 SELECT table_name AS model_name, column_name, 'INFERRED_FK' AS constraint_type, arg_min(to_table, r) AS to_table, 'id' AS to_column
 FROM tried JOIN own USING (target) GROUP BY table_name, column_name""")(lambda t: K.infer_fks(catalog_columns(t)))
 
+
+
+# Columns compared by the inclusion test: whole numbers and texts of the star tables, short of free prices and names of products.
+_COLUMNS = {
+    "region": ("r_regionkey", "r_name"), "nation": ("n_nationkey", "n_name", "n_regionkey"),
+    "customer": ("c_custkey", "c_name", "c_nationkey", "c_mktsegment"), "supplier": ("s_suppkey", "s_name", "s_nationkey"),
+    "part": ("p_partkey", "p_name", "p_brand", "p_type", "p_size"), "orders": ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"),
+    "lineitem": ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus"), "events": ("event_id", "user_id", "event_type"),
+}
+_TEXTS = ("r_name", "n_name", "c_name", "c_mktsegment", "s_name", "p_name", "p_brand", "p_type", "o_orderstatus", "o_orderpriority", "l_returnflag", "l_linestatus", "event_type")
+_CELLS_SQL = " UNION ALL ".join(
+    f"SELECT '{t}' AS t, '{c}' AS c, {c in _TEXTS} AS f, CAST({c} AS VARCHAR) AS v, COUNT(*) AS n FROM {t} GROUP BY {c}" for t, own in _COLUMNS.items() for c in own)
+book.add("q11_inclusion", f"""
+WITH v AS ({_CELLS_SQL}), s AS (SELECT t, c, COUNT(v) AS n_values, COUNT(v) = COUNT(*) AND MAX(n) = 1 AS is_key FROM v GROUP BY ALL)
+SELECT a.t AS child, a.c AS child_column, b.t AS parent, b.c AS parent_column, s.n_values, k.is_key AS parent_is_key
+FROM v a JOIN v b ON a.f = b.f AND a.v = b.v AND (a.t, a.c) <> (b.t, b.c) JOIN s ON s.t = a.t AND s.c = a.c JOIN s k ON k.t = b.t AND k.c = b.c
+GROUP BY ALL HAVING COUNT(*) = s.n_values""")(lambda t: inclusion.inclusion_dependencies({name: getattr(t, name) for name in _COLUMNS}, _COLUMNS))
+
+
+def _renamed(t):
+    """The star under the names that a catalog of ``id`` and ``<table>_id`` columns would use."""
+    return {
+        "customers": t.customer.select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("nation_id")),
+        "nations": t.nation.select(F.col("n_nationkey").alias("id"), F.col("n_regionkey").alias("region_id")),
+        "region": t.region.select(F.col("r_regionkey").alias("id")), "parts": t.part.select(F.col("p_partkey").alias("id"), F.col("p_size").alias("customer_id")),
+        "orders": t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("customer_id")),
+        "lines": t.lineitem.select(F.col("l_orderkey").alias("orders_id"), F.col("l_partkey").alias("part_id"), (F.col("l_suppkey") + 10**9).alias("nation_id")),
+    }
+
+
+@book.add("q11_confirmed_fks", """
+WITH g(model_name, column_name, to_table) AS (VALUES ('customers', 'nation_id', 'nations'), ('nations', 'region_id', 'region'), ('parts', 'customer_id', 'customers'),
+  ('orders', 'customer_id', 'customers'), ('lines', 'orders_id', 'orders'), ('lines', 'part_id', 'parts'), ('lines', 'nation_id', 'nations')),
+  o AS (SELECT 'customers' AS m, 'nation_id' AS c, NOT EXISTS (SELECT 1 FROM customer WHERE c_nationkey NOT IN (SELECT n_nationkey FROM nation)) AS holds
+  UNION ALL SELECT 'nations', 'region_id', NOT EXISTS (SELECT 1 FROM nation WHERE n_regionkey NOT IN (SELECT r_regionkey FROM region))
+  UNION ALL SELECT 'parts', 'customer_id', NOT EXISTS (SELECT 1 FROM part WHERE p_size NOT IN (SELECT c_custkey FROM customer))
+  UNION ALL SELECT 'orders', 'customer_id', NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer))
+  UNION ALL SELECT 'lines', 'orders_id', NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders))
+  UNION ALL SELECT 'lines', 'part_id', NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part))
+  UNION ALL SELECT 'lines', 'nation_id', NOT EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey + 1000000000 NOT IN (SELECT n_nationkey FROM nation)))
+SELECT model_name, column_name, 'INFERRED_FK' AS constraint_type, to_table, 'id' AS to_column, holds FROM g JOIN o ON g.model_name = o.m AND g.column_name = o.c""")
+def q11_confirmed_fks(t):
+    tables = _renamed(t)
+    catalog = t.spark.createDataFrame([(name, c) for name, df in tables.items() for c in df.columns], "table_name string, column_name string")
+    return inclusion.confirm_fks(K.infer_fks(catalog), inclusion.inclusion_dependencies(tables))
+
 # ---- edges, sets ------------------------------------------------------------------------------
 
 _OLD_EDGES = "SELECT DISTINCT 'nation_' || c_nationkey AS parent, 'customer_' || c_custkey AS child FROM customer WHERE c_acctbal > 0"

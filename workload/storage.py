@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallymark import TimeDim
 from tallymark.plans import publish as P
+from tallymark.plans import states
 from tallymark.session import scratch_path
 from tallymark.sources import documents as D
 from tallymark.sources import manifest as M
@@ -138,6 +140,38 @@ book.add("j5_mart", f"""
 SELECT c_mktsegment, n_orders, order_value, revenue FROM (SELECT c_mktsegment, COUNT(*) AS n_orders, {exact('o_totalprice')} AS order_value FROM orders LEFT JOIN customer ON o_custkey = c_custkey GROUP BY ALL)
 LEFT JOIN (SELECT c_mktsegment, {REVENUE} AS revenue FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey LEFT JOIN customer ON o_custkey = c_custkey GROUP BY ALL) USING (c_mktsegment)""")(
     lambda t: P.create_mart(t.registry(), "Segments", ["n_orders", "order_value", "revenue"], ["c_mktsegment"], scratch_path(t.spark, "marts")))
+
+
+_LATE = "o_orderkey % 7 = 0 AND o_orderdate >= TIMESTAMP '2000-06-01'"
+
+
+@book.add("s10_incremental", f"""
+WITH q AS (SELECT o_orderpriority, date_trunc('quarter', o_orderdate) AS quarter, {exact('o_totalprice')} AS order_value, {exact('o_totalprice')} / COUNT(*) AS average_order,
+           COUNT(DISTINCT o_custkey) AS buyers, COUNT(*) FILTER (o_orderstatus = 'F') AS finished FROM orders GROUP BY ALL),
+  l AS (SELECT o_orderpriority, date_trunc('quarter', o_orderdate) AS quarter, {REVENUE} AS revenue FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL)
+SELECT q.o_orderpriority, q.quarter, order_value, average_order, buyers, CASE WHEN finished > 0 THEN finished END AS finished_orders, revenue
+FROM q LEFT JOIN l ON q.o_orderpriority = l.o_orderpriority AND q.quarter = l.quarter""")
+def s10_incremental(t):
+    """States by month without the late orders; then the months they touch are refreshed, and quarters are rolled up."""
+    mart = states.StateMart(
+        "orders_by_month", ("order_value", "average_order", "buyers", "finished_orders", "revenue"), ("o_orderpriority", "o_orderstatus"),
+        TimeDim("orders.o_orderdate", "month", "quarter"), scratch_path(t.spark, "states"))
+    first = t.registry().add_entity("orders", t.orders.filter(f"NOT ({_LATE})"), ("o_orderkey",))
+    mart.refresh(first)
+    late = t.orders.filter(_LATE)
+    mart.refresh(t.registry(), states.periods_of(late, "o_orderdate", "month"))
+    return mart.read(t.registry(), ["o_orderpriority"], "quarter")
+
+
+@book.add("a4_distinct_rollup", """
+SELECT event_type, date_trunc('month', ts) AS month, COUNT(DISTINCT user_id) AS active_users, COUNT(*) AS n_events FROM events WHERE event_type <> 'error' GROUP BY ALL""")
+def a4_distinct_rollup(t):
+    """Daily bitmaps of users, merged to months: distinct counts that roll up exactly, without the events."""
+    mart = states.StateMart("users_by_day", ("active_users", "n_events"), ("event_type",), TimeDim("ts", "day", "month"), scratch_path(t.spark, "states"))
+    mart.refresh(t.registry())
+    return mart.read(t.registry(), granularity="month", where="event_type <> 'error'")
+
+
 book.add("s11_view", _BY_NATION)(lambda t: t.spark.table(P.publish_view(t.registry(), "order_value", ["n_name"], schema="metrics", versioned=True)))
 
 
