@@ -9,6 +9,7 @@ from tallymark import TimeDim
 from tallymark.plans import publish as P
 from tallymark.plans import states
 from tallymark.session import scratch_path
+from tallymark.sources import definitions
 from tallymark.sources import documents as D
 from tallymark.sources import manifest as M
 from tallymark.sources import state as T
@@ -89,6 +90,35 @@ book.add("s3_entity_dimensions", """
 SELECT 'e' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS entity_name, c_mktsegment AS dimension FROM customer UNION SELECT 'e' || lpad(CAST(c_custkey AS VARCHAR), 9, '0'), 'n' || c_nationkey FROM customer""")(
     lambda t: _catalog(t)["entity_dimensions"])
 
+
+
+@book.add("s1_query_from_documents", f"""
+WITH o AS (SELECT *, CAST(ROUND(o_totalprice * 100) AS BIGINT) AS cents FROM orders LEFT JOIN customer ON o_custkey = c_custkey),
+  s AS (SELECT c_mktsegment, COUNT(*) FILTER (o_orderpriority = '1-URGENT') AS urgent, COUNT(*) FILTER (o_orderpriority = '5-LOW') AS low, COUNT(*) AS n, COUNT(DISTINCT o_custkey) AS buyers, MAX(o_totalprice) - MIN(o_totalprice) AS spread FROM o GROUP BY ALL)
+SELECT c_mktsegment, CAST(urgent AS DOUBLE) / n - CAST(low AS DOUBLE) / n AS stored_gap, CAST(urgent AS DOUBLE) / n AS "share_1-URGENT", buyers AS stored_buyers, spread AS stored_spread FROM s""")
+def s1_query_from_documents(t):
+    """Definitions written as documents, one per order priority and one over all, are read back and asked like typed ones."""
+    text = lambda *parts: F.concat(*[F.lit(p) if p != "o_orderpriority" else F.col(p) for p in parts])
+    blank = F.lit(None).cast("string")
+    metric = lambda name, expression, kind=blank, where=blank, numerator=blank, denominator=blank: F.struct(
+        name.alias("name"), expression.alias("expression"), kind.alias("metric_type"), where.alias("default_filter"), numerator.alias("numerator"), denominator.alias("denominator"))
+    each = t.orders.select("o_orderpriority").distinct().select(
+        text("stored_", "o_orderpriority").alias("model"),
+        F.array(
+            metric(text("n_", "o_orderpriority"), F.lit("COUNT(*)"), where=text("o_orderpriority = '", "o_orderpriority", "'")),
+            metric(text("share_", "o_orderpriority"), blank, F.lit("ratio"), blank, text("n_", "o_orderpriority"), F.lit("stored_n")),
+        ).alias("metrics"), F.struct(F.lit("orders").alias("name")).alias("entity"))
+    whole = t.orders.limit(1).select(
+        F.lit("stored").alias("model"),
+        F.array(
+            metric(F.lit("stored_n"), F.lit("COUNT(*)")), metric(F.lit("stored_buyers"), F.lit("COUNT(DISTINCT o_custkey)")),
+            metric(F.lit("stored_gap"), F.lit("{share_1-URGENT} - {share_5-LOW}")), metric(F.lit("stored_spread"), F.lit("MAX(o_totalprice) - MIN(o_totalprice)")),
+        ).alias("metrics"), F.struct(F.lit("orders").alias("name")).alias("entity"))
+    path = scratch_path(t.spark, "definitions")
+    each.unionByName(whole).write.json(path)
+    stored = D.index_models(t.spark, path, multi_line=False)["metrics"]
+    return definitions.query_stored(t.registry(), stored, ["stored_gap", "share_1-URGENT", "stored_buyers", "stored_spread"], ["c_mktsegment"])
+
 # ---- manifests: one project per supplier and brand of part --------------------------------------
 
 _KIND = "CASE p_size % 5 WHEN 0 THEN 'model' WHEN 1 THEN 'seed' WHEN 2 THEN 'test' WHEN 3 THEN 'snapshot' ELSE 'model' END"
