@@ -61,7 +61,7 @@ def model_tables(docs: DataFrame) -> dict[str, DataFrame]:
         "m.default_dimensions", "m.default_filter", "m.time_dimension", "m.depends_on", "m.numerator", "m.denominator",
         "m.tags", "m.description",
         F.coalesce("m.version", F.lit("1.0")).alias("version"), F.coalesce("m.status", F.lit("active")).alias("status"),
-        "file_path", "position",
+        "file_path", "position", "doc_model",
     ).filter("name IS NOT NULL")
     entities = docs.filter("entity.name IS NOT NULL").select(
         F.col("entity.name").alias("name"), "model",
@@ -74,10 +74,11 @@ def model_tables(docs: DataFrame) -> dict[str, DataFrame]:
     )
     models = docs.select("model", "dimensions", "filters", "source_tables", "grain_status", "grain_columns", "file_path")
     return {
-        "models": keep_last(models, ["model"], ["file_path"]),
-        "metrics": keep_last(metric_rows, ["name"], ["file_path", "position"]),
+        "models": keep_last(models, ["model"], ["file_path", "grain_status"]),
+        # A file may hold many documents, one a line: then the model's name decides, and what the metric says as the last resort.
+        "metrics": keep_last(metric_rows, ["name"], ["file_path", "doc_model", "position", "expression", "version", "status"]).drop("doc_model"),
         "dimensions": docs.select("model", F.explode("dimensions").alias("dimension")).filter("dimension <> ''").distinct(),
-        "entities": keep_last(entities, ["name"], ["file_path"]),
+        "entities": keep_last(entities, ["name"], ["file_path", "model"]),
         "relationships": keep_last(
             edges, ["parent_model", "child_model", "fk_column", "pk_column"], ["file_path", "position"]
         ),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -15,16 +15,20 @@ def deduplicated(log: DataFrame, overlap: str = "8 days") -> DataFrame:
 
 
 def usage_stream(
-    log: DataFrame, registry: DataFrame, increments: str, checkpoint: str, overlap: str = "8 days", once: bool = True
+    log: DataFrame, registry: DataFrame, increments: str, checkpoint: str, overlap: str = "8 days", once: bool = True,
+    now: Column | None = None,
 ) -> StreamingQuery:
     """Write each batch's daily counts under ``increments/batch_id=<n>``.
 
     A batch that runs again overwrites its own folder, so replays never add
-    twice; the usage table is the sum over all folders (``read_usage``).
+    twice; the usage table is the sum over all folders (``read_usage``). Rows
+    without a time count on the day of ``now``, or on no day; the clock is never
+    read, so a replay on another day gives the same counts.
     """
+    day = now if now is not None else F.lit(None).cast("date")
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        daily_usage(batch, registry, F.current_date()).write.mode("overwrite").parquet(f"{increments}/batch_id={batch_id}")
+        daily_usage(batch, registry, day).write.mode("overwrite").parquet(f"{increments}/batch_id={batch_id}")
 
     writer = deduplicated(log, overlap).writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     if once:

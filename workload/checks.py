@@ -302,7 +302,9 @@ SELECT c_custkey FROM (SELECT DISTINCT o_custkey AS c_custkey, o_orderpriority F
 _SNAP = """
 SELECT c_name AS name, CASE WHEN {new} AND c_custkey % 5 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS expression, c_mktsegment AS model,
   CASE WHEN {new} AND c_custkey % 7 = 0 THEN 'avg' ELSE 'sum' END AS aggregation, CASE WHEN {new} AND c_custkey % 3 = 0 THEN 'b, a' ELSE 'a,b' END AS grain_text,
-  CASE WHEN {new} AND c_custkey % 11 = 0 THEN 'n2' ELSE 'n' || c_nationkey END AS dims, CASE WHEN {new} THEN '1.1' ELSE '1.0' END AS version, 'active' AS status
+  CASE WHEN {new} AND c_custkey % 11 = 0 THEN 'n2' ELSE 'n' || c_nationkey END AS dims, CASE WHEN {new} THEN '1.1' ELSE '1.0' END AS version, CASE WHEN {new} AND c_custkey % 17 = 0 THEN 'deprecated' ELSE 'active' END AS status,
+  CASE WHEN {new} AND c_custkey % 17 = 0 THEN '2024-05-01' END AS deprecation_date, CASE WHEN {new} AND c_custkey % 17 = 0 THEN 'other' END AS replacement_metric,
+  CASE WHEN {new} AND c_custkey % 19 = 0 THEN 'x > 1' ELSE '' END AS filters, CASE WHEN {new} AND c_custkey % 4 = 0 THEN 'b,a' ELSE 'b' END AS default_dimensions
 FROM customer WHERE c_custkey % 13 <> CASE WHEN {new} THEN 0 ELSE 1 END"""
 _OLD, _NEW = _SNAP.format(new="false"), _SNAP.format(new="true")
 
@@ -315,8 +317,9 @@ def snapshot(t, new: bool) -> DataFrame:
         F.col("c_name").alias("name"), turn(5, F.col("c_acctbal") + 1, F.col("c_acctbal")).alias("expression"), F.col("c_mktsegment").alias("model"),
         turn(7, F.lit("avg"), F.lit("sum")).alias("aggregation"), F.split(turn(3, F.lit("b, a"), F.lit("a,b")), ",").alias("grain"),
         F.array(turn(11, F.lit("n2"), F.concat(F.lit("n"), "c_nationkey"))).alias("dimensions"), F.lit("1.1" if new else "1.0").alias("version"),
-        F.lit("active").alias("status"), none.alias("deprecation_date"), none.alias("replacement_metric"),
-        F.array().cast("array<string>").alias("filters"), F.array().cast("array<string>").alias("default_dimensions"))
+        turn(17, F.lit("deprecated"), F.lit("active")).alias("status"), turn(17, F.lit("2024-05-01"), none).alias("deprecation_date"),
+        turn(17, F.lit("other"), none).alias("replacement_metric"), turn(19, F.array(F.lit("x > 1")), F.array().cast("array<string>")).alias("filters"),
+        turn(4, F.array(F.lit("b"), F.lit("a")), F.array(F.lit("b"))).alias("default_dimensions"))
 
 
 book.add("q17_breaking_changes", f"""
@@ -326,14 +329,15 @@ SELECT o.name, concat_ws('', a, d, g) <> '' AS is_breaking, concat_ws('; ', a, d
     lambda t: S.breaking_changes(snapshot(t, False), snapshot(t, True)))
 
 _DIFF_ROWS = (
-    ("aggregation", "o.aggregation", "n.aggregation"), ("model", "o.model", "n.model"), ("version", "o.version", "n.version"), ("status", "o.status", "n.status"),
+    *[(f, f"CAST(o.{f} AS VARCHAR)", f"CAST(n.{f} AS VARCHAR)") for f in ("expression", "aggregation", "model", "version", "status", "deprecation_date", "replacement_metric")],
+    *[(f, f"coalesce(o.{f}, '')", f"coalesce(n.{f}, '')") for f in ("filters", "default_dimensions")],
     ("grain", "CASE WHEN o.grain_text IS NULL THEN '' ELSE replace(o.grain_text, ' ', '') END", "CASE WHEN n.grain_text IS NULL THEN '' ELSE replace(n.grain_text, ' ', '') END"),
     ("dimensions", "coalesce(o.dims, '')", "coalesce(n.dims, '')"))
 book.add("q18_diff_snapshots", f"""
 WITH j AS (SELECT coalesce(o.name, n.name) AS name, CASE WHEN o.name IS NULL THEN 'added' WHEN n.name IS NULL THEN 'removed' ELSE 'changed' END AS change, o, n
   FROM ({_OLD}) o FULL JOIN ({_NEW}) n ON o.name = n.name)
 {" UNION ALL ".join(f"SELECT name, change, '{f}' AS field, {a} AS before, {b} AS after FROM j WHERE {a} IS DISTINCT FROM {b}" for f, a, b in _DIFF_ROWS)}""")(
-    lambda t: S.diff_snapshots(snapshot(t, False), snapshot(t, True), [f for f, _, _ in _DIFF_ROWS]))
+    lambda t: S.diff_snapshots(snapshot(t, False), snapshot(t, True)))
 
 _HISTORY = "SELECT c_name AS name, '0.9' AS version, 'draft' AS status, c_mktsegment AS snapshot, DATE '2024-01-01' AS created_at FROM customer"
 book.add("q24_record_versions", f"""

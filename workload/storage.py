@@ -24,10 +24,12 @@ def _documents(t) -> dict[str, DataFrame]:
     c = F.col("c_custkey")
     # At most a thousand metrics per document, however many orders one customer has.
     own = t.orders.groupBy("o_custkey", F.floor(F.col("o_orderkey") / 1000)).agg(
-        F.collect_list(F.struct(
+        F.sort_array(F.collect_list(F.struct(
             F.concat(F.lit("m"), F.col("o_orderkey") % 9000).alias("name"), F.concat(F.lit("sum(x"), "o_orderkey", F.lit(")")).alias("expression"),
             F.when(F.col("o_orderstatus") == "F", "deprecated").alias("status"), F.when(F.col("o_orderpriority") == "5-LOW", "2.0").alias("version"),
-            F.array("o_orderpriority").alias("grain"))).alias("metrics"))
+            F.array("o_orderpriority").alias("grain"), F.when(F.col("o_orderkey") % 2 == 0, "sum").alias("aggregation"),
+            F.when(F.col("o_orderkey") % 3 == 0, "o_orderdate").alias("time_dimension"), F.array(F.lit("a"), "o_orderstatus").alias("tags"),
+            F.when(F.col("o_orderkey") % 5 == 0, "ratio").alias("metric_type"), F.when(F.col("o_orderkey") % 5 == 0, F.concat(F.lit("m"), F.col("o_orderkey") % 9)).alias("numerator")))).alias("metrics"))
     docs = t.customer.join(own, c == F.col("o_custkey"), "left").select(
         F.concat(F.lit("customer_"), c).alias("model"), "metrics", F.array("c_mktsegment", F.lit("")).alias("dimensions"),
         F.struct(
@@ -36,9 +38,10 @@ def _documents(t) -> dict[str, DataFrame]:
         ).alias("entity"),
         F.array(F.struct(
             F.concat(F.lit("nation_"), "c_nationkey").alias("parent_model"), F.concat(F.lit("customer_"), c).alias("child_model"),
-            F.lit("c_nationkey").alias("fk_column"))).alias("relationships"))
+            F.lit("c_nationkey").alias("fk_column"))).alias("relationships"), F.format_string("%02d", F.pmod("c_custkey", F.lit(32))).alias("folder"))
     path = scratch_path(t.spark, "models")
-    docs.write.json(path)
+    # One file per folder, so that the order of file names does not depend on how Spark numbers its files.
+    docs.repartition("folder").write.partitionBy("folder").json(path)
     return D.index_models(t.spark, path, multi_line=False)
 
 
@@ -54,10 +57,22 @@ SELECT 'e' || c_custkey AS name, 'customer_' || c_custkey AS model, CASE WHEN c_
         F.array_join(F.transform("columns", lambda c: F.concat_ws(":", c["name"], c["data_type"])), ",").alias("columns")))
 
 
-@book.add("s1_model_metrics", "SELECT DISTINCT 'm' || (o_orderkey % 9000) AS name, 'aggregate' AS metric_type FROM orders")
+_STORED_METRICS = """
+SELECT 'm' || (o_orderkey % 9000) AS name, 'sum(x' || o_orderkey || ')' AS expression, 'customer_' || c_custkey AS model, 'e' || c_custkey AS entity_name, CAST(NULL AS VARCHAR) AS source_table,
+  o_orderpriority AS grain, CASE WHEN o_orderkey % 5 = 0 THEN 'ratio' ELSE 'aggregate' END AS metric_type, CASE WHEN o_orderkey % 2 = 0 THEN 'sum' END AS aggregation, CAST(NULL AS VARCHAR) AS default_dimensions,
+  CAST(NULL AS VARCHAR) AS default_filter, CASE WHEN o_orderkey % 3 = 0 THEN 'o_orderdate' END AS time_dimension, CAST(NULL AS VARCHAR) AS depends_on,
+  CASE WHEN o_orderkey % 5 = 0 THEN 'm' || (o_orderkey % 9) END AS numerator, CAST(NULL AS VARCHAR) AS denominator, 'a,' || o_orderstatus AS tags, CAST(NULL AS VARCHAR) AS description,
+  CASE WHEN o_orderpriority = '5-LOW' THEN '2.0' ELSE '1.0' END AS version, CASE WHEN o_orderstatus = 'F' THEN 'deprecated' ELSE 'active' END AS status,
+  lpad(CAST(c_custkey % 32 AS VARCHAR), 2, '0') AS folder, row_number() OVER (PARTITION BY c_custkey, o_orderkey // 1000 ORDER BY 'm' || (o_orderkey % 9000), 'sum(x' || o_orderkey || ')') AS place
+FROM orders JOIN customer ON o_custkey = c_custkey"""
+
+
+@book.add("s1_model_metrics", f"""
+SELECT * EXCLUDE (folder, place) FROM ({_STORED_METRICS}) QUALIFY row_number() OVER (PARTITION BY name ORDER BY folder DESC, model DESC, place DESC, expression DESC) = 1""")
 def s1_model_metrics(t):
-    """Which of two equal names wins depends on the files Spark wrote, so the columns they differ in are left out."""
-    return _documents(t)["metrics"].select("name", "metric_type")
+    """Of equal names the last wins: by file, then by model, place in the document and expression."""
+    lists = ("grain", "default_dimensions", "depends_on", "tags")
+    return _documents(t)["metrics"].drop("file_path", "position").withColumns({c: F.array_join(c, ",") for c in lists})
 
 
 book.add("s2_keep_last", "SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1")(
@@ -132,9 +147,15 @@ def _manifests(t) -> DataFrame:
         F.expr(_KIND).alias("resource_type"), name.alias("name"), F.lit("db").alias("database"), F.lower("p_brand").alias("schema"), name.alias("alias"),
         F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit("rel."), name)).alias("relation_name"), F.expr(_FOLDER).alias("original_file_path"), F.array("p_type").alias("tags"),
         F.struct(F.array(F.concat(F.lit("model.shop."), "p_brand")).alias("nodes")).alias("depends_on"),
-        F.struct(F.when(F.col("p_partkey") % 2 == 0, "view").alias("materialized")).alias("config"),
-        F.struct(F.lit("not_null").alias("name"), F.create_map(F.lit("column_name"), F.lower("p_type")).alias("kwargs")).alias("test_metadata"))
-    source = F.struct(F.lit("raw").alias("source_name"), name.alias("name"), F.lit("db").alias("database"), F.lit("raw").alias("schema"))
+        F.struct(F.when(F.col("p_partkey") % 2 == 0, "view").alias("materialized"), F.when(F.col("p_partkey") % 3 == 0, "warn").alias("severity")).alias("config"),
+        F.struct(
+            F.when(F.col("p_partkey") % 4 == 1, "relationships").when(F.col("p_partkey") % 4 == 2, F.lit(None)).otherwise("not_null").alias("name"),
+            F.map_concat(
+                F.create_map(F.lit("column_name"), F.lower("p_type")),
+                F.when(F.col("p_partkey") % 4 == 1, F.create_map(F.lit("to"), F.concat(F.lit("ref('"), name, F.lit("')")), F.lit("field"), F.lit("id"))).otherwise(F.create_map().cast("map<string,string>")),
+            ).alias("kwargs")).alias("test_metadata"))
+    source = F.struct(F.lit("raw").alias("source_name"), name.alias("name"), F.lit("db").alias("database"), F.lit("raw").alias("schema"),
+                      F.concat(F.lit("source.raw."), "p_partkey").alias("unique_id"), F.array("p_brand", "p_type").alias("tags"), F.when(F.col("p_size") > 9, F.col("p_name")).alias("description"))
     docs = t.part.groupBy(F.floor(F.col("p_partkey") / 20)).agg(
         # At most twenty nodes per document, whatever the size of the table.
         F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("n."), "p_partkey"), node))).alias("nodes"),
@@ -151,10 +172,13 @@ SELECT name AS model_name, kind AS resource_type, 'db' AS database, schema, name
   path, p_type AS tags, '' AS description, 'model.shop.' || p_brand AS depends_on FROM ({_NODES}) WHERE kind <> 'test'""")(
     lambda t: M.manifest_tables(_manifests(t))["models"].withColumns({"tags": F.array_join("tags", ","), "depends_on": F.array_join("depends_on", ",")}))
 book.add("s4_manifest_tests", f"""
-SELECT name AS test_name, 'not_null' AS test_type, 'model.shop.' || p_brand AS model_name, lower(p_type) AS column_name FROM ({_NODES}) WHERE kind = 'test'""")(
-    lambda t: M.manifest_tables(_manifests(t))["tests"].drop("severity", "to_ref", "to_field"))
-book.add("s4_manifest_sources", f"SELECT 'raw' AS source_name, name AS table_name, 'db.raw.' || name AS relation_name FROM ({_NODES})")(
-    lambda t: M.manifest_tables(_manifests(t))["sources"].select("source_name", "table_name", "relation_name"))
+SELECT name AS test_name, CASE p_partkey % 4 WHEN 1 THEN 'relationships' WHEN 2 THEN 'custom' ELSE 'not_null' END AS test_type, 'model.shop.' || p_brand AS model_name, lower(p_type) AS column_name,
+  CASE WHEN p_partkey % 3 = 0 THEN 'warn' END AS severity, CASE WHEN p_partkey % 4 = 1 THEN 'ref(' || chr(39) || name || chr(39) || ')' END AS to_ref, CASE WHEN p_partkey % 4 = 1 THEN 'id' END AS to_field
+FROM ({_NODES}) WHERE kind = 'test'""")(lambda t: M.manifest_tables(_manifests(t))["tests"])
+book.add("s4_manifest_sources", f"""
+SELECT 'source.raw.' || p_partkey AS unique_id, 'raw' AS source_name, name AS table_name, 'db' AS database, 'raw' AS schema, 'db.raw.' || name AS relation_name,
+  p_brand || ',' || p_type AS tags, CASE WHEN p_size > 9 THEN p_name ELSE '' END AS description FROM (SELECT n.*, p_size, p_name FROM ({_NODES}) n JOIN part USING (p_partkey))""")(
+    lambda t: M.manifest_tables(_manifests(t))["sources"].withColumn("tags", F.array_join("tags", ",")))
 book.add("s5_manifest_entities", f"""
 SELECT name, name AS model, CASE WHEN kind <> 'model' THEN kind WHEN path LIKE '%Staging%' THEN 'staging' WHEN path LIKE '%marts%' THEN 'mart' ELSE 'model' END AS type, kind = 'seed' AS is_read_only,
   kind = 'model' AND path LIKE '%Staging%' AS is_staging, {_RELATION} AS physical_location, schema AS schema_name, 'db' AS database_name FROM ({_NODES}) WHERE kind <> 'test'

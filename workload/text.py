@@ -16,7 +16,7 @@ LOG = """
 SELECT event_id AS query_id, ts AS start_time, event_type,
   concat('SELECT /* dash ', CAST(event_id AS STRING), ' */  SUM(value) AS "total--x"', chr(10), 'FROM ', event_type, '_facts', chr(9),
     'WHERE user_id = ', CAST(user_id AS STRING), ' AND value >= ', CAST(CAST(coalesce(value, 0) AS DECIMAL(12, 2)) AS STRING),
-    ' AND note <> ''it''''s -- ', event_type, ''' AND flag IS ', CASE WHEN event_id % 3 = 0 THEN 'TRUE' ELSE 'null' END,
+    CASE WHEN event_id % 4 = 0 THEN ' AND depth > 3' ELSE ' ' END, ' AND note <> ''it''''s -- ', event_type, ''' AND flag IS ', CASE WHEN event_id % 3 = 0 THEN 'TRUE' ELSE 'null' END,
     ' -- run ', CAST(event_id AS STRING), chr(10), ' LIMIT 10') AS query_text
 FROM {events}"""
 LOG_SQL = LOG.format(events="events").replace("AS STRING", "AS VARCHAR")

@@ -16,7 +16,7 @@ from .text import sql_fingerprint as fingerprint_sql
 
 NOW = "2024-01-31"
 
-# One metric per event type except errors; each is known by the fingerprint of its first query.
+# One metric per event type except errors; each is known by the fingerprints of all its queries, which come in two shapes.
 REGISTRY_SQL = f"""
 SELECT fingerprint, 'events_' || any_value(event_type) AS metric_name, CASE WHEN any_value(event_type) = 'view' THEN '2.0' ELSE '1.0' END AS metric_version,
   any_value(event_type) = 'signup' AS deprecated, MAX(start_time) AS first_seen
@@ -37,9 +37,10 @@ def _entries(rows):
 
 
 def registry(t):
-    """Queries of one event type differ by literals and comments only, so its newest text stands for all of them."""
-    newest = t.events.filter("event_type <> 'error'").groupBy("event_type").agg(F.max_by("event_id", "ts").alias("query_id"))
-    return U.register(_entries(query_log(t).join(newest.select("query_id"), "query_id", "left_semi")))
+    """All fingerprints of the log's registered texts, stored once for every later match."""
+    path = scratch_path(t.spark, "fingerprints")
+    U.register(_entries(query_log(t).filter("event_type <> 'error'"))).write.parquet(path)
+    return t.spark.read.parquet(path)
 
 
 def daily(t):
@@ -109,9 +110,6 @@ def l10_usage_stream(t):
         t.spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 4).parquet(f"{root}/log/pull=*")
         .withColumn("start_time", F.col("start_time").cast("timestamp"))
     )
-    known = registry(t)
-    known.write.parquet(f"{root}/registry")
-    query = usage_stream(
-        pulls, t.spark.read.parquet(f"{root}/registry"), f"{root}/usage", f"{root}/checkpoint", overlap="40 days")
+    query = usage_stream(pulls, registry(t), f"{root}/usage", f"{root}/checkpoint", overlap="40 days")
     query.awaitTermination()
     return read_usage(t.spark, f"{root}/usage")
