@@ -7,7 +7,9 @@ Two sets at the threshold keep together in one path on average at every level. N
 all their members, on their minwise tokens first. Larger ones mostly hold near copies of each other: members are compared
 with the node's first, and what is linked so counts as one part, within which nothing is left to find. Larger nodes that
 still hold several parts branch on, as deep as ``depth``; what is larger even then is dealt into blocks, and every block is compared
-with itself and each other. Links are confirmed on full shingle sets, then united.
+with itself and each other. In every cell (a small node, or a pair of blocks) each class is first tried with the one that agrees
+most, on full shingle sets, and links are united, twice; then the pairs of cells that still hold several parts are tested on full
+sets inside the cell. Links that connect what is connected already are left out, so rows grow with classes, not with their pairs.
 
 The recall of a pair at the threshold is about 1 - 0.63 ** trees at three levels, more above it.
 
@@ -22,7 +24,7 @@ from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
@@ -36,6 +38,10 @@ _EMPTY = 0
 LEVELS = 3
 #: Classes of a block, where nodes are compared by pairs of blocks.
 BLOCK = 512
+#: Bytes of the sets that a block holds when pairs are confirmed; a longer set is a block of its own.
+BLOCK_BYTES = 2 << 20
+#: Rounds in which each class is tried with its likeliest partner, before cells that are still apart are tested whole.
+ROUNDS = 2
 
 
 def shingle_sets(data: np.ndarray, bounds: np.ndarray, n: int) -> Iterator[np.ndarray]:
@@ -93,7 +99,7 @@ def _signatures(batches: Iterator[pa.RecordBatch], n: int, size: int) -> Iterato
 def _branch(batches: Iterator[pa.RecordBatch], levels: int, threshold: float, trees: int, size: int) -> Iterator[pa.RecordBatch]:
     """From (name, n, marks, tree, path) to the children ``levels`` deeper; a null path starts all trees."""
     limit = np.uint64(int(2**64 / (threshold * size)))
-    step = 512
+    step = 128
     for batch in batches:
         for at in range(0, batch.num_rows, step):
             part = batch.slice(at, step)
@@ -121,49 +127,84 @@ def _agreement(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((left == right).sum(1), pa.int64())], ["a", "b", "same"])
 
 
-def _compare_node(table: pa.Table, size: int, least: float, sure: float, threshold: float) -> pa.Table:
-    """All pairs of some classes, but for those of one part, that may reach the threshold; of two blocks, those across.
-
-    Where pairs of classes that agree surely with the most central one are left out, these classes follow with their ``path``.
-    """
-    name, part, n, block = (table.column(c).to_numpy() for c in ("name", "part", "n", "block"))
+def _candidates(table: pa.Table, size: int, least: float, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the pairs of a node's classes, but for those of one part, that may reach the threshold, and how many tokens agree;
+    of two blocks, the pairs across."""
+    part, n, block = (table.column(c).to_numpy() for c in ("part", "n", "block"))
     marks = np.frombuffer(b"".join(table.column("marks").to_pylist()), np.uint32).reshape(-1, size)
     across = block.min() < block.max()
-    first, second, equal = [], [], []
-    step = max(1, (1 << 22) // (size * len(name)))
-    for at in range(0, len(name), step):
-        i, j = np.triu_indices(min(step, len(name) - at), 1 + at, len(name))
+    found = []
+    step = max(1, (1 << 22) // (size * len(n)))
+    for at in range(0, len(n), step):
+        i, j = np.triu_indices(min(step, len(n) - at), 1 + at, len(n))
         i = i + at
         fits = (part[i] != part[j]) & (np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j]))
         if across:
             fits &= block[i] != block[j]
         i, j = i[fits], j[fits]
-        first.append(i)
-        second.append(j)
-        equal.append((marks[i] == marks[j]).sum(1))
-    i, j, same = (np.concatenate(x) for x in (first, second, equal))
-    # Two classes that are surely linked with the most central one need no pair of their own, if those links hold.
-    central = np.zeros(len(name))
-    np.add.at(central, i, same)
-    np.add.at(central, j, same)
-    top = int(central.argmax())
-    surely = np.zeros(len(name), bool)
-    surely[np.concatenate((i[(j == top) & (same >= sure)], j[(i == top) & (same >= sure)]))] = True
-    spared = (same >= least) & surely[i] & surely[j]
-    later = np.unique(np.concatenate((i[spared], j[spared])))
-    close = (same >= least) & ~spared
-    i, j, none = i[close], j[close], len(later)
-    ends = (np.concatenate((end(name[i], name[j]), name[later])) for end in (np.minimum, np.maximum))
-    same = pa.array([*same[close].tolist(), *[None] * none], pa.int64())
-    path = pa.array([*[None] * len(i), *[table.column("path")[0].as_py()] * none], pa.int64())
-    return pa.table([*(pa.array(x) for x in ends), same, path], ["a", "b", "same", "path"])
-
-
-def _across(pairs: DataFrame, parts: DataFrame) -> DataFrame:
-    """The pairs whose ends are in different parts."""
-    for end in ("a", "b"):
-        pairs = pairs.join(parts.select(F.col("name").alias(end), F.col("part").alias(f"part_{end}")), end, "left").withColumn(f"part_{end}", F.coalesce(f"part_{end}", end))
-    return pairs.where("part_a <> part_b").select("a", "b", "same")
+        same = (marks[i] == marks[j]).sum(1)
+        close = same >= least
+        found.append((i[close], j[close], same[close]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _best_pairs(table: pa.Table, size: int, least: float, threshold: float) -> pa.Table:
+    """Each class with the one of another part that agrees most, where any may reach the threshold: no more rows than classes."""
+    name = table.column("name").to_numpy()
+    i, j, same = _candidates(table, size, least, threshold)
+    one, other, agree = np.concatenate((i, j)), np.concatenate((j, i)), np.concatenate((same, same))
+    order = np.lexsort((name[other], -agree, one))
+    one, other = one[order], other[order]
+    first = np.concatenate((np.ones(min(1, len(one)), bool), one[1:] != one[:-1]))
+    one, other = name[one[first]], name[other[first]]
+    path = np.full(len(one), table.column("path")[0].as_py(), np.int64)
+    return pa.table([pa.array(x) for x in (np.minimum(one, other), np.maximum(one, other), path)], ["a", "b", "path"])
+
+
+def _members(table: pa.Table, size: int, least: float, threshold: float) -> pa.Table:
+    """The classes of a node that are in a pair of two parts which may reach the threshold."""
+    i, j, _ = _candidates(table, size, least, threshold)
+    return table.take(pa.array(np.unique(np.concatenate((i, j))))).select(["path", "name", "part", "n", "block"])
+
+
+def _links_of_node(table: pa.Table, size: int, least: float, threshold: float) -> pa.Table:
+    """Links that hold on the full sets (``tokens``) of a node's classes; pairs that parts and earlier links connect are left out."""
+    name, part = table.column("name").to_pylist(), table.column("part").to_pylist()
+    i, j, same = _candidates(table, size, least, threshold)
+    order = np.argsort(-same, kind="stable")
+    joined, links = _Parts(), []
+    sets = [np.frombuffer(body.as_buffer(), np.uint64) for body in table.column("tokens")]
+    for x, y in zip(i[order].tolist(), j[order].tolist(), strict=True):
+        if joined.root(part[x]) != joined.root(part[y]) and _similar(sets[x], sets[y], threshold):
+            joined.join(part[x], part[y])
+            links.append((name[x], name[y]))
+    return pa.table([pa.array([p[k] for p in links], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+
+class _Parts:
+    """Classes joined so far."""
+
+    def __init__(self) -> None:
+        self.above: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        above = self.above
+        while above.get(x, x) != x:
+            above[x] = above.get(above[x], above[x])
+            x = above[x]
+        return x
+
+    def join(self, x: int, y: int) -> None:
+        self.above[self.root(x)] = self.root(y)
+
+
+def _similar(own: np.ndarray, other: np.ndarray, threshold: float) -> bool:
+    """Whether two sets of sorted tokens reach the threshold."""
+    percent = round(threshold * 100)
+    if 100 * min(len(own), len(other)) < percent * max(len(own), len(other)):
+        return False
+    shared = len(np.intersect1d(own, other, assume_unique=True))
+    return 100 * shared >= percent * (len(own) + len(other) - shared)
 
 
 def _shared(nodes: DataFrame, parts: DataFrame | None) -> DataFrame:
@@ -178,11 +219,11 @@ def _links(texts: DataFrame, classes: DataFrame, words: int, threshold: float, t
     schema = "name long, n long, tree int, path long"
     branch = partial(_branch, threshold=threshold, trees=trees, size=size)
     spread = (threshold * (1 - threshold) * size) ** 0.5
-    least, sure = threshold * size - 3.5 * spread, threshold * size + 2 * spread
+    least = threshold * size - 3.5 * spread
     marks = classes.select("name", "marks")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        return stored(_confirmed(texts, classes, stored(pairs.select("a", "b").distinct(), "pairs"), words, threshold), "links")
+        return stored(_confirmed(texts, classes, pairs, words, threshold), "links")
 
     def starred(nodes: DataFrame) -> DataFrame:
         """Every member with its node's first, as far as sizes and minwise tokens allow."""
@@ -192,12 +233,12 @@ def _links(texts: DataFrame, classes: DataFrame, words: int, threshold: float, t
         both = stars.join(marks.toDF("a", "marks_a"), "a").join(marks.toDF("b", "marks_b"), "b").select("a", "b", "marks_a", "marks_b")
         return both.mapInArrow(partial(_agreement, size=size), "a long, b long, same long").where(F.col("same") >= least).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "same")
 
-    def compared(nodes: DataFrame, sure: float = sure) -> DataFrame:
-        def compare(table: pa.Table) -> pa.Table:
-            return _compare_node(table, size, least, sure, threshold)
+    def compared(cells: DataFrame, compare, schema: str, more: DataFrame | None = None) -> DataFrame:
+        def task(table: pa.Table) -> pa.Table:
+            return compare(table, size, least, threshold)
 
-        nodes = nodes if "block" in nodes.columns else nodes.withColumn("block", F.lit(0))
-        return nodes.join(marks, "name").select("path", "name", "part", "n", "block", "marks").groupBy("path").applyInArrow(compare, "a long, b long, same long, path long")
+        cells = cells.join(marks, "name").select("path", "name", "part", "n", "block", "marks")
+        return (cells if more is None else cells.join(more, "name")).groupBy("path").applyInArrow(task, schema)
 
     start = classes.select("name", "n", "marks", F.lit(None).cast("int").alias("tree"), F.lit(None).cast("long").alias("path"))
     nodes = _shared(start.mapInArrow(partial(branch, levels=LEVELS), schema), None)
@@ -218,89 +259,107 @@ def _links(texts: DataFrame, classes: DataFrame, words: int, threshold: float, t
         nodes = _shared(nodes.drop("part", "k"), parts)
     level = LEVELS
     while True:
-        found.append(compared(nodes.where(F.col("k") <= small)))
+        found.append(nodes.where(F.col("k") <= small).select("path", "name", "n", F.lit(0).alias("block")))
         nodes = nodes.where(F.col("k") > small)
         if level >= depth or nodes.isEmpty():
             break
         more = nodes.select("name", "tree", "path").join(classes, "name").select("name", "n", "marks", "tree", "path")
         nodes = _shared(more.mapInArrow(partial(branch, levels=1), schema).distinct(), parts)
         level += 1
-    # Still large: all pairs of blocks.
-    dealt = nodes.withColumn("blocks", F.ceil(F.col("k") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("name", "path"), F.col("blocks")).cast("int"))
+    # Still large: all pairs of blocks, which are bounded in classes and in bytes of their sets.
+    sums = nodes.groupBy("path").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") * 8 / BLOCK_BYTES)).cast("int").alias("blocks"))
+    dealt = nodes.join(sums, "path").withColumn("block", F.pmod(F.xxhash64("name", "path"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    found.append(compared(dealt.withColumn("path", F.xxhash64("path", F.least("block", "other"), F.greatest("block", "other")))))
-    found = stored(reduce(DataFrame.union, found).distinct(), "pairs")
-    tried = pairs = found.where("path is null").select("a", "b", "same")
-    # Likely pairs first: each class with the partner that agrees most. What these unite needs no further pair.
-    for _ in range(2):
-        ends = pairs.union(pairs.select("b", "a", "same"))
-        best = ends.groupBy("a").agg(F.max(F.struct("same", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
-        best = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    found.append(dealt.select(F.xxhash64("path", F.least("block", "other"), F.greatest("block", "other")).alias("path"), "name", "n", "block"))
+    cells = stored(reduce(DataFrame.union, found), "cells")
+
+    def apart(cells: DataFrame) -> DataFrame:
+        """Cells that hold more than one part now."""
+        now = united() if links else None
+        return _shared(cells.drop("part", "k"), now)
+
+    # Each class with its likeliest partner of another part, in rounds: the rows follow the classes, not their pairs, and a group
+    # of many links is one part soon. Only cells that found a pair are looked at again.
+    for _ in range(ROUNDS):
+        cells = apart(cells)
+        best = stored(compared(cells, _best_pairs, "a long, b long, path long"), "best")
+        if best.isEmpty():
+            return reduce(DataFrame.union, links) if links else best.select("a", "b")
         links.append(confirmed(best))
-        pairs = stored(_across(pairs.join(best, ["a", "b"], "left_anti"), united()), "pairs")
-    links.append(confirmed(pairs))
-    # What was left out beside a central class, as far as it is in different parts now.
-    spared = found.where("path is not null").select(F.col("a").alias("name"), "path")
-    if not spared.isEmpty():
-        spared = _shared(spared.join(classes.select("name", "n"), "name"), united())
-        late = compared(spared, sure=size + 1).select("a", "b", "same").distinct()
-        links.append(confirmed(late.join(tried, ["a", "b"], "left_anti")))
+        cells = cells.join(small_side(stored(best.select("path").distinct(), "paths")), "path", "left_semi")
+    # What is still apart is tested on full sets inside its cell, and only links leave it.
+    cells = stored(compared(apart(cells), _members, "path long, name long, part long, n long, block int"), "members")
+    if not cells.isEmpty():
+        sets = _sets_of(texts, classes, cells.select("name").distinct(), words)
+        links.append(stored(compared(cells, _links_of_node, "a long, b long", sets), "links"))
     return reduce(DataFrame.union, links)
 
 
-def _confirmed(texts: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, threshold: float) -> DataFrame:
-    """The pairs whose full sets reach the threshold. The set of a pair's first class travels to the second."""
-    place = classes.select("name", "doc")
-    ends = pairs.select(F.col("a").alias("name")).union(pairs.select("b")).distinct()
-    needed = small_side(stored(place.join(ends, "name").select("doc").distinct(), "needed"))
-    texts = texts.join(needed, "doc", "left_semi")
-    order = F.row_number().over(Window.partitionBy("a").orderBy("b"))
-    lead = pairs.withColumn("share", F.floor(order / 256)).groupBy("a", "share").agg(F.collect_list("b").alias("partners")).withColumnRenamed("a", "name")
-    known = texts.join(lead.join(place, "name"), "doc").select("name", "partners", "text")
-    sent = known.mapInArrow(partial(_sets, n=words), "name long, other long, tokens binary")
-    checked = texts.join(sent.join(place, "name"), "doc").select("name", "other", "tokens", "text")
-    return checked.mapInArrow(partial(_confirm, n=words, threshold=threshold), "a long, b long").distinct()
+def _sets_of(texts: DataFrame, classes: DataFrame, names: DataFrame, words: int) -> DataFrame:
+    """``name, tokens``: the full sets of some classes, read from the text of each class's first document."""
+    known = stored(classes.select("name", "doc").join(names, "name"), "needed")
+    needed = small_side(stored(known.select("doc").distinct(), "documents"))
+    read = texts.join(needed, "doc", "left_semi").join(known, "doc").select("name", "text")
+    return read.mapInArrow(partial(_sets, n=words), "name long, tokens binary").dropDuplicates(["name"])
 
 
-def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    """From (name, partners, text) to one row per partner with the whole set."""
-    for batch in batches:
-        data, bounds = tb.raw(batch.column(2))
-        rows, size = [], 0
-        for name, partners, tokens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), shingle_sets(data, bounds, n), strict=True):
-            if set_name(tokens) != name:  # another text under the same doc_id
-                continue
-            body = tokens.tobytes()
-            for other in partners:
-                rows.append((other, name, body))
-                size += len(body)
-                if size > 1 << 22:
-                    yield _set_rows(rows)
-                    rows, size = [], 0
-        yield _set_rows(rows)
-
+def _confirmed(texts: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, threshold: float) -> DataFrame:
+    """Links (a, b) that join the same classes as all pairs whose full sets reach the threshold.
 
-def _set_rows(rows: list) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) or [(), (), ()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["name", "other", "tokens"])
+    Pairs are tested in blocks. Classes that many pairs connect take the same label, the least name two steps around; the sets of
+    a label are dealt into blocks of about ``BLOCK_BYTES``, and a set goes once to each pair of blocks that it is needed in,
+    however many pairs it has there. A task leaves out pairs that its own links join already, so what it returns is a forest.
+    """
+    pairs = stored(pairs.select("a", "b").distinct(), "pairs")
+    ends = pairs.union(pairs.select("b", "a"))
+    near = ends.groupBy("a").agg(F.min("b").alias("near")).select("a", F.least("a", "near").alias("near"))
+    far = ends.join(near.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("near").alias("label"))
+    known = stored(far.withColumnRenamed("a", "name").join(classes.select("name", "doc", "n"), "name"), "ends")
+    blocks = known.groupBy("label").agg(F.ceil(F.sum("n") * 8 / BLOCK_BYTES).alias("blocks"))
+    known = stored(known.join(blocks, "label").select("name", "doc", F.xxhash64("label", F.pmod(F.xxhash64("name"), "blocks")).alias("block")), "blocks")
+    block_of = known.select("name", "block")
+    keyed = pairs.join(block_of.toDF("a", "block_a"), "a").join(block_of.toDF("b", "block_b"), "b")
+    keyed = stored(keyed.select(F.least("block_a", "block_b").alias("low"), F.greatest("block_a", "block_b").alias("high"), "a", "b"), "keyed")
+    wanted = keyed.select("low", "high", F.col("a").alias("name")).union(keyed.select("low", "high", "b")).distinct()
+    sets = _sets_of(texts, classes, known.select("name"), words)
+    sent = wanted.join(sets, "name").select(F.col("low").alias("first"), F.col("high").alias("second"), "name", "tokens")
+
+    def confirm(tests: pa.Table, sets: pa.Table) -> pa.Table:
+        return _confirm(tests, sets, threshold)
+
+    return keyed.groupBy("low", "high").cogroup(sent.groupBy("first", "second")).applyInArrow(confirm, "a long, b long")
 
 
-def _confirm(batches: Iterator[pa.RecordBatch], n: int, threshold: float) -> Iterator[pa.RecordBatch]:
-    """From (name, other, tokens of other, text) to the pairs at or above the threshold."""
-    percent = round(threshold * 100)
+def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """From (name, text) to the whole set of each text that bears this name."""
     for batch in batches:
-        names, others, bodies = (batch.column(k).to_pylist() for k in range(3))
-        data, bounds = tb.raw(batch.column(3))
-        a, b = [], []
-        for name, other, body, own in zip(names, others, bodies, shingle_sets(data, bounds, n), strict=True):
-            if set_name(own) != name:
+        data, bounds = tb.raw(batch.column(1))
+        names, bodies, size = [], [], 0
+        for name, tokens in zip(batch.column(0).to_pylist(), shingle_sets(data, bounds, n), strict=True):
+            if set_name(tokens) != name:  # another text under the same doc_id
                 continue
-            theirs = np.frombuffer(body, np.uint64)
-            shared = len(np.intersect1d(own, theirs, assume_unique=True))
-            if 100 * shared >= percent * (len(own) + len(theirs) - shared):
-                a.append(name)
-                b.append(other)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            names.append(name)
+            bodies.append(tokens.tobytes())
+            size += len(bodies[-1])
+            if size > 1 << 22:
+                yield _set_rows(names, bodies)
+                names, bodies, size = [], [], 0
+        yield _set_rows(names, bodies)
+
+
+def _set_rows(names: list[int], bodies: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(bodies, pa.binary())], ["name", "tokens"])
+
+
+def _confirm(tests: pa.Table, sets: pa.Table, threshold: float) -> pa.Table:
+    """Of the pairs of one pair of blocks, links that hold, short of those between classes that earlier ones connect."""
+    tokens = {name: np.frombuffer(body.as_buffer(), np.uint64) for name, body in zip(sets.column("name").to_pylist(), sets.column("tokens"), strict=True)}
+    joined, links = _Parts(), []
+    for a, b in zip(tests.column("a").to_pylist(), tests.column("b").to_pylist(), strict=True):
+        if joined.root(a) != joined.root(b) and a in tokens and b in tokens and _similar(tokens[a], tokens[b], threshold):
+            joined.join(a, b)
+            links.append((a, b))
+    return pa.table([pa.array([p[k] for p in links], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
 def near_duplicates(
