@@ -40,6 +40,8 @@ LEVELS = 3
 BLOCK = 512
 #: Bytes of the sets that a block holds when pairs are confirmed; a longer set is a block of its own.
 BLOCK_BYTES = 2 << 20
+#: Links that one task holds while components are found.
+LINKS_PER_TASK = 100_000
 #: Rounds in which each class is tried with its likeliest partner, before cells that are still apart are tested whole.
 ROUNDS = 2
 
@@ -120,11 +122,20 @@ def _branch(batches: Iterator[pa.RecordBatch], levels: int, threshold: float, tr
             )
 
 
+def _agreeing(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Equal columns per row. Eight flags are added at a time, one in each byte of a word; a byte counts up to 255."""
+    equal = left == right
+    if equal.shape[1] % 8 or equal.shape[1] > 255:
+        return equal.sum(1)
+    lanes = np.ascontiguousarray(equal).view(np.uint64).sum(axis=1, dtype=np.uint64)
+    return ((lanes * np.uint64(0x0101010101010101)) >> np.uint64(56)).astype(np.int64)
+
+
 def _agreement(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """From (a, b, marks of a, marks of b) to the number of equal minwise tokens."""
     for batch in batches:
         left, right = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint32).reshape(-1, size) for k in (2, 3))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((left == right).sum(1), pa.int64())], ["a", "b", "same"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(_agreeing(left, right), pa.int64())], ["a", "b", "same"])
 
 
 def _candidates(table: pa.Table, size: int, least: float, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -142,7 +153,7 @@ def _candidates(table: pa.Table, size: int, least: float, threshold: float) -> t
         if across:
             fits &= block[i] != block[j]
         i, j = i[fits], j[fits]
-        same = (marks[i] == marks[j]).sum(1)
+        same = _agreeing(marks[i], marks[j])
         close = same >= least
         found.append((i[close], j[close], same[close]))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
@@ -245,7 +256,7 @@ def _links(texts: DataFrame, classes: DataFrame, words: int, threshold: float, t
     links, parts, found = [], None, []
 
     def united() -> DataFrame:
-        roots = connected_components(reduce(DataFrame.union, links))
+        roots = connected_components(reduce(DataFrame.union, links), LINKS_PER_TASK)
         return stored(roots.select(F.col("id").alias("name"), F.col("root").alias("part")), "parts")
 
     # Large nodes: what is linked with a node's first class is one part already, and is not compared within. A third of the trees first: they unite most.
@@ -372,7 +383,7 @@ def near_duplicates(
     marked = stored(texts.mapInArrow(partial(_signatures, n=words, size=size), f"doc {docs.schema[id_col].dataType.simpleString()}, name long, n long, marks binary"), "marks")
     classes = marked.where(F.col("n") > 0).groupBy("name").agg(F.first("n").alias("n"), F.first("marks").alias("marks"), F.min("doc").alias("doc"))
     links = _links(texts, stored(classes, "classes"), words, threshold, trees, size, small, depth)
-    roots = connected_components(links)
+    roots = connected_components(links, LINKS_PER_TASK)
     named = marked.where(F.col("n") > 0).select("name", "doc").groupBy("name").agg(F.min("doc").alias("doc"))
     named = named.join(roots.withColumnRenamed("id", "name"), "name", "left").select("name", "doc", F.coalesce("root", "name").alias("root"))
     heads = named.groupBy("root").agg(F.min("doc").alias("component"))
