@@ -230,7 +230,7 @@ FROM tried JOIN own USING (target) GROUP BY table_name, column_name""")(lambda t
 
 
 # Columns compared by the inclusion test: whole numbers and texts of the star tables, short of free prices and names of products.
-_COLUMNS = {
+_COMPARED = {
     "region": ("r_regionkey", "r_name"), "nation": ("n_nationkey", "n_name", "n_regionkey"),
     "customer": ("c_custkey", "c_name", "c_nationkey", "c_mktsegment"), "supplier": ("s_suppkey", "s_name", "s_nationkey"),
     "part": ("p_partkey", "p_name", "p_brand", "p_type", "p_size"), "orders": ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"),
@@ -238,12 +238,12 @@ _COLUMNS = {
 }
 _TEXTS = ("r_name", "n_name", "c_name", "c_mktsegment", "s_name", "p_name", "p_brand", "p_type", "o_orderstatus", "o_orderpriority", "l_returnflag", "l_linestatus", "event_type")
 _CELLS_SQL = " UNION ALL ".join(
-    f"SELECT '{t}' AS t, '{c}' AS c, {c in _TEXTS} AS f, CAST({c} AS VARCHAR) AS v, COUNT(*) AS n FROM {t} GROUP BY {c}" for t, own in _COLUMNS.items() for c in own)
+    f"SELECT '{t}' AS t, '{c}' AS c, {c in _TEXTS} AS f, CAST({c} AS VARCHAR) AS v, COUNT(*) AS n FROM {t} GROUP BY {c}" for t, own in _COMPARED.items() for c in own)
 book.add("q11_inclusion", f"""
 WITH v AS ({_CELLS_SQL}), s AS (SELECT t, c, COUNT(v) AS n_values, COUNT(v) = COUNT(*) AND MAX(n) = 1 AS is_key FROM v GROUP BY ALL)
 SELECT a.t AS child, a.c AS child_column, b.t AS parent, b.c AS parent_column, s.n_values, k.is_key AS parent_is_key
 FROM v a JOIN v b ON a.f = b.f AND a.v = b.v AND (a.t, a.c) <> (b.t, b.c) JOIN s ON s.t = a.t AND s.c = a.c JOIN s k ON k.t = b.t AND k.c = b.c
-GROUP BY ALL HAVING COUNT(*) = s.n_values""")(lambda t: inclusion.inclusion_dependencies({name: getattr(t, name) for name in _COLUMNS}, _COLUMNS))
+GROUP BY ALL HAVING COUNT(*) = s.n_values""")(lambda t: inclusion.inclusion_dependencies({name: getattr(t, name) for name in _COMPARED}, _COMPARED))
 
 
 def _renamed(t):
