@@ -3,13 +3,15 @@
 Documents become sets of word shingles (hashed in 64 bits); equal sets form one class, so copies meet once. Each class has
 a vector of minwise tokens. Independent trees branch it recursively: in a node, each coordinate is chosen with probability
 1 / (threshold * coordinates), decided by a hash of the node's path, and a child gathers the classes that agree on it.
-Two sets at the threshold keep together in one path on average at every level. Nodes of at most ``small`` classes compare
-all their members, on their minwise tokens first. Larger ones mostly hold near copies of each other: members are compared
-with the node's first, and what is linked so counts as one part, within which nothing is left to find. Larger nodes that
-still hold several parts branch on, as deep as ``depth``; what is larger even then is dealt into blocks, and every block is compared
-with itself and each other. In every cell (a small node, or a pair of blocks) each class is first tried with the one that agrees
-most, on full shingle sets, and links are united, twice; then the pairs of cells that still hold several parts are tested on full
-sets inside the cell. Links that connect what is connected already are left out, so rows grow with classes, not with their pairs.
+Two sets at the threshold keep together in one path on average at every level. In nodes of more than ``small`` classes, which
+mostly hold near copies of each other, members are compared with the node's first, and what is linked so counts as one part,
+within which nothing is left to find. Nodes of at most ``2 * BLOCK`` classes then compare all their members, on one byte of each
+minwise token first. Larger ones that still hold several parts branch on, as deep as ``depth``; what is larger even then is dealt
+into blocks, and every block is compared with itself and each other. In every cell (a node, or a pair of blocks) each class is
+first tried with the one that agrees most, on full shingle sets, and links are united, twice; then the pairs of cells that still
+hold several parts are tested on full sets inside a cell. Before that, cells that share classes are dealt anew into pairs of
+blocks where a set goes to fewer places so. Links that connect what is connected already are left out, so rows grow with
+classes, not with their pairs.
 
 The recall of a pair at the threshold is about 1 - 0.63 ** trees at three levels, more above it.
 
@@ -36,8 +38,8 @@ _SEEDS = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64) | np.
 _EMPTY = 0
 #: Levels that every class branches down before nodes are looked at.
 LEVELS = 3
-#: Classes of a block, where nodes are compared by pairs of blocks.
-BLOCK = 512
+#: Classes of a block, where nodes are compared by pairs of blocks; two blocks' worth is compared whole.
+BLOCK = 1024
 #: Bytes of the sets that a block holds when pairs are confirmed; a longer set is a block of its own.
 BLOCK_BYTES = 2 << 20
 #: Links that one task holds while components are found.
@@ -77,36 +79,39 @@ def set_name(tokens: np.ndarray) -> int:
 
 
 def minwise(tokens: np.ndarray, size: int) -> np.ndarray:
-    """The least hash under each of ``size`` functions, as 32 bits."""
+    """The least hash under each of ``size`` functions, as 16 bits."""
     low = np.full(size, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(tokens), 2048):
         h = tokens[at : at + 2048, None] * _SEEDS[None, :size]
         low = np.minimum(low, (h ^ (h >> np.uint64(29))).min(axis=0))
-    return (tb.mix(low) >> np.uint64(32)).astype(np.uint32)
+    return (tb.mix(low) >> np.uint64(48)).astype(np.uint16)
 
 
 def _signatures(batches: Iterator[pa.RecordBatch], n: int, size: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, bounds = tb.raw(batch.column(1))
-        names, counts, marks = [], [], []
+        names, counts, marks, codes = [], [], [], []
         for tokens in shingle_sets(data, bounds, n):
             names.append(set_name(tokens))
             counts.append(len(tokens))
-            marks.append(minwise(tokens, size).tobytes() if len(tokens) else None)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(names, pa.int64()), pa.array(counts, pa.int64()), pa.array(marks, pa.binary())], ["doc", "name", "n", "marks"]
-        )
+            least = minwise(tokens, size) if len(tokens) else None
+            marks.append(None if least is None else least.tobytes())
+            codes.append(None if least is None else least.astype(np.uint8).tobytes())
+        columns = [pa.array(names, pa.int64()), pa.array(counts, pa.int64()), pa.array(marks, pa.binary()), pa.array(codes, pa.binary())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc", "name", "n", "marks", "codes"])
 
 
 def _branch(batches: Iterator[pa.RecordBatch], levels: int, threshold: float, trees: int, size: int) -> Iterator[pa.RecordBatch]:
-    """From (name, n, marks, tree, path) to the children ``levels`` deeper; a null path starts all trees."""
+    """From (name, n, marks, tree, path) to the children ``levels`` deeper; a null path starts all trees, by 16 bits of each
+    token, later levels by 8: sets that agree by chance cost a comparison, none is lost."""
     limit = np.uint64(int(2**64 / (threshold * size)))
     step = 128
     for batch in batches:
         for at in range(0, batch.num_rows, step):
             part = batch.slice(at, step)
-            marks = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint32).reshape(part.num_rows, size).astype(np.uint64)
             tree, path = part.column(3), part.column(4)
+            kind = np.uint16 if path.null_count else np.uint8
+            marks = np.frombuffer(b"".join(part.column(2).to_pylist()), kind).reshape(part.num_rows, size).astype(np.uint64)
             if path.null_count:
                 tree = np.tile(np.arange(trees, dtype=np.int32), part.num_rows)
                 row, node = np.repeat(np.arange(part.num_rows), trees), tb.mix(tree.astype(np.uint64) + np.uint64(1))
@@ -132,9 +137,9 @@ def _agreeing(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 
 def _agreement(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """From (a, b, marks of a, marks of b) to the number of equal minwise tokens."""
+    """From (a, b, codes of a, codes of b) to the number of equal minwise tokens."""
     for batch in batches:
-        left, right = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint32).reshape(-1, size) for k in (2, 3))
+        left, right = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, size) for k in (2, 3))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(_agreeing(left, right), pa.int64())], ["a", "b", "same"])
 
 
@@ -142,7 +147,7 @@ def _candidates(table: pa.Table, size: int, least: float, threshold: float) -> t
     """Places of the pairs of a node's classes, but for those of one part, that may reach the threshold, and how many tokens agree;
     of two blocks, the pairs across."""
     part, n, block = (table.column(c).to_numpy() for c in ("part", "n", "block"))
-    marks = np.frombuffer(b"".join(table.column("marks").to_pylist()), np.uint32).reshape(-1, size)
+    codes = np.frombuffer(b"".join(table.column("codes").to_pylist()), np.uint8).reshape(-1, size)
     across = block.min() < block.max()
     found = []
     step = max(1, (1 << 22) // (size * len(n)))
@@ -153,7 +158,7 @@ def _candidates(table: pa.Table, size: int, least: float, threshold: float) -> t
         if across:
             fits &= block[i] != block[j]
         i, j = i[fits], j[fits]
-        same = _agreeing(marks[i], marks[j])
+        same = _agreeing(codes[i], codes[j])
         close = same >= least
         found.append((i[close], j[close], same[close]))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
@@ -180,15 +185,31 @@ def _members(table: pa.Table, size: int, least: float, threshold: float) -> pa.T
 
 def _links_of_node(table: pa.Table, size: int, least: float, threshold: float) -> pa.Table:
     """Links that hold on the full sets (``tokens``) of a node's classes; pairs that parts and earlier links connect are left out."""
-    name, part = table.column("name").to_pylist(), table.column("part").to_pylist()
-    i, j, same = _candidates(table, size, least, threshold)
-    order = np.argsort(-same, kind="stable")
-    joined, links = _Parts(), []
+    i, j, _ = _candidates(table, size, least, threshold)
+    name, percent = table.column("name").to_numpy(), round(threshold * 100)
+    root = np.unique(table.column("part").to_numpy(), return_inverse=True)[1]
     sets = [np.frombuffer(body.as_buffer(), np.uint64) for body in table.column("tokens")]
-    for x, y in zip(i[order].tolist(), j[order].tolist(), strict=True):
-        if joined.root(part[x]) != joined.root(part[y]) and _similar(sets[x], sets[y], threshold):
-            joined.join(part[x], part[y])
-            links.append((name[x], name[y]))
+    n = np.array([len(own) for own in sets], np.int64)
+    first = np.cumsum(n) - n
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    seen, links = np.zeros(len(ids), bool), []
+    turn = np.searchsorted(i, np.arange(len(n) + 1))  # pairs come in the order of their first member
+    for x in np.unique(i).tolist():
+        seen[ids[first[x] : first[x] + n[x]]] = True
+        others = j[turn[x] : turn[x + 1]]
+        for at in range(0, len(others), 256):
+            y = others[at : at + 256]
+            y = y[root[y] != root[x]]
+            if not len(y):
+                continue
+            begin = np.cumsum(n[y]) - n[y]
+            tokens = ids[np.arange(n[y].sum()) + np.repeat(first[y] - begin, n[y])]
+            shared = np.add.reduceat(seen[tokens], begin, dtype=np.int64)
+            for z in y[100 * shared >= percent * (n[x] + n[y] - shared)].tolist():
+                if root[z] != root[x]:
+                    root[root == root[z]] = root[x]
+                    links.append((name[x], name[z]))
+        seen[ids[first[x] : first[x] + n[x]]] = False
     return pa.table([pa.array([p[k] for p in links], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
@@ -227,11 +248,11 @@ def _shared(nodes: DataFrame, parts: DataFrame | None) -> DataFrame:
 
 def _links(texts: DataFrame, classes: DataFrame, words: int, threshold: float, trees: int, size: int, small: int, depth: int) -> DataFrame:
     """Confirmed links (a, b) of classes."""
-    schema = "name long, n long, tree int, path long"
+    schema = "name long, n long, tree int, path long"  # of nodes
     branch = partial(_branch, threshold=threshold, trees=trees, size=size)
     spread = (threshold * (1 - threshold) * size) ** 0.5
     least = threshold * size - 3.5 * spread
-    marks = classes.select("name", "marks")
+    codes = classes.select("name", "codes")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         return stored(_confirmed(texts, classes, pairs, words, threshold), "links")
@@ -241,14 +262,14 @@ def _links(texts: DataFrame, classes: DataFrame, words: int, threshold: float, t
         heads = nodes.groupBy("path").agg(F.min(F.struct("name", "n", "part")).alias("h"))
         stars = nodes.join(heads, "path").where(f"part <> h.part and least(n, h.n) >= {threshold} * greatest(n, h.n)")
         stars = stars.select(F.col("h.name").alias("a"), F.col("name").alias("b")).distinct()
-        both = stars.join(marks.toDF("a", "marks_a"), "a").join(marks.toDF("b", "marks_b"), "b").select("a", "b", "marks_a", "marks_b")
+        both = stars.join(codes.toDF("a", "codes_a"), "a").join(codes.toDF("b", "codes_b"), "b").select("a", "b", "codes_a", "codes_b")
         return both.mapInArrow(partial(_agreement, size=size), "a long, b long, same long").where(F.col("same") >= least).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "same")
 
     def compared(cells: DataFrame, compare, schema: str, more: DataFrame | None = None) -> DataFrame:
         def task(table: pa.Table) -> pa.Table:
             return compare(table, size, least, threshold)
 
-        cells = cells.join(marks, "name").select("path", "name", "part", "n", "block", "marks")
+        cells = cells.join(codes, "name").select("path", "name", "part", "n", "block", "codes")
         return (cells if more is None else cells.join(more, "name")).groupBy("path").applyInArrow(task, schema)
 
     start = classes.select("name", "n", "marks", F.lit(None).cast("int").alias("tree"), F.lit(None).cast("long").alias("path"))
@@ -270,18 +291,15 @@ def _links(texts: DataFrame, classes: DataFrame, words: int, threshold: float, t
         nodes = _shared(nodes.drop("part", "k"), parts)
     level = LEVELS
     while True:
-        found.append(nodes.where(F.col("k") <= small).select("path", "name", "n", F.lit(0).alias("block")))
-        nodes = nodes.where(F.col("k") > small)
+        found.append(nodes.where(F.col("k") <= 2 * BLOCK).select("path", "name", "n", F.lit(0).alias("block")))
+        nodes = nodes.where(F.col("k") > 2 * BLOCK)
         if level >= depth or nodes.isEmpty():
             break
-        more = nodes.select("name", "tree", "path").join(classes, "name").select("name", "n", "marks", "tree", "path")
+        more = nodes.select("name", "tree", "path").join(classes, "name").select("name", "n", "codes", "tree", "path")
         nodes = _shared(more.mapInArrow(partial(branch, levels=1), schema).distinct(), parts)
         level += 1
-    # Still large: all pairs of blocks, which are bounded in classes and in bytes of their sets.
-    sums = nodes.groupBy("path").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") * 8 / BLOCK_BYTES)).cast("int").alias("blocks"))
-    dealt = nodes.join(sums, "path").withColumn("block", F.pmod(F.xxhash64("name", "path"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    found.append(dealt.select(F.xxhash64("path", F.least("block", "other"), F.greatest("block", "other")).alias("path"), "name", "n", "block"))
+    # Still large: all pairs of blocks.
+    found.append(_dealt(nodes, "path").select("path", "name", "n", "block"))
     cells = stored(reduce(DataFrame.union, found), "cells")
 
     def apart(cells: DataFrame) -> DataFrame:
@@ -301,11 +319,40 @@ def _links(texts: DataFrame, classes: DataFrame, words: int, threshold: float, t
     # What is still apart is tested on full sets inside its cell, and only links leave it.
     cells = stored(compared(apart(cells), _members, "path long, name long, part long, n long, block int"), "members")
     if not cells.isEmpty():
+        cells = stored(_regrouped(cells), "regrouped")
         sets = _sets_of(texts, classes, cells.select("name").distinct(), words)
         links.append(stored(compared(cells, _links_of_node, "a long, b long", sets), "links"))
     return reduce(DataFrame.union, links)
 
 
+def _dealt(rows: DataFrame, key: str) -> DataFrame:
+    """Groups of rows with a ``name`` and ``n`` as cells (``path``), each a pair of blocks that are bounded in classes and in bytes of their sets."""
+    sums = rows.groupBy(key).agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") * 8 / BLOCK_BYTES)).cast("int").alias("blocks"))
+    dealt = rows.join(sums, key).withColumn("block", F.pmod(F.xxhash64("name", key), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.withColumn("path", F.xxhash64(key, F.least("block", "other"), F.greatest("block", "other")))
+
+
+def _regrouped(cells: DataFrame) -> DataFrame:
+    """Cells (path, name, part, n, block) in which every pair meets that met before, with fewer copies of a class where cells overlap much.
+
+    Classes that cells connect are a group. A group is dealt into pairs of blocks if it has no more blocks than its classes
+    have cells on average; its cells are kept otherwise, in blocks if their sets are many bytes.
+    """
+    lows = cells.groupBy("path").agg(F.min("name").alias("low"))
+    edges = cells.join(lows, "path").where("name <> low").select(F.col("low").alias("a"), F.col("name").alias("b")).distinct()
+    roots = stored(connected_components(edges, LINKS_PER_TASK).select(F.col("id").alias("name"), F.col("root").alias("group")), "groups")
+    once = cells.groupBy("name").agg(F.first("part").alias("part"), F.first("n").alias("n"), F.count(F.lit(1)).alias("places")).join(roots, "name")
+    sums = once.groupBy("group").agg((F.greatest(F.count("*") / BLOCK, F.sum("n") * 8 / BLOCK_BYTES) <= F.avg("places")).alias("anew"))
+    sums = stored(sums, "sums")
+    columns = ["path", "name", "part", "n", "block"]
+    anew = _dealt(once.join(sums.where("anew"), "group").select("group", "name", "part", "n"), "group").select(*columns)
+    kept = cells.join(roots, "name").join(sums.where("not anew"), "group").select(*columns)
+    large = kept.groupBy("path").agg(F.sum("n").alias("tokens")).where(F.col("tokens") * 8 > 2 * BLOCK_BYTES).select("path")
+    split = _dealt(kept.join(large, "path", "left_semi").drop("block"), "path").select(*columns)
+    return anew.union(kept.join(large, "path", "left_anti")).union(split)
+
+
 def _sets_of(texts: DataFrame, classes: DataFrame, names: DataFrame, words: int) -> DataFrame:
     """``name, tokens``: the full sets of some classes, read from the text of each class's first document."""
     known = stored(classes.select("name", "doc").join(names, "name"), "needed")
@@ -380,8 +427,8 @@ def near_duplicates(
     """One row per document: ``doc``, ``n`` (shingles), ``component`` (smallest doc of the component; the own one if alone)."""
     ship(docs.sparkSession)
     texts = docs.select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    marked = stored(texts.mapInArrow(partial(_signatures, n=words, size=size), f"doc {docs.schema[id_col].dataType.simpleString()}, name long, n long, marks binary"), "marks")
-    classes = marked.where(F.col("n") > 0).groupBy("name").agg(F.first("n").alias("n"), F.first("marks").alias("marks"), F.min("doc").alias("doc"))
+    marked = stored(texts.mapInArrow(partial(_signatures, n=words, size=size), f"doc {docs.schema[id_col].dataType.simpleString()}, name long, n long, marks binary, codes binary"), "marks")
+    classes = marked.where(F.col("n") > 0).groupBy("name").agg(F.first("n").alias("n"), F.first("marks").alias("marks"), F.first("codes").alias("codes"), F.min("doc").alias("doc"))
     links = _links(texts, stored(classes, "classes"), words, threshold, trees, size, small, depth)
     roots = connected_components(links, LINKS_PER_TASK)
     named = marked.where(F.col("n") > 0).select("name", "doc").groupBy("name").agg(F.min("doc").alias("doc"))
