@@ -1,7 +1,7 @@
 """Line dedup: a line goes if an equal line, or one within one edit, stands earlier in the corpus.
 
-Equal lines meet by two 64-bit hashes; texts of lines are not shuffled. Lines of at least ``min_chars`` characters are then
-compared within one edit by a deletion-neighbourhood join. Two such lines share a half (of the shorter one's length), so
+Equal lines meet by two 64-bit hashes; texts of lines are not shuffled. Lines of any length are then
+compared within one edit by a deletion-neighbourhood join (``max_edits=0`` leaves that out). Two such lines share a half (of the shorter one's length), so
 halves that no other line has drop nearly all lines first; likewise lines without one of ``BLOCKS`` blocks, which also
 tells where an edit can be. The rest emit hashed keys: every one-deletion variant within those blocks together with the
 place of the deletion (equal keys: one substitution apart), every variant alone and the line itself (equal keys of
@@ -50,7 +50,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for line, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             codes = _codes(text)
             n, sums = len(codes), _sums(codes, 0)
-            for m in (n, n - 1):
+            for m in (n, max(1, n - 1)):  # no line is empty
                 front = np.arange(0, m, -(-m // BLOCKS))
                 back = np.maximum(0, m - front - -(-m // BLOCKS))
                 rest = (sums[-1] - sums[n - back]) * tb._power(pow(_BASES[0], -1, 2**64), n + 1)[n - back]
@@ -115,8 +115,13 @@ def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20) -> DataFrame:
-    """``docs`` (all columns) with ``n_lines`` (not blank), ``n_removed`` and ``kept_text``; columns of those names are replaced."""
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = 1) -> DataFrame:
+    """``docs`` (all columns) with ``n_lines`` (not blank), ``n_removed`` and ``kept_text``; columns of those names are replaced.
+
+    ``max_edits``: 1, or 0 for equal lines only; other bounds raise.
+    """
+    if max_edits not in (0, 1):
+        raise ValueError("max_edits must be 0 or 1")
     ship(docs.sparkSession)
     names = ("n_lines", "n_removed", "kept_text")
     kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in names])
@@ -124,7 +129,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = marked.select("__doc", "__sig", "__text")
     lines = texts.select("__doc", "__sig", F.posexplode(F.split("__text", "\n")).alias("__pos", "__line")).where(F.trim("__line") != "")
     lines = lines.withColumn("__n", F.length("__line"))
-    halves = F.when(F.col("__n") >= min_chars, _halves(F.col("__line"), F.col("__n")))
+    halves = _halves(F.col("__line"), F.col("__n")) if max_edits else F.lit(None).cast("array<long>")
     place = F.struct(F.col("__doc").alias("doc"), F.col("__pos").alias("pos"), F.col("__sig").alias("sig"))
     hashed = lines.select(F.xxhash64("__line").alias("h1"), F.xxhash64(F.lit(7), "__line").alias("h2"), place.alias("at"), halves.alias("halves"))
     firsts = hashed.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.first("halves").alias("halves")).select("at", "halves")

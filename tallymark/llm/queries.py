@@ -153,7 +153,7 @@ SQL = {
 WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS pos, unnest(string_split(text, chr(10))) AS line FROM documents),
 o AS (SELECT doc_id, pos, line, row_number() OVER (PARTITION BY line ORDER BY doc_id, pos) AS k FROM l WHERE trim(line, ' ') <> ''),
 f AS (SELECT doc_id, pos, line, length(line) AS n FROM o WHERE k = 1),
-h AS (SELECT *, unnest([n, n - 1]) AS m FROM f WHERE n >= 20),
+h AS (SELECT *, unnest([n, n - 1]) AS m FROM f),
 e AS (SELECT doc_id, pos, line, n, m, 'p' AS side, left(line, m // 2) AS half FROM h UNION ALL SELECT doc_id, pos, line, n, m, 's', right(line, m - m // 2) FROM h),
 c AS (SELECT DISTINCT a.doc_id, a.pos, a.line, b.line AS other FROM e a JOIN e b ON a.m = b.m AND a.side = b.side AND a.half = b.half AND (b.doc_id, b.pos) < (a.doc_id, a.pos)),
 s AS (SELECT *, CASE WHEN length(line) >= length(other) THEN line ELSE other END AS x, CASE WHEN length(line) >= length(other) THEN other ELSE line END AS y FROM c),
