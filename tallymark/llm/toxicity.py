@@ -4,13 +4,15 @@ Fitting uses a bounded sample: of each label the ``max_docs`` documents with the
 documents; token labels follow from them: features (a word, or a word's first 4 to 6 characters) that are much more frequent
 in toxic documents are evidence, and a token of a toxic document that holds evidence is labelled toxic, every other one is
 not. The field has one weight per kept feature, a bias and transitions, and is fitted on ``max_windows`` stretches of tokens by
-forward-backward gradients. A logistic curve over (largest marginal, expected number of toxic tokens, length) turns
+forward-backward gradients. Features in fewer than 5 documents of the sample, and those beyond the ``max_features`` that
+separate the labels best, have no weight. A logistic curve over (largest marginal, expected number of toxic tokens, length) turns
 marginals into a document's probability, weighted back to the labels' real frequencies.
 
 Scoring covers every token of every text: forward and backward recursions on the ratio of the two states.
 
 Defined results: null and empty texts score as texts without a toxic token; without toxic or without other labels all
-scores are 0; of a document's several labels the largest counts; null labels are ignored.
+scores are 0; of a document's several labels the largest counts; null labels are ignored, and so are labels of a null id. Words are
+compared in lower case; offsets of spans count characters of the text as it stands.
 """
 
 from __future__ import annotations
@@ -50,7 +52,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _windows(batches: Iterator[pa.RecordBatch], index: dict[str, int], evidence: set[int]) -> Iterator[pa.RecordBatch]:
     """Stretches of ``_SPAN`` tokens: up to four feature numbers and a label for each; 0 is no feature, label -1 no token."""
     for batch in batches:
-        rows, labels, keys = [], [], []
+        rows, labels, keys, places = [], [], [], []
         for text, label, doc in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             tokens = _WORD.findall((text or "").lower())
             known = [[index[f] for f in features(w) if f in index] for w in tokens]
@@ -59,13 +61,14 @@ def _windows(batches: Iterator[pa.RecordBatch], index: dict[str, int], evidence:
                 part, mark = known[at : at + _SPAN], marks[at : at + _SPAN]
                 if label == 1 and not any(mark):  # not told what is toxic here
                     continue
-                grid = np.zeros((_SPAN, 4), np.int16)
+                grid = np.zeros((_SPAN, 4), np.int32)
                 for k, own in enumerate(part):
                     grid[k, : len(own)] = own
                 rows.append(grid.tobytes())
                 labels.append(np.array(mark + [-1] * (_SPAN - len(mark)), np.int8).tobytes())
-                keys.append(doc * 1_000_003 + at)
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(rows, pa.binary()), pa.array(labels, pa.binary())], ["key", "grid", "labels"])
+                keys.append(doc)
+                places.append(at)
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(places, pa.int64()), pa.array(rows, pa.binary()), pa.array(labels, pa.binary())], ["doc", "at", "grid", "labels"])
 
 
 def _fit_field(grids: np.ndarray, labels: np.ndarray, n_features: int, rounds: int = 80, rate: float = 0.15, decay: float = 1e-4) -> dict:
@@ -157,14 +160,16 @@ class Tagger:
         top = min(1 - 1e-6, max(max(p), 1e-6))
         spans: list[int] = []
         if top >= 0.5:
-            same = len(low) == len(text)
+            # A character may have more than one in lower case: offsets go back to where it stands.
+            back = range(len(text)) if len(low) == len(text) else [k for k, c in enumerate(text) for _ in c.lower()]
             near = False
-            for m, x in zip(_WORD.finditer(low if not same else text), p, strict=False):
+            for m, x in zip(_WORD.finditer(low), p, strict=True):
                 if x >= 0.5:
+                    end = back[m.end() - 1] + 1
                     if near:
-                        spans[-1] = m.end()
+                        spans[-1] = end
                     else:
-                        spans += [m.start(), m.end()]
+                        spans += [back[m.start()], end]
                 near = x >= 0.5
         return [float(np.log(top / (1 - top))), float(np.log1p(sum(x for x in p if x >= 0.05))), float(np.log1p(len(p)))], spans
 
@@ -204,11 +209,12 @@ def train(
     rows = best.orderBy(F.desc("power"), "feature").limit(max_features).collect()
     index = {r["feature"]: k + 1 for k, r in enumerate(rows)}
     evidence = {index[r["feature"]] for r in rows if r["toxic"] >= 5 and r["lift"] >= np.log(12)}
-    windows = sample.mapInArrow(lambda batches: _windows(batches, index, evidence), "key long, grid binary, labels binary")
-    windows = windows.orderBy(F.xxhash64("key"), "key").limit(max_windows).select("grid", "labels").toArrow()
+    tokens = sample.select("text", "label", F.col("doc").cast("string"))
+    windows = tokens.mapInArrow(lambda batches: _windows(batches, index, evidence), "doc string, at long, grid binary, labels binary")
+    windows = windows.orderBy(F.xxhash64("doc", "at"), "doc", "at").limit(max_windows).select("grid", "labels").toArrow()
     if not windows.num_rows:
         return None
-    grids = np.frombuffer(b"".join(windows.column("grid").to_pylist()), np.int16).reshape(-1, _SPAN, 4).astype(np.int64)
+    grids = np.frombuffer(b"".join(windows.column("grid").to_pylist()), np.int32).reshape(-1, _SPAN, 4).astype(np.int64)
     marks = np.frombuffer(b"".join(windows.column("labels").to_pylist()), np.int8).reshape(-1, _SPAN)
     field = _fit_field(grids, marks, len(index))
     model = {"weights": {f: float(field["w"][k]) for f, k in index.items() if abs(field["w"][k]) > 1e-3}, "field": {"b": field["b"], "t": field["t"]}}
