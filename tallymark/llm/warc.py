@@ -6,7 +6,8 @@ block; pointer jumping over those (a number of rounds that grows with the logari
 start reaches. Only reachable records are kept, so magic lines and whole records inside payloads are rejected. Payloads
 that hold the magic line are put together again from their fragments, in a second scan.
 
-Defined results: null html is an empty payload; a null url leaves out the target header; a null page_id is named ``null``;
+Defined results: null html is an empty payload; a null url leaves out the target header; page_ids of any
+text are percent-encoded in record ids and come back as they were, a null one as null;
 rows with equal page_id and equal payload are all responses if that page_id is the smallest. A file that does not start with
 a record, or the part after a broken record, yields no records.
 """
@@ -44,9 +45,12 @@ def revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
 
 def write_archive(
     pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html",
-    min_bytes: int = 0, date: str = "2024-01-01T00:00:00Z",
+    min_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", compression: str = "none",
 ) -> None:
-    """One record per row: ``response`` with the payload, or ``revisit`` without it where a smaller page has the same."""
+    """One record per row: ``response`` with the payload, or ``revisit`` without it where a smaller page has the same.
+
+    ``compression="gzip"`` writes gzip files; those are read whole by one task each.
+    """
     rows = pages.select(
         F.col(f"`{id_col}`").alias("page"), F.col(f"`{url_col}`").cast("string").alias("url"),
         F.coalesce(F.col(f"`{payload_col}`").cast("string"), F.lit("")).alias("payload"),
@@ -54,7 +58,7 @@ def write_archive(
     bodies = rows.withColumn("digest", base32_sha1(F.col("payload").cast("binary"))).withColumn("size", F.octet_length("payload"))
     again = small_side(stored(revisits(bodies.select("page", "digest", "size"), min_bytes), "revisits")).alias("r")
     same = F.col("b.page").eqNullSafe(F.col("r.page")) & (F.col("b.digest") == F.col("r.digest"))
-    name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
+    name = lambda c: F.coalesce(F.concat(F.lit("<urn:page:"), F.url_encode(c.cast("string")), F.lit(">")), F.lit("<urn:page>"))
 
     def record(kind: str, more: list[Column], body: Column) -> Column:
         url = F.regexp_replace("url", r"[\x00-\x20]", "%20")
@@ -69,7 +73,7 @@ def write_archive(
     full = fresh.select(record("response", [F.lit("\r\nContent-Type: application/http; msgtype=response")], F.concat(F.lit(HTTP), F.col("payload"))))
     known = bodies.select("page", "url", "digest", "size").alias("b").join(again, same).select("b.page", "url", "b.digest", "size", "refers_to")
     short = known.select(record("revisit", [F.lit("\r\nWARC-Refers-To: "), name(F.col("refers_to")), F.lit("\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")], F.lit("")))
-    full.union(short).write.option("lineSep", END).option("compression", "none").text(path)
+    full.union(short).write.option("lineSep", END).option("compression", compression).text(path)
 
 
 def _fragments(spark: SparkSession, path: str) -> DataFrame:
@@ -180,9 +184,9 @@ def archive_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     path = scratch_path(spark, "warc")
     write_archive(pages, path, id_col, url_col, payload_col, min_bytes)
     found = read_archive(spark, path)
-    page = lambda c: F.regexp_extract(c, "^<urn:page:(.*)>$", 1)
+    page = lambda c: F.when(c.startswith("<urn:page:"), F.url_decode(F.regexp_extract(c, "^<urn:page:(.*)>$", 1)))
     found = found.select(
-        page("record_id").alias("page"), "record_type", page("refers_to").alias("refers_to"),
+        page(F.col("record_id")).alias("page"), "record_type", page(F.col("refers_to")).alias("refers_to"),
         F.regexp_replace("digest", "^sha1:", "").alias("digest"), "payload_digest", "payload_bytes",
     )
     sizes = found.where("record_type = 'response'").groupBy(F.col("payload_digest").alias("digest")).agg(F.min("payload_bytes").alias("size"))
