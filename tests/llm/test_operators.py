@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -52,13 +54,13 @@ def test_line_dedup_against_all_pairs(spark):
     lines = list(base)
     for line in base * 2:
         k = rng.randrange(len(line))
-        lines.append(rng.choice([line, line[:k] + line[k + 1 :], line[:k] + "Z" + line[k:], line[:k] + "Q" + line[k + 1 :], "short", ""]))
+        lines.append(rng.choice([line, line[:k] + line[k + 1 :], line[:k] + "Z" + line[k:], line[:k] + "Q" + line[k + 1 :], "short", "shor", "a", "b", "ab", "xyz", ""]))
     texts = ["\n".join(lines[k : k + 4]) for k in range(0, len(lines), 4)] + [None, "", "\n\n"]
     seen, want = [], []
     for text in texts:
         kept = []
         for line in (text or "").split("\n"):
-            gone = line.strip(" ") and any(line == old or (min(len(line), len(old)) >= 20 and distance_one(line, old)) for old in seen)
+            gone = line.strip(" ") and any(distance_one(line, old) for old in seen)
             if line.strip(" "):
                 seen.append(line)
             if not gone:
@@ -66,6 +68,8 @@ def test_line_dedup_against_all_pairs(spark):
         want.append(None if text is None else "\n".join(kept))
     got = [r["kept_text"] for r in line_dedup.dedup_lines(documents(spark, texts)).orderBy("doc_id").collect()]
     assert got == want
+    equal = line_dedup.dedup_lines(documents(spark, ["ab\nab\nac", "ac"]), max_edits=0).orderBy("doc_id").collect()
+    assert [r["kept_text"] for r in equal] == ["ab\nac", ""]
 
 
 def test_suffix_array_and_repeats(spark):
@@ -141,14 +145,14 @@ def test_minhash_pairs_within_a_template(spark):
 def test_minhash_links_beside_a_central_class(spark):
     words = [f"w{k}" for k in range(204)]
     texts = [" ".join(words[:150]), *(" ".join([*words, f"x{k}"]) for k in range(3))]
-    marks = np.tile(np.arange(128, dtype=np.uint32), (4, 1))
+    marks = np.tile(np.arange(128, dtype=np.uint16), (4, 1))
     for k in (1, 2, 3):  # estimates that are sure of the links to the first, which do not hold
-        marks[k, 8 * k : 8 * k + 8] += np.uint32(1000 * k)
+        marks[k, 8 * k : 8 * k + 8] += np.uint16(1000 * k)
     data = [t.encode() for t in texts]
     bounds = np.cumsum([0, *map(len, data)])
     sets = list(minhash.shingle_sets(np.frombuffer(b"".join(data), np.uint8), bounds, 5))
-    rows = [(minhash.set_name(s), len(s), bytearray(m.tobytes()), k) for k, (s, m) in enumerate(zip(sets, marks, strict=True))]
-    classes = spark.createDataFrame([(a, 200, m, k) for a, _, m, k in rows], "name long, n long, marks binary, doc long")
+    rows = [(minhash.set_name(s), len(s), bytearray(m.tobytes()), bytearray(m.astype(np.uint8).tobytes()), k) for k, (s, m) in enumerate(zip(sets, marks, strict=True))]
+    classes = spark.createDataFrame([(a, 200, m, c, k) for a, _, m, c, k in rows], "name long, n long, marks binary, codes binary, doc long")
     pairs = documents(spark, texts).select(F.col("doc_id").alias("doc"), "text")
     links = {(r["a"], r["b"]) for r in minhash._links(pairs, classes, 5, 0.75, 20, 128, 64, 8).collect()}
     own = sorted(r[0] for r in rows[1:])
@@ -205,6 +209,18 @@ def test_warc_round_trip_with_records_inside_payloads(spark):
     assert warc.read_archive(spark, path).count() == 0
 
 
+def test_warc_ids_of_any_text_and_gzip(spark):
+    ids = ["null", None, "a\nb", "é %+> <", "", "0"]
+    pages = spark.createDataFrame([(k, None, "same" if k != "0" else "other") for k in ids], "page_id string, url string, html string")
+    got = warc.archive_pages(pages).collect()
+    assert {(r["page"], r["record_type"], r["refers_to"]) for r in got} == {
+        ("", "response", None), ("0", "response", None), *((k, "revisit", "") for k in ids if k not in ("", "0"))
+    } and len(got) == len(ids)
+    path = scratch_path(spark, "warc")
+    warc.write_archive(pages.repartition(2), path, compression="gzip")
+    assert warc.read_archive(spark, path).where("record_type = 'response'").select("payload_bytes").orderBy("payload_bytes").collect() == [(4,), (5,)]
+
+
 def test_language_and_toxicity_learn(spark):
     rng = random.Random(1)
     make = lambda alphabet: " ".join("".join(rng.choice(alphabet) for _ in range(5)) for _ in range(30))
@@ -221,6 +237,47 @@ def test_language_and_toxicity_learn(spark):
     a, b = scores[195]["toxic_spans"]
     assert rows[195][1][a:b] == "moron"
     assert toxicity.train(docs, labels.limit(0)) is None
+    named = lambda df: df.withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    again = toxicity.train(named(docs), named(labels))
+    odd = spark.createDataFrame([("İİİ İ vwxyz moron vwxyz",), (None,)], "text string")
+    text, row = "İİİ İ vwxyz moron vwxyz", toxicity.score(odd, again).first()
+    assert text[slice(*row["toxic_spans"])] == "moron"
+    far = lambda df: df.withColumn("doc_id", F.col("doc_id") + F.lit(2**63 - 1000))
+    assert toxicity.train(far(docs), far(labels)) is not None
+
+
+def test_marginals_against_all_taggings():
+    rng = random.Random(2)
+    for n in (1, 2, 5):
+        model = {"weights": {f"={w}": rng.uniform(-2, 3) for w in "abcd"}, "field": {"b": -0.5, "t": np.array([[0.2, -0.4], [-0.3, 0.9]])}}
+        tagger, words = toxicity.Tagger(model), [rng.choice("abcde") for _ in range(n)]
+        total, on = 0.0, [0.0] * n
+        for tags in itertools.product((0, 1), repeat=n):
+            energy = sum(model["field"]["b"] + model["weights"].get(f"={w}", 0.0) for w, t in zip(words, tags, strict=True) if t)
+            energy += sum(model["field"]["t"][a, b] for a, b in itertools.pairwise(tags))
+            total += np.exp(energy)
+            on = [x + np.exp(energy) * t for x, t in zip(on, tags, strict=True)]
+        assert np.allclose(tagger.marginals(words), [x / total for x in on])
+
+
+def test_language_posterior_against_plain_bayes(spark):
+    texts = [("en", "the cat"), ("en", "a hat"), ("de", "die katze"), ("de", "der hut"), (None, "the hut"), (None, "katze a")]
+    docs = spark.createDataFrame([(k, *t) for k, t in enumerate(texts)], "doc_id long, lang string, text string")
+
+    def grams(text):
+        text = f" {text} "
+        return [text[k : k + m] for m in (2, 3) for k in range(len(text) - m + 1)]
+
+    def bucket(gram):
+        at = language_id._features(np.array([*map(ord, gram), 0], np.uint32), 1 << 15)
+        return int(at[len(gram) - 2][0])
+
+    counts = {lang: Counter(bucket(g) for x, t in texts if x == lang for g in grams(t)) for lang in ("de", "en")}
+    logs = lambda lang, text: np.log(0.5) + sum(np.log((counts[lang][bucket(g)] + 0.5) / (sum(counts[lang].values()) + 0.5 * 2**15)) for g in grams(text))
+    for row in language_id.predict(docs, language_id.train(docs)).collect():
+        z = {lang: logs(lang, row["text"]) for lang in counts}
+        best = max(sorted(z), key=z.get)
+        assert row["lang_pred"] == best and np.isclose(row["score"], 1 / sum(np.exp(x - z[best]) for x in z.values()))
 
 
 @pytest.mark.parametrize("n", [0, 1])
@@ -239,7 +296,7 @@ def plain_pipeline(docs, items):
         lines, kept = text.split("\n"), []
         for line in lines:
             full = bool(line.strip(" "))
-            if not (full and any(line == old or (min(len(line), len(old)) >= 20 and distance_one(line, old)) for old in seen)):
+            if not (full and any(distance_one(line, old) for old in seen)):
                 kept.append(line)
             if full:
                 seen.append(line)
