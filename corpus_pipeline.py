@@ -18,8 +18,12 @@ ORACLE_SQL = None
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts without a letter (``und``); a missing language becomes the predicted one."""
-    found = language_id.predict(docs, language_id.train(docs), pred_col="__lang", score_col="__score")
+    """Rejects texts without a letter (``und``); a missing language becomes the predicted one. With no language in the
+    whole table nothing can be learned: texts with a letter stay, and their language stays null."""
+    model = language_id.train(docs)
+    if not model["names"]:
+        return docs.where(F.col("text").cast("string").rlike(r"\p{L}"))
+    found = language_id.predict(docs, model, pred_col="__lang", score_col="__score")
     found = found.where("__lang <> 'und'").withColumn("lang", F.coalesce("lang", "__lang"))
     return found.select(*docs.columns)
 
