@@ -101,19 +101,15 @@ TERMS = [("Net Revenue", ["revenue, net"]), ("Churn", ["customer churn rate"]),
 
 
 def plain_align(name, terms, taken):
-    clean = lambda s: re.sub(r"\s+", " ", re.sub(r"[_\-.]+", " ", s.lower().strip()))
-    best, top = None, 0.0
-    for term, synonyms in sorted(terms):
-        for via in [term, *synonyms]:
-            score = difflib.SequenceMatcher(None, clean(name), clean(via)).ratio()
-            if score > top:
-                best, top = term, score
-    if best is None or top < 0.5:
+    """The maximum over all pairs of the name and a term's wording; the first term in order where several reach it."""
+    squash = lambda s: " ".join(re.split(r"[\s_.-]+", s.lower())).strip()
+    pairs = [(difflib.SequenceMatcher(None, squash(name), squash(w)).ratio(), term) for term, others in terms for w in [term, *others]]
+    top = max((score for score, _ in pairs), default=0.0)
+    if top < 0.5:
         return (name, "no_match", round(top, 2), None)
-    result = "match" if top >= 0.9 else "possible_duplicate"
-    if clean(name) in {clean(t) for t in taken} and best.lower() != name.lower():
-        result = "conflict"
-    return (name, result, round(top, 2), best)
+    term = min(t for score, t in pairs if score == top)
+    clash = term.lower() != name.lower() and squash(name) in map(squash, taken)
+    return (name, "conflict" if clash else "possible_duplicate" if top < 0.9 else "match", round(top, 2), term)
 
 
 @pytest.mark.parametrize("block", [1, 3, 2000])
