@@ -188,31 +188,69 @@ def _spread(labels: DataFrame, edges: DataFrame, frm: str, to: str) -> DataFrame
     return labels
 
 
-def find_cycles(refs: DataFrame) -> DataFrame:
-    """Nodes that lie on a cycle of ``refs`` (src, dst), with the smallest node of their cycle group as cycle_id.
+def _compress(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame] | None:
+    """Replace every run of nodes with one edge in and one out by a single edge; None where there is no such run.
 
-    Nodes no cycle can use (nothing in, or nothing out) are peeled off first.
-    What is left is split by colours: every node takes the largest node that
-    reaches it; the part of a colour that also reaches back to its root is one
-    group of nodes that all reach each other. Work per round is linear in the
-    edges left; no closure is built.
+    Gives the edges left, the inner nodes (node, src, dst: the ends of their run), the nodes whose run leads back to
+    them, and the rings (node, cycle_id) that consist of inner nodes only. Each inner node points at its successor while
+    that is an inner node too; pointers are followed twice as far in each round, so a run of n nodes takes log2(n) rounds.
     """
-    edges = cut_lineage(refs.filter("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst").distinct())
-    loops = edges.filter("src = dst").select(F.col("src").alias("node"))
-    edges = cut_lineage(edges.filter("src <> dst"))
-    groups = None
+    ends = F.array(
+        F.struct(F.col("src").alias("node"), F.col("dst").alias("next"), F.lit(None).alias("prev")),
+        F.struct(F.col("dst").alias("node"), F.lit(None).alias("next"), F.col("src").alias("prev")),
+    )
+    inner = cut_lineage(
+        edges.select(F.inline(ends)).groupBy("node")
+        .agg(F.count("next").alias("n_out"), F.count("prev").alias("n_in"), F.max("next").alias("next"), F.max("prev").alias("prev"))
+        .filter("n_out = 1 AND n_in = 1").select("node", "next", "prev")
+    )
+    known = inner.select(F.col("node").alias("at"), F.lit(True).alias("there"))
+    followed = inner.join(known, inner["next"] == known["at"], "left")
+    last = F.col("there").isNull()
+    steps = cut_lineage(
+        followed.select("node", F.when(last, F.col("node")).otherwise(F.col("next")).alias("to"), F.col("node").alias("low"), last.alias("ended"))
+    )
+    # Runs of one or two inner nodes need no jumping, but nothing shrinks without any inner node.
+    if steps.isEmpty():
+        return None
+    open_before = None
     while True:
-        before = edges.count()
-        while before:
-            kept = present_both_ways(edges)
-            edges = cut_lineage(kept)
-            after = edges.count()
-            if after == before:
-                break
-            before = after
-        if not before:
+        ahead = steps.select(F.col("node").alias("to"), F.col("to").alias("further"), F.col("low").alias("low_ahead"), F.col("ended").alias("ended_ahead"))
+        going = steps.filter("NOT ended").join(ahead, "to").select(
+            "node", F.col("further").alias("to"), F.least("low", "low_ahead").alias("low"), F.col("ended_ahead").alias("ended"),
+            (F.col("low_ahead") < F.col("low")).alias("sank"),
+        )
+        moved = cut_lineage(steps.filter("ended").withColumn("sank", F.lit(False)).unionByName(going))
+        still = moved.filter("NOT ended").agg(F.count("*").alias("n"), F.coalesce(F.bool_or("sank"), F.lit(False)).alias("sank")).first()
+        steps = moved.drop("sank")
+        # Every open run ends for some more nodes in each round; where none does, only rings are open.
+        if still["n"] == 0 or (still["n"] == open_before and not still["sank"]):
             break
-        nodes = edges.select(F.col("src").alias("node")).distinct()
+        open_before = still["n"]
+    rings = steps.filter("NOT ended").select("node", F.col("low").alias("cycle_id"))
+    runs = steps.filter("ended").select("node", F.col("to").alias("tail")).join(inner, "node")
+    outside = runs.join(known, runs["prev"] == known["at"], "left")
+    # A run has one first node (its predecessor is no inner node) and one last node (its own tail).
+    spans = outside.groupBy("tail").agg(
+        F.max(F.when(F.col("there").isNull(), F.col("prev"))).alias("src"), F.max(F.when(F.col("node") == F.col("tail"), F.col("next"))).alias("dst")
+    )
+    spans = cut_lineage(spans)
+    members = cut_lineage(runs.select("node", "tail").join(spans, "tail").select("node", "src", "dst"))
+    rest = missing(missing(edges, inner, ["src"], ["node"]), inner, ["dst"], ["node"])
+    left = cut_lineage(rest.unionByName(spans.filter("src <> dst").select("src", "dst")).distinct())
+    closed = spans.filter("src = dst").select(F.col("src").alias("node")).distinct()
+    return left, members, closed, cut_lineage(rings)
+
+
+def _groups_by_colour(edges: DataFrame) -> DataFrame | None:
+    """Groups (node, cycle_id) of nodes that all reach each other, for edges without loops; None if there are none.
+
+    Every node takes the largest node that reaches it as its colour; the part of a colour that also reaches back to its
+    root is one group. What is left is coloured again.
+    """
+    groups = None
+    while not edges.isEmpty():
+        nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
         colour = _spread(cut_lineage(nodes.withColumn("label", F.col("node"))), edges, "src", "dst")
         ends = colour.withColumnRenamed("label", "colour")
         inner = cut_lineage(
@@ -227,13 +265,46 @@ def find_cycles(refs: DataFrame) -> DataFrame:
         sized = found.groupBy("colour").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("cycle_id")).filter("n > 1")
         members = cut_lineage(found.join(sized, "colour").select("node", "cycle_id"))
         groups = members if groups is None else groups.unionByName(members)
-        edges = cut_lineage(
-            missing(missing(edges, found, ["src"], ["node"]), found, ["dst"], ["node"])
-        )
-    if groups is None:
-        return loops.select("node", F.col("node").alias("cycle_id"))
-    alone = missing(loops, groups, ["node"]).select("node", F.col("node").alias("cycle_id"))
-    return groups.unionByName(alone)
+        edges = cut_lineage(present_both_ways(missing(missing(edges, found, ["src"], ["node"]), found, ["dst"], ["node"])))
+    return groups
+
+
+def find_cycles(refs: DataFrame) -> DataFrame:
+    """Nodes that lie on a cycle of ``refs`` (src, dst), with the smallest node of their cycle group as cycle_id.
+
+    Edges shrink in rounds: nodes no cycle can use (nothing in, or nothing out) are peeled off, and runs of nodes with one
+    edge in and one out become one edge. A chain of n nodes takes log2(n) rounds of jumps, not n. What no round shrinks is
+    split by colours; then the runs are unfolded again, the last first: their nodes belong to the group that holds both ends.
+    Work per round is linear in the edges left; no closure is built. Null ends are no edges.
+    """
+    edges = cut_lineage(refs.filter("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst").distinct())
+    loops = edges.filter("src = dst").select(F.col("src").alias("node"))
+    edges = cut_lineage(edges.filter("src <> dst"))
+    kept = edges.limit(0).select(F.col("src").alias("node"), F.col("src").alias("cycle_id"))
+    folded = []
+    size = edges.count()
+    while size:
+        edges = cut_lineage(present_both_ways(edges))
+        shorter = _compress(edges)
+        if shorter is not None:
+            edges, *unfold = shorter
+            folded.append(unfold)
+        before, size = size, edges.count()
+        if size == before:
+            break
+    core = _groups_by_colour(edges) if size else None
+    groups = kept if core is None else core
+    for members, closed, rings in reversed(folded):
+        alone = missing(closed, groups, ["node"]).select("node", F.col("node").alias("cycle_id"))
+        groups = groups.unionByName(alone)
+        first = groups.select(F.col("node").alias("src"), "cycle_id")
+        second = groups.select(F.col("node").alias("dst"), F.col("cycle_id").alias("other"))
+        between = members.join(first, "src").join(second, "dst").filter("cycle_id = other").select("node", "cycle_id")
+        groups = cut_lineage(groups.unionByName(between).unionByName(rings))
+    # Unfolded nodes may be smaller than the node that named their group.
+    least = groups.groupBy("cycle_id").agg(F.min("node").alias("least"))
+    groups = cut_lineage(groups.join(least, "cycle_id").select("node", F.col("least").alias("cycle_id")))
+    return groups.unionByName(missing(loops, groups, ["node"]).select("node", F.col("node").alias("cycle_id")))
 
 
 def _spread_from_marked(marks: DataFrame, edges: DataFrame) -> DataFrame:
@@ -308,3 +379,27 @@ def joint_groups(metrics: DataFrame) -> DataFrame:
     return (
         metrics.filter("size(grain) > 0").groupBy(key.alias("grain")).agg(F.count(F.lit(1)).alias("metric_count"))
     )
+
+
+def rollup_pairs(metrics: DataFrame) -> DataFrame:
+    """Which grains roll up to which: grain, base_grain, relation, metric_count, base_metric_count.
+
+    ``metrics``: metric, grain. One row per pair of distinct grains where the first is within the second
+    (``rollup_safe``) or both are the same (``shared_grain``). Metrics without a grain, or with an empty one, have no row;
+    repeated and null columns of a grain do not count. Grains meet as a containment join: a grain is looked up under its
+    rarest column only, and every base that holds this column is compared in full; no metrics are paired.
+    """
+    clean = F.array_sort(F.array_distinct(F.array_compact("grain")))
+    grains = cut_lineage(
+        metrics.select(clean.alias("grain")).filter("size(grain) > 0").groupBy("grain").agg(F.count(F.lit(1)).alias("metric_count"))
+    )
+    columns = grains.select("grain", "metric_count", F.explode("grain").alias("column"))
+    frequency = columns.groupBy("column").agg(F.count(F.lit(1)).alias("n_grains"))
+    rarest = (
+        columns.join(frequency, "column").groupBy("grain", "metric_count")
+        .agg(F.min(F.struct("n_grains", "column"))["column"].alias("column"))
+    )
+    bases = columns.select("column", F.col("grain").alias("base_grain"), F.col("metric_count").alias("base_metric_count"))
+    inside = (F.size("grain") <= F.size("base_grain")) & (F.size(F.array_except("grain", "base_grain")) == 0)
+    relation = F.when(F.size("grain") == F.size("base_grain"), "shared_grain").otherwise("rollup_safe")
+    return rarest.join(bases, "column").filter(inside).select("grain", "base_grain", relation.alias("relation"), "metric_count", "base_metric_count")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallymark.operators import graph as G
+from tallymark.operators.reach_index import leads_to, reach_index
 
 from .base import book
 
@@ -166,3 +167,43 @@ def _unreached(t):
     metrics, models, dimensions, links = _visibility(t)
     one = metrics.filter("metric = 'balance_1'")
     return G.unreached_dimensions(G.dimension_matrix(one, models, dimensions, links), dimensions, "balance_1")
+
+# ---- many pairs at once, and grains within grains ----------------------------------------
+
+_PAIRS_SQL = """
+SELECT DISTINCT 'o' || l_orderkey AS start, 'n' || l_partkey % 25 AS target FROM lineitem UNION SELECT 's' || l_suppkey, 'r' || l_partkey % 5 FROM lineitem
+UNION SELECT 'o' || l_orderkey, 's' || l_partkey % 100 FROM lineitem UNION SELECT 'o' || o_orderkey, 'c' || o_custkey FROM orders UNION SELECT 'c' || o_custkey, 'o' || o_orderkey FROM orders"""
+book.add("g4_many_pairs", f"""
+WITH RECURSIVE e AS MATERIALIZED (SELECT child, parent FROM ({EDGES_SQL})), p AS MATERIALIZED ({_PAIRS_SQL}),
+w AS (SELECT DISTINCT start, start AS node FROM p UNION SELECT w.start, e.parent FROM w JOIN e ON w.node = e.child)
+SELECT p.start, p.target, w.node IS NOT NULL AS reaches FROM p LEFT JOIN w ON p.start = w.start AND p.target = w.node""")(
+    lambda t: leads_to(_pairs(t), reach_index(edges(t))))
+
+
+def _pairs(t) -> DataFrame:
+    def pair(df, a, start, b, target):
+        return df.select(F.concat(F.lit(a), start).alias("start"), F.concat(F.lit(b), target).alias("target"))
+
+    part = F.col("l_partkey")
+    return reduce(DataFrame.unionByName, [
+        pair(t.lineitem, "o", "l_orderkey", "n", part % 25), pair(t.lineitem, "s", "l_suppkey", "r", part % 5),
+        pair(t.lineitem, "o", "l_orderkey", "s", part % 100), pair(t.orders, "o", "o_orderkey", "c", "o_custkey"),
+        pair(t.orders, "c", "o_custkey", "o", "o_orderkey")]).distinct()
+
+
+# Each customer is a metric; the states and priorities of its orders and its segment are the columns of its grain.
+_GRAINS_SQL = """
+SELECT string_agg(DISTINCT k, ',' ORDER BY k) AS grain, list_sort(list(DISTINCT k)) AS columns FROM (
+  SELECT o_custkey, unnest(['status_' || o_orderstatus, 'priority_' || o_orderpriority, 'segment_' || c_mktsegment]) AS k FROM orders JOIN customer ON o_custkey = c_custkey) GROUP BY o_custkey"""
+book.add("q16_rollup_pairs", f"""
+WITH g AS (SELECT grain, columns, COUNT(*) AS n FROM ({_GRAINS_SQL}) GROUP BY ALL)
+SELECT a.grain, b.grain AS base_grain, CASE WHEN a.grain = b.grain THEN 'shared_grain' ELSE 'rollup_safe' END AS relation, a.n AS metric_count, b.n AS base_metric_count
+FROM g a JOIN g b ON list_has_all(b.columns, a.columns)""")(lambda t: _rollups(t))
+
+
+def _rollups(t) -> DataFrame:
+    held = F.array(F.concat(F.lit("status_"), "o_orderstatus"), F.concat(F.lit("priority_"), "o_orderpriority"), F.concat(F.lit("segment_"), "c_mktsegment"))
+    rows = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select("o_custkey", F.explode(held).alias("k"))
+    metrics = rows.groupBy("o_custkey").agg(F.collect_set("k").alias("grain"))
+    return G.rollup_pairs(metrics).select(
+        F.array_join("grain", ",").alias("grain"), F.array_join("base_grain", ",").alias("base_grain"), "relation", "metric_count", "base_metric_count")
