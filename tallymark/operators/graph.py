@@ -188,8 +188,8 @@ def _spread(labels: DataFrame, edges: DataFrame, frm: str, to: str) -> DataFrame
     return labels
 
 
-def _compress(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame] | None:
-    """Replace every run of nodes with one edge in and one out by a single edge; None where there is no such run.
+def _compress(edges: DataFrame, least: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame] | None:
+    """Replace every run of nodes with one edge in and one out by a single edge; None where fewer than ``least`` nodes stand in runs.
 
     Gives the edges left, the inner nodes (node, src, dst: the ends of their run), the nodes whose run leads back to
     them, and the rings (node, cycle_id) that consist of inner nodes only. Each inner node points at its successor while
@@ -204,15 +204,14 @@ def _compress(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFr
         .agg(F.count("next").alias("n_out"), F.count("prev").alias("n_in"), F.max("next").alias("next"), F.max("prev").alias("prev"))
         .filter("n_out = 1 AND n_in = 1").select("node", "next", "prev")
     )
+    if len(inner.take(least)) < least:
+        return None
     known = inner.select(F.col("node").alias("at"), F.lit(True).alias("there"))
     followed = inner.join(known, inner["next"] == known["at"], "left")
     last = F.col("there").isNull()
     steps = cut_lineage(
         followed.select("node", F.when(last, F.col("node")).otherwise(F.col("next")).alias("to"), F.col("node").alias("low"), last.alias("ended"))
     )
-    # Runs of one or two inner nodes need no jumping, but nothing shrinks without any inner node.
-    if steps.isEmpty():
-        return None
     open_before = None
     while True:
         ahead = steps.select(F.col("node").alias("to"), F.col("to").alias("further"), F.col("low").alias("low_ahead"), F.col("ended").alias("ended_ahead"))
@@ -269,13 +268,14 @@ def _groups_by_colour(edges: DataFrame) -> DataFrame | None:
     return groups
 
 
-def find_cycles(refs: DataFrame) -> DataFrame:
+def find_cycles(refs: DataFrame, least_folded: int = 16) -> DataFrame:
     """Nodes that lie on a cycle of ``refs`` (src, dst), with the smallest node of their cycle group as cycle_id.
 
     Edges shrink in rounds: nodes no cycle can use (nothing in, or nothing out) are peeled off, and runs of nodes with one
     edge in and one out become one edge. A chain of n nodes takes log2(n) rounds of jumps, not n. What no round shrinks is
     split by colours; then the runs are unfolded again, the last first: their nodes belong to the group that holds both ends.
-    Work per round is linear in the edges left; no closure is built. Null ends are no edges.
+    Work per round is linear in the edges left; no closure is built. Null ends are no edges. Fewer than ``least_folded``
+    nodes in runs stay as they are: walking them takes no more rounds than folding them; the groups are the same.
     """
     edges = cut_lineage(refs.filter("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst").distinct())
     loops = edges.filter("src = dst").select(F.col("src").alias("node"))
@@ -285,12 +285,16 @@ def find_cycles(refs: DataFrame) -> DataFrame:
     size = edges.count()
     while size:
         edges = cut_lineage(present_both_ways(edges))
-        shorter = _compress(edges)
+        before, size = size, edges.count()
+        # While peeling takes an eighth of the edges or more, its rounds are few by themselves.
+        if size <= before - before // 8 - 1:
+            continue
+        shorter = _compress(edges, least_folded) if size else None
         if shorter is not None:
             edges, *unfold = shorter
             folded.append(unfold)
-        before, size = size, edges.count()
-        if size == before:
+            size = edges.count()
+        elif size == before:
             break
     core = _groups_by_colour(edges) if size else None
     groups = kept if core is None else core

@@ -44,7 +44,7 @@ def shapes():
 @pytest.mark.parametrize("name", list(shapes()))
 def test_cycles_of_shapes(spark, name):
     edges = shapes()[name]
-    got = G.find_cycles(spark.createDataFrame([*edges, *edges[:1], (None, 1), (1, None)], "src int, dst int"))
+    got = G.find_cycles(spark.createDataFrame([*edges, *edges[:1], (None, 1), (1, None)], "src int, dst int"), least_folded=1)
     assert sorted(tuple(r) for r in got.select("node", "cycle_id").collect()) == sorted(cycle_groups(edges))
 
 
@@ -52,8 +52,9 @@ def test_cycles_of_shapes(spark, name):
 def test_cycles_of_sparse_graphs(spark, seed):
     pick = random.Random(seed)
     edges = [(pick.randrange(30), pick.randrange(30)) for _ in range(36)]
-    got = G.find_cycles(spark.createDataFrame(edges, "src int, dst int"))
-    assert {tuple(r) for r in got.select("node", "cycle_id").collect()} == cycle_groups(edges)
+    for least in (1, 16):
+        got = G.find_cycles(spark.createDataFrame(edges, "src int, dst int"), least)
+        assert {tuple(r) for r in got.select("node", "cycle_id").collect()} == cycle_groups(edges)
 
 
 def test_long_chain_and_long_ring_take_few_rounds(spark, monkeypatch):
