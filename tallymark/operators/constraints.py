@@ -64,7 +64,8 @@ def infer_fks(columns: DataFrame, known: DataFrame | None = None, strict: bool =
 
     ``columns``: table_name, column_name. ``x_id`` tries tables xs, xes, x and x
     without its last s, in that order; ``x_fk`` tries x. The target must have an
-    ``id`` column unless ``strict=False``.
+    ``id`` column unless ``strict=False``. Names are shuffled and merged: both sides grow with the catalog, and a side
+    of similar names packs so well that its shuffled size would pass for small enough to broadcast.
     """
     lowered = F.lower("column_name")
     names = F.when(lowered.endswith("_fk"), F.array(F.regexp_replace(lowered, "_fk$", ""))).otherwise(
@@ -72,10 +73,10 @@ def infer_fks(columns: DataFrame, known: DataFrame | None = None, strict: bool =
     )
     tried = columns.select("table_name", "column_name", F.posexplode(names).alias("rank", "target"))
     if known is not None:
-        tried = missing(tried, known, ["table_name", "column_name"])
+        tried = missing(tried, known.hint("merge"), ["table_name", "column_name"])
     owners = columns.filter(F.col("column_name") == "id") if strict else columns
     targets = owners.groupBy(F.lower("table_name").alias("target")).agg(F.max("table_name").alias("to_table"))
-    hits = tried.join(targets, "target")
+    hits = tried.join(targets.hint("merge"), "target")
     best = hits.groupBy("table_name", "column_name").agg(F.min_by("to_table", "rank").alias("to_table"))
     return best.select(
         F.col("table_name").alias("model_name"), "column_name", F.lit("INFERRED_FK").alias("constraint_type"),
