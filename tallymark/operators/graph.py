@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import INVALID_FILTER_VALUE, MetricError
-from ..session import cut_lineage
+from ..session import cut_lineage, small_side, stored
 from .joins import missing
 
 SEPARATOR = " -> "
@@ -78,7 +78,7 @@ def subgraph_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return inside.join(ends.withColumnRenamed("node", "dst"), "dst", "left_semi").select(*edges.columns)
 
 
-def reachable(edges: DataFrame, starts: DataFrame, max_hops: int | None = None) -> DataFrame:
+def reachable(edges: DataFrame, starts: DataFrame, max_hops: int | None = None, least_shared: int = 1000) -> DataFrame:
     """Everything each start reaches over child -> parent edges.
 
     ``edges``: child, parent and optionally provenance, fk, pk. ``starts``: column start.
@@ -87,6 +87,10 @@ def reachable(edges: DataFrame, starts: DataFrame, max_hops: int | None = None)
     row is kept per (start, node), so cycles end and rows stay linear. The walk ends when
     nothing new is found; with ``max_hops`` it ends there, and raises if more would follow.
     ``path_count`` stays at the largest bigint instead of overflowing.
+
+    ``least_shared`` starts or more share the walks of the nodes their first edges lead to: those are walked once, and
+    each start takes over what its first nodes reach, in one shuffle and without a table per hop. Where that would make
+    more than ``_SHARED_ROWS`` rows per first edge, every start walks by itself.
     """
     has = set(edges.columns)
     provenance = F.col("provenance") if "provenance" in has else F.lit("explicit")
@@ -101,17 +105,49 @@ def reachable(edges: DataFrame, starts: DataFrame, max_hops: int | None = None)
         .groupBy("child", "parent")
         .agg(F.max("explicit").alias("explicit"), F.min("key").alias("key"))
     )
-    links = cut_lineage(one_each)
-    frontier = starts.select("start").distinct().select(
+    links = stored(one_each, "links")
+    begin = stored(starts.select("start").distinct(), "starts")
+    if len(begin.take(least_shared)) == least_shared:
+        shared = _shared_walks(links, begin, max_hops)
+        if shared is not None:
+            if max_hops is not None and not shared.filter(F.col("hops") > max_hops).isEmpty():
+                raise MetricError(INVALID_FILTER_VALUE, f"the walk goes on after {max_hops} hops")
+            return shared
+    found, hops = _walk(links, begin, None if max_hops is None else max_hops + 1)
+    if max_hops is not None and hops > max_hops:
+        raise MetricError(INVALID_FILTER_VALUE, f"the walk goes on after {max_hops} hops")
+    return found
+
+
+#: Rows per first edge up to which starts take over walks of the nodes their first edges lead to.
+_SHARED_ROWS = 8
+_WALKED = ["start", "node", "hops", "path", "path_count", "all_explicit", "join_keys"]
+
+
+def _at_start(starts: DataFrame) -> DataFrame:
+    """Each start as reached by no hop."""
+    return starts.select(
         "start", F.col("start").alias("node"), F.lit(0).alias("hops"), F.col("start").cast("string").alias("path"),
         F.lit(1).cast("bigint").alias("path_count"), F.lit(True).alias("all_explicit"), F.lit("").alias("join_keys"),
     )
-    seen = frontier = cut_lineage(frontier)
-    columns = seen.columns
+
+
+def _count_paths() -> Column:
+    return F.coalesce(F.try_sum("path_count"), F.lit(2**63 - 1)).alias("path_count")
+
+
+def _walk(links: DataFrame, starts: DataFrame, last: int | None = None, goes_on=None) -> tuple[DataFrame, int] | None:
+    """Shortest walks of each start, a hop a round, ``last`` hops at most: the rows and the largest number of hops.
+
+    None as soon as ``goes_on`` refuses the rows of a hop.
+    """
+    seen = frontier = stored(_at_start(starts), "walk")
     hop = 0
-    while True:
-        hop += 1
-        step = frontier.join(links, frontier["node"] == links["child"])
+    while hop != last:
+        rows = frontier.count()
+        if goes_on is not None and not goes_on(frontier):
+            return None
+        step = small_side(frontier, rows).join(links, F.col("node") == F.col("child"))
         # One struct per (start, node): the smallest path brings its own flags along.
         candidate = F.struct(
             F.concat("path", F.lit(SEPARATOR), "parent").alias("path"),
@@ -120,18 +156,53 @@ def reachable(edges: DataFrame, starts: DataFrame, max_hops: int | None = None)
         )
         found = (
             step.groupBy("start", F.col("parent").alias("node"))
-            .agg(F.min(candidate).alias("best"), F.coalesce(F.try_sum("path_count"), F.lit(2**63 - 1)).alias("path_count"))
-            .select("start", "node", F.lit(hop).alias("hops"), "best.path", "path_count", "best.all_explicit", "best.join_keys")
+            .agg(F.min(candidate).alias("best"), _count_paths())
+            .select("start", "node", F.lit(hop + 1).alias("hops"), "best.path", "path_count", "best.all_explicit", "best.join_keys")
         )
-        frontier = cut_lineage(missing(found, seen, ["start", "node"]).select(*columns))
+        frontier = stored(missing(found, seen.hint("merge"), ["start", "node"]).select(*_WALKED), "walk")
         if frontier.isEmpty():
             break
-        if max_hops is not None and hop > max_hops:
-            raise MetricError(INVALID_FILTER_VALUE, f"the walk goes on after {max_hops} hops")
+        hop += 1
         seen = seen.unionByName(frontier)
         if hop % 16 == 0:
-            seen = cut_lineage(seen)
-    return seen
+            seen = stored(seen, "walk")
+    return seen, hop
+
+
+def _shared_walks(links: DataFrame, starts: DataFrame, max_hops: int | None) -> DataFrame | None:
+    """``reachable`` by walks of the nodes that first edges lead to; None if those reach too much to be worth it."""
+    inner = links.select(F.col("parent").alias("child")).distinct().withColumn("inner", F.lit(True))
+    outer = starts.select(F.col("start").alias("child")).withColumn("first", F.lit(True))
+    # One pass deals the edges: those that leave a start, and those that walks can come upon.
+    dealt = stored(links.join(inner.hint("merge"), "child", "left").join(outer.hint("merge"), "child", "left"), "dealt")
+    first = dealt.filter("first").select("child", "parent", "explicit", "key")
+    fan = stored(first.groupBy("parent").agg(F.count(F.lit(1)).alias("n")).select(F.col("parent").alias("start"), "n"), "fan")
+    onward = stored(dealt.filter("inner").select("child", "parent", "explicit", "key"), "onward")
+    left = _SHARED_ROWS * (fan.agg(F.sum("n")).first()[0] or 0)
+    by_fan = small_side(fan)
+
+    def goes_on(frontier: DataFrame) -> bool:
+        nonlocal left
+        left -= frontier.join(by_fan, "start").agg(F.sum("n")).first()[0] or 0
+        return left >= 0
+
+    walked = _walk(onward, fan.select("start"), max_hops, goes_on)
+    if walked is None:
+        return None
+    reach = walked[0].select(
+        F.col("start").alias("parent"), "node", (F.col("hops") + 1).alias("hops"), F.col("path").alias("onward"), "path_count",
+        "all_explicit", F.when(F.col("join_keys") != "", F.col("join_keys")).alias("onward_keys"),
+    )
+    # One shuffle serves both groupings: the paths of each length, then the shortest length.
+    offers = first.hint("merge").join(reach.hint("merge"), "parent").filter("child <> node").repartition("child", "node")
+    best = F.min(F.struct("onward", (F.col("all_explicit") & F.col("explicit")).alias("all_explicit"), "key", "onward_keys"))
+    lengths = offers.groupBy("child", "node", "hops").agg(best.alias("best"), _count_paths())
+    least = lengths.groupBy("child", "node").agg(F.min(F.struct("hops", "best", "path_count")).alias("least"))
+    found = least.select(
+        F.col("child").alias("start"), "node", "least.hops", F.concat("child", F.lit(SEPARATOR), "least.best.onward").alias("path"),
+        "least.path_count", "least.best.all_explicit", F.concat_ws(";", "least.best.key", "least.best.onward_keys").alias("join_keys"),
+    )
+    return _at_start(starts).unionByName(found)
 
 
 def shortest_path(edges: DataFrame, start: str, target: str | Sequence[str], max_hops: int | None = None) -> DataFrame:

@@ -2,7 +2,16 @@
 
 from __future__ import annotations
 
+import random
+from pathlib import Path
+
+import pytest
+from pyspark.sql import functions as F
+
+from tallymark import MetricError
 from tallymark.operators import constraints as K
+from tallymark.operators import graph as G
+from tallymark.session import shared_folder
 
 
 def executed(df):
@@ -19,3 +28,44 @@ def test_inferred_keys_are_not_broadcast(spark):
     got, plan = executed(K.infer_fks(catalog, known))
     assert {(r["model_name"], r["to_table"]) for r in got} == {(f"t{i}", f"t{i + 1}") for i in range(1, 299)}
     assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+
+
+def folder_bytes(spark):
+    root = Path(shared_folder(spark).removeprefix("file://").removeprefix("file:"))
+    return sum(p.stat().st_size for p in root.rglob("*") if p.is_file())
+
+
+def test_many_starts_leave_no_table_per_hop(spark):
+    """Starts that share what they lead to: less is kept on disk than a few bytes for each row of the result."""
+    edges = [(f"o{i}", f"c{(i * 7 + k) % 40}") for i in range(4000) for k in range(3)] + [(f"c{i}", f"n{i % 5}") for i in range(40)] + [(f"n{i}", "r") for i in range(5)]
+    frame = spark.createDataFrame(edges, "child string, parent string")
+    starts = spark.createDataFrame([(f"o{i}",) for i in range(4000)], "start string")
+    before = folder_bytes(spark)
+    got = G.reachable(frame, starts)
+    rows = got.count()
+    assert rows == 4000 * (1 + 3 + 3 + 1)
+    assert folder_bytes(spark) - before < 30 * rows
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_shared_walks_equal_walks_of_each_start(spark, seed):
+    pick = random.Random(seed)
+    edges = [(f"n{pick.randrange(20)}", f"n{pick.randrange(20)}", pick.choice(["explicit", "guess"]), pick.choice(["", "a", "b"]), "id") for _ in range(34)]
+    edges += [(None, "n1", "explicit", "a", "id"), ("n1", None, "explicit", "a", "id")]
+    frame = spark.createDataFrame(edges, "child string, parent string, provenance string, fk string, pk string")
+    starts = spark.createDataFrame([(f"n{i}",) for i in range(22)] + [(None,)], "start string")
+    plain = G.reachable(frame, starts, least_shared=10**6)
+    deep = plain.agg(F.max("hops")).first()[0]
+    for hops in (None, deep):
+        shared = G.reachable(frame, starts, hops, least_shared=1)
+        assert sorted(map(str, shared.collect())) == sorted(map(str, plain.collect()))
+    with pytest.raises(MetricError):
+        G.reachable(frame, starts, deep - 1, least_shared=1)
+
+
+def test_starts_that_reach_too_much_walk_by_themselves(spark):
+    """Every node of a chain leads to all later ones: nothing to share, the same rows."""
+    frame = spark.createDataFrame([(i, i + 1) for i in range(30)], "child int, parent int")
+    starts = spark.createDataFrame([(i,) for i in range(30)], "start int")
+    got = {(r["start"], r["node"], r["hops"]) for r in G.reachable(frame, starts, least_shared=1).collect()}
+    assert got == {(a, b, b - a) for a in range(30) for b in range(a, 31)}

@@ -26,14 +26,19 @@ EDGES_SQL = " UNION ".join(
     for a, ak, b, bk, table, how, fk, pk in _LINKS)
 
 
-def edges(t) -> DataFrame:
+def every_edge(t) -> DataFrame:
+    """Edges as often as rows state them, for walks that fold them anyway."""
     parts = [
         getattr(t, table).select(
             F.concat(F.lit(a), ak).alias("child"), F.concat(F.lit(b), bk).alias("parent"),
             F.lit(how).alias("provenance"), F.lit(fk).alias("fk"), F.lit(pk).alias("pk"))
         for a, ak, b, bk, table, how, fk, pk in _LINKS
     ]
-    return reduce(DataFrame.unionByName, parts).distinct()
+    return reduce(DataFrame.unionByName, parts)
+
+
+def edges(t) -> DataFrame:
+    return every_edge(t).distinct()
 
 
 def plain(t) -> DataFrame:
@@ -91,7 +96,7 @@ WITH n AS (SELECT child AS node FROM ({EDGES_SQL}) WHERE parent = 'n3' UNION SEL
 SELECT DISTINCT child AS src, parent AS dst FROM ({EDGES_SQL}) WHERE child IN (SELECT node FROM n) AND parent IN (SELECT node FROM n)""")(
     lambda t: G.subgraph_edges(plain(t), G.neighbors(plain(t), seed(t, "n3"), 1)))
 book.add("g3_reachable_from_every_order", _walk_sql(_EACH_ORDER))(
-    lambda t: G.reachable(edges(t), t.orders.select(F.concat(F.lit("o"), "o_orderkey").alias("start"))))
+    lambda t: G.reachable(every_edge(t), t.orders.select(F.concat(F.lit("o"), "o_orderkey").alias("start"))))
 book.add("g4_shortest_path", f"SELECT start, node, hops, path, join_keys, path_count, path_count = 1 AS is_unique FROM ({_walk_sql(_ONE.format('c1'))}) WHERE node LIKE 'r%'")(
     lambda t: G.shortest_path(edges(t), "c1", [f"r{i}" for i in range(5)]))
 book.add("g5_joinable", f"SELECT node, hops, path, join_keys FROM ({_walk_sql(_ONE.format('o2'), f'''SELECT * FROM ({EDGES_SQL}) WHERE fk <> '' ''')}) WHERE hops > 0")(
@@ -177,7 +182,7 @@ book.add("g4_many_pairs", f"""
 WITH RECURSIVE e AS MATERIALIZED (SELECT child, parent FROM ({EDGES_SQL})), p AS MATERIALIZED ({_PAIRS_SQL}),
 w AS (SELECT DISTINCT start, start AS node FROM p UNION SELECT w.start, e.parent FROM w JOIN e ON w.node = e.child)
 SELECT p.start, p.target, w.node IS NOT NULL AS reaches FROM p LEFT JOIN w ON p.start = w.start AND p.target = w.node""")(
-    lambda t: leads_to(_pairs(t), reach_index(edges(t))))
+    lambda t: leads_to(_pairs(t), reach_index(every_edge(t))))
 
 
 def _pairs(t) -> DataFrame:
