@@ -2,93 +2,134 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import BROADCAST_ROWS, small_side, stored
 from .graph import find_cycles
 from .joins import missing
 
 _KEY = ["way", "hub", "node"]
 
 
-def _folded(edges: DataFrame, groups: DataFrame) -> DataFrame:
-    """Edges between groups of nodes that all reach each other; a group goes by its smallest node."""
-    own = lambda end: groups.select(F.col("node").alias(end), F.col("cycle_id").alias(f"{end}_group"))
-    named = edges.join(own("child"), "child", "left").join(own("parent"), "parent", "left")
-    return (
-        named.select(F.coalesce("child_group", "child").alias("src"), F.coalesce("parent_group", "parent").alias("dst"))
-        .filter("src <> dst").distinct()
-    )
+def _named(rows: DataFrame, groups: DataFrame | None, end: str, to: str) -> DataFrame:
+    """``rows`` with column ``to``: the group that node ``end`` belongs to, or the node itself."""
+    if groups is None:
+        return rows.withColumn(to, F.col(end))
+    own = groups.select(F.col("node").alias(end), F.col("cycle_id").alias("own_group"))
+    return rows.join(own, end, "left").withColumn(to, F.coalesce("own_group", end)).drop("own_group")
 
 
-def reach_index(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Labels (way, hub, node) and groups (node, cycle_id) of child -> parent edges.
+def _sides(groups: DataFrame) -> DataFrame | None:
+    """Groups as one side of joins; None if there are none, so that nothing is shuffled for them."""
+    return None if groups.isEmpty() else small_side(groups)
 
-    Cycles are folded to one node first. Nodes are ranked by (edges in + 1) * (edges out + 1), equal ones by name. Each
-    node is a hub that walks both ways through nodes of lower rank only and labels them: ``to`` where the node leads to
-    the hub, ``from`` where the hub leads to it. The highest node of any path labels both its ends, so a pair is
-    connected exactly if its labels share a hub. All hubs walk at once, a hop a round; a label is dropped again if a higher
-    hub stands between its two ends. Null ends and edges from a node to itself are no edges.
-    """
-    links = cut_lineage(edges.filter("child <> parent").select("child", "parent").distinct())
-    groups = cut_lineage(find_cycles(links.select(F.col("child").alias("src"), F.col("parent").alias("dst"))))
-    links = cut_lineage(_folded(links, groups))
-    ends = F.array(
-        F.struct(F.col("src").alias("node"), F.lit(1).alias("n_out"), F.lit(0).alias("n_in")),
-        F.struct(F.col("dst").alias("node"), F.lit(0).alias("n_out"), F.lit(1).alias("n_in")),
-    )
-    weight = ((F.sum("n_out") + 1).cast("double") * (F.sum("n_in") + 1)).alias("weight")
-    ranks = cut_lineage(
-        links.select(F.inline(ends)).groupBy("node").agg(weight).select("node", F.struct("weight", "node").alias("rank"))
-    )
-    side = lambda end: ranks.select(F.col("node").alias(end), F.col("rank").alias(f"{end}_rank"))
-    ranked = links.join(side("src"), "src").join(side("dst"), "dst")
+
+def _walked_labels(links: DataFrame, weights: DataFrame) -> DataFrame:
+    """Labels (way, hub, node) of ``links`` (src, dst) without cycles, short of each node's own; ``weights``: node, weight."""
+    side = lambda end: weights.select(F.col("node").alias(end), F.col("weight").alias(f"{end}_weight"))
+    ranked = links.join(side("src").hint("merge"), "src").join(side("dst").hint("merge"), "dst")
     both = F.array(
-        F.struct(F.lit("from").alias("way"), F.col("src").alias("at"), F.col("src_rank").alias("at_rank"), F.col("dst").alias("next"), F.col("dst_rank").alias("next_rank")),
-        F.struct(F.lit("to").alias("way"), F.col("dst").alias("at"), F.col("dst_rank").alias("at_rank"), F.col("src").alias("next"), F.col("src_rank").alias("next_rank")),
+        F.struct(F.lit("from").alias("way"), F.col("src").alias("at"), F.col("src_weight").alias("at_weight"), F.col("dst").alias("next"), F.col("dst_weight").alias("next_weight")),
+        F.struct(F.lit("to").alias("way"), F.col("dst").alias("at"), F.col("dst_weight").alias("at_weight"), F.col("src").alias("next"), F.col("src_weight").alias("next_weight")),
     )
-    steps = cut_lineage(ranked.select(F.inline(both)))
-    frontier = cut_lineage(
-        steps.filter("next_rank < at_rank").select("way", F.col("at").alias("hub"), F.col("next").alias("node"), F.col("at_rank").alias("hub_rank"))
+    lower = F.struct(F.col("next_weight"), F.col("next")) < F.struct(F.col("hub_weight"), F.col("hub"))
+    steps = stored(ranked.select(F.inline(both)), "steps")
+    frontier = stored(
+        steps.withColumn("hub", F.col("at")).withColumn("hub_weight", F.col("at_weight")).filter(lower)
+        .select("way", "hub", F.col("next").alias("node"), "hub_weight"), "labels"
     )
     labels = frontier
     hops = 1
-    while not frontier.isEmpty():
-        onward = steps.select("way", F.col("at").alias("node"), "next", "next_rank")
-        found = frontier.join(onward, ["way", "node"]).filter("next_rank < hub_rank").select("way", "hub", F.col("next").alias("node"), "hub_rank")
-        frontier = cut_lineage(missing(found.dropDuplicates(_KEY), labels, _KEY))
+    while rows := frontier.count():
+        onward = steps.select("way", F.col("at").alias("node"), "next", "next_weight")
+        found = small_side(frontier, rows).join(onward, ["way", "node"]).filter(lower).select("way", "hub", F.col("next").alias("node"), "hub_weight")
+        frontier = stored(missing(found.dropDuplicates(_KEY), labels.hint("merge"), _KEY), "labels")
         labels = labels.unionByName(frontier)
         hops += 1
         if hops % 16 == 0:
-            labels = cut_lineage(labels)
-    labels = cut_lineage(labels.select(*_KEY))
+            labels = stored(labels, "labels")
+    labels = stored(labels.select(*_KEY), "labels")
     # A hub that has a higher one between itself and the labelled node adds nothing.
     opposite = F.when(F.col("way") == "to", "from").otherwise("to")
     above = labels.select(opposite.alias("way"), F.col("node").alias("hub"), F.col("hub").alias("higher"))
-    between = labels.join(above, ["way", "hub"]).join(
-        labels.select("way", F.col("hub").alias("higher"), "node"), ["way", "higher", "node"], "left_semi"
+    between = labels.join(above.hint("merge"), ["way", "hub"]).join(
+        labels.select("way", F.col("hub").alias("higher"), "node").hint("merge"), ["way", "higher", "node"], "left_semi"
     )
-    own = ranks.select(F.explode(F.array(F.lit("to"), F.lit("from"))).alias("way"), F.col("node").alias("hub"), "node")
-    return cut_lineage(missing(labels, between, _KEY).unionByName(own)), groups
+    return stored(missing(labels, between.hint("merge"), _KEY), "labels")
+
+
+def reach_index(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Labels (way, hub, node) and groups (node, cycle_id) of child -> parent edges.
+
+    Cycles are folded to one node first. Nodes are ranked by (edges in + 1) * (edges out + 1), equal ones by name. Each
+    node with edges both in and out is a hub that walks both ways through such nodes of lower rank only and labels them:
+    ``to`` where the node leads to the hub, ``from`` where the hub leads to it. The highest node of any path labels both
+    its ends, so a pair is connected exactly if its labels share a hub. All hubs walk at once, a hop a round; a label is
+    dropped again if a higher hub stands between its two ends. Nodes that nothing leads to, or that lead to nothing, stand on
+    no path between others: they take the labels of the nodes next to them, where the index is read, and only their edges
+    are kept; one such label may come up more than once. Null ends and edges from a node to itself are no edges.
+    """
+    links = stored(edges.filter("child <> parent").select(F.col("child").alias("src"), F.col("parent").alias("dst")).distinct(), "links")
+    ends = links.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("n_out")).withColumn("n_in", F.lit(0).cast("bigint"))
+    ends = ends.unionByName(links.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("n_in")).withColumn("n_out", F.lit(0).cast("bigint")))
+    nodes = stored(ends.groupBy("node").agg(F.sum("n_out").alias("n_out"), F.sum("n_in").alias("n_in")), "nodes")
+    middle = nodes.filter("n_in > 0 AND n_out > 0")
+    is_middle = lambda end: small_side(middle.select(F.col("node").alias(end), F.lit(True).alias("middle")))
+    dealt = stored(links.join(is_middle("src"), "src", "left"), "dealt")
+    outer = dealt.filter("middle IS NULL").select("src", "dst")
+    onward = stored(dealt.filter("middle").select("src", "dst").join(is_middle("dst"), "dst", "left"), "onward")
+    inner = onward.filter("middle").select("src", "dst")
+    last = onward.filter("middle IS NULL").select("src", "dst")
+    groups = stored(find_cycles(inner), "groups")
+    side = _sides(groups)
+    if side is not None:
+        inner = stored(
+            _named(_named(inner, side, "src", "a"), side, "dst", "b").select(F.col("a").alias("src"), F.col("b").alias("dst")).filter("src <> dst").distinct(), "inner"
+        )
+        outer = stored(_named(outer, side, "dst", "b").select("src", F.col("b").alias("dst")), "outer")
+        last = stored(_named(last, side, "src", "a").select(F.col("a").alias("src"), "dst"), "last")
+        nodes = stored(
+            _named(nodes, side, "node", "own").groupBy(F.col("own").alias("node")).agg(F.sum("n_out").alias("n_out"), F.sum("n_in").alias("n_in")), "nodes"
+        )
+    weights = nodes.filter("n_in > 0 AND n_out > 0").select("node", ((F.col("n_out") + 1).cast("double") * (F.col("n_in") + 1)).alias("weight"))
+    walked = _walked_labels(inner, weights)
+    own = nodes.select(F.explode(F.array(F.lit("to"), F.lit("from"))).alias("way"), F.col("node").alias("hub"), "node")
+    ahead = walked.filter("way = 'to'").select("hub", F.col("node").alias("dst"))
+    behind = walked.filter("way = 'from'").select("hub", F.col("node").alias("src"))
+    taken = [
+        outer.select(F.lit("to").alias("way"), F.col("dst").alias("hub"), F.col("src").alias("node")),
+        outer.join(small_side(ahead), "dst").select(F.lit("to").alias("way"), "hub", F.col("src").alias("node")),
+        last.select(F.lit("from").alias("way"), F.col("src").alias("hub"), F.col("dst").alias("node")),
+        last.join(small_side(behind), "src").select(F.lit("from").alias("way"), "hub", F.col("dst").alias("node")),
+    ]
+    return reduce(DataFrame.unionByName, [walked, own, *taken]), groups
 
 
 def leads_to(pairs: DataFrame, index: tuple[DataFrame, DataFrame]) -> DataFrame:
     """``pairs`` (start, target, ...) with ``reaches``: whether any path leads from start to target.
 
-    A node reaches itself, also one without edges; a null reaches nothing. Each distinct pair meets the hubs its start
-    leads to and is looked up among those that lead to its target: two joins on labels, whatever the paths' length.
+    A node reaches itself, also one without edges; a null reaches nothing. Each distinct pair is spread over the hubs of
+    the end that has fewer of them in the index, and looked up among the labels of the other: two joins on labels,
+    whatever the paths' length.
     """
     labels, groups = index
-    own = lambda end: groups.select(F.col("node").alias(end), F.col("cycle_id").alias(f"{end}_group"))
-    asked = pairs.select("start", "target").filter("start <> target").distinct()
-    asked = asked.join(own("start"), "start", "left").join(own("target"), "target", "left").select(
-        "start", "target", F.coalesce("start_group", "start").alias("a"), F.coalesce("target_group", "target").alias("b")
-    )
-    out = labels.filter("way = 'to'").select(F.col("node").alias("a"), "hub")
-    into = labels.filter("way = 'from'").select(F.col("node").alias("b"), "hub")
-    hits = asked.join(out, "a").join(into, ["b", "hub"], "left_semi").select("start", "target").distinct()
-    known = hits.select(F.col("start").alias("hit_start"), F.col("target").alias("hit_target"))
-    met = pairs.join(known, (F.col("start") == F.col("hit_start")) & (F.col("target") == F.col("hit_target")), "left")
-    reaches = F.col("hit_start").isNotNull() | F.coalesce(F.col("start") == F.col("target"), F.lit(False))
-    return met.select(*[F.col(f"`{c}`") for c in pairs.columns], reaches.alias("reaches"))
+    side = _sides(groups)
+    mapped = _named(_named(pairs, side, "start", "_a"), side, "target", "_b")
+    asked = mapped.select("_a", "_b").distinct()
+    others = {way: labels.filter((F.col("way") == way) & (F.col("hub") != F.col("node"))).select("hub", "node") for way in ("from", "to")}
+    few = next((way for way in others if others[way].limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS), None)
+    spread = few or min(others, key=lambda way: others[way].count())
+    near, far = ("_b", "_a") if spread == "from" else ("_a", "_b")
+    hubs = others[spread].select("hub", F.col("node").alias(near))
+    met = asked.join(F.broadcast(hubs) if few else hubs.hint("merge"), near).select("_a", "_b", "hub")
+    # Each end is a hub of its own.
+    met = asked.withColumn("hub", F.col(near)).unionByName(met)
+    opposite = labels.filter(F.col("way") == ("to" if spread == "from" else "from")).select("hub", F.col("node").alias(far))
+    hits = met.join(opposite.hint("merge"), [far, "hub"], "left_semi").select("_a", "_b").distinct()
+    known = hits.select(F.col("_a").alias("hit_a"), F.col("_b").alias("hit_b")).hint("merge")
+    found = mapped.join(known, (F.col("_a") == F.col("hit_a")) & (F.col("_b") == F.col("hit_b")), "left")
+    reaches = F.col("hit_a").isNotNull() | F.coalesce(F.col("_a") == F.col("_b"), F.lit(False))
+    return found.select(*[F.col(f"`{c}`") for c in pairs.columns], reaches.alias("reaches"))

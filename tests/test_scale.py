@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tallymark import MetricError
 from tallymark.operators import constraints as K
 from tallymark.operators import graph as G
+from tallymark.operators.reach_index import leads_to, reach_index
 from tallymark.session import shared_folder
 
 
@@ -69,3 +70,17 @@ def test_starts_that_reach_too_much_walk_by_themselves(spark):
     starts = spark.createDataFrame([(i,) for i in range(30)], "start int")
     got = {(r["start"], r["node"], r["hops"]) for r in G.reachable(frame, starts, least_shared=1).collect()}
     assert got == {(a, b, b - a) for a in range(30) for b in range(a, 31)}
+
+
+def test_index_keeps_little_for_nodes_that_nothing_leads_to(spark):
+    """Outer nodes keep their edges only; their labels are taken from their neighbours when the index is read."""
+    edges = [(f"o{i}", f"c{(i * 7 + k) % 40}") for i in range(4000) for k in range(3)] + [(f"c{i}", f"n{i % 5}") for i in range(40)] + [(f"n{i}", "r") for i in range(5)]
+    frame = spark.createDataFrame(edges, "child string, parent string")
+    before = folder_bytes(spark)
+    labels, groups = reach_index(frame)
+    assert folder_bytes(spark) - before < 60 * len(edges)
+    pairs = [(f"o{i}", end) for i in range(0, 4000, 400) for end in ("r", "n1", "c7", f"o{i}", f"o{i + 1}")]
+    got = {(r["start"], r["target"]) for r in leads_to(spark.createDataFrame(pairs, "start string, target string"), (labels, groups)).filter("reaches").collect()}
+    next_to = {f"o{i}": {f"c{(i * 7 + k) % 40}" for k in range(3)} for i in range(4000)}
+    holds = lambda a, b: a == b or b == "r" or b in next_to[a] or any(f"n{int(c[1:]) % 5}" == b for c in next_to[a])
+    assert got == {p for p in pairs if holds(*p)}
