@@ -6,8 +6,9 @@ anchors, and its place. Anchors seen once drop out. Stretches that equal an earl
 stretches around one anchor, is gathered into blocks of bounded size, and a suffix array of each block finds equal strings:
 suffixes are grouped by their longest Lyndon prefix, groups are processed in descending order with previous-smaller
 pointers, and each group's order is emitted in one ascending pass without recursive renaming. Anchors with more distinct
-stretches than a block holds are dealt over several blocks; these also send the hash and first place of their distinct
-strings, and the places' minimum over blocks decides.
+stretches than a block holds are halved first: strings that start further before the anchor and those that start nearer
+share more bytes than the anchor, and equal strings agree in them, so each half meets under these longer bytes. Halves that
+equal an earlier one go whole, and those that still meet in too many kinds are halved again, down to single strings.
 
 Defined results: null and empty texts have no bytes; matches never cross documents; null ids come first; rows that repeat
 an id and a text stand at the same place, so none of them makes the other go.
@@ -16,7 +17,8 @@ an id and a text stand at the same place, so none of them makes the other go.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -143,7 +145,7 @@ def _emit(batches: Iterator[pa.RecordBatch], size: int, gram: int) -> Iterator[p
 
 
 def _cut(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """From (doc, text, [(anchor, place, block, hot)]) to rows with the stretch's bytes."""
+    """From (doc, text, [(place, block)]) to rows with the stretch's bytes."""
     for batch in batches:
         data, bounds = tb.raw(batch.column(1))
         for r, (doc, wanted) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
@@ -151,43 +153,63 @@ def _cut(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatc
             rows = []
             for x in wanted:
                 first = x["place"] >> 24
-                rows.append({"block": x["block"], "hot": x["hot"], "doc": doc, "place": x["place"], "body": body[first : first + (x["place"] >> 16 & 0xFF) + size]})
-            yield pa.RecordBatch.from_pylist(rows, pa.schema([("block", pa.int64()), ("hot", pa.bool_()), ("doc", batch.schema.field(0).type), ("place", pa.int64()), ("body", pa.binary())]))
+                rows.append({"block": x["block"], "doc": doc, "place": x["place"], "body": body[first : first + (x["place"] >> 16 & 0xFF) + size]})
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([("block", pa.int64()), ("doc", batch.schema.field(0).type), ("place", pa.int64()), ("body", pa.binary())]))
 
 
-def _repeated(bodies: list[bytes], size: int) -> tuple[list[tuple[int, int, bytes]], np.ndarray, np.ndarray, np.ndarray]:
-    """Parts (stretch, from, bytes) of the stretches whose strings' hashes occur twice in the block; only those can be equal.
+def _digest(*parts: bytes) -> int:
+    return int.from_bytes(blake2b(b"".join(parts), digest_size=8).digest(), "little", signed=True)
 
-    Also the strings that occur once: stretch, start and hash.
+
+def _halves(batches: Iterator[pa.RecordBatch], size: int, gram: int) -> Iterator[pa.RecordBatch]:
+    """From (doc, place, low, high, at, body) to the halves of each stretch, with ``key`` (hash of what its strings share) and ``name`` (of its bytes).
+
+    The strings of a stretch start ``low`` to ``high`` bytes before their anchor, which is ``at`` bytes into the body (null: to
+    be found). Those that start a to b bytes before it share the bytes from a before it to ``size`` - b after it.
     """
+    for batch in batches:
+        rows = []
+        for x in batch.to_pylist():
+            body, at, low, high = x["body"], x["at"], x["low"], x["high"]
+            if at is None:
+                at = int(np.argmin(tb.windows(np.frombuffer(body[:size], np.uint8), gram) & ~_MASK))
+            middle = (low + high) // 2
+            for a, b in ((low, middle), (middle + 1, high)):
+                first, last = max(0, at - b), min(len(body) - size, at - a)
+                if a > b or first > last:
+                    continue
+                own = body[first : last + size]
+                place = ((x["place"] >> 24) + first) << 24 | (last - first) << 16 | x["place"] & 0xFFFF
+                key = _digest(bytes((a, b)), body[at - a : at - b + size])
+                rows.append({"key": key, "name": _digest(own), "doc": x["doc"], "place": place, "low": a, "high": b, "at": at - first, "body": own})
+        kinds = [("low", pa.int32()), ("high", pa.int32()), ("at", pa.int32()), ("body", pa.binary())]
+        yield pa.RecordBatch.from_pylist(rows, pa.schema([("key", pa.int64()), ("name", pa.int64()), ("doc", batch.schema.field(0).type), ("place", pa.int64()), *kinds]))
+
+
+def _repeated(bodies: list[bytes], size: int) -> list[tuple[int, int, bytes]]:
+    """Parts (stretch, from, bytes) of the stretches whose strings' hashes occur twice in the block; only those can be equal."""
     joined = np.frombuffer(b"".join(bodies), np.uint8)
     hashes = tb.windows(joined, size)
     ends = np.cumsum([len(b) for b in bodies])
     row = np.searchsorted(ends, np.arange(len(hashes)), side="right")
     inside = np.arange(len(hashes)) + size <= ends[row]
     _, which, counts = np.unique(hashes[inside], return_inverse=True, return_counts=True)
-    every, begin = np.flatnonzero(inside), ends - [len(b) for b in bodies]
-    at, alone = every[counts[which] > 1], every[counts[which] == 1]
-    single = row[alone], alone - begin[row[alone]], hashes[alone].view(np.int64)
+    begin = ends - [len(b) for b in bodies]
+    at = np.flatnonzero(inside)[counts[which] > 1]
     if not len(at):
-        return [], *single
+        return []
     first = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1] + 1) | (row[at[1:]] != row[at[:-1]]))))
     last = np.append(first[1:], len(at)) - 1
-    return [(int(row[p]), int(p - begin[row[p]]), joined[p : q + size].tobytes()) for p, q in zip(at[first].tolist(), at[last].tolist(), strict=True)], *single
+    return [(int(row[p]), int(p - begin[row[p]]), joined[p : q + size].tobytes()) for p, q in zip(at[first].tolist(), at[last].tolist(), strict=True)]
 
 
 def _compare(table: pa.Table, size: int) -> pa.Table:
-    """Equal strings of one block: runs of later ones as (doc, place, start, last), and of hot anchors every distinct string's first with its hash."""
+    """Equal strings of one block: runs of later ones as (doc, place, start, last)."""
     docs, places, bodies = (table.column(c).to_pylist() for c in ("doc", "place", "body"))
-    hot = table.column("hot")[0].as_py()
-    repeated, *single = _repeated(bodies, size)
     found: list[tuple] = []
-    if hot:
-        for k, at, name in zip(*(x.tolist() for x in single), strict=True):
-            found.append((docs[k], places[k], (places[k] >> 24) + at, (places[k] >> 24) + at, name))
     # Parts that equal an earlier one go whole, as stretches do; each distinct part is sorted once.
     same: dict[bytes, list[tuple]] = {}
-    for k, at, body in repeated:
+    for k, at, body in _repeated(bodies, size):
         same.setdefault(body, []).append(((docs[k] is not None, docs[k]), (places[k] >> 24) + at, k, at))
     parts = []
     for body, stand in same.items():
@@ -196,7 +218,7 @@ def _compare(table: pa.Table, size: int) -> pa.Table:
             if where[:2] == stand[0][:2]:
                 parts.append((where[2], where[3], body))
             else:
-                found.append((docs[where[2]], places[where[2]], where[1], where[1] + len(body) - size, None))
+                found.append((docs[where[2]], places[where[2]], where[1], where[1] + len(body) - size))
     text: list[int] = []
     owner: list[int] = []
     begin = []
@@ -210,7 +232,7 @@ def _compare(table: pa.Table, size: int) -> pa.Table:
     run: list[int] = []
 
     def close() -> None:
-        if len(run) < (1 if hot else 2):
+        if len(run) < 2:
             return
         stand = []
         for p in run:
@@ -218,12 +240,9 @@ def _compare(table: pa.Table, size: int) -> pa.Table:
             stand.append(((docs[k] is not None, docs[k]), (places[k] >> 24) + at + p - begin[owner[p]], k))
         stand.sort()
         least = stand[0][:2]
-        name = tb.windows(np.frombuffer(joined[run[0] : run[0] + size], np.uint8), size).view(np.int64)[0] if hot else None
         for where in stand:
             if where[:2] != least:
                 later.setdefault(where[2], []).append(where[1])
-            elif hot:
-                found.append((docs[where[2]], places[where[2]], where[1], where[1], name))
 
     before = b""
     for p in suffix_array(text) if text else ():
@@ -242,11 +261,11 @@ def _compare(table: pa.Table, size: int) -> pa.Table:
             if start is not None and start <= high + 1:
                 high = start
                 continue
-            found.append((docs[k], places[k], low, high, None))
+            found.append((docs[k], places[k], low, high))
             low = high = start
-    columns = list(zip(*found, strict=True)) or [()] * 5
-    kinds = (table.schema.field("doc").type, pa.int64(), pa.int64(), pa.int64(), pa.int64())
-    return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc", "place", "start", "last", "name"])
+    columns = list(zip(*found, strict=True)) or [()] * 4
+    kinds = (table.schema.field("doc").type, pa.int64(), pa.int64(), pa.int64())
+    return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc", "place", "start", "last"])
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,6 +297,30 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _refined(stretches: DataFrame, size: int, gram: int, block_stretches: int, kind: str) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Stretches (doc, place, body) of anchors that have too many, halved until at most ``block_stretches`` kinds meet under a key:
+    what is left to compare (block, doc, place, body), and what goes whole (doc, place, start, last).
+
+    Of each level only halves that straddle an end of a shared passage go on, so rows grow with the stretches, not their strings.
+    """
+    schema = f"key long, name long, doc {kind}, place long, low int, high int, at int, body binary"
+    blocks, whole = [], []
+    left = stretches.select("doc", "place", F.lit(0).alias("low"), F.lit(size - gram).alias("high"), F.lit(None).cast("int").alias("at"), "body")
+    while True:
+        halves = stored(left.mapInArrow(partial(_halves, size=size, gram=gram), schema), "halves")
+        at = F.struct("doc", F.expr("place >> 24").alias("start"))
+        firsts = halves.groupBy("key", "name").agg(F.min(at).alias("first"))
+        kinds = firsts.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+        known = halves.join(firsts, ["key", "name"])
+        whole.append(known.where(~at.eqNullSafe(F.col("first"))).selectExpr("doc", "place", "place >> 24 as start", "(place >> 24) + ((place >> 16) & 255) as last"))
+        kept = stored(known.where(at.eqNullSafe(F.col("first"))).join(kinds, "key").select(*halves.columns, "k"), "kept")
+        many = (F.col("k") > block_stretches) & (F.col("low") < F.col("high"))
+        blocks.append(kept.where(~many).select(F.col("key").alias("block"), "doc", "place", "body"))
+        left = kept.where(many).select("doc", "place", "low", "high", "at", "body")
+        if left.isEmpty():
+            return blocks, whole
+
+
 def remove_repeats(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 100, gram: int = 20, block_stretches: int = 512,
 ) -> DataFrame:
@@ -299,30 +342,31 @@ def remove_repeats(
     spans = again.select("doc", F.expr("place & 65535").alias("sig"), F.expr("place >> 24").alias("a"), F.expr(f"(place >> 24) + ((place >> 16) & 255) + {size}").alias("b"))
 
     many = firsts.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-    blocks = firsts.join(many, "anchor").select(
-        "first.doc", "first.place", (F.col("k") > block_stretches).alias("hot"),
-        F.when(F.col("k") > block_stretches, F.xxhash64("anchor", F.pmod(F.xxhash64("first"), F.ceil(F.col("k") / block_stretches).cast("long")))).otherwise(F.xxhash64("anchor")).alias("block"),
-    )
-    total = cut_lineage(blocks)
-    # Blocks of few stretches are put together, so that one call sorts some ten thousand bytes.
-    shares = max(1, total.where("not hot").count() // 256)
-    total = total.withColumn("block", F.when(F.col("hot"), F.col("block")).otherwise(F.pmod("block", F.lit(shares))))
-    wanted = total.groupBy("doc", F.expr("place & 65535").alias("sig")).agg(F.collect_list(F.struct("place", "block", "hot")).alias("wanted"))
-    wanted = small_side(stored(wanted, "wanted"))
+    total = cut_lineage(firsts.join(many, "anchor").select("first.doc", "first.place", (F.col("k") > block_stretches).alias("hot"), F.xxhash64("anchor").alias("block")))
     match = F.col("__doc").eqNullSafe(F.col("doc")) & ((F.col("__sig").bitwiseAND(0xFFFF)) == F.col("sig"))
     texts = marked.select("__doc", "__sig", "__text")
-    bodies = texts.join(wanted, match).select("__doc", "__text", "wanted")
-    bodies = bodies.mapInArrow(partial(_cut, size=size), f"block long, hot boolean, doc {kind}, place long, body binary")
+
+    def bodies(stretches: DataFrame) -> DataFrame:
+        wanted = stretches.groupBy("doc", F.expr("place & 65535").alias("sig")).agg(F.collect_list(F.struct("place", "block")).alias("wanted"))
+        wanted = small_side(stored(wanted, "wanted"))
+        cut = texts.join(wanted, match).select("__doc", "__text", "wanted")
+        return cut.mapInArrow(partial(_cut, size=size), f"block long, doc {kind}, place long, body binary")
+
+    hot, cool = total.where("hot"), total.where("not hot")
+    blocks, whole, n_blocks = [bodies(cool)], [], cool.count()
+    if not hot.isEmpty():
+        refined, whole = _refined(bodies(hot).drop("block"), size, gram, block_stretches, kind)
+        blocks += refined
+        n_blocks += sum(x.count() for x in refined)
+    # Blocks of few stretches are put together, so that one call sorts some ten thousand bytes.
+    shares = max(1, n_blocks // 256)
+    blocks = reduce(DataFrame.union, blocks).withColumn("block", F.pmod("block", F.lit(shares)))
 
     def compare(block: pa.Table) -> pa.Table:
         return _compare(block, size)
 
-    judged = stored(bodies.groupBy("hot", "block").applyInArrow(compare, f"doc {kind}, place long, start long, last long, name long"), "strings")
-    # Strings of hot anchors: the first over all blocks stays.
-    heads = judged.where("name is not null").select("name", F.struct("doc", "start", "place").alias("at"))
-    least = heads.groupBy("name").agg(F.min("at").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("name", "least")
-    late = heads.join(least, "name").where("at.doc is distinct from least.doc or at.start <> least.start").select("at.doc", "at.place", "at.start", "at.start")
-    gone = judged.where("name is null").select("doc", "place", "start", "last").union(late)
+    judged = stored(blocks.groupBy("block").applyInArrow(compare, f"doc {kind}, place long, start long, last long"), "strings")
+    gone = reduce(DataFrame.union, whole, judged)
     spans = spans.union(gone.select("doc", F.expr("place & 65535").alias("sig"), F.col("start").alias("a"), (F.col("last") + size).alias("b")))
 
     by_doc = spans.groupBy("doc", "sig").agg(F.collect_list(F.struct("a", "b")).alias("spans"))

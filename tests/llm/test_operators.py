@@ -92,6 +92,31 @@ def test_suffix_array_and_repeats(spark):
             assert bytes(row["kept"]) == bytes(c for c, g in zip(body, gone, strict=True) if not g)
 
 
+def test_repeats_around_a_common_passage(spark, monkeypatch):
+    tables, stored = {}, suffix_array.stored
+
+    def kept(df, label):
+        tables[label] = stored(df, label)
+        return tables[label]
+
+    monkeypatch.setattr(suffix_array, "stored", kept)
+    short, long, longer = sentences(31, 1, 8)[0].encode()[:30].decode("utf-8", "ignore"), sentences(32, 1, 80)[0][:130], sentences(33, 1, 60)[0][:90]
+    left, right = sentences(34, 60, 30), sentences(35, 60, 30)
+    texts = [left[k] + (short, long, right[k % 3][:40] + longer)[k % 3] + right[k] for k in range(60)] + [None, left[0] + short, left[2][-60:] + longer]
+    got = suffix_array.remove_repeats(documents(spark, texts), block_stretches=4).orderBy("doc_id").collect()
+    seen = set()
+    for row, text in zip(got, texts, strict=True):
+        body = (text or "").encode()
+        gone = bytearray(len(body))
+        for p in range(len(body) - 99):
+            if body[p : p + 100] in seen:
+                gone[p : p + 100] = b"\1" * 100
+            seen.add(body[p : p + 100])
+        assert bytes(row["kept"]) == bytes(c for c, g in zip(body, gone, strict=True) if not g)
+    # Strings around passages that stand in more contexts than a block holds are not sent one by one.
+    assert tables["strings"].count() < 2 * len(texts)
+
+
 def test_decontamination_in_any_number_of_blocks(spark):
     items = spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven"), (2, "Short item"), (3, None), (None, "...")], "item_id long, text string")
     texts = ["a one TWO three, four five six seven eight nine ten z", "short; item short", "one two three", None, "", "two three four five six seven eight nine ten eleven " * 300]
