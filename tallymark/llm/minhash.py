@@ -42,6 +42,8 @@ LEVELS = 3
 BLOCK = 1024
 #: Bytes of the sets that a block holds when pairs are confirmed; a longer set is a block of its own.
 BLOCK_BYTES = 2 << 20
+#: Rows of cells that are compared in one call, as far as no cell has more.
+CELL_ROWS = 4096
 #: Links that one task holds while components are found.
 LINKS_PER_TASK = 100_000
 #: Rounds in which each class is tried with its likeliest partner, before cells that are still apart are tested whole.
@@ -143,42 +145,64 @@ def _agreement(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(_agreeing(left, right), pa.int64())], ["a", "b", "same"])
 
 
+def _pairs_of_groups(ends: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of places within groups that stand one after another, by the first place; ``ends``: where each place's group ends.
+    Some ``most`` pairs at once, or those of one place."""
+    later = ends - np.arange(len(ends)) - 1
+    until = np.cumsum(later)
+    at = 0
+    while at < len(ends):
+        done = until[at - 1] if at else 0
+        stop = max(at + 1, int(np.searchsorted(until, done + most, side="right")))
+        some = later[at:stop]
+        i = np.repeat(np.arange(at, stop), some)
+        j = i + 1 + np.arange(len(i)) - np.repeat(until[at:stop] - some - done, some)
+        yield i, j
+        at = stop
+
+
 def _candidates(table: pa.Table, size: int, least: float, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of the pairs of a node's classes, but for those of one part, that may reach the threshold, and how many tokens agree;
-    of two blocks, the pairs across."""
-    part, n, block = (table.column(c).to_numpy() for c in ("part", "n", "block"))
+    """Places of the pairs of classes in one cell, but for those of one part, that may reach the threshold, and how many tokens
+    agree; in a cell of two blocks, the pairs across. Rows of a cell (``path``) stand together."""
+    path, part, n, block = (table.column(c).to_numpy() for c in ("path", "part", "n", "block"))
     codes = np.frombuffer(b"".join(table.column("codes").to_pylist()), np.uint8).reshape(-1, size)
-    across = block.min() < block.max()
+    first = np.flatnonzero(np.concatenate(([True], path[1:] != path[:-1])))
+    rows = np.diff(np.append(first, len(path)))
+    across = np.repeat(np.minimum.reduceat(block, first) < np.maximum.reduceat(block, first), rows)
+    # Pairs that agree in too few of the first columns cannot reach ``least`` with all the others.
+    half = size // 16 * 8
+    front, back = np.ascontiguousarray(codes[:, :half]), np.ascontiguousarray(codes[:, half:])
     found = []
-    step = max(1, (1 << 22) // (size * len(n)))
-    for at in range(0, len(n), step):
-        i, j = np.triu_indices(min(step, len(n) - at), 1 + at, len(n))
-        i = i + at
+    for i, j in _pairs_of_groups(np.repeat(first + rows, rows), max(1, (1 << 22) // size)):
         fits = (part[i] != part[j]) & (np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j]))
-        if across:
-            fits &= block[i] != block[j]
+        fits &= ~across[i] | (block[i] != block[j])
         i, j = i[fits], j[fits]
-        same = _agreeing(codes[i], codes[j])
+        same = _agreeing(front[i], front[j])
+        close = same >= least - (size - half)
+        i, j, same = i[close], j[close], same[close]
+        same = same + _agreeing(back[i], back[j])
         close = same >= least
         found.append((i[close], j[close], same[close]))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def _best_pairs(table: pa.Table, size: int, least: float, threshold: float) -> pa.Table:
-    """Each class with the one of another part that agrees most, where any may reach the threshold: no more rows than classes."""
-    name = table.column("name").to_numpy()
+    """In each cell, each class with the one of another part that agrees most, where any may reach the threshold: no more rows than classes."""
+    table = table.sort_by("path")
+    name, path = table.column("name").to_numpy(), table.column("path").to_numpy()
     i, j, same = _candidates(table, size, least, threshold)
     one, other, agree = np.concatenate((i, j)), np.concatenate((j, i)), np.concatenate((same, same))
     order = np.lexsort((name[other], -agree, one))
     one, other = one[order], other[order]
     first = np.concatenate((np.ones(min(1, len(one)), bool), one[1:] != one[:-1]))
-    one, other = name[one[first]], name[other[first]]
-    path = np.full(len(one), table.column("path")[0].as_py(), np.int64)
-    return pa.table([pa.array(x) for x in (np.minimum(one, other), np.maximum(one, other), path)], ["a", "b", "path"])
+    one, other = one[first], other[first]
+    at, one, other = path[one], name[one], name[other]
+    return pa.table([pa.array(x) for x in (np.minimum(one, other), np.maximum(one, other), at)], ["a", "b", "path"])
 
 
 def _members(table: pa.Table, size: int, least: float, threshold: float) -> pa.Table:
-    """The classes of a node that are in a pair of two parts which may reach the threshold."""
+    """The classes of each cell that are in a pair of two parts which may reach the threshold."""
+    table = table.sort_by("path")
     i, j, _ = _candidates(table, size, least, threshold)
     return table.take(pa.array(np.unique(np.concatenate((i, j))))).select(["path", "name", "part", "n", "block"])
 
@@ -269,8 +293,11 @@ def _links(texts: DataFrame, classes: DataFrame, words: int, threshold: float, t
         def task(table: pa.Table) -> pa.Table:
             return compare(table, size, least, threshold)
 
+        together = F.col("path")
+        if more is None:  # many small cells in one call; with full sets, a cell by itself
+            together = F.pmod("path", F.lit(max(1, cells.count() // CELL_ROWS)))
         cells = cells.join(codes, "name").select("path", "name", "part", "n", "block", "codes")
-        return (cells if more is None else cells.join(more, "name")).groupBy("path").applyInArrow(task, schema)
+        return (cells if more is None else cells.join(more, "name")).groupBy(together.alias("together")).applyInArrow(task, schema)
 
     start = classes.select("name", "n", "marks", F.lit(None).cast("int").alias("tree"), F.lit(None).cast("long").alias("path"))
     nodes = _shared(start.mapInArrow(partial(branch, levels=LEVELS), schema), None)

@@ -8,6 +8,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -156,6 +157,23 @@ def test_minhash_components_against_all_pairs(spark):
     assert minhash.near_duplicates(documents(spark, texts).limit(0)).count() == 0
 
 
+def test_minhash_compares_many_cells_in_one_call():
+    rng = np.random.default_rng(4)
+    rows = []
+    for path, names in ((7, [1, 2, 3]), (5, [1, 2]), (9, [4, 5, 6, 8])):
+        own = rng.integers(0, 256, 128).astype(np.uint8)
+        for k, name in enumerate(names):
+            codes = own.copy()
+            codes[: 4 * k] ^= 1
+            rows.append({"path": path, "name": name, "part": 1 if path == 5 else name, "n": 100, "block": int(path == 9 and k % 2), "codes": codes.tobytes()})
+    order = rng.permutation(len(rows))
+    table = pa.Table.from_pylist([rows[k] for k in order])
+    got = minhash._best_pairs(table, 128, 80, 0.75).to_pylist()
+    # Cell 5 is one part already; of cell 9 only pairs across its two blocks count.
+    assert sorted((x["path"], x["a"], x["b"]) for x in got) == [(7, 1, 2), (7, 1, 2), (7, 2, 3), (9, 4, 5), (9, 4, 5), (9, 5, 6), (9, 6, 8)]
+    assert sorted((x["path"], x["name"]) for x in minhash._members(table, 128, 80, 0.75).to_pylist()) == [(7, 1), (7, 2), (7, 3), (9, 4), (9, 5), (9, 6), (9, 8)]
+
+
 def test_minhash_pairs_within_a_template(spark):
     names = iter(range(10**6))
     fresh = lambda n: [f"w{next(names)}" for _ in range(n)]
