@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import INVALID_FILTER_VALUE, MetricError
@@ -312,6 +312,39 @@ def _compress(edges: DataFrame, least: int) -> tuple[DataFrame, DataFrame, DataF
     return left, members, closed, cut_lineage(rings)
 
 
+def _carried(rows: DataFrame, column: str) -> DataFrame:
+    """``rows`` with ``carried``: the largest ``column`` in the chunks before their own; one row per chunk is carried over."""
+    tops = rows.groupBy("chunk").agg(F.max(column).alias("top"))
+    earlier = Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.join(F.broadcast(tops.select("chunk", F.max("top").over(earlier).alias("carried"))), "chunk")
+
+
+def _within_spans(edges: DataFrame) -> DataFrame:
+    """Edges that may lie on a cycle as far as the order of their nodes tells, for edges without loops.
+
+    A cycle with nodes below and above some place in the order returns over that place by an edge from a larger to a smaller
+    node. Nodes are cut into spans where no such edge passes; edges between spans are on no cycle. One sweep over the sorted
+    nodes, in chunks, finds the spans: a node starts one if no node before it is the end of an edge from it or from beyond.
+    """
+    ends = F.array(
+        F.struct(F.col("dst").alias("node"), F.when(F.col("src") > F.col("dst"), F.col("src")).alias("back")),
+        F.struct(F.col("src").alias("node"), F.lit(None).alias("back")),
+    )
+    nodes = edges.select(F.inline(ends)).groupBy("node").agg(F.max("back").alias("back"))
+    nodes = stored(nodes.repartitionByRange("node").withColumn("chunk", F.spark_partition_id()), "nodes")
+    chunk = Window.partitionBy("chunk").orderBy("node")
+    passed = F.greatest("carried", F.max("back").over(chunk.rowsBetween(Window.unboundedPreceding, -1)))
+    first = F.when(F.coalesce(passed < F.col("node"), F.lit(True)), F.col("node"))
+    marks = stored(_carried(nodes, "back").select("node", "chunk", first.alias("first")), "marks")
+    span = F.greatest("carried", F.max("first").over(chunk.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    spans = stored(_carried(marks, "first").select("node", span.alias("span")), "spans")
+    wide = spans.groupBy("span").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    spans = stored(spans.join(wide, "span", "left_semi").select("node", "span"), "spans")
+    known = small_side(spans)
+    inside = edges.join(known.toDF("src", "src_span"), "src").join(known.toDF("dst", "dst_span"), "dst")
+    return cut_lineage(inside.filter("src_span = dst_span").select("src", "dst"))
+
+
 def _groups_by_colour(edges: DataFrame) -> DataFrame | None:
     """Groups (node, cycle_id) of nodes that all reach each other, for edges without loops; None if there are none.
 
@@ -342,24 +375,34 @@ def _groups_by_colour(edges: DataFrame) -> DataFrame | None:
 def find_cycles(refs: DataFrame, least_folded: int = 16) -> DataFrame:
     """Nodes that lie on a cycle of ``refs`` (src, dst), with the smallest node of their cycle group as cycle_id.
 
-    Edges shrink in rounds: nodes no cycle can use (nothing in, or nothing out) are peeled off, and runs of nodes with one
+    Edges between nodes that the order of the nodes already keeps apart go at once, so where references mostly point one way
+    in that order, the rounds do not follow their depth. The rest shrinks in rounds: nodes no cycle can use (nothing in, or nothing out) are peeled off, and runs of nodes with one
     edge in and one out become one edge. A chain of n nodes takes log2(n) rounds of jumps, not n. What no round shrinks is
     split by colours; then the runs are unfolded again, the last first: their nodes belong to the group that holds both ends.
     Work per round is linear in the edges left; no closure is built. Null ends are no edges. Fewer than ``least_folded``
     nodes in runs stay as they are: walking them takes no more rounds than folding them; the groups are the same.
     """
-    edges = cut_lineage(refs.filter("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst").distinct())
-    loops = edges.filter("src = dst").select(F.col("src").alias("node"))
-    edges = cut_lineage(edges.filter("src <> dst"))
+    every = stored(refs.filter("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst").distinct(), "edges")
+    loops = every.filter("src = dst").select(F.col("src").alias("node"))
+    edges = every.filter("src <> dst")
     kept = edges.limit(0).select(F.col("src").alias("node"), F.col("src").alias("cycle_id"))
     folded = []
     size = edges.count()
+    if size:
+        edges = _within_spans(edges)
+        size = edges.count()
+    spanned = size
     while size:
         edges = cut_lineage(present_both_ways(edges))
         before, size = size, edges.count()
         # While peeling takes an eighth of the edges or more, its rounds are few by themselves.
         if size <= before - before // 8 - 1:
             continue
+        # Fewer edges may leave narrower spans; looked at again each time half of the edges have gone.
+        if size and size <= spanned // 2:
+            edges = _within_spans(edges)
+            size = spanned = edges.count()
+            continue
         shorter = _compress(edges, least_folded) if size else None
         if shorter is not None:
             edges, *unfold = shorter

@@ -72,6 +72,29 @@ def test_long_chain_and_long_ring_take_few_rounds(spark, monkeypatch):
     assert len(cuts) <= 30
 
 
+def test_deep_references_in_order_take_few_rounds(spark, monkeypatch):
+    n = 400  # peeled from both ends, 400 nodes deep, it took some hundred rounds
+    forward = [(f"n{i:04}", f"n{i + step:04}") for i in range(n) for step in (1, 2, 3)]
+    ring = [("n0100", "n0098"), ("n0103", "n0100"), ("n0300", "n0299")]
+    cuts = []
+    plain = G.cut_lineage
+    monkeypatch.setattr(G, "cut_lineage", lambda df: cuts.append(1) or plain(df))
+    got = G.find_cycles(spark.createDataFrame(forward + ring, "src string, dst string")).collect()
+    assert {tuple(r) for r in got} == {(f"n{i:04}", "n0098") for i in range(98, 104)} | {("n0299", "n0299"), ("n0300", "n0299")}
+    assert len(cuts) <= 30
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_spans_keep_every_cycle(spark, seed):
+    pick = random.Random(seed)
+    edges = {(a, a + pick.randrange(1, 9)) for a in (pick.randrange(60) for _ in range(70))}
+    edges |= {(a, a - pick.randrange(1, 6)) for a in (pick.randrange(6, 60) for _ in range(9))}
+    left = [tuple(r) for r in G._within_spans(spark.createDataFrame(sorted(edges), "src int, dst int")).collect()]
+    passed = {k for a, b in edges if b < a for k in range(b, a)}  # places between k and k + 1 that an edge returns over
+    assert sorted(left) == sorted((a, b) for a, b in edges if passed.issuperset(range(min(a, b), max(a, b))))
+    assert cycle_groups(left) == cycle_groups(sorted(edges))
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_index_answers_every_pair(spark, seed):
     pick = random.Random(seed)
