@@ -265,7 +265,14 @@ def _similar(own: np.ndarray, other: np.ndarray, threshold: float) -> bool:
 
 def _shared(nodes: DataFrame, parts: DataFrame | None) -> DataFrame:
     """Nodes (name, n, tree, path) that hold more than one part, with ``part`` and their number of classes ``k``."""
-    nodes = nodes.withColumn("part", F.col("name")) if parts is None else nodes.join(small_side(parts), "name", "left").withColumn("part", F.coalesce("part", "name"))
+    if parts is None:
+        return _mixed(nodes.withColumn("part", F.col("name")))
+    # Stored, as both sides of the join on paths need the parts.
+    return _mixed(stored(nodes.join(small_side(parts), "name", "left").withColumn("part", F.coalesce("part", "name")), "known"))
+
+
+def _mixed(nodes: DataFrame) -> DataFrame:
+    """Nodes (path, part, ...) that hold more than one part, with their number of classes ``k``."""
     sums = nodes.groupBy("path").agg(F.count(F.lit(1)).alias("k"), F.min("part").alias("low"), F.max("part").alias("high"))
     return stored(nodes.join(sums.where("low <> high").select("path", "k"), "path"), "nodes")
 
@@ -318,7 +325,7 @@ def _links(texts: DataFrame, classes: DataFrame, words: int, threshold: float, t
         nodes = _shared(nodes.drop("part", "k"), parts)
     level = LEVELS
     while True:
-        found.append(nodes.where(F.col("k") <= 2 * BLOCK).select("path", "name", "n", F.lit(0).alias("block")))
+        found.append(nodes.where(F.col("k") <= 2 * BLOCK).select("path", "name", "n", "part", F.lit(0).alias("block")))
         nodes = nodes.where(F.col("k") > 2 * BLOCK)
         if level >= depth or nodes.isEmpty():
             break
@@ -326,18 +333,17 @@ def _links(texts: DataFrame, classes: DataFrame, words: int, threshold: float, t
         nodes = _shared(more.mapInArrow(partial(branch, levels=1), schema).distinct(), parts)
         level += 1
     # Still large: all pairs of blocks.
-    found.append(_dealt(nodes, "path").select("path", "name", "n", "block"))
-    cells = stored(reduce(DataFrame.union, found), "cells")
+    found.append(_dealt(nodes, "path").select("path", "name", "n", "part", "block"))
+    cells = _mixed(reduce(DataFrame.union, found))
 
     def apart(cells: DataFrame) -> DataFrame:
-        """Cells that hold more than one part now."""
-        now = united() if links else None
-        return _shared(cells.drop("part", "k"), now)
+        """Cells that hold more than one part after further links."""
+        return _shared(cells.drop("part", "k"), united())
 
     # Each class with its likeliest partner of another part, in rounds: the rows follow the classes, not their pairs, and a group
     # of many links is one part soon. Only cells that found a pair are looked at again.
-    for _ in range(ROUNDS):
-        cells = apart(cells)
+    for turn in range(ROUNDS):
+        cells = apart(cells) if turn else cells
         best = stored(compared(cells, _best_pairs, "a long, b long, path long"), "best")
         if best.isEmpty():
             return reduce(DataFrame.union, links) if links else best.select("a", "b")

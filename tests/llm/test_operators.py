@@ -185,6 +185,20 @@ def test_minhash_pairs_within_a_template(spark):
     assert {r["doc"]: r["component"] for r in got} == {k: k // 2 * 2 for k in range(200)}
 
 
+def test_minhash_joins_parts_only_after_new_links(spark, monkeypatch):
+    words = [f"w{k}" for k in range(60)]
+    texts = [" ".join(w if k != 2 * i else f"x{i}" for k, w in enumerate(words)) for i in range(12)]
+    labels, plain = [], minhash.stored
+    monkeypatch.setattr(minhash, "stored", lambda df, label: labels.append(label) or plain(df, label))
+    got = minhash.near_duplicates(documents(spark, texts), small=4).collect()
+    assert len({r["component"] for r in got}) == 1
+    steps = [x for x in labels if x in ("links", "parts", "known")]
+    assert "parts" in steps
+    for k, x in enumerate(steps):  # one table of parts per set of new links, joined with the nodes once
+        if x == "parts":
+            assert steps[k - 1] == "links" and steps[k + 1] == "known"
+
+
 def test_minhash_links_beside_a_central_class(spark):
     words = [f"w{k}" for k in range(204)]
     texts = [" ".join(words[:150]), *(" ".join([*words, f"x{k}"]) for k in range(3))]
