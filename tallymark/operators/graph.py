@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import INVALID_FILTER_VALUE, MetricError
-from ..session import cut_lineage, small_side, stored
+from ..session import BROADCAST_ROWS, cut_lineage, discard, in_slice, slices_for, small_side, stored, stored_slices
 from .joins import missing
 
 SEPARATOR = " -> "
@@ -89,8 +89,8 @@ def reachable(edges: DataFrame, starts: DataFrame, max_hops: int | None = None,
     ``path_count`` stays at the largest bigint instead of overflowing.
 
     ``least_shared`` starts or more share the walks of the nodes their first edges lead to: those are walked once, and
-    each start takes over what its first nodes reach, in one shuffle and without a table per hop. Where that would make
-    more than ``_SHARED_ROWS`` rows per first edge, every start walks by itself.
+    each start takes over what its first nodes reach, in one shuffle of its first edges and without a table per hop. Where
+    that would make more than ``_SHARED_ROWS`` rows per first edge, every start walks by itself.
     """
     has = set(edges.columns)
     provenance = F.col("provenance") if "provenance" in has else F.lit("explicit")
@@ -98,21 +98,20 @@ def reachable(edges: DataFrame, starts: DataFrame, max_hops: int | None = None,
     key_text = (
         F.concat("child", F.lit("."), "fk", F.lit("="), "parent", F.lit("."), "pk") if {"fk", "pk"} <= has else F.lit("")
     )
-    one_each = (
-        edges.filter("child IS NOT NULL AND parent IS NOT NULL AND child <> parent")
-        .select("child", "parent", (provenance == "explicit").alias("explicit"), F.when(keyed, key_text).alias("key"))
-        # Parallel edges fold to one; an explicit one outranks an inferred one.
-        .groupBy("child", "parent")
-        .agg(F.max("explicit").alias("explicit"), F.min("key").alias("key"))
+    rows = edges.filter("child IS NOT NULL AND parent IS NOT NULL AND child <> parent").select(
+        "child", "parent", (provenance == "explicit").alias("explicit"), F.when(keyed, key_text).alias("key")
     )
-    links = stored(one_each, "links")
     begin = stored(starts.select("start").distinct(), "starts")
     if len(begin.take(least_shared)) == least_shared:
-        shared = _shared_walks(links, begin, max_hops)
+        dealt = _dealt(rows, begin)
+        links = dealt.select(*_LINK)
+        shared = _shared_walks(dealt, begin, max_hops)
         if shared is not None:
             if max_hops is not None and not shared.filter(F.col("hops") > max_hops).isEmpty():
                 raise MetricError(INVALID_FILTER_VALUE, f"the walk goes on after {max_hops} hops")
             return shared
+    else:
+        links = stored(_folded(rows), "links")
     found, hops = _walk(links, begin, None if max_hops is None else max_hops + 1)
     if max_hops is not None and hops > max_hops:
         raise MetricError(INVALID_FILTER_VALUE, f"the walk goes on after {max_hops} hops")
@@ -121,9 +120,34 @@ def reachable(edges: DataFrame, starts: DataFrame, max_hops: int | None = None,
 
 #: Rows per first edge up to which starts take over walks of the nodes their first edges lead to.
 _SHARED_ROWS = 8
+#: Rows of a walk that are kept together as one list.
+_CHUNK = 64
+_LINK = ["child", "parent", "explicit", "key"]
 _WALKED = ["start", "node", "hops", "path", "path_count", "all_explicit", "join_keys"]
 
 
+def _folded(rows: DataFrame) -> DataFrame:
+    """Parallel edges fold to one; an explicit one outranks an inferred one."""
+    return rows.groupBy("child", "parent").agg(F.max("explicit").alias("explicit"), F.min("key").alias("key"))
+
+
+def _dealt(rows: DataFrame, starts: DataFrame) -> DataFrame:
+    """Edges folded to one per (child, parent), with ``first``: they leave a start, and ``inner``: walks can come upon them."""
+    rows = stored(rows, "rows")
+    n = slices_for(rows.count())
+
+    def dealt(k: int) -> DataFrame:
+        inner = rows.filter(in_slice("parent", k, n)).select(F.col("parent").alias("child")).distinct().withColumn("inner", F.lit(True))
+        outer = starts.filter(in_slice("start", k, n)).select(F.col("start").alias("child")).withColumn("first", F.lit(True))
+        # Folding and both joins share one shuffle of the edges.
+        folded = _folded(rows.filter(in_slice("child", k, n)).repartition("child"))
+        return folded.join(inner.hint("merge"), "child", "left").join(outer.hint("merge"), "child", "left")
+
+    found = stored_slices(dealt, "dealt", n)
+    discard(rows)
+    return found
+
+
 def _at_start(starts: DataFrame) -> DataFrame:
     """Each start as reached by no hop."""
     return starts.select(
@@ -169,16 +193,39 @@ def _walk(links: DataFrame, starts: DataFrame, last: int | None = None, goes_on=
     return seen, hop
 
 
-def _shared_walks(links: DataFrame, starts: DataFrame, max_hops: int | None) -> DataFrame | None:
-    """``reachable`` by walks of the nodes that first edges lead to; None if those reach too much to be worth it."""
-    inner = links.select(F.col("parent").alias("child")).distinct().withColumn("inner", F.lit(True))
-    outer = starts.select(F.col("start").alias("child")).withColumn("first", F.lit(True))
-    # One pass deals the edges: those that leave a start, and those that walks can come upon.
-    dealt = stored(links.join(inner.hint("merge"), "child", "left").join(outer.hint("merge"), "child", "left"), "dealt")
-    first = dealt.filter("first").select("child", "parent", "explicit", "key")
-    fan = stored(first.groupBy("parent").agg(F.count(F.lit(1)).alias("n")).select(F.col("parent").alias("start"), "n"), "fan")
-    onward = stored(dealt.filter("inner").select("child", "parent", "explicit", "key"), "onward")
-    left = _SHARED_ROWS * (fan.agg(F.sum("n")).first()[0] or 0)
+def _walk_lists(walked: DataFrame) -> tuple[DataFrame, int]:
+    """What each start of ``walked`` reaches beyond itself as lists (start, chunk, items) of ``_CHUNK`` rows at most, and the number of rows.
+
+    Texts are kept without the start's name in front, so starts that go on alike have equal lists.
+    """
+    name = F.col("start").cast("string")
+    beyond = lambda column: F.substr(F.col(column), F.char_length(name) + 1)
+    named = (F.col("join_keys") != "") & F.startswith(F.col("join_keys"), name)
+    item = F.struct(
+        "node", (F.col("hops") + 1).alias("hops"), beyond("path").alias("tail"), "path_count", "all_explicit", named.alias("named"),
+        F.when(named, beyond("join_keys")).when(F.col("join_keys") != "", F.col("join_keys")).alias("keys"),
+    )
+    numbered = walked.filter("hops > 0").select(
+        "start", item.alias("item"), F.floor((F.row_number().over(Window.partitionBy("start").orderBy("node")) - 1) / _CHUNK).alias("chunk")
+    )
+    lists = stored(numbered.groupBy("start", "chunk").agg(F.sort_array(F.collect_list("item")).alias("items")), "lists")
+    return lists, lists.agg(F.sum(F.size("items"))).first()[0] or 0
+
+
+def _shared_walks(dealt: DataFrame, starts: DataFrame, max_hops: int | None) -> DataFrame | None:
+    """``reachable`` by walks of the nodes that first edges lead to; None if those reach too much to be worth it.
+
+    ``dealt`` is deleted where the result does not read it. First edges take the walk of their parent as lists, or, where few
+    lists differ, as the number of a list, and are shuffled to their starts as they are; lists unfold there.
+    """
+    first = dealt.filter("first").select(*_LINK)
+    onward = stored(dealt.filter("inner").select(*_LINK), "onward")
+    heads = stored(onward.select(F.col("child").alias("parent")).distinct(), "heads")
+    n_first = first.count()
+    # Nodes that lead nowhere reach themselves only, one row per first edge: they need no walk.
+    fan = first.groupBy("parent").agg(F.count(F.lit(1)).alias("n")).join(small_side(heads), "parent", "left_semi")
+    fan = stored(fan.select(F.col("parent").alias("start"), "n"), "fan")
+    left = (_SHARED_ROWS - 1) * n_first + (fan.agg(F.sum("n")).first()[0] or 0)
     by_fan = small_side(fan)
 
     def goes_on(frontier: DataFrame) -> bool:
@@ -189,13 +236,35 @@ def _shared_walks(links: DataFrame, starts: DataFrame, max_hops: int | None) ->
     walked = _walk(onward, fan.select("start"), max_hops, goes_on)
     if walked is None:
         return None
-    reach = walked[0].select(
-        F.col("start").alias("parent"), "node", (F.col("hops") + 1).alias("hops"), F.col("path").alias("onward"), "path_count",
-        "all_explicit", F.when(F.col("join_keys") != "", F.col("join_keys")).alias("onward_keys"),
+    taken, size = _walk_lists(walked[0])
+    taken = taken.withColumnRenamed("start", "parent")
+    kinds = taken.select("items").distinct()
+    few = len(kinds.take(BROADCAST_ROWS // _CHUNK + 1)) <= BROADCAST_ROWS // _CHUNK
+    if few:
+        kinds = stored(kinds.withColumn("kind", F.monotonically_increasing_id()), "kinds")
+        taken = stored(taken.join(F.broadcast(kinds), "items").select("parent", "chunk", "kind"), "taken")
+        size = taken.count()
+    if size <= BROADCAST_ROWS:
+        met = first.join(F.broadcast(taken), "parent", "left")
+    else:
+        n = slices_for(n_first)
+        mine = lambda df, k: df.filter(in_slice("parent", k, n))
+        met = stored_slices(lambda k: mine(first, k).hint("merge").join(mine(taken, k).hint("merge"), "parent", "left"), "met", n)
+        discard(dealt)
+    met = met.repartition("child")
+    if few:
+        met = met.join(F.broadcast(kinds), "kind", "left")
+    itself = F.struct(
+        F.col("parent").alias("node"), F.lit(1).alias("hops"), F.lit("").alias("tail"), F.lit(1).cast("bigint").alias("path_count"),
+        F.lit(True).alias("all_explicit"), F.lit(False).alias("named"), F.lit(None).cast("string").alias("keys"),
     )
-    # One shuffle serves both groupings: the paths of each length, then the shortest length.
-    offers = first.hint("merge").join(reach.hint("merge"), "parent").filter("child <> node").repartition("child", "node")
-    best = F.min(F.struct("onward", (F.col("all_explicit") & F.col("explicit")).alias("all_explicit"), "key", "onward_keys"))
+    items = F.concat(F.when(F.coalesce("chunk", F.lit(0)) == 0, F.array(itself)).otherwise(F.array().cast(met.schema["items"].dataType)), F.coalesce("items", F.array()))
+    offers = met.select(*_LINK, F.inline(items)).filter("child <> node")
+    best = F.min(F.struct(
+        F.concat("parent", "tail").alias("onward"), (F.col("all_explicit") & F.col("explicit")).alias("all_explicit"), "key",
+        F.when(F.col("named"), F.concat("parent", "keys")).otherwise(F.col("keys")).alias("onward_keys"),
+    ))
+    # The shuffle by start serves both groupings: the paths of each length, then the shortest length.
     lengths = offers.groupBy("child", "node", "hops").agg(best.alias("best"), _count_paths())
     least = lengths.groupBy("child", "node").agg(F.min(F.struct("hops", "best", "path_count")).alias("least"))
     found = least.select(

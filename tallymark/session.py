@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # AQE splits skewed join partitions even when that costs one more exchange,
@@ -58,11 +59,45 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written to the shared folder as Parquet and read again: a cut as by ``cut_lineage``, several times smaller on disk."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """``df`` written to the shared folder as Parquet and read again: a cut as by ``cut_lineage``, several times smaller on disk.
+
+    The shuffles that made it go from disk as soon as it is written, not when the driver next collects its garbage.
+    """
+    return stored_slices(lambda _: df, label, 1)
+
+
+def stored_slices(build: Callable[[int], DataFrame], label: str, n: int) -> DataFrame:
+    """``build(0)`` to ``build(n - 1)`` stored as one table, one after the other, so that the shuffles of one slice are on disk at a time."""
+    spark = path = None
+    for k in range(n):
+        df = build(k)
+        spark, path = df.sparkSession, path or scratch_path(df.sparkSession, label)
+        before = spark.conf.get(_CLEANUP, None)
+        spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.mode("append").option("compression", "zstd").parquet(path)
+        finally:
+            if before is None:
+                spark.conf.unset(_CLEANUP)
+            else:
+                spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(table: DataFrame) -> None:
+    """Deletes a table made by ``stored`` that nothing reads any more."""
+    spark = table.sparkSession
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    for folder in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
+        path = hadoop(folder)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        if path.getParent() != files.makeQualified(hadoop(shared_folder(spark))):
+            raise ValueError(f"{folder} is not a stored table")
+        files.delete(path, True)
 
 
 #: Rows of a few short values each: some ten megabytes.
@@ -79,6 +114,20 @@ def small_side(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df.hint("merge")
 
 
+#: Slices that a step over more than four times ``BROADCAST_ROWS`` rows is made in.
+SLICES = 8
+
+
+def slices_for(rows: int) -> int:
+    """Slices to make a step over ``rows`` rows in."""
+    return 1 if rows <= 4 * BROADCAST_ROWS else SLICES
+
+
+def in_slice(column: str, k: int, n: int) -> Column:
+    """Whether a value belongs to slice ``k`` of ``n``; not by the hash that shuffles use, so that a slice is spread over all partitions."""
+    return F.pmod(F.xxhash64(F.col(column)), F.lit(n)) == k if n > 1 else F.lit(True)
+
+
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a plan (file statistics scaled by projection)."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import random
+import time
 from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from tallymark import MetricError
+from tallymark import MetricError, session
 from tallymark.operators import constraints as K
 from tallymark.operators import graph as G
 from tallymark.operators.reach_index import leads_to, reach_index
@@ -48,6 +49,66 @@ def test_many_starts_leave_no_table_per_hop(spark):
     assert folder_bytes(spark) - before < 30 * rows
 
 
+def shuffle_bytes(spark):
+    """Bytes of the shuffles that stand on disk."""
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    return sum(p.stat().st_size for d in folders for p in Path(d.getPath()).rglob("shuffle_*.data"))
+
+
+def test_stored_tables_leave_no_shuffle(spark):
+    frame = spark.range(200_000).select((F.col("id") * 7919 % 100_003).alias("a"), F.col("id").cast("string").alias("b"))
+    before = shuffle_bytes(spark)
+    table = session.stored(frame.groupBy("a").agg(F.max("b").alias("b")), "table")
+    for _ in range(100):  # they are taken away in the background
+        if shuffle_bytes(spark) <= before:
+            break
+        time.sleep(0.1)
+    assert shuffle_bytes(spark) <= before
+    assert table.count() == 100_003
+    session.discard(table)
+    assert not any(Path(f.removeprefix("file://")).exists() for f in table.inputFiles())
+
+
+def test_starts_are_shuffled_by_edge_not_by_reached_node(spark, monkeypatch):
+    """First edges lead to nodes that reach five more: what stands on disk follows the edges, not the rows of the result."""
+    monkeypatch.setattr(session, "BROADCAST_ROWS", 30)
+    monkeypatch.setattr(session, "SLICES", 2, raising=False)
+    monkeypatch.setattr(G, "BROADCAST_ROWS", 64 * 60, raising=False)
+    n = 20_000
+    edges = [(f"o{i}", f"c{(i * 7 + k) % 40}") for i in range(n) for k in range(2)] + [(f"c{i}", "a") for i in range(40)] + list(zip("abcd", "bcde"))
+    frame = spark.createDataFrame(edges, "child string, parent string").repartition(4)
+    starts = spark.createDataFrame([(f"o{i}",) for i in range(n)], "start string")
+    for _ in range(2):
+        spark._jvm.System.gc()
+        time.sleep(1)
+    before = folder_bytes(spark) + shuffle_bytes(spark)
+    got = G.reachable(frame, starts)
+    got.write.format("noop").mode("overwrite").save()
+    assert folder_bytes(spark) + shuffle_bytes(spark) - before < 30 * len(edges)
+    assert got.agg(F.count("*"), F.sum("path_count"), F.max("hops")).first()[:] == (n * (1 + 2 + 5), n * (1 + 2 + 5 * 2), 6)
+
+
+@pytest.mark.parametrize("few", [True, False])
+@pytest.mark.parametrize("seed", range(2))
+def test_walks_met_in_slices_equal_walks_of_each_start(spark, monkeypatch, seed, few):
+    """Nothing is broadcast by size, steps are made in slices, walks are kept in several lists."""
+    pick = random.Random(seed)
+    edges = [(f"n{pick.randrange(9, 24)}", f"n{pick.randrange(18)}", pick.choice(["explicit", "guess"]), pick.choice(["", "a", "b"]), "id") for _ in range(60)]
+    edges += edges[:9] + [("n9", "", "explicit", "a", "id"), ("", "n2", "explicit", "b", "id"), ("n11", "n1", "guess", None, "id")]
+    frame = spark.createDataFrame(edges, "child string, parent string, provenance string, fk string, pk string")
+    starts = spark.createDataFrame([(f"n{i}",) for i in range(22)] + [(None,)], "start string")
+    plain = G.reachable(frame, starts, least_shared=10**6).collect()
+    monkeypatch.setattr(session, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(session, "SLICES", 2)
+    monkeypatch.setattr(G, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(G, "_SHARED_ROWS", 100)
+    monkeypatch.setattr(G, "_CHUNK", 2)
+    if few:
+        monkeypatch.setattr(G, "BROADCAST_ROWS", 500)
+    shared = G.reachable(frame, starts, least_shared=1).collect()
+    assert sorted(map(str, shared)) == sorted(map(str, plain))
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_shared_walks_equal_walks_of_each_start(spark, seed):
     pick = random.Random(seed)
