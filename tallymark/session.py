@@ -115,7 +115,7 @@ def small_side(df: DataFrame, rows: int | None = None) -> DataFrame:
 
 
 #: Slices that a step over more than four times ``BROADCAST_ROWS`` rows is made in.
-SLICES = 8
+SLICES = 4
 
 
 def slices_for(rows: int) -> int:

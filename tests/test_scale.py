@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tallymark import MetricError, session
 from tallymark.operators import constraints as K
 from tallymark.operators import graph as G
+from tallymark.operators import reach_index as R
 from tallymark.operators.reach_index import leads_to, reach_index
 from tallymark.session import shared_folder
 
@@ -145,3 +146,37 @@ def test_index_keeps_little_for_nodes_that_nothing_leads_to(spark):
     next_to = {f"o{i}": {f"c{(i * 7 + k) % 40}" for k in range(3)} for i in range(4000)}
     holds = lambda a, b: a == b or b == "r" or b in next_to[a] or any(f"n{int(c[1:]) % 5}" == b for c in next_to[a])
     assert got == {p for p in pairs if holds(*p)}
+
+
+@pytest.mark.parametrize("few", [0, 500])
+def test_pairs_answered_in_slices(spark, monkeypatch, few):
+    """Nothing is broadcast by size, steps are made in slices, and no shuffle is left: pairs and edges stand on disk once or twice."""
+    n = 8000
+    edges = [(f"o{i}", f"c{(i * 7 + k) % 40}") for i in range(n) for k in range(3)] + [(f"c{i}", f"n{i % 5}") for i in range(40)] + [(f"n{i}", "r") for i in range(5)]
+    edges += [("n1", "c3"), ("r", "end"), ("r", "r"), (None, "r"), ("c1", None)] + edges[:50]  # n1, c1, c3 and others on a cycle
+    pairs = [(f"o{i}", end, i) for i in range(n) for end in ("r", "n1", f"c{i % 40}", "end")] + [("c3", "n1", 1), ("n1", "c3", 1), ("c2", "c3", 2), ("end", "r", 3), ("x", "x", 4)]
+    pairs += [*pairs[:3], (None, "r", 5), ("r", None, 5)]
+    frame = spark.createDataFrame(edges, "child string, parent string").repartition(4)
+    asked = spark.createDataFrame(pairs, "start string, target string, payload int").repartition(4)
+    monkeypatch.setattr(session, "BROADCAST_ROWS", few)
+    monkeypatch.setattr(session, "SLICES", 2, raising=False)
+    monkeypatch.setattr(R, "BROADCAST_ROWS", few)
+    for _ in range(2):
+        spark._jvm.System.gc()
+        time.sleep(1)
+    before = folder_bytes(spark) + shuffle_bytes(spark)
+    answers = leads_to(asked, reach_index(frame))
+    answers.write.format("noop").mode("overwrite").save()
+    assert folder_bytes(spark) + shuffle_bytes(spark) - before < 20 * (len(edges) + len(pairs))
+    next_to = {}
+    for a, b in edges:
+        next_to.setdefault(a, set()).add(b)
+    reach = {}
+    for a in {a for a, _, _ in pairs}:
+        reach[a], todo = {a}, [a]
+        while todo:
+            new = next_to.get(todo.pop(), set()) - reach[a] - {None}
+            reach[a] |= new
+            todo += new
+    wanted = [(a, b, x, a is not None and b is not None and b in reach[a]) for a, b, x in pairs]
+    assert sorted(map(str, map(tuple, answers.collect()))) == sorted(map(str, wanted))
