@@ -81,14 +81,13 @@ def reach_index(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Labels (way, hub, node) and groups (node, cycle_id) of child -> parent edges.
 
     Cycles are folded to one node first. Nodes are ranked by (edges in + 1) * (edges out + 1), parallel edges in counted as
-    often as they are given, equal ones by name. Each
-    node with edges both in and out is a hub that walks both ways through such nodes of lower rank only and labels them:
-    ``to`` where the node leads to the hub, ``from`` where the hub leads to it. The highest node of any path labels both
-    its ends, so a pair is connected exactly if its labels share a hub, each node standing for a label of its own. All hubs
-    walk at once, a hop a round; a label is
-    dropped again if a higher hub stands between its two ends. Nodes that nothing leads to, or that lead to nothing, stand on
-    no path between others: they take the labels of the nodes next to them, where the index is read, and only their edges
-    are kept; one such label may come up more than once. Null ends and edges from a node to itself are no edges.
+    often as they are given, equal ones by name. Each node with edges both in and out is a hub that walks both ways through
+    such nodes of lower rank only and labels them: ``to`` where the node leads to the hub, ``from`` where the hub leads to it.
+    The highest node of any path labels both its ends, so a pair is connected exactly if its labels share a hub, each node
+    also being a hub of its own without a label. All hubs walk at once, a hop a round; a label is dropped again if a higher
+    hub stands between its two ends. Nodes that nothing leads to, or that lead to nothing, stand on no path between others:
+    they take the labels of the nodes next to them, where the index is read, and only their edges are kept; one such label
+    may come up more than once. Null ends and edges from a node to itself are no edges.
     """
     dealt = _dealt(edges.filter("child <> parent").select(F.col("child").alias("src"), F.col("parent").alias("dst")))
     outer = dealt.filter("n_in IS NULL").select("src", "dst")
